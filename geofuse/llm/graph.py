@@ -1,0 +1,39 @@
+"""Connected components of a link table, with hot nodes spread over salts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geofuse.llm.shared import attach, salt_bit, salt_of, stored
+
+
+def _least_neighbour(pairs: DataFrame) -> DataFrame:
+    """Adds m, the least of u and its v, to each pair (u, v); rows of a hot u are spread over salts by v."""
+    rows = pairs.withColumn("salt", salt_of("v"))
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
+    return attach(rows, least, ["u"]).withColumn("m", F.least("u", "m"))
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(a, b) links of long ids -> (node, root), root the least id that can be reached.
+
+    Alternating large-star and small-star rounds, each written to the shared folder, until the links are the
+    stars of their roots. Loops and repeats are allowed; no links give no rows.
+    """
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
+    for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.filter("u > v").distinct(), "links")
+        star = _least_neighbour(large)
+        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
+        small = stored(small.filter("u > v").distinct(), "links")
+        same = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = small
+        if same == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
