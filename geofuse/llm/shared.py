@@ -54,3 +54,9 @@ def per_salt(groups: DataFrame, bits: str = "salts", salt: str = "salt", salts:
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str = "salt", how: str = "inner") -> DataFrame:
     """Joins rows (with a salt) to groups (with the bits of their salts), a hot key spread over its salts."""
     return rows.join(per_salt(groups, salt=salt), [*keys, salt], how)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows to an Arrow batch, which bounds a Python worker's memory where texts are long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
