@@ -22,11 +22,11 @@ def written(uri: str, attempt: int):
     system, path = opened(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{attempt}.part"
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(part, compression=None) as out:
         yield out
     system.move(part, path)
 
 
 def reading(uri: str, seek: bool = False):
     system, path = opened(uri)
-    return system.open_input_file(path) if seek else system.open_input_stream(path)
+    return system.open_input_file(path) if seek else system.open_input_stream(path, compression=None)
