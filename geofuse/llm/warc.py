@@ -161,13 +161,13 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, file_byte
     Of pages with equal payloads (of least_bytes or more) the one with the largest page_id is the response, the
     others revisit it; rows that repeat its page_id are responses too. A null html is an empty payload, a null
     url is named after the page, a null page_id loses to any other. The dictionary is trained on the
-    samples pages of least hash (the bound). No pages give no files.
+    samples pages of least hash, 16 Ki characters of each (the bounds). No pages give no files.
     """
     small_batches(pages.sparkSession, 500)
-    some = (
-        pages.select("page_id", "url", F.substring(F.col("html").cast("string"), 1, 1 << 14).alias("html"))
-        .orderBy(F.xxhash64("page_id", "url"), "page_id").limit(samples).collect()
-    )
+    ids = pages.select("page_id").filter("page_id IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(samples)
+    picked = pages.select("page_id", "url", F.substring(F.col("html").cast("string"), 1, 1 << 14).alias("html"))
+    some = picked.join(F.broadcast(ids), "page_id", "left_semi").limit(samples).collect()
+    some.sort(key=lambda r: (r["page_id"], r["url"] or "", r["html"] or ""))
     dictionary = train([make_record(r["page_id"], r["url"], (r["html"] or "").encode(), None, False) for r in some])
     rows, groups = decide(pages, least_bytes)
     joined = attach(rows, groups, ["digest"], how="left").select("page_id", "url", "payload", "first_id", (F.octet_length("payload") >= least_bytes).alias("shared"))
