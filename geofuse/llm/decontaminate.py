@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofuse.llm.shared import small_batches, stored, table
@@ -148,6 +148,18 @@ def passes(benchmark: DataFrame, most: int = PASS_WORDS) -> Iterator[Index]:
 HITS = "array<struct<item_id:bigint,overlap:double>>"
 
 
+def _search(spark: SparkSession, index: Index, least: float) -> Column:
+    """The items that the column text contains, as HITS; the index is bounded by the words of a pass."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf(HITS)
+    def hits(texts: pd.Series) -> pd.Series:
+        own = shared.value
+        return pd.Series([[{"item_id": i, "overlap": s} for i, s in matches(t, own, least)] for t in texts], dtype=object)
+
+    return hits(F.col("text").cast("string"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most: int = PASS_WORDS) -> DataFrame:
     """One row per document: doc_id, contaminated, items (array of item_id and overlap, by item_id).
 
@@ -159,26 +171,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, mos
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def search(index: Index):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf(HITS)
-        def hits(texts: pd.Series) -> pd.Series:
-            own = shared.value
-            return pd.Series([[{"item_id": i, "overlap": s} for i, s in matches(t, own, least)] for t in texts], dtype=object)
-
-        return hits(F.col("text"))
-
     indexes = passes(benchmark, most)
     one, more = next(indexes, None), next(indexes, None)
     if more is None:
-        found = rows.select("doc_id", search(one).alias("items") if one else F.array().cast(HITS).alias("items"))
+        found = rows.select("doc_id", _search(spark, one, least).alias("items") if one else F.array().cast(HITS).alias("items"))
     else:
         # Pass by pass only what was found is kept, by id and text, so equal rows share it.
         key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h")]
         parts = None
         for index in (x for part in ([one, more], indexes) for x in part):
-            hit = stored(rows.select(*key, search(index).alias("items")).filter(F.size("items") > 0), "decontam-pass")
+            hit = stored(rows.select(*key, _search(spark, index, least).alias("items")).filter(F.size("items") > 0), "decontam-pass")
             parts = hit if parts is None else parts.unionByName(hit)
         parts = parts.select("id", "h", F.explode("items").alias("x")).distinct()
         parts = parts.groupBy("id", "h").agg(F.array_sort(F.collect_list("x")).cast(HITS).alias("items"))
@@ -187,6 +189,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, mos
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most: int = PASS_WORDS) -> DataFrame:
+    """docs' own rows that contain no item, pass by pass."""
+    small_batches(docs.sparkSession)
+    for index in passes(benchmark, most):
+        docs = docs.filter(F.size(_search(docs.sparkSession, index, least)) == 0)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

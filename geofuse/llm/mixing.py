@@ -90,26 +90,17 @@ def allot(sizes: pd.DataFrame) -> pd.DataFrame:
     return sizes.assign(base=copies // n, extra=copies % n)[["key", "size", "source_size", "target", "rate", "base", "extra"]]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies, rate.
+def _keys(docs: DataFrame) -> list[Column]:
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    return [key.alias("key"), word_count(F.col("text")).alias("size"), salt_of("doc_id").alias("salt")]
 
-    A null text has size 0 and takes 0; a null source is a source of its own, the last. Repeated ids are
-    separate rows; which of several equal rows gets the extra copy makes no difference. An empty table gives
-    an empty result. Reruns agree: the choice goes by a hash of doc_id. Other columns are ignored.
-    """
+
+def plan(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """(source, key, size, salt) of each document -> the copies of each (key, size, salt): base, and extra that get one more."""
     cap = float(cap)
-    base = stored(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").alias("source"),
-            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
-            word_count(F.col("text")).alias("size"),
-        ).withColumn("salt", salt_of("doc_id")),
-        "mix-sizes",
-    )
-    counts = stored(base.groupBy("source", "key", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    counts = stored(sizes.groupBy("source", "key", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     totals = counts.groupBy("source", "key").agg(F.sum(F.col("size") * F.col("n")).alias("size"))
-    rates = balanced(targets(totals, weights, cap)).select(
+    rates = balanced(targets(totals.select("source", "size"), weights, cap)).select(
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
         F.col("size").alias("source_size"),
         "target",
@@ -121,17 +112,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     extra = by_size.groupBy("key").applyInPandas(allot, "key string, size long, source_size long, target double, rate double, base long, extra long")
     # The extra copies of one size go to its salts in order, so that only one salt is divided.
     before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    per_salt = (
+    return (
         counts.join(extra, ["key", "size"])
         .withColumn("given", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select("key", "size", "salt", "source_size", "target", "rate", "base", F.least(F.greatest(F.col("extra") - F.col("given"), F.lit(0)), F.col("n")).alias("extra"))
     )
+
+
+def _copied(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """Rows with doc_id, key, size and salt, and their copies."""
     place = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    out = base.withColumn("place", place).join(per_salt, ["key", "size", "salt"])
-    copies = (F.col("base") + (F.col("place") <= F.col("extra")).cast("int")).cast("long")
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rate"
-    )
+    out = rows.withColumn("place", place).join(planned, ["key", "size", "salt"])
+    return out.withColumn("copies", (F.col("base") + (F.col("place") <= F.col("extra")).cast("int")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, copies, rate.
+
+    A null text has size 0 and takes 0; a null source is a source of its own, the last. Repeated ids are
+    separate rows; which of several equal rows gets the extra copy makes no difference. An empty table gives
+    an empty result. Reruns agree: the choice goes by a hash of doc_id. Other columns are ignored.
+    """
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *_keys(docs)), "mix-sizes")
+    out = _copied(rows, plan(rows, weights, cap))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """The mix itself: docs' own columns, each row as often as mix() says. Blank texts take no words and stay out."""
+    planned = plan(docs.select("source", *_keys(docs)), weights, cap)
+    rows = docs.select("doc_id", *_keys(docs), F.struct(*docs.columns).alias("doc"))
+    out = _copied(rows, planned).filter("copies > 0 AND size > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

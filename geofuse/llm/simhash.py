@@ -16,11 +16,11 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofuse.llm.graph import components
-from geofuse.llm.shared import attach, salt_bit, salt_of, stored, table
+from geofuse.llm.shared import attach, salt_bit, salt_of, small_batches, stored, table
 
 SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
@@ -90,14 +90,16 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp (signed), component_id, n_links of its fingerprint.
+    """One row per document: doc_id, fp (signed), component_id, n_links of its fingerprint, h (hash of its text).
 
     component_id is the smallest doc_id of the documents reachable by links, itself included. Null and blank
     texts have fingerprint zero and link like any other. A null doc_id takes part, but is never an id unless
     its whole group is null. Repeated ids are separate rows. An empty table gives an empty result.
     """
     fp = fingerprints(words)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp(F.col("text").cast("string")).alias("fp"))
+    small_batches(docs.sparkSession)
+    own = [F.col("doc_id").cast("long").alias("doc_id"), fp(F.col("text").cast("string")).alias("fp"), F.xxhash64("text").alias("h")]
+    rows = docs.select(*own)
     rows = stored(rows.withColumn("salt", salt_of("doc_id")), "simhash-rows")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
     fps = stored(fps, "simhash-fps")
@@ -109,7 +111,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     known = fps.join(named, "fp", "left").join(degree, "fp", "left").select(
         "fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "salts"
     )
-    return attach(rows, known, ["fp"]).select("doc_id", "fp", "component_id", "n_links")
+    return attach(rows, known, ["fp"]).select("doc_id", "fp", "component_id", "n_links", "h")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """docs without near-duplicates: of each group the row with the smallest doc_id, of equal rows one.
+
+    A row with a null doc_id stays only where its whole group has none; then each different text stays.
+    """
+    kept = near_duplicates(docs, words, bits).filter("doc_id <=> component_id")
+    kept = kept.groupBy("component_id", "doc_id").agg(F.min("h").alias("h")).select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.col("h").alias("k_h"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.xxhash64("text").alias("k_h"),
+    )
+    met = rows.join(kept, ["k_id", "k_null", "k_h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("k_id", "k_null", "k_h").orderBy("k_h"))
+    return met.withColumn("first", first).filter("first = 1").select("doc.*")
 
 
 def hex_of(fp: Column) -> Column:
