@@ -137,5 +137,7 @@ def oracle(*names: str, q: str) -> str:
     if not names:
         return q
     head = ",\n".join(f"{n} AS ({text_for(n, spark=False)})" for n in names)
-    q = q.strip()
-    return f"WITH {head},\n{q[5:]}" if q[:5].upper() == "WITH " else f"WITH {head}\n{q}"
+    q, kind = q.strip(), "WITH"
+    if q.startswith("WITH RECURSIVE "):
+        q, kind = "WITH " + q[15:], "WITH RECURSIVE"
+    return f"{kind} {head},\n{q[5:]}" if q.startswith("WITH ") else f"{kind} {head}\n{q}"

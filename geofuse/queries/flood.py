@@ -73,14 +73,14 @@ def a13_spread(spark: SparkSession, sf: str) -> DataFrame:
 GRID = ["run_id", "t_s"]
 
 
-@query("w2_stencil", TS, q="SELECT a.run_id, a.t_s, a.row, a.col, round(min(b.h), 6) AS low, round(max(b.h), 6) AS high, round(avg(b.h), 9) AS mean FROM fx_depth_ts a JOIN fx_depth_ts b ON a.run_id = b.run_id AND a.t_s = b.t_s AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL")
+@query("w2_stencil", TS, q="SELECT a.run_id, a.t_s, a.row, a.col, round(min(b.h), 6) AS low, round(max(b.h), 6) AS high, round(avg(b.h), 11) AS mean FROM fx_depth_ts a JOIN fx_depth_ts b ON a.run_id = b.run_id AND a.t_s = b.t_s AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL")
 def w2(spark: SparkSession, sf: str) -> DataFrame:
     from geofuse.plans.stencil import stencil
 
     t = ts(spark, sf).withColumns({"row": c("row").cast("int"), "col": c("col").cast("int")})
     for kind, out in (("min", "low"), ("max", "high"), ("mean", "mean")):
         t = stencil(t, GRID, "h", 2, kind, out)
-    return t.select("run_id", "t_s", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), r("low").alias("low"), r("high").alias("high"), r("mean", 9).alias("mean"))
+    return t.select("run_id", "t_s", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), r("low").alias("low"), r("high").alias("high"), r("mean", 11).alias("mean"))
 
 
 HAND = """m AS (SELECT a.run_id, a.t_s, a.row, a.col, a.h AS d, a.u + 3e0 AS z, min(b.u + 3e0) AS lo FROM fx_depth_ts a JOIN fx_depth_ts b ON a.run_id = b.run_id AND a.t_s = b.t_s AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL),

@@ -9,7 +9,7 @@ from geofuse.fixtures import sql, view
 from geofuse.functions import geodesy as g
 from geofuse.operators import telemetry as tm
 from geofuse.plans.asof import asof_nearest, interpolated
-from geofuse.plans.rangejoin import boxes_that_meet, points_in_boxes
+from geofuse.plans.rangejoin import points_in_boxes
 from geofuse.queries.registry import query, r
 
 c = F.col
