@@ -1,61 +1,18 @@
-"""Reading tables, the shared work folder, and joins that survive hot keys."""
+"""Reading tables, and what the plans share with these operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from geofuse.plans.shared import SALTS, attach, new_dir, per_salt, salt_bit, salt_of, stored, work_dir
 
-#: Salts a key is split into; the salts a group has seen fit the 64 bits of one long.
-SALTS = 64
+__all__ = ["SALTS", "attach", "new_dir", "per_salt", "salt_bit", "salt_of", "small_batches", "stored", "table", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="geofuse-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a cut in the lineage that outlives executors."""
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
-
-
-def salt_bit(salt: Column) -> Column:
-    """A salt as one bit, so that a group can gather its salts with bit_or, a fixed-width aggregate."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), salt)
-
-
-def per_salt(groups: DataFrame, bits: str = "salts", salt: str = "salt", salts: int = SALTS) -> DataFrame:
-    """A row of a group for each salt whose bit it has: at most 64, however many rows the group holds."""
-    seen = F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.getbit(F.col(bits), s) == 1)
-    return groups.withColumn(salt, F.explode(seen)).drop(bits)
-
-
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str = "salt", how: str = "inner") -> DataFrame:
-    """Joins rows (with a salt) to groups (with the bits of their salts), a hot key spread over its salts."""
-    return rows.join(per_salt(groups, salt=salt), [*keys, salt], how)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows to an Arrow batch, which bounds a Python worker's memory where texts are long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
