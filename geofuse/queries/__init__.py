@@ -1,6 +1,6 @@
 """Every query of the library with its SQL twin."""
 
-from geofuse.queries import cloud, flood, geo, sfm, streams, text  # noqa: F401
+from geofuse.queries import cloud, flood, geo, more, sfm, streams, text  # noqa: F401
 from geofuse.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

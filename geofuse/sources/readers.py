@@ -132,3 +132,72 @@ def grid_json(docs: DataFrame, by: list[str], column: str = "value") -> DataFram
     g = docs.select(*by, F.from_json(column, "cols int, rows int, z array<double>").alias("g")).filter("size(g.z) = g.cols * g.rows")
     p = g.select(*by, "g.cols", F.posexplode("g.z").alias("pos", "z"))
     return p.select(*by, F.floor(c("pos") / c("cols")).cast("int").alias("row"), (c("pos") % c("cols")).cast("int").alias("col"), "z")
+
+
+def _field(parts: Column, i: Column | int) -> Column:
+    t = F.trim(F.get(parts, i if isinstance(i, Column) else F.lit(i)))
+    return F.when(t.rlike(r"^[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?$"), t.cast("double"))
+
+
+def mrk(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Marker lines by field order: number, time, latitude, longitude, height, deviations north, east, up (1 cm at least)."""
+    p = F.split(c(column), r"[\t,]")
+    std = lambda i, d: F.greatest(F.abs(F.coalesce(_field(p, i), F.lit(d))), F.lit(0.01))
+    out = lines.filter(~F.trim(column).startswith("#")).select(
+        _field(p, 0).cast("long").alias("sample_id"), _field(p, 1).alias("time"), _field(p, 2).alias("lat_deg"), _field(p, 3).alias("lon_deg"), _field(p, 4).alias("height_m"),
+        std(6, 0.05).alias("std_e"), std(5, 0.05).alias("std_n"), std(7, 0.1).alias("std_u"), F.lit("mrk").alias("source"),
+    )
+    return out.filter("abs(lat_deg) <= 90 AND abs(lon_deg) <= 180 AND height_m IS NOT NULL")
+
+
+def pos(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Post-processed positions: the first of five places where two fields can be a position, in either order."""
+    lines = lines.select(F.filter(F.split(F.trim(column), r"[\s,]+"), lambda s: s != "").alias("p")).filter("size(p) >= 4 AND NOT (startswith(p[0], '%') OR startswith(p[0], '#'))")
+    p = c("p")
+
+    def fits(i: Column) -> Column:
+        a, b = F.abs(_field(p, i)), F.abs(_field(p, i + 1))
+        return F.coalesce(((a <= 90) & (b <= 180)) | ((b <= 90) & (a <= 180)), F.lit(False)) & (i + 2 < F.size(p))
+
+    at = lines.withColumn("at", F.get(F.filter(F.sequence(F.lit(0), F.lit(4)), fits), F.lit(0))).filter("at IS NOT NULL")
+    a, b = _field(p, c("at")), _field(p, c("at") + 1)
+    straight = (F.abs(a) <= 90) & (F.abs(b) <= 180)
+    std = lambda i, d: F.greatest(F.abs(F.coalesce(_field(p, c("at") + i), d)), F.lit(0.02))
+    e = std(3, F.lit(0.1))
+    time = F.coalesce(parse_loose_time(F.get(p, F.lit(0))), parse_loose_time(F.concat_ws(" ", F.replace(F.get(p, F.lit(0)), F.lit("/"), F.lit("-")), F.get(p, F.lit(1)))))
+    out = at.select(F.when(straight, a).otherwise(b).alias("lat_deg"), F.when(straight, b).otherwise(a).alias("lon_deg"), _field(p, c("at") + 2).alias("height_m"), e.alias("std_e"), std(4, e).alias("std_n"), std(5, e * 2).alias("std_u"), time.alias("unix_s"), F.lit("pos").alias("source"))
+    return out.filter("height_m IS NOT NULL")
+
+
+def kml(docs: DataFrame, column: str = "value") -> DataFrame:
+    """Every lon,lat[,height] of the coordinates of documents."""
+    body = F.explode(F.regexp_extract_all(column, F.lit(r"<coordinates>([^<]*)</coordinates>"), F.lit(1)))
+    t = docs.select(body.alias("b")).select(F.explode(F.filter(F.split("b", r"\s+"), lambda s: s != "")).alias("t")).select(F.split("t", ",").alias("p"))
+    p = c("p")
+    out = t.select(_field(p, 0).alias("lon_deg"), _field(p, 1).alias("lat_deg"), F.coalesce(_field(p, 2), F.lit(0.0)).alias("height_m"), F.lit(5.0).alias("std_e"), F.lit(5.0).alias("std_n"), F.lit(10.0).alias("std_u"), F.lit("kml").alias("source"))
+    return out.filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
+
+
+def read_gpx(spark: SparkSession, path: str) -> DataFrame:
+    """Track points with time and way points without, by the XML source."""
+    parts = []
+    for tag, std in (("trkpt", (3.0, 3.0, 8.0)), ("wpt", (2.0, 2.0, 5.0))):
+        x = spark.read.format("xml").option("rowTag", tag).schema("_lat double, _lon double, ele double, time string").load(path)
+        time = parse_loose_time(c("time")) if tag == "trkpt" else F.lit(None).cast("double")
+        parts.append(x.select(c("_lon").alias("lon_deg"), c("_lat").alias("lat_deg"), F.coalesce("ele", F.lit(0.0)).alias("height_m"), *[F.lit(s).alias(k) for s, k in zip(std, ("std_e", "std_n", "std_u"))], time.alias("unix_s"), F.lit("gpx").alias("source")))
+    return parts[0].unionByName(parts[1]).filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
+
+
+def read_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """All telemetry files below a folder, by extension, with the file of each row."""
+    def texts(glob: str, whole: bool) -> DataFrame:
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=whole)
+
+    rows = [srt_cues(texts("*.[sS][rR][tT]", True)).withColumn("source", F.lit("srt")), mrk(texts("*.[mM][rR][kK]", False)), pos(texts("*.[pP][oO][sS]", False)), kml(texts("*.[kK][mM][lL]", True))]
+    csv = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder, header=True, comment="#")
+    if csv.columns:
+        rows.append(telemetry_csv(csv))
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
