@@ -87,10 +87,11 @@ FUSED = """f AS (SELECT floor(x / 0.05e0) AS vx, floor(y / 0.05e0) AS vy, floor(
  sum(r * confidence) / sum(confidence) AS r, sum(confidence) AS weight FROM fx_evidence WHERE confidence >= 0.15e0 AND NOT (preserve AND confidence >= 0.7e0) GROUP BY 1, 2, 3)"""
 
 
-@query("a7_fuse_voxels", E, q=f"WITH {FUSED} SELECT CAST(vx AS BIGINT) AS vx, CAST(vy AS BIGINT) AS vy, CAST(vz AS BIGINT) AS vz, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z, round(weight, 6) AS weight FROM f")
+@query("a7_fuse_voxels", E, q=f"WITH {FUSED} SELECT CAST(vx AS BIGINT) AS vx, CAST(vy AS BIGINT) AS vy, CAST(vz AS BIGINT) AS vz, round(x + 1e-9, 6) + 0e0 AS x, round(y + 1e-9, 6) + 0e0 AS y, round(z + 1e-9, 6) + 0e0 AS z, round(weight, 6) AS weight FROM f")
 def a7(spark: SparkSession, sf: str) -> DataFrame:
+    """1e-9 keeps means that end in 5 from being rounded either way."""
     v = op.fuse_voxels(evidence(spark, sf), 20.0)
-    return v.select("vx", "vy", "vz", r("x").alias("x"), r("y").alias("y"), r("z").alias("z"), r("weight").alias("weight"))
+    return v.select("vx", "vy", "vz", *[r(c(k) + 1e-9).alias(k) for k in "xyz"], r("weight").alias("weight"))
 
 
 @query("a7_fuse_evidence", E, q=f"""WITH {FUSED}, p AS (SELECT count(*) AS n FROM fx_evidence WHERE preserve AND confidence >= 0.7e0), s AS (SELECT (SELECT count(*) FROM f) AS n_f, n AS n_p, 1000 - least(n, 200) AS budget FROM p)

@@ -21,10 +21,10 @@ def ts(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, TS)
 
 
-@query("a10_depth_stats", TS, q=f"WITH {STATS} SELECT run_id, t_s, wet_cells, round(max_depth, 6) AS max_depth, round(mean_depth, 6) AS mean_depth, round(mass, 3) AS mass, round(max_speed, 6) AS max_speed, round(wet_fraction, 6) AS wet_fraction, {HAZARD} AS hazard FROM stats")
+@query("a10_depth_stats", TS, q=f"WITH {STATS} SELECT run_id, t_s, wet_cells, round(max_depth, 6) AS max_depth, round(mean_depth, 6) AS mean_depth, round(mass, 6) AS mass, round(max_speed, 6) AS max_speed, round(wet_fraction, 6) AS wet_fraction, {HAZARD} AS hazard FROM stats")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
     s = op.depth_stats(ts(spark, sf))
-    return s.select("run_id", "t_s", "wet_cells", r("max_depth").alias("max_depth"), r("mean_depth").alias("mean_depth"), r("mass", 3).alias("mass"), r("max_speed").alias("max_speed"), r("wet_fraction").alias("wet_fraction"), "hazard")
+    return s.select("run_id", "t_s", "wet_cells", r("max_depth").alias("max_depth"), r("mean_depth").alias("mean_depth"), r("mass").alias("mass"), r("max_speed").alias("max_speed"), r("wet_fraction").alias("wet_fraction"), "hazard")
 
 
 @query("a10_depth_rollup", TS, q="SELECT run_id, t_s, count(*) AS cells, round(max(h), 6) AS max_depth FROM fx_depth_ts GROUP BY ROLLUP (run_id, t_s)")
@@ -110,13 +110,13 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a17_resample_bilinear", TS, q="""WITH g AS (SELECT DISTINCT run_id, t_s FROM fx_depth_ts), t AS (SELECT g.*, CAST(i AS INT) AS row, CAST(j AS INT) AS col, (j + 0.5e0) / 36 * 23 AS u, (i + 0.5e0) / 10 * 15 AS v FROM g, range(0, 10) a(i), range(0, 36) b(j)),
 q AS (SELECT *, CAST(floor(u) AS INT) AS x0, CAST(floor(v) AS INT) AS y0, u - floor(u) AS fx, v - floor(v) AS fy FROM t)
-SELECT q.run_id, q.t_s, q.row, q.col, round(coalesce(a.h, 0e0) * (1 - fx) * (1 - fy) + coalesce(b.h, 0e0) * fx * (1 - fy) + coalesce(c.h, 0e0) * (1 - fx) * fy + coalesce(d.h, 0e0) * fx * fy, 6) AS h FROM q
+SELECT q.run_id, q.t_s, q.row, q.col, round(coalesce(a.h, 0e0) * (1 - fx) * (1 - fy) + coalesce(b.h, 0e0) * fx * (1 - fy) + coalesce(c.h, 0e0) * (1 - fx) * fy + coalesce(d.h, 0e0) * fx * fy, 11) AS h FROM q
 LEFT JOIN fx_depth_ts a ON a.run_id = q.run_id AND a.t_s = q.t_s AND a.row = y0 AND a.col = x0 LEFT JOIN fx_depth_ts b ON b.run_id = q.run_id AND b.t_s = q.t_s AND b.row = y0 AND b.col = least(x0 + 1, 23)
 LEFT JOIN fx_depth_ts c ON c.run_id = q.run_id AND c.t_s = q.t_s AND c.row = least(y0 + 1, 15) AND c.col = x0 LEFT JOIN fx_depth_ts d ON d.run_id = q.run_id AND d.t_s = q.t_s AND d.row = least(y0 + 1, 15) AND d.col = least(x0 + 1, 23)""")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
     t = ts(spark, sf)
     out = op.resample_bilinear(t, t.select(*GRID).distinct(), GRID, 16, 24, 10, 36, "h")
-    return out.select("run_id", "t_s", "row", "col", r("h").alias("h"))
+    return out.select("run_id", "t_s", "row", "col", r("h", 11).alias("h"))
 
 
 SIDES = " AND ".join(f"EXISTS (SELECT 1 FROM fx_depth_ts b WHERE b.run_id = a.run_id AND b.t_s = a.t_s AND b.row = a.row {dr} AND b.col = a.col {dc} AND b.h > 2e-3)" for dr, dc in (("+ 1", ""), ("- 1", ""), ("", "+ 1"), ("", "- 1")))
@@ -128,13 +128,13 @@ def w4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("w3_surface_slope", TS, q="""WITH e AS (SELECT *, u + h AS eta FROM fx_depth_ts)
-SELECT a.run_id, a.t_s, a.row, a.col, round(CASE WHEN l.eta IS NULL AND n.eta IS NULL THEN 0e0 ELSE (coalesce(n.eta, a.eta) - coalesce(l.eta, a.eta)) / (((l.eta IS NOT NULL)::INT + (n.eta IS NOT NULL)::INT) * 10e0) END, 6) + 0e0 AS slope_x,
- round(CASE WHEN s.eta IS NULL AND o.eta IS NULL THEN 0e0 ELSE (coalesce(o.eta, a.eta) - coalesce(s.eta, a.eta)) / (((s.eta IS NOT NULL)::INT + (o.eta IS NOT NULL)::INT) * 10e0) END, 6) + 0e0 AS slope_y FROM e a
+SELECT a.run_id, a.t_s, a.row, a.col, round(CASE WHEN l.eta IS NULL AND n.eta IS NULL THEN 0e0 ELSE (coalesce(n.eta, a.eta) - coalesce(l.eta, a.eta)) / (((l.eta IS NOT NULL)::INT + (n.eta IS NOT NULL)::INT) * 10e0) END, 10) + 0e0 AS slope_x,
+ round(CASE WHEN s.eta IS NULL AND o.eta IS NULL THEN 0e0 ELSE (coalesce(o.eta, a.eta) - coalesce(s.eta, a.eta)) / (((s.eta IS NOT NULL)::INT + (o.eta IS NOT NULL)::INT) * 10e0) END, 10) + 0e0 AS slope_y FROM e a
 LEFT JOIN e l ON l.run_id = a.run_id AND l.t_s = a.t_s AND l.row = a.row AND l.col = a.col - 1 LEFT JOIN e n ON n.run_id = a.run_id AND n.t_s = a.t_s AND n.row = a.row AND n.col = a.col + 1
 LEFT JOIN e s ON s.run_id = a.run_id AND s.t_s = a.t_s AND s.row = a.row - 1 AND s.col = a.col LEFT JOIN e o ON o.run_id = a.run_id AND o.t_s = a.t_s AND o.row = a.row + 1 AND o.col = a.col""")
 def w3(spark: SparkSession, sf: str) -> DataFrame:
     s = op.surface_slope(ts(spark, sf).withColumn("z", c("u")), GRID, 10.0)
-    return s.select("run_id", "t_s", "row", "col", r("slope_x").alias("slope_x"), r("slope_y").alias("slope_y"))
+    return s.select("run_id", "t_s", "row", "col", r("slope_x", 10).alias("slope_x"), r("slope_y", 10).alias("slope_y"))
 
 
 @query("w9_lerp_states", TS, q="""WITH q AS (SELECT * FROM (SELECT DISTINCT run_id FROM fx_depth_ts) r, (SELECT o_orderkey AS q_id, mod(o_orderkey * 37, 7200) * 1e0 AS q_t FROM orders WHERE mod(o_orderkey, 50) = 0) o),

@@ -16,13 +16,13 @@ c = F.col
 TEL = "fx_telemetry"
 
 
-@query("s1_telemetry_csv", TEL, q="SELECT sample_id, round(lon_deg, 6) AS lon, round(lat_deg, 6) AS lat, round(unix_s, 0) AS unix_s, greatest(abs(std_e), 0.05e0) AS std_e, CASE WHEN mod(sample_id, 3) = 0 THEN 2 * greatest(abs(std_e), 0.05e0) ELSE std_u END AS std_u FROM fx_telemetry WHERE mod(sample_id, 10) <> 7")
+@query("s1_telemetry_csv", TEL, q="SELECT sample_id, round(lon_deg, 6) AS lon, round(lat_deg, 6) AS lat, floor(unix_s) AS unix_s, greatest(abs(std_e), 0.05e0) AS std_e, CASE WHEN mod(sample_id, 3) = 0 THEN 2 * greatest(abs(std_e), 0.05e0) ELSE std_u END AS std_u FROM fx_telemetry WHERE mod(sample_id, 10) <> 7")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
     """Strings under other headers and gaps, as a file would have them."""
     t = view(spark, sf, TEL)
     rows = t.select(
         c("sample_id").cast("string").alias("ID"), c("lat_deg").cast("string").alias("Latitude"), F.when(c("sample_id") % 10 == 7, "n/a").otherwise(c("lon_deg").cast("string")).alias("LNG"),
-        F.when(c("sample_id") % 2 == 0, F.format_string("%.0f", c("unix_s") * 1000)).otherwise(F.date_format(F.timestamp_seconds(F.round("unix_s")), "yyyy:MM:dd HH:mm:ss")).alias("time"),
+        F.when(c("sample_id") % 2 == 0, (F.floor("unix_s") * 1000).cast("string")).otherwise(F.date_format(F.timestamp_seconds(F.floor("unix_s")), "yyyy:MM:dd HH:mm:ss")).alias("time"),
         c("std_e").cast("string").alias("h_acc"), F.when(c("sample_id") % 3 != 0, c("std_u").cast("string")).alias("v_acc"),
     )
     keyed = rd.telemetry_csv(rows.withColumnRenamed("ID", "yaw"))  # the key travels in a numeric column
