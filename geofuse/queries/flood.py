@@ -103,9 +103,9 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("run_id", "t_s", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), r("h").alias("h"))
 
 
-@query("a16_downsample", TS, q="SELECT run_id, t_s, CAST(floor(row / 5e0) AS INT) AS row, CAST(floor(col / 5e0) AS INT) AS col, round(avg(h), 6) AS h FROM fx_depth_ts WHERE row < 15 AND col < 20 GROUP BY run_id, t_s, floor(row / 5e0), floor(col / 5e0)")
+@query("a16_downsample", TS, q="SELECT run_id, t_s, CAST(floor(row / 5e0) AS INT) AS row, CAST(floor(col / 5e0) AS INT) AS col, round(avg(h), 11) AS h FROM fx_depth_ts WHERE row < 15 AND col < 20 GROUP BY run_id, t_s, floor(row / 5e0), floor(col / 5e0)")
 def a16(spark: SparkSession, sf: str) -> DataFrame:
-    return op.downsample(ts(spark, sf), GRID, 16, 24, 5).select("run_id", "t_s", "row", "col", r("h").alias("h"))
+    return op.downsample(ts(spark, sf), GRID, 16, 24, 5).select("run_id", "t_s", "row", "col", r("h", 11).alias("h"))
 
 
 @query("a17_resample_bilinear", TS, q="""WITH g AS (SELECT DISTINCT run_id, t_s FROM fx_depth_ts), t AS (SELECT g.*, CAST(i AS INT) AS row, CAST(j AS INT) AS col, (j + 0.5e0) / 36 * 23 AS u, (i + 0.5e0) / 10 * 15 AS v FROM g, range(0, 10) a(i), range(0, 36) b(j)),
