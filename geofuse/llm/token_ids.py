@@ -9,10 +9,12 @@ Shards are written in doc_id order, each by the task that encoded it, and read b
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -98,7 +100,7 @@ class Encoder:
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,7 +120,13 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.t.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [self._bytes(e.ids) for e in found]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        own = array.array("H" if self.dtype == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            own.byteswap()
+        return own.tobytes()
 
     def _learn(self, words: list[str]) -> bool:
         """False if a word has white space at an end, so that its cuts aren't safe."""
