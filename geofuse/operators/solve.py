@@ -39,12 +39,12 @@ def triangulate(matches: DataFrame, poses: DataFrame) -> DataFrame:
             ok = np.abs(v[:, 3]) > 1e-12
             p = v[ok, :3] / v[ok, 3:]
             h = np.concatenate([p, np.ones((len(p), 1))], 1)
-            out = pdf.loc[ok, ["pair_id", "fa", "fb"]].copy()
+            out = pdf.loc[ok, ["pair_id", "fa", "fb", "x1", "y1", "x2", "y2"]].copy()
             out[["wx", "wy", "wz"]] = p
             out["d1"], out["d2"] = np.einsum("ni,ni->n", pa[ok, 2], h), np.einsum("ni,ni->n", pb[ok, 2], h)
             yield out
 
-    return met.mapInPandas(solve, "pair_id long, fa long, fb long, wx double, wy double, wz double, d1 double, d2 double")
+    return met.mapInPandas(solve, "pair_id long, fa long, fb long, x1 double, y1 double, x2 double, y2 double, wx double, wy double, wz double, d1 double, d2 double")
 
 
 def two_view_verify(matches: DataFrame, focal: float, iterations: int = 400, least: int = 12) -> DataFrame:
@@ -107,6 +107,22 @@ def good_points(points: DataFrame, poses: DataFrame, least_degrees: float = 1.0)
     return near.drop(*[f"{s}_{k}" for s in "ab" for k in cols])
 
 
+def densify_matches(bags: DataFrame, poses: DataFrame, focal: float, least: int = 32) -> DataFrame:
+    """Points of dense matches with a certainty: over 0.5, seen 2 px from where they should be or nearer in both
+    frames, rays 1 to 35 degrees apart; pairs of frames that keep fewer than least points are left out."""
+    from geofuse.functions.camera import world_to_cam
+
+    points = good_points(triangulate(bags.filter(c("certainty") > 0.5), poses), poses).filter("angle <= 35")
+    for side, frame in (("1", "fa"), ("2", "fb")):
+        pose = poses.select(c("frame_id").alias(frame), *[c(k).cast("double").alias(f"p_{k}") for k in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
+        at = points.join(pose, frame)
+        x, y, z = world_to_cam(tuple(c(f"p_{k}") for k in ("qw", "qx", "qy", "qz")), tuple(c(f"p_{k}") for k in ("tx", "ty", "tz")), (c("wx"), c("wy"), c("wz")))
+        off = F.hypot(x / z - c(f"x{side}"), y / z - c(f"y{side}")) * focal
+        points = at.filter(off <= 2).drop(*[f"p_{k}" for k in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
+    enough = points.groupBy("fa", "fb").agg(F.count(F.lit(1)).alias("n")).filter(c("n") >= least)
+    return points.join(enough, ["fa", "fb"], "left_semi")
+
+
 def first_matches(matches: DataFrame) -> DataFrame:
     """(ref_frame, track_id, kp_id) matches with one to a keypoint and one to a track: the first by frame, keypoint, track."""
     w = lambda k: Window.partitionBy(k).orderBy("ref_frame", "kp_id", "track_id")

@@ -143,3 +143,23 @@ def s23(spark: SparkSession, sf: str) -> DataFrame:
     from geofuse.operators.bed import synthetic_bed
 
     return synthetic_bed(view(spark, sf, "fx_aoi").select("aoi_id"), 96, 72).select("aoi_id", "row", "col", r("z").alias("z"))
+
+
+@query("m3_densify_matches")
+def m3(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the matches uncertain, a seventh moved off by many pixels."""
+    m, poses = _pairs(spark, sf)
+    off = F.when(c("pair_id") % 7 == 0, 0.3).otherwise(0.0)
+    m = m.withColumns({"y2": c("y2") - off, "certainty": F.when(c("pair_id") % 3 == 0, 0.4).otherwise(0.9)})
+    return so.densify_matches(m, poses, 800.0).select("pair_id", "fa", "fb", "wx", "wy", "wz")
+
+
+@query("p16_rotate_sh")
+def p16(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight coefficients a channel, turned thirty degrees about up."""
+    from geofuse.functions.harmonics import rotate_sh
+    from geofuse.functions.splat import axis_rotation
+
+    rest = F.array(*[((c("splat_id") * (k + 3)) % 101 / 101 - 0.5) for k in range(24)])
+    s = view(spark, sf, "fx_splat").select("splat_id", rest.alias("rest"))
+    return s.select("splat_id", "rest", rotate_sh(c("rest"), 8, axis_rotation((0, 0, 1), 30)).alias("turned"))

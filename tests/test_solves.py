@@ -83,3 +83,28 @@ def test_readers_over_files(spark, tmp_path):
     gpx.write_text('<gpx><wpt lat="-41" lon="174"><ele>1</ele></wpt><trk><trkseg><trkpt lat="-41.5" lon="174.5"><ele>2</ele><time>2024-01-02T03:04:05Z</time></trkpt></trkseg></trk></gpx>')
     g = {r["std_e"]: r for r in readers.read_gpx(spark, str(gpx)).collect()}
     assert g[3.0]["unix_s"] == 1704164645 and g[2.0]["unix_s"] is None
+
+
+@pytest.mark.parametrize("per_channel", [3, 8, 15])
+def test_turned_harmonics_look_turned(spark, per_channel):
+    from geofuse.functions.harmonics import basis, rotate_sh
+    from geofuse.functions.splat import axis_rotation
+
+    rot = np.array(axis_rotation((1, 2, 3), 50))
+    rest = np.random.default_rng(6).normal(size=3 * per_channel)
+    df = spark.createDataFrame([(rest.tolist(),)], "rest array<double>")
+    turned = np.array(df.select(rotate_sh(F.col("rest"), per_channel, rot).alias("t")).first()["t"])
+    d = np.random.default_rng(7).normal(size=(20, 3))
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    degrees = {3: (1,), 8: (1, 2), 15: (1, 2, 3)}[per_channel]
+    at = lambda v: np.concatenate([basis(g, v) for g in degrees], 1)
+    for k in range(3):
+        own = slice(k * per_channel, (k + 1) * per_channel)
+        assert at(d @ rot.T) @ turned[own] == pytest.approx(at(d) @ rest[own], abs=1e-9)
+
+
+def test_densify_keeps_the_true_points(spark, sf):
+    out = QUERIES["m3_densify_matches"](spark, sf).collect()
+    ids = {r["pair_id"] for r in out}
+    assert len(ids) > 600 and not any(i % 3 == 0 or i % 7 == 0 for i in ids)
+    assert all(r["wx"] == pytest.approx(r["pair_id"] * 31 % 997 / 100, abs=1e-6) for r in out)
