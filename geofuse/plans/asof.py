@@ -18,7 +18,9 @@ def neighbours(left: DataFrame, right: DataFrame, by: list[str], t: str, order:
     rows = rows.unionByName(once.select(*by, t, F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("l"), seen.alias("s")))
     at = Window.partitionBy(*by).orderBy(t)
     both = rows.withColumn("prev", F.last("s", ignorenulls=True).over(at.rangeBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("next", F.first("s", ignorenulls=True).over(at.rangeBetween(0, Window.unboundedFollowing)))
+    # backwards, as Spark grows a frame that starts at the partition's edge but recomputes one that ends there
+    back = Window.partitionBy(*by).orderBy(F.col(t).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("next", F.last("s", ignorenulls=True).over(back))
     return both.filter("l IS NOT NULL").select("l.*", "prev", "next")
 
 
