@@ -90,8 +90,10 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp (signed), component_id, n_links of its fingerprint, h (hash of its text).
+    """One row per document: doc_id, fp (signed), component_id, n_links of its fingerprint, h (hash of its text), root.
 
+    root is the group's own key: the least fingerprint of its links, or the only one. component_id can't be that
+    key where ids are null or repeat.
     component_id is the smallest doc_id of the documents reachable by links, itself included. Null and blank
     texts have fingerprint zero and link like any other. A null doc_id takes part, but is never an id unless
     its whole group is null. Repeated ids are separate rows. An empty table gives an empty result.
@@ -106,21 +108,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     pairs = stored(links(fps, bits), "simhash-links")
     members = components(pairs).join(fps.select(F.col("fp").alias("node"), "least"), "node").withColumn("salt", salt_of("node"))
     roots = members.groupBy("root").agg(F.min("least").alias("component"), F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
-    named = attach(members.select("node", "root", "salt"), roots, ["root"]).select(F.col("node").alias("fp"), "component")
+    named = attach(members.select("node", "root", "salt"), roots, ["root"]).select(F.col("node").alias("fp"), "root", "component")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     known = fps.join(named, "fp", "left").join(degree, "fp", "left").select(
-        "fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "salts"
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "salts"
     )
-    return attach(rows, known, ["fp"]).select("doc_id", "fp", "component_id", "n_links", "h")
+    return attach(rows, known, ["fp"]).select("doc_id", "fp", "component_id", "n_links", "h", "root")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id, of equal rows one.
 
-    A row with a null doc_id stays only where its whole group has none; then each different text stays.
+    A row with a null doc_id stays only where its whole group has none; then one text of the group stays.
     """
-    kept = near_duplicates(docs, words, bits).filter("doc_id <=> component_id")
-    kept = kept.groupBy("component_id", "doc_id").agg(F.min("h").alias("h")).select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.col("h").alias("k_h"))
+    return kept_of(docs, near_duplicates(docs, words, bits))
+
+
+def kept_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that stay of groups (doc_id, component_id, h, root), one of each root."""
+    kept = groups.filter("doc_id <=> component_id")
+    kept = kept.groupBy("root", "doc_id").agg(F.min("h").alias("h")).select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.col("h").alias("k_h"))
     rows = docs.select(
         F.struct(*docs.columns).alias("doc"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.xxhash64("text").alias("k_h"),

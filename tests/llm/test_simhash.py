@@ -87,3 +87,10 @@ def test_components_of_long_chains_and_stars(spark):
     rows = spark.createDataFrame([*chain, *star, (7, 7), (9, 8), (8, 9)], "a long, b long").withColumn("salt", F.lit(1))
     got = {r["node"]: r["root"] for r in components(rows).collect()}
     assert got == {i: 100 for i in range(100, 181)} | {i: 500 for i in range(500, 700)} | {8: 8, 9: 8}
+
+
+def test_groups_without_ids_and_under_one_id_stay_apart(spark):
+    texts = {"a": "red boats lie in the old harbour at dawn", "b": "nobody counted seven grey stones behind that mill", "c": "the train to the north leaves late on sundays"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (7, texts["c"]), (7, "quite another matter is told under this same number"), (8, texts["c"])]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted((i or 0, t) for i, t in {*rows[:5]})
