@@ -21,7 +21,7 @@ from geofuse.llm.shared import small_batches, table
 # Element names and their roles, from the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = set("head script style template noscript title meta link iframe noembed noframes object svg math audio video canvas datalist map colgroup col select".split())
+UNSEEN = set("head script style template noscript title meta link iframe noembed noframes object audio video canvas datalist map colgroup col annotation annotation-xml".split())
 BLOCK = set(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
     "optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -44,7 +44,11 @@ IMPLIED = {
     "tfoot": ({"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-DEEPEST = 200
+#: What an svg draws as text, and what of it is never drawn.
+DRAWN = {"text", "foreignobject"}
+UNDRAWN = set("defs desc metadata symbol clippath mask pattern marker".split())
+#: Columns up to which nested lists are indented further; their text is whole at any depth.
+INDENT = 400
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTES = re.compile(r"""(?:\s++|/|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=)*+""")
 ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -68,20 +72,24 @@ def parse(source: str) -> Node:
     """The tree of a page; anything is accepted, and no text outside of tags is lost."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each open tag, where it is in the stack
 
     def add_text(text: str) -> None:
         if text:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
+    def nearest(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
+        del stack[i:]
+
     def close(tags: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in until:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                if not any(n.tag in tags for n in stack):
-                    return
-                return close(tags, until)
+        edge = nearest(until)
+        while (i := nearest(tags)) > edge:
+            cut(i)
 
     at, n, closed = 0, len(source), source.rfind(">")
     while at < n:
@@ -121,14 +129,11 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(Node("br"))
             else:
                 edge = {"table"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot") else SCOPE - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in edge and tag not in ("table", "html", "body"):
-                        break
+                i = nearest({tag})
+                if i > (0 if tag in ("table", "html", "body") else nearest(edge)):
+                    cut(i)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack) and tag == "html":
+        if tag == "html":
             root.attributes += " " + attributes[0]
             continue
         if tag in IMPLIED:
@@ -137,7 +142,7 @@ def parse(source: str) -> Node:
             close({"p"}, SCOPE | {"button"})
         node = Node(tag, attributes[0])
         stack[-1].children.append(node)
-        if tag in VOID or attributes[0].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or attributes[0].endswith("/") and (tag in ("svg", "path") or nearest({"svg", "math"})):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
@@ -145,8 +150,8 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(text) if tag == "textarea" else text)
             at = n if not end else max(source.find(">", end.end()), end.end() - 1) + 1
             continue
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
     return root
 
 
@@ -201,18 +206,63 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _run(step):
+    """Runs a generator that yields the generators it waits for: recursion of any depth."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def _rows(node: Node):
-    for child in node.children:
+    todo = node.children[::-1]
+    while todo:
+        child = todo.pop()
         if isinstance(child, Node) and visible(child):
             if child.tag == "tr":
                 yield child
             elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(child)
+                todo += child.children[::-1]
+
+
+def _drawn(node: Node) -> list[Node]:
+    """The elements of an svg that draw text."""
+    found, todo = [], node.children[::-1]
+    while todo:
+        child = todo.pop()
+        if isinstance(child, Node) and child.tag not in UNDRAWN and visible(child):
+            if child.tag in DRAWN:
+                found.append(child)
+            else:
+                todo += child.children[::-1]
+    return found
 
 
-def _cell(node: Node) -> list[str]:
+def _shown(node: Node) -> list[Node]:
+    """The options that a select shows: all of a list box, else the last selected or the first that is enabled."""
+    found, todo = [], node.children[::-1]
+    while todo:
+        child = todo.pop()
+        if isinstance(child, Node) and visible(child):
+            if child.tag == "option":
+                found.append(child)
+            else:
+                todo += child.children[::-1]
+    size = (node.get("size") or "1").strip()
+    if node.get("multiple") is not None or size.isascii() and size.isdigit() and int(size[:9]) > 1:
+        return found
+    selected = [o for o in found if o.get("selected") is not None][-1:]
+    return selected or [o for o in found if o.get("disabled") is None][:1]
+
+
+def _cell(node: Node):
     page = Page()
-    lay(node, page, inside=True)
+    yield lay(node, page, inside=True)
     page.flush()
     return [x for x in page.lines if x.strip()]
 
@@ -222,21 +272,21 @@ def _span(node: Node) -> int:
     return min(max(int(value), 1), 100) if value.isascii() and value.isdigit() else 1
 
 
-def lay_table(node: Node, page: Page) -> None:
+def lay_table(node: Node, page: Page):
     others = [c for c in node.children if not (isinstance(c, Node) and c.tag in ("tr", "tbody", "thead", "tfoot"))]
-    lay(Node("div", "", others), page)  # captions, and whatever stands in a table outside its rows
+    yield lay(Node("div", "", others), page)  # captions, and whatever stands in a table outside its rows
     page.flush()
     rows, widths = [], []
     for tr in _rows(node):
         cells, column = [], 0
         stray = [c for c in tr.children if isinstance(c, str) or c.tag not in ("td", "th")]
         if any(isinstance(c, Node) or c.strip() for c in stray):
-            lay(Node("div", "", stray), page)
+            yield lay(Node("div", "", stray), page)
             page.flush()
         for cell in tr.children:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not visible(cell):
                 continue
-            lines, span = _cell(cell), _span(cell)
+            lines, span = (yield _cell(cell)), _span(cell)
             cells.append((column, lines))
             widths += [0] * (column + span - len(widths))
             if span == 1:
@@ -256,7 +306,7 @@ def lay_table(node: Node, page: Page) -> None:
                 page.line(out.rstrip())
 
 
-def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None) -> None:
+def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None):
     """Lays out a node's children; ordered is the number of the next item of an ordered list."""
     for child in node.children:
         if isinstance(child, str):
@@ -270,12 +320,18 @@ def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None
             page.inline.clear()
             page.line(text) if text else page.gap()
             continue
+        if tag in ("svg", "select"):
+            page.inline.append(" ")
+            for part in _drawn(child) if tag == "svg" else _shown(child):
+                yield lay(part, page)
+                page.inline.append(" ")
+            continue
         if tag not in BLOCK:
             if tag == "q":
                 page.inline.append('"')
             if tag in ("textarea", "button", "xmp", "plaintext", "label", "input", "img"):
                 page.inline.append(" ")
-            lay(child, page)
+            yield lay(child, page)
             if tag == "q":
                 page.inline.append('"')
             if tag in ("textarea", "button", "xmp", "plaintext", "label"):
@@ -287,35 +343,44 @@ def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None
             for line in (text[1:] if text.startswith("\n") else text).rstrip().split("\n"):
                 page.line(line.rstrip("\r"))
         elif tag == "table":
-            lay_table(child, page)
+            yield lay_table(child, page)
         elif tag in ("ul", "menu"):
-            lay(child, page)
+            yield lay(child, page)
         elif tag == "ol":
             start = (child.get("start") or "1").strip()
-            lay(child, page, ordered=int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
+            yield lay(child, page, ordered=int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
         elif tag == "li":
             mark = "- " if ordered is None else f"{ordered}. "
             ordered = None if ordered is None else ordered + 1
             before, outer = page.indent, page.mark
-            page.indent, page.mark = before + " " * len(mark), mark
-            lay(child, page)
+            page.indent, page.mark = before + " " * len(mark) * (len(before) < INDENT), mark
+            yield lay(child, page)
             page.flush()
             page.indent, page.mark = before, outer if page.mark == mark else ""
         elif tag in ("blockquote", "dd"):
             before = page.indent
-            page.indent += "  "
-            lay(child, page)
+            page.indent += "  " * (len(before) < INDENT)
+            yield lay(child, page)
             page.flush()
             page.indent = before
         elif tag == "details" and child.get("open") is None:
-            lay(Node("div", "", [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), page)
+            yield lay(Node("div", "", [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), page)
         else:
-            lay(child, page)
+            yield lay(child, page)
         page.gap() if tag in APART and not (node.tag == "li" and tag in ("ul", "ol", "menu")) else page.flush()
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) if visible(c) else "" for c in node.children)
+    out, todo = [], node.children[::-1]
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\n")
+        elif visible(child):
+            todo += (_drawn(child) if child.tag == "svg" else _shown(child) if child.tag == "select" else child.children)[::-1]
+    return "".join(out)
 
 
 def render(source: str | None) -> str:
@@ -323,7 +388,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     page = Page()
-    lay(parse(source), page)
+    _run(lay(parse(source), page))
     page.flush()
     return "\n".join(page.lines)
 

@@ -86,3 +86,27 @@ def test_odd_rows(spark):
     out = sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(pages).collect())
     assert out == [(0, "x"), (1, ""), (2, ""), (3, "x"), (3, "x")]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_depth_changes_nothing():
+    page = "<div hidden>no<font></div>yes<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre>e<b>f</b></pre>"
+    for depth in (0, 300, 3000):
+        assert render("<font>" * depth + page) == "yes\n\n- a\n- b\n\nc  d\n\nef"
+    assert render("<div hidden>" + "<b>" * 300 + "<div>no</div>no</div>yes") == "yes"
+    assert render("<ul><li>" * 5000 + "x").strip(" -") == "x"
+    assert render("<table><tr><td>" * 1000 + "x") == "x"
+    assert render("<p>" + "<table><tr><td>" + "<b>" * 20000 + "<div>x</div>" * 20000).count("x") == 20000
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "a=1"),
+        ("<svg><title>no</title><defs><text>no</text></defs>no<rect/><g><text>y<tspan>es</tspan></text></g></svg>", "yes"),
+        ("<select><option>no<option selected>yes<option>no</select> <select><option disabled>no<option>first</select>", "yes first"),
+        ("<select multiple><option>a<option>b</select>", "a b"),
+        ("<select hidden><option>no</select>x", "x"),
+    ],
+)
+def test_drawn_and_chosen_text(source, text):
+    assert render(source) == text
