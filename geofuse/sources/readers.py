@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ def _number(df: DataFrame, aliases: tuple[str, ...]) -> Column:
     return F.expr(f"try_cast(trim(`{name}`) AS DOUBLE)") if name else F.lit(None).cast("double")
 
 
-def telemetry_csv(df: DataFrame) -> DataFrame:
+def telemetry_csv(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Telemetry from a table of strings with any known header; rows without a position are dropped."""
     std_h = F.greatest(F.abs(F.coalesce(_number(df, STD_H), F.lit(2.0))), F.lit(0.05))
     time = first_column(df.columns, TIME)
     out = df.select(
         _number(df, LON).alias("lon_deg"), _number(df, LAT).alias("lat_deg"), F.coalesce(_number(df, ALT), F.lit(0.0)).alias("height_m"),
         (parse_loose_time(c(time)) if time else F.lit(None).cast("double")).alias("unix_s"), std_h.alias("std_e"), std_h.alias("std_n"),
-        F.greatest(F.abs(F.coalesce(_number(df, STD_V), 2 * std_h)), F.lit(0.05)).alias("std_u"), _number(df, YAW).alias("heading_deg"), F.lit("csv").alias("source"),
+        F.greatest(F.abs(F.coalesce(_number(df, STD_V), 2 * std_h)), F.lit(0.05)).alias("std_u"), _number(df, YAW).alias("heading_deg"), F.lit("csv").alias("source"), *keep,
     )
     return out.filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
 
@@ -139,20 +141,20 @@ def _field(parts: Column, i: Column | int) -> Column:
     return F.when(t.rlike(r"^[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?$"), t.cast("double"))
 
 
-def mrk(lines: DataFrame, column: str = "value") -> DataFrame:
+def mrk(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Marker lines by field order: number, time, latitude, longitude, height, deviations north, east, up (1 cm at least)."""
     p = F.split(c(column), r"[\t,]")
     std = lambda i, d: F.greatest(F.abs(F.coalesce(_field(p, i), F.lit(d))), F.lit(0.01))
     out = lines.filter(~F.trim(column).startswith("#")).select(
         _field(p, 0).cast("long").alias("sample_id"), _field(p, 1).alias("time"), _field(p, 2).alias("lat_deg"), _field(p, 3).alias("lon_deg"), _field(p, 4).alias("height_m"),
-        std(6, 0.05).alias("std_e"), std(5, 0.05).alias("std_n"), std(7, 0.1).alias("std_u"), F.lit("mrk").alias("source"),
+        std(6, 0.05).alias("std_e"), std(5, 0.05).alias("std_n"), std(7, 0.1).alias("std_u"), F.lit("mrk").alias("source"), *keep,
     )
     return out.filter("abs(lat_deg) <= 90 AND abs(lon_deg) <= 180 AND height_m IS NOT NULL")
 
 
-def pos(lines: DataFrame, column: str = "value") -> DataFrame:
+def pos(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Post-processed positions: the first of five places where two fields can be a position, in either order."""
-    lines = lines.select(F.filter(F.split(F.trim(column), r"[\s,]+"), lambda s: s != "").alias("p")).filter("size(p) >= 4 AND NOT (startswith(p[0], '%') OR startswith(p[0], '#'))")
+    lines = lines.select(F.filter(F.split(F.trim(column), r"[\s,]+"), lambda s: s != "").alias("p"), *keep).filter("size(p) >= 4 AND NOT (startswith(p[0], '%') OR startswith(p[0], '#'))")
     p = c("p")
 
     def fits(i: Column) -> Column:
@@ -165,39 +167,66 @@ def pos(lines: DataFrame, column: str = "value") -> DataFrame:
     std = lambda i, d: F.greatest(F.abs(F.coalesce(_field(p, c("at") + i), d)), F.lit(0.02))
     e = std(3, F.lit(0.1))
     time = F.coalesce(parse_loose_time(F.get(p, F.lit(0))), parse_loose_time(F.concat_ws(" ", F.replace(F.get(p, F.lit(0)), F.lit("/"), F.lit("-")), F.get(p, F.lit(1)))))
-    out = at.select(F.when(straight, a).otherwise(b).alias("lat_deg"), F.when(straight, b).otherwise(a).alias("lon_deg"), _field(p, c("at") + 2).alias("height_m"), e.alias("std_e"), std(4, e).alias("std_n"), std(5, e * 2).alias("std_u"), time.alias("unix_s"), F.lit("pos").alias("source"))
+    out = at.select(F.when(straight, a).otherwise(b).alias("lat_deg"), F.when(straight, b).otherwise(a).alias("lon_deg"), _field(p, c("at") + 2).alias("height_m"), e.alias("std_e"), std(4, e).alias("std_n"), std(5, e * 2).alias("std_u"), time.alias("unix_s"), F.lit("pos").alias("source"), *keep)
     return out.filter("height_m IS NOT NULL")
 
 
-def kml(docs: DataFrame, column: str = "value") -> DataFrame:
+def kml(docs: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every lon,lat[,height] of the coordinates of documents."""
     body = F.explode(F.regexp_extract_all(column, F.lit(r"<coordinates>([^<]*)</coordinates>"), F.lit(1)))
-    t = docs.select(body.alias("b")).select(F.explode(F.filter(F.split("b", r"\s+"), lambda s: s != "")).alias("t")).select(F.split("t", ",").alias("p"))
+    t = docs.select(body.alias("b"), *keep).select(F.explode(F.filter(F.split("b", r"\s+"), lambda s: s != "")).alias("t"), *keep).select(F.split("t", ",").alias("p"), *keep)
     p = c("p")
-    out = t.select(_field(p, 0).alias("lon_deg"), _field(p, 1).alias("lat_deg"), F.coalesce(_field(p, 2), F.lit(0.0)).alias("height_m"), F.lit(5.0).alias("std_e"), F.lit(5.0).alias("std_n"), F.lit(10.0).alias("std_u"), F.lit("kml").alias("source"))
+    out = t.select(_field(p, 0).alias("lon_deg"), _field(p, 1).alias("lat_deg"), F.coalesce(_field(p, 2), F.lit(0.0)).alias("height_m"), F.lit(5.0).alias("std_e"), F.lit(5.0).alias("std_n"), F.lit(10.0).alias("std_u"), F.lit("kml").alias("source"), *keep)
     return out.filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Track points with time and way points without, by the XML source."""
+def read_gpx(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Track points with time and way points without, by the XML source; with a glob, of all such files below a folder, with _file."""
     parts = []
     for tag, std in (("trkpt", (3.0, 3.0, 8.0)), ("wpt", (2.0, 2.0, 5.0))):
-        x = spark.read.format("xml").option("rowTag", tag).schema("_lat double, _lon double, ele double, time string").load(path)
+        reader = spark.read.format("xml").option("rowTag", tag).schema("_lat double, _lon double, ele double, time string")
+        if glob:
+            reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        x, keep = reader.load(path), [c("_metadata.file_path").alias("_file")] if glob else []
         time = parse_loose_time(c("time")) if tag == "trkpt" else F.lit(None).cast("double")
-        parts.append(x.select(c("_lon").alias("lon_deg"), c("_lat").alias("lat_deg"), F.coalesce("ele", F.lit(0.0)).alias("height_m"), *[F.lit(s).alias(k) for s, k in zip(std, ("std_e", "std_n", "std_u"))], time.alias("unix_s"), F.lit("gpx").alias("source")))
+        parts.append(x.select(c("_lon").alias("lon_deg"), c("_lat").alias("lat_deg"), F.coalesce("ele", F.lit(0.0)).alias("height_m"), *[F.lit(s).alias(k) for s, k in zip(std, ("std_e", "std_n", "std_u"))], time.alias("unix_s"), F.lit("gpx").alias("source"), *keep))
     return parts[0].unionByName(parts[1]).filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
 
 
+def _below(spark: SparkSession, folder: str, glob: str, whole: bool = False) -> DataFrame:
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=whole)
+    return files.select("value", c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_at"))
+
+
+def _csv_by_header(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Telemetry of CSV files, a plan for each distinct header: its own names and order hold for each file."""
+    lines = _below(spark, folder, "*.[cC][sS][vV]").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    lines = lines.filter("NOT startswith(value, '#') AND trim(value) != ''").withColumn("_n", F.monotonically_increasing_id())
+    first = lines.groupBy("_file").agg(F.min_by("value", F.struct("_at", "_n")).alias("_header"))
+    lines, parts = lines.join(first, "_file"), []
+    for header in sorted(r["_header"] for r in first.select("_header").distinct().collect()):
+        names = [k.replace("`", "") for k in next(csv.reader([header]))]
+        lower = [k.lower() for k in names]
+        names = [f"{k or '_c'}{i}" if not k or lower.count(k.lower()) > 1 and lower.index(k.lower()) < i else k for i, k in enumerate(names)]
+        row = F.from_csv("value", ", ".join(f"`{k}` string" for k in names), {"mode": "PERMISSIVE"})
+        own = lines.filter(c("_header") == header).select(row.alias("_row"), c("_file").alias("_path"))
+        parts.append(telemetry_csv(own.select("_row.*", "_path"), ("_path",)).withColumnRenamed("_path", "_file"))
+    return parts
+
+
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     """All telemetry files below a folder, by extension, with the file of each row."""
-    def texts(glob: str, whole: bool) -> DataFrame:
-        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=whole)
-
-    rows = [srt_cues(texts("*.[sS][rR][tT]", True)).withColumn("source", F.lit("srt")), mrk(texts("*.[mM][rR][kK]", False)), pos(texts("*.[pP][oO][sS]", False)), kml(texts("*.[kK][mM][lL]", True))]
-    csv = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder, header=True, comment="#")
-    if csv.columns:
-        rows.append(telemetry_csv(csv))
+    keep = ("_file",)
+    rows = [srt_cues(_below(spark, folder, "*.[sS][rR][tT]", True).drop("_at")).withColumn("source", F.lit("srt")), mrk(_below(spark, folder, "*.[mM][rR][kK]"), keep=keep),
+            pos(_below(spark, folder, "*.[pP][oO][sS]"), keep=keep), kml(_below(spark, folder, "*.[kK][mM][lL]", True), keep=keep), read_gpx(spark, folder, "*.[gG][pP][xX]"), *_csv_by_header(spark, folder)]
     out = rows[0]
     for other in rows[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
-    return out
+    return out.withColumnRenamed("_file", "file")
+
+
+def source_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """file, warning: a row for each telemetry file below a folder that gives no position."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[sS][rR][tT],[mM][rR][kK],[pP][oO][sS],[kK][mM][lL],[gG][pP][xX],[cC][sS][vV]}").load(folder)
+    empty = files.select(c("_metadata.file_path").alias("file")).join(read_sources(spark, folder).select("file"), "file", "left_anti")
+    return empty.select("file", F.lit("no positions").alias("warning"))

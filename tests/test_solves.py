@@ -108,3 +108,16 @@ def test_densify_keeps_the_true_points(spark, sf):
     ids = {r["pair_id"] for r in out}
     assert len(ids) > 600 and not any(i % 3 == 0 or i % 7 == 0 for i in ids)
     assert all(r["wx"] == pytest.approx(r["pair_id"] * 31 % 997 / 100, abs=1e-6) for r in out)
+
+
+def test_sources_of_every_kind_and_header(spark, tmp_path):
+    (tmp_path / "in side").mkdir()
+    (tmp_path / "a.csv").write_text("lat,lon,alt\n-41.5,174.7,12\n")
+    (tmp_path / "in side" / "b.CSV").write_text("# c\nname,Longitude,Latitude\n\"q, r\",174.9,-41.6\n")
+    (tmp_path / "in side" / "t.GPX").write_text('<gpx><wpt lat="-41" lon="174"><ele>1</ele></wpt><trk><trkseg><trkpt lat="-41.2" lon="174.5"><ele>2</ele></trkpt></trkseg></trk></gpx>')
+    (tmp_path / "e.MRK").write_text("1\t100.5\t-41.7\t174.3\t9\n")
+    (tmp_path / "bad.kml").write_text("<kml/>")
+    rows = readers.read_sources(spark, str(tmp_path)).collect()
+    got = {(r["source"], r["lat_deg"], r["lon_deg"], r["file"].rsplit("/", 1)[1]) for r in rows}
+    assert len(rows) == 5 and got == {("csv", -41.5, 174.7, "a.csv"), ("csv", -41.6, 174.9, "b.CSV"), ("gpx", -41.0, 174.0, "t.GPX"), ("gpx", -41.2, 174.5, "t.GPX"), ("mrk", -41.7, 174.3, "e.MRK")}
+    assert [(r["file"].rsplit("/", 1)[1], r["warning"]) for r in readers.source_warnings(spark, str(tmp_path)).collect()] == [("bad.kml", "no positions")]
