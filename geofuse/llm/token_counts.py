@@ -1,10 +1,12 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A text is encoded whole up to CHUNK characters. A longer one is encoded in chunks that overlap, with byte offsets.
-Two neighbours are spliced at a boundary that both have, at the same place, and that is proven stable: a piece
-begins there with the space mark, what precedes is no space, and no piece of the vocabulary has the mark
-after another character, so no merge can ever cross it and the pieces on either side don't depend on each
-other. Without such a boundary in the overlap, the overlap is widened, up to the rest of the text.
+A text is encoded whole up to CHUNK characters. A longer one is encoded in chunks that overlap. The overlap is encoded
+once more with offsets, and the neighbours are spliced at a boundary in it that is proven stable: no piece of the
+vocabulary has the two characters on its sides next to each other, so no merge can ever cross it and the pieces on
+either side don't depend on each other (a letter before the space mark, most pairs of ideographs, a digit before a
+letter). The ids of both chunks must agree with the overlap's there. Where they don't, or nothing is proven, the overlap
+is widened, up to the whole chunk; then the chunk and as much text again are encoded as one, so that the work
+stays linear in the text whatever it holds.
 """
 
 from __future__ import annotations
@@ -17,68 +19,64 @@ from pyspark.sql import functions as F
 
 from geofuse.llm.shared import small_batches, table
 
-CHUNK, OVERLAP, LIMIT, MARK = 1 << 15, 256, 4096, "▁"
-SPACE = MARK.encode()
+CHUNK, OVERLAP, WIDEN, LIMIT, MARK = 1 << 15, 256, 4, 4096, "▁"
 
 
 @functools.cache
 def processor(model: str):
-    """The tokenizer, and whether boundaries before space marks are stable in its vocabulary."""
+    """The tokenizer, and the pairs of characters that stand side by side in a piece.
+
+    The pairs are None where boundaries can't be proven: if the library changes texts before it cuts them, or joins
+    characters that no piece has.
+    """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model)
-    pieces = (p.id_to_piece(i) for i in range(p.get_piece_size()))
-    crossing = any(MARK in piece.lstrip(MARK) for piece in pieces)
+    ids = range(p.get_piece_size())
+    pieces = [p.id_to_piece(i) for i in ids if not p.is_byte(i)]
+    joined = frozenset(piece[i : i + 2] for piece in pieces for i in range(len(piece) - 1))
     same = all(p.normalize(s) == MARK + s.replace(" ", MARK) for s in ("a  b", "ﬁ é́ \t\n　x "))
-    return p, same and not crossing
-
-
-def _pieces(p, data: bytes, start: int) -> list[tuple[int, bool]]:
-    """(offset in the whole text, whether it may be a splice) of each piece of a chunk."""
-    found = []
-    for piece in p.encode(data.decode(), return_type="proto").pieces:
-        at = piece.begin
-        stable = at > 0 and data[at] == 0x20 and data[at - 1] != 0x20 and not data.endswith(SPACE, 0, at)
-        found.append((start + at, stable and piece.piece.startswith(MARK)))
-    return found
-
-
-def _whole(data: bytes, at: int) -> int:
-    """The first place from at on that isn't inside a character."""
-    while at < len(data) and data[at] & 0xC0 == 0x80:
-        at += 1
-    return at
-
-
-def chunked_count(p, data: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """The number of pieces of a text in UTF-8, from overlapping chunks."""
-    total, start, end = 0, 0, _whole(data, min(chunk, len(data)))
-    left = _pieces(p, data[:end], 0)
-    while end < len(data):
-        back, stop = overlap, _whole(data, min(len(data), end + chunk))
-        while True:
-            begin = _whole(data, max(start, end - back))
-            if begin == start:  # nothing to splice in the whole chunk: take it and the next as one
-                skip = int(start > 0)  # the space there is the one that the library puts before any text
-                left, end = _pieces(p, data[start + skip : stop], start + skip), stop
-                left[0] = (start, False)
-                break
-            right = _pieces(p, data[begin:stop], begin)
-            there = {at: i for i, (at, ok) in enumerate(right) if ok}
-            cut = next((i for i in range(len(left) - 1, 0, -1) if left[i][1] and left[i][0] in there), None)
+    return p, joined if same and any(p.is_byte(i) for i in ids) else None
+
+
+def last_stable(text: str, first: int, end: int, joined: frozenset[str]) -> int | None:
+    """The last place after first and before end where a boundary is proven."""
+    part = text[first:end].replace(" ", MARK)
+    return next((first + i for i in range(len(part) - 1, 0, -1) if part[i - 1 : i + 1] not in joined), None)
+
+
+def chunked_count(p, joined: frozenset[str], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """The number of pieces of a text, from overlapping chunks."""
+    # begin is where the left chunk was encoded from, start where its pieces count from, the first skip are before that
+    n, total, begin, start, skip = len(text), 0, 0, 0, 0
+    end = min(chunk, n)
+    left = p.encode(text[:end])
+    while end < n:
+        stop, back, spliced = min(n, end + chunk), overlap, False
+        while not spliced:
+            at = max(start, end - back)
+            cut = last_stable(text, at, end, joined)
             if cut is not None:
-                total += cut
-                left = right[there[left[cut][0]] :]
-                start, end = left[0][0], stop
+                both = p.encode(text[at:end], return_type="proto").pieces
+                place = len(text[at:cut].encode())
+                k = next((i for i, piece in enumerate(both) if piece.begin == place), 0)
+                ids, right = [piece.id for piece in both], p.encode(text[at:stop])
+                spliced = k > 0 and left[len(left) - len(ids) + k :] == ids[k:] and right[:k] == ids[:k]
+            if spliced:
+                total += len(left) - skip - (len(ids) - k)
+                left, begin, start, skip, end = right, at, cut, k, stop
+            elif at == start:
+                end = min(n, end + max(chunk, end - begin))
+                left = p.encode(text[begin:end])
                 break
-            back *= 2
-    return total + len(left)
+            back *= WIDEN
+    return total + len(left) - skip
 
 
 def counts(model: str, chunk: int, overlap: int):
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        p, stable = processor(model)
+        p, joined = processor(model)
         out, batch, size = [0] * len(texts), [], 0
 
         def flush() -> None:
@@ -89,8 +87,8 @@ def counts(model: str, chunk: int, overlap: int):
         for i, text in enumerate(texts):
             if text is None or not text:
                 continue
-            if stable and len(text) > chunk:
-                out[i] = chunked_count(p, text.encode(), chunk, overlap)
+            if joined is not None and len(text) > chunk:
+                out[i] = chunked_count(p, joined, text, chunk, overlap)
                 continue
             batch.append(i)
             size += len(text)
@@ -107,7 +105,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     A null or empty text has 0 bytes and 0 tokens. Ids may be null or repeat. Other columns are ignored.
-    A vocabulary without stable boundaries has its texts encoded whole.
+    A vocabulary whose boundaries can't be proven has its texts encoded whole.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -1,3 +1,6 @@
+import base64
+import random
+import time
 import zlib
 
 import numpy as np
@@ -80,20 +83,34 @@ def test_odd_rows(spark):
     assert token_counts.token_counts(docs.limit(0), SP).count() == 0
 
 
+ideographs = "".join(chr(0x4E00 + i * 7919 % 6000) for i in range(3000))
+BASE64 = base64.b64encode(random.Random(3).randbytes(3000)).decode()
+
+
 @pytest.mark.parametrize("chunk,overlap", [(40, 8), (100, 4), (333, 64)])
 def test_chunks_equal_whole(chunk, overlap):
-    p = sentencepiece.SentencePieceProcessor(model_file=SP)
-    assert token_counts.processor(SP)[1]
-    texts = [*ODD, " ".join(ODD * 3), "no spaces" + "xé" * 900, " " * 500 + "end", ("word  two   three\n" * 99)]
+    p, joined = token_counts.processor(SP)
+    texts = [*ODD, " ".join(ODD * 3), "no spaces" + "xé" * 900, " " * 500 + "end", ("word  two   three\n" * 99), ideographs, BASE64, f"{ideographs} {BASE64}{'x' * 999}"]
     for text in texts:
-        assert token_counts.chunked_count(p, text.encode(), chunk, overlap) == len(p.encode(text)), text[:50]
+        assert token_counts.chunked_count(p, joined, text, chunk, overlap) == len(p.encode(text)), text[:50]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("abcthe er ▁é\n "), max_size=200))
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abcthe er ▁é\n 中的國1Zq/+\U0001f600"), max_size=200))
 def test_chunks_equal_whole_on_any_text(text):
-    p, _ = token_counts.processor(SP)
-    assert token_counts.chunked_count(p, text.encode(), 30, 4) == len(p.encode(text))
+    p, joined = token_counts.processor(SP)
+    assert token_counts.chunked_count(p, joined, text, 30, 4) == len(p.encode(text))
+
+
+@pytest.mark.parametrize("text", [ideographs * 100, BASE64 * 75, "x" * 300000, "word " * 60000], ids=["ideographs", "base64", "run", "words"])
+def test_long_texts_take_linear_time(text):
+    p, joined = token_counts.processor(SP)
+    began = time.process_time()
+    want = len(p.encode(text))
+    whole = time.process_time() - began
+    began = time.process_time()
+    assert token_counts.chunked_count(p, joined, text) == want
+    assert time.process_time() - began < 3 * whole + 0.5
 
 
 def test_counts_equal_library(spark, sf):
