@@ -5,7 +5,7 @@ are zero and patterns that live in one of five blocks of bits. Fingerprints that
 agree in three whole blocks, so their distances to those blocks' pivots, less the distance to zero, are equal:
 that is the join key, ten choices of blocks in all, and it loses no link. Of the pairs that meet, those whose
 largest coordinate difference is over two are discarded, and the rest are verified on the fingerprints.
-Work goes by distinct fingerprint; copies of one text never meet.
+Work goes by distinct fingerprint; copies of one text never meet. AQE splits a key that many fingerprints share.
 """
 
 from __future__ import annotations
@@ -72,21 +72,21 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints, a < b, at most bits (0 to 2) apart."""
     blocks = pivots()
     flat = [0, *itertools.chain(*blocks)]
-    distance = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("byte") for p in flat])
-    coords = fps.select("fp", distance.alias("d"))
-    codes, at = [], 1
+
+    def table_of(fp: Column) -> Column:
+        return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("byte") for p in flat])
+
+    codes = []
     for own in blocks:
-        codes.append(F.xxhash64(*[(F.col("d")[at + i] - F.col("d")[0]).cast("int") for i in range(len(own))]))
-        at += len(own)
+        codes.append(F.xxhash64(*[(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))) - F.bit_count("fp")).cast("int") for p in own]))
     choices = [F.xxhash64(F.lit(c), *[codes[i] for i in three]) for c, three in enumerate(itertools.combinations(range(5), 3))]
-    keyed = coords.select("fp", "d", F.explode(F.array(*choices)).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.lit(True)
-    for i in range(len(flat)):
-        near = near & (F.abs(F.col("a.d")[i] - F.col("b.d")[i]) <= bits)
-    apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near & (apart <= bits))
-    return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    # Only fingerprint and key are shuffled; the tables of what meets are made again from the fingerprints.
+    keyed = fps.select("fp", F.explode(F.array(*choices)).alias("key"))
+    a, b = keyed.select(F.col("fp").alias("a"), "key"), keyed.select(F.col("fp").alias("b"), "key")
+    met = a.join(b, "key").filter("a < b").select("a", "b")
+    apart = F.zip_with(table_of(F.col("a")), table_of(F.col("b")), lambda x, y: F.abs(x - y))
+    near = met.filter(F.forall(apart, lambda x: x <= bits)).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return near.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
