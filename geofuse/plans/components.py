@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from geofuse.plans.shared import attach, salt_bit, salt_of, stored
+from geofuse.plans.shared import attach, discard, salt_bit, salt_of, stored
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -15,25 +15,32 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
     return attach(rows, least, ["u"]).withColumn("m", F.least("u", "m"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The distinct downward edges, stored, and their number and checksum, which are taken while they are written."""
+    seen = Observation()
+    edges = edges.filter("u > v").distinct()
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "links")
+    return out, seen.get
+
+
+def components(links: DataFrame) -> DataFrame:
     """(a, b) links of long ids -> (node, root), root the least id that can be reached.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until the links are the
-    stars of their roots. Loops and repeats are allowed; no links give no rows.
+    Alternating large-star and small-star steps, one plan and one stored table a round, until a round changes
+    nothing: then the links are the stars of their roots. Each round that changes anything lowers the sum of the
+    ends, so the end is always reached, after about the logarithm of the longest path squared.
+    Loops and repeats are allowed; no links give no rows.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    for _ in range(rounds):
+    edges, seen = _written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while seen["n"]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u > v").distinct(), "links")
+        large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         star = _least_neighbour(large)
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
-        small = stored(small.filter("u > v").distinct(), "links")
-        same = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small
-        if same == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        after, now = _written(small)
+        discard(edges)
+        edges, before, seen = after, seen, now
+        if before == now:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
