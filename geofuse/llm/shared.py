@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geofuse.plans.shared import SALTS, attach, new_dir, per_salt, salt_bit, salt_of, stored, work_dir
+from geofuse.plans.shared import SALTS, attach, discard, new_dir, per_salt, salt_bit, salt_of, scratch, stored, work_dir
 
-__all__ = ["SALTS", "attach", "new_dir", "per_salt", "salt_bit", "salt_of", "small_batches", "stored", "table", "work_dir"]
+__all__ = ["SALTS", "attach", "discard", "new_dir", "per_salt", "salt_bit", "salt_of", "scratch", "small_batches", "stored", "table", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
