@@ -130,7 +130,7 @@ def j13(spark: SparkSession, sf: str) -> DataFrame:
     return op.reference_pairs(i, 0.2, 3).select("capture", c("a").cast("long").alias("a"), c("b").cast("long").alias("b"))
 
 
-SCORE = """p AS (SELECT solver, point_id, avg(err_px) AS err, count(*) AS track FROM fx_obs GROUP BY 1, 2), q AS (SELECT solver, percentile_disc(0.5) WITHIN GROUP (ORDER BY err DESC) AS me, avg(track) AS mt, count(*) FILTER (WHERE track >= 2 AND err <= 4) * 1e0 / count(*) AS good FROM p GROUP BY solver),
+SCORE = """p AS (SELECT solver, point_id, round(avg(err_px), 9) AS err, count(*) AS track FROM fx_obs GROUP BY 1, 2), q AS (SELECT solver, percentile_disc(0.5) WITHIN GROUP (ORDER BY err DESC) AS me, avg(track) AS mt, count(*) FILTER (WHERE track >= 2 AND err <= 4) * 1e0 / count(*) AS good FROM p GROUP BY solver),
 i AS (SELECT solver, count(DISTINCT image_id) AS images FROM fx_obs GROUP BY solver), s AS (SELECT *, least(1e0, images * 1e0 / greatest(80, images)) AS reg FROM q JOIN i USING (solver)), l AS (SELECT *, least(1e0, reg * least(1e0, mt / 4)) AS lp FROM s),
 score AS (SELECT *, 0.30e0 * reg + 0.22e0 * (1 - least(1e0, me / 8)) + 0.18e0 * least(1e0, mt / 6) + 0.18e0 * good + 0.12e0 * lp AS comp FROM l)"""
 PASSES = "reg >= 0.35e0 AND me <= 6 AND mt >= 1.5e0 AND good >= 0.25e0 AND comp >= 0.28e0"
