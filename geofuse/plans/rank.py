@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofuse.plans.shared import stored
+
 
 def nth_smallest(df: DataFrame, value: str, rank: Column, by: list[str], accuracy: int = 10000) -> DataFrame:
     """Per group the value of a 0-based rank, where rank is an expression of the group's row count n.
@@ -21,12 +23,34 @@ def nth_smallest(df: DataFrame, value: str, rank: Column, by: list[str], accurac
     high = F.get("marks", F.least(F.ceil(at).cast("int") + 1, F.lit(200)))
     wanted = wanted.select(*by, "n", "k", low.alias("low"), high.alias("high"))
     rows = df.select(*by, F.col(value).alias("v")).filter("v IS NOT NULL")
-    tagged = rows.join(F.broadcast(wanted), by) if by else rows.crossJoin(F.broadcast(wanted))
+    tagged = rows.join(wanted, by) if by else rows.crossJoin(F.broadcast(wanted))  # without by one row
     side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
     groups = tagged.withColumn("side", side).groupBy(*by, "k", "side", F.when(side == 0, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
     placed = groups.withColumn("upto", F.sum("c").over(w))
     hit = placed.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))
     return hit.select(*by, F.col("v").alias(value))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Rows with their place (from 0) in their group's order and its size __n, without one task that sorts a group.
+
+    Rows are dealt out in ranges, counted per range, and placed within it. They are stored on the way, so that
+    both passes see the same ranges.
+    """
+    rows = stored(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ranked")
+    counts = rows.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    parts = Window.partitionBy(*by)  # one row per range
+    before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(parts).alias("__n"))
+    place = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)) - 1
+    return rows.withColumn(name, place).join(counts, [*by, "__part"]).withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
+def stride_sample(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """Of each group at most so many rows, evenly by order: row floor(k * size / most) is the k-th."""
+    r = ranked(df, by, order, "__i")
+    step = F.greatest(F.col("__n") / most, F.lit(1.0))
+    k = F.ceil(F.col("__i") / step)
+    k = F.when(F.floor(k * step) == F.col("__i"), k)
+    return r.withColumn("k", k).filter(F.col("k").isNotNull() & (F.col("k") < most)).drop("__i", "__n")
