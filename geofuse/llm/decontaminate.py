@@ -1,30 +1,39 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a mask over SPAN words that looks at four of them and ignores one. Hashes of the masked words of
-the benchmark are joined to those at every position of a document, and around each hit the item is laid
-over the document and compared word by word. Of a passage that keeps four fifths of an item's words in place,
+the benchmark are joined to those of every document, and of what meets the item is laid over the document wherever a
+seed of both agrees, and compared word by word. Of a passage that keeps four fifths of an item's words in place,
 some span of five has at most one word changed, so one of the masks always hits it: no such overlap is lost.
+
+The benchmark may be of any size: its seeds are a table. Only a bit map of fixed size, the union of their hashes, goes to
+every task, so that a document's seeds are dropped where they are made unless they may be in the benchmark.
+Work goes by distinct text.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geofuse.llm.shared import small_batches, stored, table
+from geofuse.llm.shared import per_salt, salt_of, small_batches, stored, table
 
 SPAN = 5
 MASKS = ((0, 1, 2, 3), (1, 2, 3, 4), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
-#: Most words of the benchmark in one pass over the documents: what is broadcast is bounded by it.
-PASS_WORDS = 4_000_000
 SPACED = bytes.maketrans((string.punctuation + "".join(map(chr, range(32)))).encode(), b" " * (len(string.punctuation) + 32))
-BUCKETS = 20
+#: The bit map has 2 to the power of this many bits: 8 MB, the bound of what is collected and broadcast.
+MAP_BITS = 26
+#: Hits whose keys go to every task, at most; more are joined by shuffle.
+TOLD = 200_000
+SPREAD = 16
+#: Diagonals that are compared at once, times the words of the item.
+AREA = 1 << 22
+c = F.col
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -32,169 +41,184 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(SPACED).split()
 
 
-@dataclass
-class Index:
-    """The benchmark items of one pass, their words as numbers from 1 and their seeds by hash."""
-
-    ids: list[int] = field(default_factory=list)
-    items: list[np.ndarray] = field(default_factory=list)
-    words: dict[bytes, int] = field(default_factory=dict)
-    hashes: list[np.ndarray] = field(default_factory=list)
-    places: list[np.ndarray] = field(default_factory=list)
-    filters: list[np.ndarray] = field(default_factory=list)
-    short: dict[bytes, list[int]] = field(default_factory=dict)
-
-    @classmethod
-    def build(cls, rows: list[tuple[int, list[bytes]]]) -> Index:
-        out = cls()
-        seeds: list[tuple[list, list]] = [([], []) for _ in MASKS]
-        for item_id, words in rows:
-            nums = np.array([out.words.setdefault(w, len(out.words) + 1) for w in words], "int64")
-            if len(words) < SPAN:  # too short for a mask: only all its words in a row count
-                out.short.setdefault(b" ".join(words), []).append(len(out.ids))
-            for (h, p), mask in zip(seeds, MASKS):
-                if len(words) >= SPAN:
-                    own = seed_hashes(nums, mask)[0]
-                    h.append(own)
-                    p.append(np.stack([np.full(len(own), len(out.ids)), np.arange(len(own))], axis=1))
-            out.ids.append(item_id)
-            out.items.append(nums)
-        for h, p in seeds:
-            h = np.concatenate(h) if h else np.zeros(0, "uint64")
-            p = np.concatenate(p) if p else np.zeros((0, 2), "int64")
-            order = np.argsort(h, kind="stable")
-            out.hashes.append(h[order])
-            out.places.append(p[order])
-            seen = np.zeros(1 << BUCKETS, bool)
-            seen[h >> np.uint64(64 - BUCKETS)] = True
-            out.filters.append(seen)
-        return out
-
-
-def seed_hashes(nums: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash at each position, and whether all words there are known."""
-    n = len(nums) - SPAN + 1
-    h, known = np.zeros(max(n, 0), "uint64"), np.ones(max(n, 0), bool)
-    for o in mask if n > 0 else ():
-        part = nums[o : o + n]
-        h = (h ^ part.astype("uint64")) * np.uint64(0x9E3779B97F4A7C15)
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "uint64", len(words))
+
+
+def seed_hashes(words: np.ndarray, offsets: tuple[int, ...], span: int) -> np.ndarray:
+    """The hash at each position of the words at those offsets; different for each mask."""
+    n = len(words) - span + 1
+    h = np.full(max(n, 0), xxhash.xxh64_intdigest(bytes((span, *offsets))), "uint64")
+    for o in offsets if n > 0 else ():
+        h = (h ^ words[o : o + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        known &= part > 0
-    return h * np.uint64(0xBF58476D1CE4E5B9), known
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def seeds(words: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """Seeds by mask; for items of so few words that no mask fits, of all runs of their lengths."""
+    for mask in MASKS:
+        yield seed_hashes(words, mask, SPAN)
+    for n in short:
+        yield seed_hashes(words, tuple(range(n)), n)
+
+
+def diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Where a seed of both agrees: the places of the item's first word in the document."""
+    m, near = len(item), np.zeros(len(doc) + len(item), bool)
+    for a, b in zip(seeds(doc), seeds(item)):
+        order = np.argsort(a, kind="stable")
+        found = a[order]
+        lo, hi = np.searchsorted(found, b, "left"), np.searchsorted(found, b, "right")
+        for place in np.flatnonzero(hi > lo):
+            near[order[lo[place] : hi[place]] - place + m] = True
+    return np.flatnonzero(near) - m
 
 
-def overlap(item: np.ndarray, doc: np.ndarray, diagonals: Iterator[int], least: float) -> float:
+def overlap(item: np.ndarray, doc: np.ndarray, at: np.ndarray, least: float) -> float:
     """The share of the item's words that are in place.
 
     The item is laid over the document at each diagonal. It is the best diagonal's share, or, where words were
     put in or left out, that of all together; then only words in spans of which least is in place count.
     """
-    n, best = len(item), 0.0
-    covered = np.zeros(n, bool)
-    for d in diagonals:
-        a, b = max(0, -d), min(n, len(doc) - d)
-        same = np.zeros(n, bool)
-        same[a:b] = item[a:b] == doc[a + d : b + d]
-        spans = np.convolve(same, np.ones(SPAN, int), "valid") >= SPAN * least
-        near = np.convolve(spans, np.ones(SPAN, int), "full") > 0
-        covered |= same & near
-        best = max(best, float(same.mean()))
+    n = len(item)
+    padded = np.concatenate([np.zeros(n, "uint64"), doc, np.zeros(n, "uint64")])
+    inside = np.concatenate([np.zeros(n, bool), np.ones(len(doc), bool), np.zeros(n, bool)])
+    windows, present = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (padded, inside))
+    best, covered, step = 0.0, np.zeros(n, bool), max(1, AREA // n)
+    for k in range(0, len(at), step):
+        rows = at[k : k + step] + n
+        same = (windows[rows] == item) & present[rows]
+        best = max(best, float(same.mean(axis=1).max()))
+        sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
+        spans = sums[:, SPAN:] - sums[:, :-SPAN] >= SPAN * least
+        near = np.zeros_like(same)
+        for o in range(SPAN):
+            near[:, o : o + spans.shape[1]] |= spans
+        covered |= (same & near).any(axis=0)
     return max(best, float(covered.mean()))
 
 
-def matches(text: str | None, index: Index, least: float) -> list[tuple[int, float]]:
-    """(item, overlap) of the items that a text contains at least to the share."""
-    words = tokens(text)
-    if not words:
-        return []
-    out = []
-    if index.short:
-        wide = max(k.count(b" ") for k in index.short) + 1
-        for n in range(1, wide + 1):
-            for run in {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} & index.short.keys():
-                out += [(index.ids[i], 1.0) for i in index.short[run]]
-    nums = np.fromiter(map(index.words.get, words, (0,) * len(words)), "int64", len(words))
-    found: dict[int, set[int]] = {}
-    for mask, hashes, places, seen in zip(MASKS, index.hashes, index.places, index.filters):
-        h, known = seed_hashes(nums, mask)
-        at = np.flatnonzero(known & seen[h >> np.uint64(64 - BUCKETS)])
-        lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-        for i, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
-            for item, place in places[a:b]:
-                found.setdefault(int(item), set()).add(int(i - place))
-    for item, diagonals in found.items():
-        share = overlap(index.items[item], nums, iter(diagonals), least)
-        if share >= least:
-            out.append((index.ids[item], share))
-    return sorted(set(out))
-
-
-def passes(benchmark: DataFrame, most: int = PASS_WORDS) -> Iterator[Index]:
-    """The benchmark in indexes of at most so many words (or one item)."""
-    rows, words = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        own = tokens(r[1])
-        if r[0] is None or not own:
-            continue
-        if rows and words + len(own) > most:
-            yield Index.build(rows)
-            rows, words = [], 0
-        rows.append((r[0], own))
-        words += len(own)
-    if rows:
-        yield Index.build(rows)
+def share(doc: list[bytes], item: list[bytes], least: float) -> float:
+    """Of an item of five words or more the overlap; a shorter one counts where all its words stand in a row."""
+    if not item or not doc:
+        return 0.0
+    if len(item) < SPAN:
+        return float(any(doc[i : i + len(item)] == item for i in range(len(doc) - len(item) + 1)))
+    d, i = hashed(doc), hashed(item)
+    at = diagonals(d, i)
+    return overlap(i, d, at, least) if len(at) else 0.0
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view("int64")
+
+
+def item_seeds(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, n (words, those of few words) and seeds of each item that has an id and words."""
+
+    @F.pandas_udf("n int, seeds array<long>")
+    def own(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            words = tokens(text)
+            h = hashed(words)
+            some = list(seeds(h)) if len(h) >= SPAN else [seed_hashes(h, tuple(range(len(h))), len(h))]
+            out.append((len(h), _signed(np.unique(np.concatenate(some)))))
+        return pd.DataFrame(out, columns=["n", "seeds"]).astype({"n": "int32"})
+
+    items = benchmark.select(c("item_id").cast("long").alias("item_id"), c("text").cast("string").alias("item")).filter("item_id IS NOT NULL")
+    return stored(items.withColumn("s", own("item")).select("item_id", "item", "s.*").filter("n > 0"), "decontam-items")
+
+
+def bit_map(items: DataFrame) -> np.ndarray:
+    """The union of the seeds' leading bits; at most 2 ** (MAP_BITS - 6) words reach the driver."""
+    bucket = F.shiftrightunsigned(c("h"), 64 - MAP_BITS)
+    words = items.select(F.explode("seeds").alias("h")).groupBy(F.shiftright(bucket, 6).alias("w"))
+    rows = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bucket.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toPandas()
+    out = np.zeros(1 << MAP_BITS - 6, "int64")
+    out[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
+    return np.unpackbits(out.astype("<i8").view("uint8"), bitorder="little")
+
+
+def _candidates(spark: SparkSession, items: DataFrame):
+    """The seeds of a text that may be in the benchmark, each once."""
+    short = tuple(sorted(r["n"] for r in items.filter(c("n") < SPAN).select("n").distinct().collect()))
+    shared = spark.sparkContext.broadcast((np.packbits(bit_map(items), bitorder="little"), short))
+
+    @F.pandas_udf("array<long>")
+    def found(texts: pd.Series) -> pd.Series:
+        bits, lengths = shared.value
+        out = []
+        for text in texts:
+            parts = []
+            for h in seeds(hashed(tokens(text)), lengths):
+                at = h >> np.uint64(64 - MAP_BITS)
+                parts.append(h[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("uint8") & 1).astype(bool)])
+            out.append(_signed(np.unique(np.concatenate(parts))))
+        return pd.Series(out, dtype=object)
+
+    return found(c("text").cast("string"))
 
 
 HITS = "array<struct<item_id:bigint,overlap:double>>"
 
 
-def _search(spark: SparkSession, index: Index, least: float) -> Column:
-    """The items that the column text contains, as HITS; the index is bounded by the words of a pass."""
-    shared = spark.sparkContext.broadcast(index)
+def found_items(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    """k (hash of a text) and items (array of item_id and overlap, by item_id) of the texts that contain any."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = item_seeds(benchmark)
+    text = docs.select(F.xxhash64(c("text").cast("string")).alias("k"), c("text").cast("string").alias("text"))
+    met = text.select("k", F.explode(_candidates(spark, items)).alias("h")).join(items.select("item_id", F.explode("seeds").alias("h")), "h")
+    pairs = stored(met.select("k", "item_id").distinct(), "decontam-pairs")
+    keys = stored(pairs.select("k").distinct(), "decontam-keys")
+    hit = text.join(F.broadcast(keys) if keys.count() <= TOLD else keys, "k", "left_semi")
+    once = hit.groupBy("k").agg(F.any_value("text").alias("text"))
 
-    @F.pandas_udf(HITS)
-    def hits(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([[{"item_id": i, "overlap": s} for i, s in matches(t, own, least)] for t in texts], dtype=object)
+    @F.pandas_udf("double")
+    def verified(texts: pd.Series, own: pd.Series) -> pd.Series:
+        out, last, words = [], None, []
+        for t, i in zip(texts, own):
+            if t is not last and t != last:
+                last, words = t, tokens(t)
+            out.append(share(words, tokens(i), least))
+        return pd.Series(out, dtype="float64")
 
-    return hits(F.col("text").cast("string"))
+    both = pairs.join(once, "k").join(items.select("item_id", "item"), "item_id").withColumn("overlap", verified("text", "item"))
+    kept = both.select("k", "item_id", "overlap").filter(c("overlap") >= least).distinct()
+    return stored(kept.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("item_id", "overlap"))).cast(HITS).alias("items")), "decontam-found")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most: int = PASS_WORDS) -> DataFrame:
+def _spread(found: DataFrame) -> DataFrame:
+    """A row for each of the salts over which a text's copies are spread."""
+    return per_salt(found.withColumn("salts", F.lit((1 << SPREAD) - 1).cast("long")))
+
+
+def _salt(docs: DataFrame):
+    return salt_of(c("doc_id"), salts=SPREAD)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id, contaminated, items (array of item_id and overlap, by item_id).
 
     Null and blank texts are clean; null and blank items, and items without an id, match nothing. Ids of
-    documents may be null or repeat. An item of fewer than five words counts where all its words stand in a
-    row. An empty benchmark leaves all clean. Other columns are ignored.
+    documents may be null or repeat; of items that share an id each may match. An item of fewer than five words counts
+    where all its words stand in a row. An empty benchmark leaves all clean. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    indexes = passes(benchmark, most)
-    one, more = next(indexes, None), next(indexes, None)
-    if more is None:
-        found = rows.select("doc_id", _search(spark, one, least).alias("items") if one else F.array().cast(HITS).alias("items"))
-    else:
-        # Pass by pass only what was found is kept, by id and text, so equal rows share it.
-        key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h")]
-        parts = None
-        for index in (x for part in ([one, more], indexes) for x in part):
-            hit = stored(rows.select(*key, _search(spark, index, least).alias("items")).filter(F.size("items") > 0), "decontam-pass")
-            parts = hit if parts is None else parts.unionByName(hit)
-        parts = parts.select("id", "h", F.explode("items").alias("x")).distinct()
-        parts = parts.groupBy("id", "h").agg(F.array_sort(F.collect_list("x")).cast(HITS).alias("items"))
-        found = rows.select("doc_id", *key).join(parts, ["id", "h"], "left")
-        found = found.select("doc_id", F.coalesce("items", F.array().cast(HITS)).alias("items"))
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most: int = PASS_WORDS) -> DataFrame:
-    """docs' own rows that contain no item, pass by pass."""
-    small_batches(docs.sparkSession)
-    for index in passes(benchmark, most):
-        docs = docs.filter(F.size(_search(docs.sparkSession, index, least)) == 0)
-    return docs
+    found = found_items(docs, benchmark, least)
+    rows = docs.select(c("doc_id").cast("long").alias("doc_id"), F.xxhash64(c("text").cast("string")).alias("k"), _salt(docs).alias("salt"))
+    out = rows.join(_spread(found), ["k", "salt"], "left").select("doc_id", F.coalesce("items", F.array().cast(HITS)).alias("items"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs' own rows that contain no item."""
+    found = found_items(docs, benchmark, least)
+    few = found.count() <= TOLD
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(c("text").cast("string")).alias("k"), _salt(docs).alias("salt"))
+    keys = F.broadcast(found.select("k")) if few else _spread(found).select("k", "salt")
+    return rows.join(keys, ["k"] if few else ["k", "salt"], "left_anti").select("doc.*")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

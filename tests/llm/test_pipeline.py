@@ -26,9 +26,8 @@ def test_stages_equal_brute_force(spark, sf):
     out = stored(cp.drop_near_copies(spark, out, sf), "t")
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(want) and out.columns == docs.columns
 
-    items = [(r["item_id"], decontaminate.tokens(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    index = decontaminate.Index.build(items)
-    want = {i for i in want if not decontaminate.matches(rows[i]["text"], index, 0.8)}
+    items = [decontaminate.tokens(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = {i for i in want if not any(decontaminate.share(decontaminate.tokens(rows[i]["text"]), item, 0.8) >= 0.8 for item in items)}
     out = stored(cp.drop_leaks(spark, out, sf), "t")
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(want) and out.columns == docs.columns
 
