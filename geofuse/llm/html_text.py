@@ -7,7 +7,9 @@ apart, lists are indented and marked, and the cells of a table are padded to col
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -220,14 +222,15 @@ def _run(step):
 
 
 def _rows(node: Node):
-    todo = node.children[::-1]
+    """The rows of a table, each with the group that holds it."""
+    todo = [(node, child) for child in node.children[::-1]]
     while todo:
-        child = todo.pop()
+        group, child = todo.pop()
         if isinstance(child, Node) and visible(child):
             if child.tag == "tr":
-                yield child
+                yield group, child
             elif child.tag in ("tbody", "thead", "tfoot"):
-                todo += child.children[::-1]
+                todo += [(child, x) for x in child.children[::-1]]
 
 
 def _drawn(node: Node) -> list[Node]:
@@ -267,18 +270,24 @@ def _cell(node: Node):
     return [x for x in page.lines if x.strip()]
 
 
-def _span(node: Node) -> int:
-    value = (node.get("colspan") or "1").strip()
-    return min(max(int(value), 1), 100) if value.isascii() and value.isdigit() else 1
+def _span(node: Node, name: str, most: int) -> int:
+    """A span as the standard reads it: one where it isn't a number, most at most; rows may be 0, all that follow."""
+    value = (node.get(name) or "1").strip()
+    n = int(value[:9]) if value.isascii() and value.isdigit() else 1
+    return most if name == "rowspan" and n == 0 else min(max(n, 1), most)
 
 
 def lay_table(node: Node, page: Page):
     others = [c for c in node.children if not (isinstance(c, Node) and c.tag in ("tr", "tbody", "thead", "tfoot"))]
     yield lay(Node("div", "", others), page)  # captions, and whatever stands in a table outside its rows
     page.flush()
-    rows, widths = [], []
-    for tr in _rows(node):
-        cells, column = [], 0
+    rows, widths, over, group = [], {}, [], None
+    for own, tr in _rows(node):
+        if own is not group:  # no cell reaches into another group of rows
+            group, over = own, []
+        # Cells of rows above that reach into this one: (first column, column after, rows left), in order.
+        cells, column, above, more = [], 0, iter(over), []
+        taken = next(above, None)
         stray = [c for c in tr.children if isinstance(c, str) or c.tag not in ("td", "th")]
         if any(isinstance(c, Node) or c.strip() for c in stray):
             yield lay(Node("div", "", stray), page)
@@ -286,18 +295,25 @@ def lay_table(node: Node, page: Page):
         for cell in tr.children:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not visible(cell):
                 continue
-            lines, span = (yield _cell(cell)), _span(cell)
+            lines, span, down = (yield _cell(cell)), _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            while taken and taken[0] <= column:
+                column, taken = max(column, taken[1]), next(above, None)
             cells.append((column, lines))
-            widths += [0] * (column + span - len(widths))
             if span == 1:
-                widths[column] = max([widths[column], *map(width, lines)])
+                widths[column] = max([widths.get(column, 0), *map(width, lines)])
+            if down > 1:
+                more.append((column, column + span, down))
             column += span
+        over = sorted((a, b, n - 1) for a, b, n in [*over, *more] if n > 1)
         rows.append(cells)
+    # Only columns with a cell of their own take room.
+    used = sorted(k for k, n in widths.items() if n)
+    starts = [0, *itertools.accumulate(widths[k] + 2 for k in used)]
     for cells in rows:
         for k in range(max((len(lines) for _, lines in cells), default=0)):
             out, at = "", 0
             for column, lines in cells:
-                start = sum(widths[:column]) + 2 * column
+                start = starts[bisect.bisect_left(used, column)]
                 out += " " * max(start - at, 2 if at else 0)
                 at = max(start, at + 2 if at else 0)
                 text = lines[k] if k < len(lines) else ""

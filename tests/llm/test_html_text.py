@@ -21,6 +21,10 @@ from geofuse.llm.html_text import render
         ("<table><tr><th>name<th>n<tr><td>long name<td>1</table>", "name       n\nlong name  1"),
         ("<table><tr><td>a<td>b<tr><td colspan=2>wide one here<tr><td>c<td>d<br>e</table>", "a  b\nwide one here\nc  d\n   e"),
         ("<table><tr><td>x<table><tr><td>in<td>ner</table><td>y</table>", "x        y\nin  ner"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>w<td rowspan=0>a<td>b<tr><td>v<td>c<tr><td>u<td>d<tbody><tr><td>t<td>s</table>", "w  a  b\nv     c\nu     d\nt  s"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td>c<td>d</table>", "a     b\nc  d"),
+        ("<table><tr><td rowspan=3 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd  e"),
         ("<p hidden>no</p><p style='color:red; DISPLAY : none'>no</p><p style='x-display:none'>yes</p>", "yes"),
         ("<head><title>no</title></head><script>if(a<b)'</p>'</script><style>p{}</style><noscript>no</noscript>yes", "yes"),
         ("<!-- no --><!doctype html><?x no>yes<!-- <b>no", "yes"),
