@@ -1,9 +1,10 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is encoded (how it is written: case, symbols, repetition, word
-lengths), gated attention weighs the passages, a = softmax(w . (tanh(V h) * sigmoid(U h))), and a logistic
-layer scores the weighted passage representation together with its weighted hidden units. Only document
-labels teach it: the weights show which passages decide.
+A document is a bag of passages. Every passage is described by how it is written (case, symbols, repetition, word
+lengths) and by what is in it (its words and the letter triples of it, hashed), and encoded by a layer that is
+learned with the rest; gated attention weighs the passages, a = softmax(w . (tanh(V h) * sigmoid(U h))), and a
+logistic layer scores the weighted passage representation. Only document labels teach it: the weights show which
+passages decide.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from geofuse.llm.shared import small_batches, table
 PASSAGE = 48
 SAMPLE_DOCS = 2000
 THRESHOLD = 0.3
-FEATURES = 16
+#: Features of the writing, and buckets of words and of letter triples.
+STYLE, WORDS, TRIPLES = 16, 96, 32
+FEATURES = STYLE + WORDS + TRIPLES
 _CLASS = np.zeros(256, "uint8")
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"|<>{}[]=_/\\^~`", b"!?", b"*#$%&@+", b".,;:'\"()-"), 1):
     _CLASS[list(_chars)] = _i
@@ -31,6 +34,9 @@ _CLASS[128:] = 8
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _MIX = np.random.default_rng(17).integers(1, 1 << 62, size=(64, 256), dtype="uint64") | np.uint64(1)
+#: Buckets of triples by three bytes, added up; letter case doesn't count.
+_TRIPLE = np.random.default_rng(19).integers(0, TRIPLES, size=(3, 256), dtype="int64")
+_TRIPLE[:, 65:91] = _TRIPLE[:, 97:123]
 
 
 def encode(data: bytes) -> np.ndarray:
@@ -46,10 +52,8 @@ def encode(data: bytes) -> np.ndarray:
     at = np.arange(0, n, PASSAGE)
     words = np.diff(np.append(at, n)).astype("float32")
     length = stop - start
-    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b)))) if start[0] == 0 else None
-    if place is None:
-        place = np.arange(len(b))
-        place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(b))))
+    place = np.arange(len(b))
+    place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(b))))
     mixed = np.where(white, np.uint64(0), _MIX[place & 63, b])
     word = np.add.reduceat(mixed, start)
     kinds = _CLASS[b]
@@ -73,6 +77,15 @@ def encode(data: bytes) -> np.ndarray:
     lines = np.add.reduceat((b == 10).astype("int32"), first)
     out[:, 14] = np.minimum(1, lines / words)
     out[:, 15] = np.minimum(words / PASSAGE, 1)
+    passage = np.arange(n) // PASSAGE
+    bucket = (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype("int64") % WORDS
+    counts = np.bincount(passage * WORDS + bucket, minlength=len(out) * WORDS).reshape(-1, WORDS)
+    out[:, STYLE : STYLE + WORDS] = counts / words[:, None]
+    if len(b) > first[0] + 2:
+        triple = (_TRIPLE[0, b[:-2]] + _TRIPLE[1, b[1:-1]] + _TRIPLE[2, b[2:]]) % TRIPLES
+        of = np.searchsorted(first, np.arange(first[0], len(b) - 2), "right") - 1 if len(first) > 1 else np.zeros(len(b) - 2 - first[0], "int64")
+        counts = np.bincount(of * TRIPLES + triple[first[0] :], minlength=len(out) * TRIPLES).reshape(-1, TRIPLES)
+        out[:, STYLE + WORDS :] = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
     return out
 
 
@@ -91,10 +104,10 @@ class Attention:
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([z, np.tanh(z @ self.e)], axis=1)
+        return np.concatenate([z[:, :STYLE], np.tanh(z @ self.e)], axis=1)
 
     def weights(self, h: np.ndarray) -> np.ndarray:
-        raw = (np.tanh(h @ self.v) / (1 + np.exp(-(h @ self.u)))) @ self.w
+        raw = (np.tanh(h @ self.v) / (1 + np.exp(-np.clip(h @ self.u, -30, 30)))) @ self.w
         a = np.exp(raw - raw.max())
         return a / a.sum()
 
@@ -104,46 +117,55 @@ class Attention:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], z: np.ndarray, starts: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean log loss of bags (rows of z, from starts) with labels y, and its gradients."""
+    bag = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(z))))
+    t = np.tanh(z @ p["e"])
+    h = np.concatenate([z[:, :STYLE], t], axis=1)
+    tv, su = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-np.clip(h @ p["u"], -30, 30)))
+    raw = (tv * su) @ p["w"]
+    a = np.exp(raw - np.maximum.reduceat(raw, starts)[bag])
+    a /= np.add.reduceat(a, starts)[bag]
+    rep = np.add.reduceat(a[:, None] * h, starts)
+    s = 1 / (1 + np.exp(-np.clip(rep @ p["beta"] + p["bias"][0], -30, 30)))
+    loss = -float(np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)))
+    d = (s - y) / len(y)
+    g = {"beta": rep.T @ d, "bias": np.array([d.sum()])}
+    gh = (d[bag] * a)[:, None] * p["beta"][None, :]
+    ga = d[bag] * (h @ p["beta"])
+    gr = a * (ga - np.add.reduceat(a * ga, starts)[bag])
+    g["w"] = (tv * su).T @ gr
+    gtv, gsu = gr[:, None] * p["w"] * su * (1 - tv**2), gr[:, None] * p["w"] * tv * su * (1 - su)
+    g["v"], g["u"] = h.T @ gtv, h.T @ gsu
+    gh += gtv @ p["v"].T + gsu @ p["u"].T
+    g["e"] = z.T @ (gh[:, STYLE:] * (1 - t**2))
+    return loss, g
+
+
+def first_weights(features: int, units: int) -> dict[str, np.ndarray]:
+    rng, wide = np.random.default_rng(23), STYLE + units
+    return {
+        "e": rng.normal(0, 0.3 * math.sqrt(STYLE / features), (features, units)), "v": rng.normal(0, 0.2, (wide, units)), "u": rng.normal(0, 0.2, (wide, units)),
+        "w": rng.normal(0, 0.2, units), "beta": np.zeros(wide), "bias": np.zeros(1),
+    }
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, units: int = 12, epochs: int = 150, rate: float = 0.03, decay: float = 1e-3) -> Attention:
-    """Full-batch Adam on the mean log loss, by hand-written gradients."""
-    rng = np.random.default_rng(23)
+    """Full-batch Adam on the mean log loss, encoder, attention and score together."""
     x = np.concatenate(bags).astype("float64")
-    model = Attention(x.mean(axis=0), x.std(axis=0) + 0.02, None, None, None, None, None, 0.0)
-    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
+    z = np.clip((x - mean) / scale, -6, 6)
     starts = np.cumsum([0, *map(len, bags[:-1])])
-    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    f = z.shape[1]
-    p = {
-        "e": rng.normal(0, 0.3, (f, units)), "v": rng.normal(0, 0.2, (f + units, units)), "u": rng.normal(0, 0.2, (f + units, units)),
-        "w": rng.normal(0, 0.2, units), "beta": np.zeros(f + units), "bias": np.zeros(1),
-    }
+    p = first_weights(z.shape[1], units)
     m1, m2 = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    y = labels.astype("float64")
     for step in range(1, epochs + 1):
-        t = np.tanh(z @ p["e"])
-        h = np.concatenate([z, t], axis=1)
-        tv, su = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-np.clip(h @ p["u"], -30, 30)))
-        raw = (tv * su) @ p["w"]
-        a = np.exp(raw - np.maximum.reduceat(raw, starts)[bag])
-        a /= np.add.reduceat(a, starts)[bag]
-        rep = np.add.reduceat(a[:, None] * h, starts)
-        s = 1 / (1 + np.exp(-np.clip(rep @ p["beta"] + p["bias"][0], -30, 30)))
-        d = (s - y) / len(y)
-        g = {"beta": rep.T @ d, "bias": np.array([d.sum()])}
-        gh = (d[bag] * a)[:, None] * p["beta"][None, :]
-        ga = d[bag] * (h @ p["beta"])
-        gr = a * (ga - np.add.reduceat(a * ga, starts)[bag])
-        g["w"] = (tv * su).T @ gr
-        gtv, gsu = gr[:, None] * p["w"] * su * (1 - tv**2), gr[:, None] * p["w"] * tv * su * (1 - su)
-        g["v"], g["u"] = h.T @ gtv, h.T @ gsu
-        gh += gtv @ p["v"].T + gsu @ p["u"].T
-        g["e"] = z.T @ (gh[:, f:] * (1 - t**2))
+        _, g = loss_and_gradients(p, z, starts, labels.astype("float64"))
         for k in p:
             grad = g[k] + (decay * p[k] if k != "bias" else 0)
             m1[k] = 0.9 * m1[k] + 0.1 * grad
             m2[k] = 0.999 * m2[k] + 0.001 * grad**2
             p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-    return Attention(model.mean, model.scale, p["e"], p["v"], p["u"], p["w"], p["beta"], float(p["bias"][0]))
+    return Attention(mean, scale, p["e"], p["v"], p["u"], p["w"], p["beta"], float(p["bias"][0]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> A
     """Learns from at most sample_docs labelled documents, those of least hash among the rows that aren't held out.
 
     Their passages alone reach the driver. None where no label is left to learn from; rows without id or label
-    are left out, of repeated labels the largest counts.
+    are left out, of repeated labels the largest counts. Of documents that share ids the first 2 * sample_docs by
+    id and hash of the text are taken, so reruns learn the same.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max(F.col("quality").cast("int")).alias("y")).filter(~held_out(F.col("doc_id")))
@@ -166,31 +189,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> A
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = picked.join(F.broadcast(known), "doc_id")
-    # sample_docs bounds the labels that are broadcast; a text makes 64 bytes of features for each 48 words
-    rows = sorted(picked.select("doc_id", "y", passages("text").alias("x")).limit(2 * sample_docs).collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    # sample_docs bounds the labels that are broadcast, and with the length of texts what is collected
+    found = picked.select("doc_id", "y", F.xxhash64("text").alias("h"), passages("text").alias("x")).orderBy("doc_id", "h").limit(2 * sample_docs)
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["h"]))
     if not rows:
         return None
     bags = [np.frombuffer(zlib.decompress(r["x"]), "float32").reshape(-1, FEATURES) for r in rows]
     return train(bags, np.array([r["y"] for r in rows]))
 
 
+def _score(model: Attention | None) -> Column:
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series([0.5] * len(texts), dtype="float64")
+        return pd.Series([model.score(encode((t or "").encode("utf-8", "replace"))) for t in texts], dtype="float64")
+
+    return score(F.col("text").cast("string"))
+
+
 def classify(docs: DataFrame, model: Attention | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' own columns, with score and predicted put in the struct column q.
+    """docs' own columns, and the struct (score, predicted) as q; where docs has a q, as q_ (and so on).
 
     A null or blank text is one empty passage and gets that passage's score. Without a model the score is 0.5.
     """
     small_batches(docs.sparkSession)
+    name = "q"
+    while name in docs.columns:
+        name += "_"
+    both = docs.select(F.struct("*").alias("doc"), _score(model).alias("score"))
+    return both.select("doc.*", F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias(name))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series([0.5] * len(texts), dtype="float64")
-        return pd.Series([model.score(encode((t or "").encode("utf-8", "replace"))) for t in texts], dtype="float64")
 
-    s = score(F.col("text").cast("string"))
-    return docs.select("*", s.alias("__score")).select(
-        *docs.columns, F.struct(F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")).alias("q")
-    )
+def kept(docs: DataFrame, model: Attention | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' own rows whose score reaches the threshold."""
+    small_batches(docs.sparkSession)
+    both = docs.select(F.struct("*").alias("doc"), _score(model).alias("score"))
+    return both.filter(F.col("score") >= threshold).select("doc.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

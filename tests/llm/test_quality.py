@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from geofuse.llm import quality
 from tests.llm.docs_cases import documents
@@ -29,6 +31,58 @@ def test_passages_by_hand():
     assert np.array_equal(a, b)
 
 
+def test_words_and_triples_by_hand():
+    x = quality.encode(b"one two one " + b"Three " * 60)
+    words, triples = x[:, quality.STYLE : quality.STYLE + quality.WORDS], x[:, quality.STYLE + quality.WORDS :]
+    assert x.shape == (2, quality.FEATURES) and np.allclose(words.sum(axis=1), 1) and np.allclose(triples.sum(axis=1), 1)
+    assert sorted(words[0][words[0] > 0].tolist()) == pytest.approx(sorted([2 / 48, 1 / 48, 45 / 48])) and (words[1] > 0).sum() == 1
+    t = quality._TRIPLE
+    want = np.zeros(quality.TRIPLES)
+    for a, b, d in zip(b"ab Ab", b"b Ab", b" Ab"):
+        want[(t[0, a] + t[1, b] + t[2, d]) % quality.TRIPLES] += 1 / 3
+    assert np.allclose(quality.encode(b"ab Ab")[0, quality.STYLE + quality.WORDS :], want)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    z, starts, y = rng.normal(0, 1, (30, quality.FEATURES)), np.array([0, 4, 5, 17]), np.array([1.0, 0, 0, 1])
+    p = {k: a + rng.normal(0, 0.1, a.shape) for k, a in quality.first_weights(quality.FEATURES, 5).items()}
+    _, g = quality.loss_and_gradients(p, z, starts, y)
+    for k in p:
+        for _ in range(12):
+            i = tuple(rng.integers(n) for n in p[k].shape)
+            ends = []
+            for step in (1e-5, -1e-5):
+                q = {n: a.copy() for n, a in p.items()}
+                q[k][i] += step
+                ends.append(quality.loss_and_gradients(q, z, starts, y)[0])
+            assert g[k][i] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-8), k
+
+
+def plain_score(model, x):
+    """The score once more, passage by passage."""
+    hidden = []
+    for row in x.astype("float64"):
+        z = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.scale)]
+        hidden.append(z[: quality.STYLE] + [math.tanh(sum(v * e for v, e in zip(z, col))) for col in model.e.T])
+    raw = [sum(w * math.tanh(sum(a * b for a, b in zip(h, v))) / (1 + math.exp(-sum(a * b for a, b in zip(h, u)))) for w, v, u in zip(model.w, model.v.T, model.u.T)) for h in hidden]
+    share = [math.exp(r) / sum(map(math.exp, raw)) for r in raw]
+    rep = [sum(a * h[k] for a, h in zip(share, hidden)) for k in range(len(model.beta))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(rep, model.beta)) - model.bias))
+
+
+def test_scores_equal_the_plain_formula(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(5), labels)
+    got = {r["doc_id"]: r["q"]["score"] for r in quality.classify(docs, model).collect()}
+    for r in docs.limit(25).collect():
+        x = quality.encode((r["text"] or "").encode())
+        assert got[r["doc_id"]] == pytest.approx(plain_score(model, x), abs=1e-9)
+    assert np.array_equal(model.e, again.e)
+    assert {r["doc_id"] for r in quality.kept(docs, model).collect()} == {d for d, s in got.items() if s >= 0.3}
+
+
 def test_attention_finds_the_passage_that_decides():
     rng = np.random.default_rng(1)
     bags, labels = [], []
@@ -54,3 +108,6 @@ def test_odd_rows(spark):
     assert quality.fit(docs, labels.limit(0)) is None
     assert {r["q"]["score"] for r in quality.classify(docs, None).collect()} == {0.5}
     assert quality.classify(docs.limit(0), model).count() == 0
+    clash = docs.selectExpr("*", "'x' AS q", "'y' AS q_", "1 AS score", "2 AS doc")
+    assert quality.classify(clash, model).columns == [*clash.columns, "q__"] and quality.kept(clash, model).columns == clash.columns
+    assert quality.kept(clash, None).count() == docs.count()
