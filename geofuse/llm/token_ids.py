@@ -31,6 +31,8 @@ from geofuse.llm.shared import new_dir, small_batches, stored, table
 MAGIC = b"GFTOKEN1"
 SAMPLE = 256
 END_ID = 2
+#: Bytes of the table of words, of an entry besides its text and ids, and the longest word that is kept in it.
+ROOM, ENTRY, LONGEST = 220_000_000, 150, 64
 
 
 class EliasFano:
@@ -73,9 +75,13 @@ class EliasFano:
             place = (byte << 3) + (word & -word).bit_length() - 1
         return (place - i << self.low_bits) + int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
+    def block(self, k: int) -> np.ndarray:
+        """The numbers from the k-th sample to before the next one."""
+        i = np.arange(k * SAMPLE, min(self.n, (k + 1) * SAMPLE))
+        first = int(self.samples[k])
+        last = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[first >> 3 : (last + 7) >> 3], bitorder="little")
+        ones = np.flatnonzero(bits[first & 7 :])[: len(i)] + first
         return ((ones - i).astype("uint64") << np.uint64(self.low_bits)) + self._low(i)
 
     def sections(self) -> tuple[dict, list[bytes]]:
@@ -100,7 +106,7 @@ class Encoder:
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = ROOM):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,7 +122,7 @@ class Encoder:
             and not spec.get("normalizer") and not spec.get("post_processor") and not any(" " in a for a in added) and plain
         )
         self.words: dict[str, bytes] = {}
-        self.room = room
+        self.room, self.held = room, 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.t.encode_batch_fast(texts, add_special_tokens=False)
@@ -128,19 +134,26 @@ class Encoder:
             own.byteswap()
         return own.tobytes()
 
-    def _learn(self, words: list[str]) -> bool:
-        """False if a word has white space at an end, so that its cuts aren't safe."""
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-            return False
-        self._put(words)
-        return True
-
-    def _put(self, words: list[str]) -> None:
-        if len(self.words) > self.room:
+    def _known(self, words: list[str], proven: bool) -> list[bytes] | None:
+        """The ids of each word with the space before it; None if one has white space at an end and its cuts aren't proven."""
+        found = list(map(self.words.get, words))
+        if None not in found:
+            return found
+        new = list({w for w, ids in zip(words, found) if ids is None})
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        if odd and not proven:
+            return None
+        own = {}
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            own.update(zip(some, self._encode([" " + w for w in some])))
+        if self.held > self.room:
             self.words.clear()
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            self.words.update(zip(some, self._encode([" " + w for w in some])))
+            self.held = 0
+        keep = {w: ids for w, ids in own.items() if len(w) <= LONGEST and w not in odd}
+        self.words.update(keep)
+        self.held += sum(len(w) + len(ids) + ENTRY for w, ids in keep.items())
+        return [own[w] if ids is None else ids for w, ids in zip(words, found)]
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -148,27 +161,11 @@ class Encoder:
         if not self.by_word:
             return self._encode([text])[0]
         first, *rest = text.split(" ")
-        found = list(map(self.words.get, rest))
-        if None in found:
-            new = list({w for w, ids in zip(rest, found) if ids is None})
-            if not self._learn(new):
-                first, *rest = self.SAFE.split(text)
-                new = list({w for w in rest if w not in self.words})
-                self._put(new)
-            found = list(map(self.words.get, rest))
-            if None in found:  # the table was emptied meanwhile
-                self._put(list(set(rest)))
-                found = [self.words[w] for w in rest]
-        if first and rest and first[-1].isspace():
-            return self._careful(text)
-        return b"".join([*(self._encode([first]) if first else [b""]), *found]) if first else self._careful(text)
-
-    def _careful(self, text: str) -> bytes:
-        first, *rest = self.SAFE.split(text)
-        self._put([w for w in dict.fromkeys(rest) if w not in self.words])
-        if any(w not in self.words for w in rest):
-            self._put(list(dict.fromkeys(rest)))
-        return b"".join([*self._encode([first]), *(self.words[w] for w in rest)])
+        found = self._known(rest, False) if first and not first[-1].isspace() else None
+        if found is None:
+            first, *rest = self.SAFE.split(text)
+            found = self._known(rest, True)
+        return b"".join([*self._encode([first]), *found])
 
 
 @functools.cache
@@ -229,10 +226,13 @@ class Shard:
 
     def each(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start in the shard, ids) in order."""
-        ends = self.bounds.all().astype("int64")
-        for i, doc_id in enumerate(self.doc_ids):
-            a, b = int(ends[i]), int(ends[i + 1])
-            yield doc_id, a, np.frombuffer(self._at(len(MAGIC) + a * self.wide, (b - a) * self.wide), self.foot["dtype"])
+        b = self.bounds.select(0)
+        for at in range(0, len(self.doc_ids), SAMPLE):
+            ends = self.bounds.block(at // SAMPLE).tolist()
+            ends = [*ends[1:], self.bounds.select(at + SAMPLE)] if at + SAMPLE < self.bounds.n else ends[1:]
+            for doc_id, end in zip(self.doc_ids[at : at + SAMPLE], ends):
+                a, b = b, end
+                yield doc_id, a, np.frombuffer(self._at(len(MAGIC) + a * self.wide, (b - a) * self.wide), self.foot["dtype"])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -250,7 +250,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         end = np.array([end_id], encode.dtype).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
-        uri = f"{folder}/shard-{shard:06d}.tokens"
+        # By attempt: the rows of the attempt that counts name its file, and no other can replace it.
+        uri = f"{folder}/shard-{shard:06d}-{context.taskAttemptId()}.tokens"
 
         def each() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
