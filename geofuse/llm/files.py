@@ -18,7 +18,7 @@ def opened(uri: str):
 
 @contextlib.contextmanager
 def written(uri: str, attempt: int):
-    """A file that appears under its name once it is whole; a repeated task replaces it with the same bytes."""
+    """A file that appears under its name once it is whole; an attempt that is lost leaves none that anything names."""
     system, path = opened(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{attempt}.part"

@@ -170,11 +170,14 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, file_byte
     some.sort(key=lambda r: (r["page_id"], r["url"] or "", r["html"] or ""))
     dictionary = train([make_record(r["page_id"], r["url"], (r["html"] or "").encode(), None, False) for r in some])
     rows, groups = decide(pages, least_bytes)
-    joined = attach(rows, groups, ["digest"], how="left").select("page_id", "url", "payload", "first_id", (F.octet_length("payload") >= least_bytes).alias("shared"))
+    # In an order that only rows equal in all share, so that a repeated task writes what the first one wrote.
+    joined = attach(rows, groups, ["digest"], how="left").sortWithinPartitions("digest", "page_id", "url")
+    joined = joined.select("page_id", "url", "payload", "first_id", (F.octet_length("payload") >= least_bytes).alias("shared"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Files are named by attempt, and the rows of the attempt that counts name them: no other can replace them.
         context = TaskContext.get()
-        base, k, done = f"{folder}/part-{context.partitionId():06d}", 0, []
+        base, k, done = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}", 0, []
         records = (
             make_record(p, u, body or b"", first, shared and first is not None and p != first)
             for batch in batches
