@@ -1,9 +1,15 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each word of a source starts with rate 1; the mix closest to that in relative entropy under one token
-constraint per source tilts a document's rate exponentially, rate = exp(lambda of its source), where lambda
-minimises the convex dual  sum_s size_s * exp(lambda_s) - lambda_s * target_s.  Its Hessian is diagonal, so the
-Newton iterations run inside the plan, one row per source, over statistics that were summed map-side.
+Each word starts with rate 1. Of all mixes with rates up to the cap the one closest to that in relative entropy is
+taken, under a token constraint for each source and one that crosses them: the mean logarithm of the documents' sizes
+by token stays what it is in the corpus, so that favouring a source of short texts doesn't shorten the mix (softly, as
+caps may forbid it). So documents are tilted exponentially, rate = min(cap, exp(lambda of the source + mu * f)), f the
+standardised logarithm of the size, and lambda and mu minimise the convex dual
+
+  sum over documents of size * phi(lambda_s + mu f) - sum_s lambda_s target_s + ridge / 2 * total * mu^2,  phi' = min(cap, exp).
+
+A Newton step takes gradient and Hessian as sums over the documents, per source; the Hessian is an arrow, one row
+per source and one for mu, so only the sums of one Schur complement, a row, reach the driver.
 Rates become whole copies by carrying the rounding error from long documents to short ones.
 """
 
@@ -19,7 +25,8 @@ from pyspark.sql import functions as F
 from geofuse.llm.shared import salt_of, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-NEWTON_STEPS = 80
+#: Steps at most, the relative error of a constraint that ends them, and how dear the tilt by size is.
+NEWTON_STEPS, CLOSE, RIDGE = 20, 1e-7, 0.25
 
 
 def word_count(text: Column) -> Column:
@@ -51,15 +58,57 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     )
 
 
-def balanced(sources: DataFrame) -> DataFrame:
-    """Adds the dual's solution as rate = exp(lambda); a source without words or target has rate 0."""
+def balanced(sizes: DataFrame, sources: DataFrame, cap: float, ridge: float = RIDGE, steps: int = NEWTON_STEPS) -> tuple[DataFrame, float]:
+    """sizes (key, size, n) with the source's columns (key, source_size, target) and the dual's solution as rate; and mu.
 
-    def step(lam: Column, _: Column) -> Column:
-        mass = F.col("size") * F.exp(lam)
-        return lam - (mass - F.col("target")) / mass
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return sources.withColumn("rate", F.when((F.col("size") > 0) & (F.col("target") > 0), F.exp(lam)).otherwise(0.0))
+    A source without words or target has rate 0; one whose target is all that its cap allows has the cap.
+    A document without words counts as one of mean size. The source's share that steps left open is met in allot.
+    """
+    c, words = F.col, F.col("size") * F.col("n")
+    log = F.log(F.greatest("size", F.lit(1)))
+    whole = sizes.agg(F.sum(words).alias("total"), (F.sum(words * log) / F.sum(words)).alias("mean"), (F.sum(words * log * log) / F.sum(words)).alias("square")).first()
+    total, mean = float(whole["total"] or 0), float(whole["mean"] or 0)
+    spread = math.sqrt(max(0.0, float(whole["square"] or 0) - mean**2))
+    f = F.when(c("size") > 0, (log - mean) / spread).otherwise(0.0) if spread > 1e-9 else F.lit(0.0)
+    kind = F.when((c("source_size") <= 0) | (c("target") <= 0), "none").when(c("target") >= cap * c("source_size") * (1 - 1e-12), "all").otherwise("free")
+    state = sources.withColumn("kind", kind).withColumn("lam", F.when(c("kind") == "free", F.log(c("target") / c("source_size"))).otherwise(0.0))
+    mu = 0.0
+
+    def rate(tilt: float):
+        return F.when(c("kind") == "none", 0.0).when(c("kind") == "all", cap).otherwise(F.least(F.lit(cap), F.exp(c("lam") + tilt * f)))
+
+    for _ in range(steps if total else 0):
+        r = rate(mu)
+        # A document at its cap doesn't answer to the tilt; a little is left so that the Hessian stays regular.
+        w = F.when(c("kind") == "free", r * F.when(r >= cap, 0.01).otherwise(1.0)).otherwise(0.0)
+        sums = sizes.join(state, "key").groupBy("key", "source_size", "target", "kind", "lam").agg(
+            F.sum(words * r).alias("m"), F.sum(words * r * f).alias("mf"), F.sum(words * w).alias("h"), F.sum(words * w * f).alias("hf"), F.sum(words * w * f * f).alias("hff")
+        )
+        free = c("kind") == "free"
+        sums = stored(sums.withColumn("g", F.when(free, c("target") - c("m")).otherwise(0.0)), "mix-sums")
+        one = sums.agg(
+            F.sum("mf").alias("mf"), F.sum("hff").alias("hff"), F.sum(F.when(free, c("hf") * c("hf") / c("h"))).alias("cross"), F.sum(F.when(free, c("hf") * c("g") / c("h"))).alias("known"),
+            F.max(F.when(free, F.abs(c("g")) / c("target"))).alias("off"),
+        ).first()
+        gradient = -(one["mf"] or 0.0) - ridge * total * mu
+        if (one["off"] or 0.0) <= CLOSE and abs(gradient) <= CLOSE * total:
+            break
+        bend = (one["hff"] or 0.0) - (one["cross"] or 0.0) + ridge * total
+        move = max(-0.5, min(0.5, (gradient - (one["known"] or 0.0)) / bend))
+        lam = F.when(free, c("lam") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (c("g") - c("hf") * move) / c("h")))).otherwise(c("lam"))
+        state, mu = sums.select("key", "source_size", "target", "kind", lam.alias("lam")), mu + move
+    return sizes.join(state, "key").select("key", "size", "n", "source_size", "target", rate(mu).alias("rate")), mu
+
+
+def _scaled(rate: np.ndarray, words: np.ndarray, target: float, cap: float) -> np.ndarray:
+    """The rates times one factor, within the cap, so that they take the target exactly; Newton's last digits."""
+    if not (rate * words).sum():
+        return rate
+    low, high = -1.0, 1.0
+    for _ in range(60):
+        x = (low + high) / 2
+        low, high = (x, high) if (np.minimum(cap, rate * math.exp(x)) * words).sum() < target else (low, x)
+    return np.minimum(cap, rate * math.exp((low + high) / 2))
 
 
 def allot(sizes: pd.DataFrame) -> pd.DataFrame:
@@ -71,11 +120,12 @@ def allot(sizes: pd.DataFrame) -> pd.DataFrame:
     """
     sizes = sizes.sort_values("size", ascending=False)
     size, n = sizes["size"].to_numpy("int64"), sizes["n"].to_numpy("int64")
-    rate, most = float(sizes["rate"].iloc[0]), math.floor(sizes["cap"].iloc[0])
+    cap, target = float(sizes["cap"].iloc[0]), float(sizes["target"].iloc[0])
+    rate, most = _scaled(sizes["rate"].to_numpy("float64"), (size * n).astype("float64"), target, cap), math.floor(cap)
     carry, copies = 0.0, np.zeros(len(size), "int64")
     for i in range(len(size)):
-        want = rate * n[i] * size[i] + carry
-        copies[i] = min(max(round(want / size[i]), 0), most * n[i]) if size[i] else int(rate) * n[i]
+        want = rate[i] * n[i] * size[i] + carry
+        copies[i] = min(max(round(want / size[i]), 0), most * n[i]) if size[i] else int(rate[i]) * n[i]
         carry = want - copies[i] * size[i]
     last = np.flatnonzero(size > 0)[-400:]
     up, down = last[copies[last] < most * n[last]], last[copies[last] > 0]
@@ -100,16 +150,13 @@ def plan(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     cap = float(cap)
     counts = stored(sizes.groupBy("source", "key", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     totals = counts.groupBy("source", "key").agg(F.sum(F.col("size") * F.col("n")).alias("size"))
-    rates = balanced(targets(totals.select("source", "size"), weights, cap)).select(
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
-        F.col("size").alias("source_size"),
-        "target",
-        F.least(F.col("rate"), F.lit(cap)).alias("rate"),
-        F.lit(cap).alias("cap"),
+    sources = targets(totals.select("source", "size"), weights, cap).select(
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), F.col("size").alias("source_size"), "target"
     )
-    rates = stored(rates, "mix-rates")
-    by_size = counts.groupBy("key", "size").agg(F.sum("n").alias("n")).join(rates, "key")
-    extra = by_size.groupBy("key").applyInPandas(allot, "key string, size long, source_size long, target double, rate double, base long, extra long")
+    by_size = stored(counts.groupBy("key", "size").agg(F.sum("n").alias("n")), "mix-by-size")
+    rates, _ = balanced(by_size, stored(sources, "mix-targets"), cap)
+    rates = rates.withColumn("cap", F.lit(cap))
+    extra = rates.groupBy("key").applyInPandas(allot, "key string, size long, source_size long, target double, rate double, base long, extra long")
     # The extra copies of one size go to its salts in order, so that only one salt is divided.
     before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     return (

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -64,14 +65,57 @@ def test_capped_and_empty_sources(spark):
 
 
 def test_allot_carries_the_error():
-    sizes = pd.DataFrame({"key": "k", "size": [1000, 10, 1], "n": [1, 30, 30], "rate": 0.4, "cap": 3.0, "source_size": 0, "target": 0.0})
+    sizes = pd.DataFrame({"key": "k", "size": [1000, 10, 1], "n": [1, 30, 30], "rate": 0.4, "cap": 3.0, "source_size": 1330, "target": 532.0})
     out = mixing.allot(sizes)
     n = out["size"].map({1000: 1, 10: 30, 1: 30})
     assert abs((out["size"] * (out["base"] * n + out["extra"])).sum() - 0.4 * 1330) <= 1
     assert ((out["base"] + (out["extra"] > 0)) <= 3).all()
 
 
-def test_newton_finds_the_dual(spark):
-    t = spark.createDataFrame([("a", 100, 300.0), ("b", 100, 1e-3), ("c", 0, 0.0), ("d", 10**12, 5e11)], "source string, size long, target double")
-    got = {r["source"]: r["rate"] for r in mixing.balanced(t).collect()}
-    assert got["a"] == pytest.approx(3) and got["b"] == pytest.approx(1e-5) and got["c"] == 0 and got["d"] == pytest.approx(0.5)
+def dense(groups, target, cap, ridge):
+    """The dual by plain gradient steps on all unknowns with the full Hessian: groups of (source, size, n)."""
+    s, size, n = (np.array(x) for x in zip(*groups))
+    words = size * n.astype("float64")
+    log = np.log(size)
+    mean = (words * log).sum() / words.sum()
+    f = (log - mean) / np.sqrt((words * (log - mean) ** 2).sum() / words.sum())
+    k = len(target)
+    x = np.zeros(k + 1)
+    jac = np.zeros((len(s), k + 1))
+    jac[np.arange(len(s)), s], jac[:, k] = 1, f
+    fixed = np.array(target) >= cap * np.bincount(s, words, k) * (1 - 1e-12)
+
+    def value(x):
+        u = jac @ x
+        phi = np.where(u < np.log(cap), np.exp(u), cap + cap * (u - np.log(cap)))
+        return (words * np.where(fixed[s], cap * u, phi)).sum() - x[:k] @ np.where(fixed, 0, target) + ridge / 2 * words.sum() * x[k] ** 2
+
+    for _ in range(400):
+        r = np.where(fixed[s], cap, np.minimum(cap, np.exp(jac @ x)))
+        grad = jac.T @ (words * r) - np.append(target, -ridge * words.sum() * x[k])
+        grad[:k][fixed] = 0
+        w = np.where(fixed[s], 0, words * np.where(r >= cap, 1e-3 * r, r))
+        hess = jac.T @ (jac * w[:, None]) + np.diag(np.append(np.where(fixed, 1.0, 0.0), ridge * words.sum()))
+        step, t = np.linalg.solve(hess, -grad), 1.0
+        while value(np.where(np.append(fixed, False), 0, x + t * step)) > value(x) and t > 1e-9:
+            t /= 2
+        x = np.where(np.append(fixed, False), 0, x + t * step)
+    return x[k], r, f
+
+
+@pytest.mark.parametrize("share", [(0.7, 0.2, 0.1), (0.1, 0.2, 0.7), (0.02, 0.9, 0.08)])
+def test_dual_equals_a_dense_solver(spark, share):
+    rng = np.random.default_rng(4)
+    groups = [(s, int(z), int(rng.integers(1, 9))) for s in range(3) for z in np.unique(rng.lognormal(3 + s, 1, 40).astype(int) + 1)]
+    words = np.bincount([s for s, _, _ in groups], [z * n for _, z, n in groups])
+    target = [min(3 * w, x * words.sum()) for w, x in zip(words, share)]
+    sizes = spark.createDataFrame([(str(s), z, n) for s, z, n in groups], "key string, size long, n long")
+    sources = spark.createDataFrame([(str(s), int(words[s]), float(target[s])) for s in range(3)], "key string, source_size long, target double")
+    out, mu = mixing.balanced(sizes, sources, 3.0)
+    got = {(int(r["key"]), r["size"]): r["rate"] for r in out.collect()}
+    want_mu, want, f = dense(groups, target, 3.0, mixing.RIDGE)
+    assert mu == pytest.approx(want_mu, abs=1e-4) and abs(mu) > 0.01
+    for (s, z, _), r in zip(groups, want):
+        assert got[(s, z)] == pytest.approx(r, rel=1e-3)
+    took = [sum(got[(s, z)] * z * n for s, z, n in groups if s == k) for k in range(3)]
+    assert took == pytest.approx(target, rel=1e-4)
