@@ -32,7 +32,7 @@ MAP_BITS = 26
 TOLD = 200_000
 SPREAD = 16
 #: Diagonals that are compared at once, times the words of the item.
-AREA = 1 << 22
+AREA = 1 << 17
 c = F.col
 
 
@@ -90,7 +90,7 @@ def overlap(item: np.ndarray, doc: np.ndarray, at: np.ndarray, least: float) ->
         rows = at[k : k + step] + n
         same = (windows[rows] == item) & present[rows]
         best = max(best, float(same.mean(axis=1).max()))
-        sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
+        sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype="int32")
         spans = sums[:, SPAN:] - sums[:, :-SPAN] >= SPAN * least
         near = np.zeros_like(same)
         for o in range(SPAN):
