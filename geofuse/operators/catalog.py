@@ -28,6 +28,47 @@ def geo_format(path):
     return F.coalesce(F.try_element_at(table, ext), F.lit("unknown"))
 
 
+# Licences by source, and the ids that other names of catalog items stand for.
+LICENSES = {
+    "Apache-2.0": "depth-anything-3 mapanything roma-v2 colmap mvs gs-2d depth-anything-v2",
+    "commercial": "vggt-commercial",
+    "NVIDIA-OML": "fixer",
+    "NC-research": "vggt-omega mast3r dust3r difix vggt-research pi3x stream-vggt vggt-long mast3r-slam slam3r monst3r easi3r city-gaussian urban-gs horizon-gs gof pgsr rade-gs sugar milo",
+}
+ALIASES = {
+    "usgs-3dep": "usgs-3dep usgs3dep 3dep",
+    "copernicus-glo30": "copernicus-dem copernicus-glo30 copernicus glo-30 glo30",
+    "opentopography": "opentopography opentopo",
+    "hydrosheds": "hydrosheds hydrobasins",
+    "usgs-nwis-gauges": "usgs-gauges usgs-nwis-gauges nwis gauges noaa-mrms-/-nwm noaa-mrms",
+    "fema-nfhl": "fema-nfhl nfhl fema",
+    "osm-waterways": "osm-waterways osm waterways overture-/-osm overture",
+    "earth-search-stac": "earth-search-stac earth-search stac ecmwf-open-data",
+}
+
+
+def _of(name, groups: dict[str, str]):
+    rows = F.create_map(*[F.lit(x) for value, names in groups.items() for key in names.split() for x in (key, value)])
+    return F.try_element_at(rows, name)
+
+
+def license_for(source):
+    return F.coalesce(_of(source, LICENSES), F.lit("unknown"))
+
+
+def resolve_alias(name):
+    """The id of a catalog item by any of its names: lower case, blanks as dashes; another name stays itself."""
+    key = F.replace(F.lower(name), F.lit(" "), F.lit("-"))
+    return F.coalesce(_of(key, ALIASES), key)
+
+
+def list_cached(files: DataFrame, path: str = "path") -> DataFrame:
+    """Of a listing of files those that are cached assets: rasters and features, without the metadata beside them; name and format."""
+    name = F.element_at(F.split(path, "/"), -1)
+    kept = files.withColumn("name", name).filter(F.lower("name").rlike(r"\.(tif|tiff|cog|geojson|json)$") & ~F.col("name").rlike(r"\.(meta|condition|catalog)\.json$"))
+    return kept.withColumn("format", geo_format(F.col("name")))
+
+
 def dem_rank(name):
     lower = F.lower(name)
     return (

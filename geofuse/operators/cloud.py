@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from geofuse.functions import camera as cam
 from geofuse.functions import splat as sp
-from geofuse.plans.rank import nth_smallest
+from geofuse.plans.rank import nth_smallest, ranked
+from geofuse.plans.shared import stored
 
 c = F.col
 # Block names by colour, in the order that decides ties.
@@ -74,6 +75,17 @@ def robust_radius(df: DataFrame, by: list[str], quantile: float = 0.9, floor: fl
     return mean.join(r, by).withColumn("radius", F.greatest(c("radius"), F.lit(floor)))
 
 
+def lerp_clouds(a: DataFrame, b: DataFrame, by: list[str], share: float) -> DataFrame:
+    """Splats between two states of a cloud, by id: positions, log-scales, opacities and colours; share is held within 0 to 1.
+
+    A splat that only one state has is left out.
+    """
+    t = min(max(share, 0.0), 1.0)
+    cols = [k for k in (*"xyz", "s0", "s1", "s2", "opacity_logit", "dc0", "dc1", "dc2") if k in a.columns and k in b.columns]
+    both = a.select(*by, *cols).join(b.select(*by, *[c(k).alias(f"b_{k}") for k in cols]), by)
+    return both.select(*by, *[(c(k) + (c(f"b_{k}") - c(k)) * t).alias(k) for k in cols])
+
+
 def fuse_voxels(evidence: DataFrame, scene: float) -> DataFrame:
     """Confidence-weighted means of the points in each voxel; preserved points stay out of it."""
     voxel = min(max(0.0025 * scene, 1e-4), 0.05)
@@ -85,11 +97,17 @@ def fuse_voxels(evidence: DataFrame, scene: float) -> DataFrame:
 
 
 def fuse_evidence(evidence: DataFrame, scene: float, most: int) -> DataFrame:
-    """Fused voxels by weight under the budget that preserved points leave, then preserved points up to most."""
-    preserved = evidence.filter(c("preserve") & (c("confidence") >= 0.7)).select(*"xyz", *[c(k).cast("int").alias(k) for k in "rgb"])
-    budget = most - min(preserved.count(), most // 5)
-    fused = fuse_voxels(evidence, scene).orderBy(c("weight").desc(), "vx", "vy", "vz").limit(budget).select(*"xyz", *"rgb")
-    return fused.withColumn("kind", F.lit("fused")).unionByName(preserved.limit(max(0, most - fused.count())).withColumn("kind", F.lit("preserved")))
+    """Fused voxels by weight under the budget that preserved points leave, then preserved points up to most, the surest first."""
+    preserved = evidence.filter(c("preserve") & (c("confidence") >= 0.7)).select("confidence", *"xyz", *[c(k).cast("int").alias(k) for k in "rgb"])
+    kept = stored(preserved, "preserved")
+    budget = most - min(kept.count(), most // 5)
+    # Places in the order come from ranges, so that a budget of millions isn't merged in one task.
+    one = F.lit(0).alias("all")
+    fused = ranked(fuse_voxels(evidence, scene).select(one, "*", (-c("weight")).alias("light")), ["all"], ["light", "vx", "vy", "vz"])
+    fused = stored(fused.filter(c("rank") < budget).select(*"xyz", *"rgb", F.lit("fused").alias("kind")), "fused")
+    left = max(0, most - fused.count())
+    more = ranked(kept.select(one, "*", (-c("confidence")).alias("light")), ["all"], ["light", *"xyz", *"rgb"]).filter(c("rank") < left)
+    return fused.unionByName(more.select(*"xyz", *"rgb", F.lit("preserved").alias("kind")))
 
 
 def nearest_palette(r, g, b):

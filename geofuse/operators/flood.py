@@ -118,10 +118,16 @@ def surface_slope(cells: DataFrame, grid: list[str], dx: float) -> DataFrame:
 
 def lerp_states(ts: DataFrame, times: DataFrame) -> DataFrame:
     """Each run's cells at asked times, between the two snapshots around; cells in both alone."""
-    snaps = ts.select("run_id", "t_s").distinct()
-    q = times.join(snaps, "run_id").groupBy("run_id", "q_id", "q_t").agg(
-        F.max(F.when(c("t_s") <= c("q_t"), c("t_s"))).alias("t0"), F.min(F.when(c("t_s") >= c("q_t"), c("t_s"))).alias("t1")
-    )
+    # One sorted pass over asked times and snapshots together, per run: the snapshot at or before, and at or after.
+    snaps = ts.select("run_id", c("t_s").cast("double").alias("at"), c("t_s").alias("t_s")).distinct()
+    asked = times.select("run_id", "q_id", "q_t", c("q_t").cast("double").alias("at"))
+    both = asked.unionByName(snaps, allowMissingColumns=True)
+    w = Window.partitionBy("run_id").orderBy("at")
+    both = both.withColumns({
+        "t0": F.max("t_s").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "t1": F.min("t_s").over(Window.partitionBy("run_id").orderBy(c("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    q = both.filter("q_id IS NOT NULL").select("run_id", "q_id", "q_t", "t0", "t1").filter("t0 IS NOT NULL OR t1 IS NOT NULL")
     q = q.withColumns({"t0": F.coalesce("t0", "t1"), "t1": F.coalesce("t1", "t0")})
     a = ts.select("run_id", c("t_s").alias("t0"), "row", "col", c("h").alias("h0"))
     b = ts.select("run_id", c("t_s").alias("t1"), "row", "col", c("h").alias("h1"))

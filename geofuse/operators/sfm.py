@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofuse.plans.components import components
+from geofuse.plans.rank import nth_smallest
 from geofuse.plans.shared import stored
 from geofuse.plans.stencil import beside, stencil
 
@@ -137,14 +138,29 @@ def reference_pairs(images: DataFrame, fraction: float, k: int, by: str = "captu
     return r.select(by, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
+def nearest_refs(images: DataFrame, registered: DataFrame, k: int = 3, by: str = "capture") -> DataFrame:
+    """Of each image the k registered ones nearest in the order of the capture, the earlier of equally near ones first.
+
+    Only the k before and the k after can be among them: places among the registered come from a running count,
+    and meet by place.
+    """
+    w = Window.partitionBy(by).orderBy("image_id")
+    i = images.select(by, "image_id").withColumn("i", F.row_number().over(w))
+    reg = i.join(registered.select(by, "image_id"), [by, "image_id"], "left_semi").withColumn("r", F.row_number().over(w)).select(by, c("image_id").alias("ref"), c("i").alias("ri"), "r")
+    upto = i.join(reg.select(by, c("ref").alias("image_id"), F.lit(1).alias("one")), [by, "image_id"], "left").withColumn("r", F.sum(F.coalesce("one", F.lit(0))).over(w))
+    near = upto.select(by, "image_id", "i", F.explode(F.sequence(c("r") - k, c("r") + k)).alias("r")).join(reg, [by, "r"]).filter("ref <> image_id")
+    best = Window.partitionBy(by, "image_id").orderBy(F.abs(c("ri") - c("i")), "ri")
+    return near.withColumn("k", F.row_number().over(best)).filter(c("k") <= k).select(by, "image_id", "ref", "k")
+
+
 def hypothesis_scores(obs: DataFrame, expected: int) -> DataFrame:
     """Per solver the quality of its model: obs has solver, image_id, point_id, err_px. Gates and composite included."""
     # Rounded, so that a mean on the gate doesn't hang on the order of the sum.
     points = obs.groupBy("solver", "point_id").agg(F.round(F.avg("err_px"), 9).alias("err"), F.count(F.lit(1)).alias("track"))
-    p = points.groupBy("solver").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY err DESC)").alias("median_err"), F.avg("track").alias("mean_track"),
-        (F.count_if((c("track") >= 2) & (c("err") <= 4)) / F.count(F.lit(1))).alias("good"),
-    )
+    p = points.groupBy("solver").agg(F.avg("track").alias("mean_track"), (F.count_if((c("track") >= 2) & (c("err") <= 4)) / F.count(F.lit(1))).alias("good"))
+    # The upper median is found by counting: no task holds the errors of a whole model.
+    median = nth_smallest(points, "err", F.floor(c("n") / 2), ["solver"]).withColumnRenamed("err", "median_err")
+    p = p.join(median, "solver")
     i = obs.groupBy("solver").agg(F.countDistinct("image_id").alias("images"))
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     s = p.join(i, "solver").withColumn("registered", unit(c("images") / F.greatest(F.lit(expected), c("images"))))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from geofuse.fixtures import sql, view
 from geofuse.functions.splat import axis_rotation
+from geofuse.operators import catalog as cat
+from geofuse.operators import cloud as cl
+from geofuse.operators import sfm
 from geofuse.operators import surface as su
 from geofuse.plans.rank import stride_sample
 from geofuse.plans.shared import new_dir
@@ -158,3 +161,38 @@ def a29(spark: SparkSession, sf: str) -> DataFrame:
     """Small images of every view."""
     d = su.composite_depth(splats(spark, sf), view(spark, sf, "fx_view"), 32)
     return d.select("image_id", "py", "px", r("depth", 3).alias("depth"), r("cover", 3).alias("cover"), r("nz", 2).alias("nz"))
+
+
+SOURCES = ("colmap", "fixer", "gof", "vggt-commercial", "other")
+NAMES = ("3DEP", "Copernicus DEM", "opentopo", "NWIS", "Overture / OSM", "my file")
+
+
+@query("p12_license_alias", q=f"""SELECT p_partkey AS k, CASE mod(p_partkey, 5) WHEN 0 THEN 'Apache-2.0' WHEN 1 THEN 'NVIDIA-OML' WHEN 2 THEN 'NC-research' WHEN 3 THEN 'commercial' ELSE 'unknown' END AS license,
+ CASE mod(p_partkey, 6) WHEN 0 THEN 'usgs-3dep' WHEN 1 THEN 'copernicus-glo30' WHEN 2 THEN 'opentopography' WHEN 3 THEN 'usgs-nwis-gauges' WHEN 4 THEN 'osm-waterways' ELSE 'my-file' END AS id FROM part""")
+def p12_license(spark: SparkSession, sf: str) -> DataFrame:
+    p = sql(spark, sf, "SELECT p_partkey AS k FROM part")
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (c("k") % len(names)).cast("int"))
+    return p.select("k", cat.license_for(pick(SOURCES)).alias("license"), cat.resolve_alias(pick(NAMES)).alias("id"))
+
+
+@query("s21_list_cached", q="""SELECT p_partkey AS k, CASE mod(p_partkey, 6) WHEN 0 THEN 'geotiff' WHEN 1 THEN 'geojson' ELSE 'cog' END AS format FROM part WHERE mod(p_partkey, 6) < 3""")
+def s21_cached(spark: SparkSession, sf: str) -> DataFrame:
+    p = sql(spark, sf, "SELECT p_partkey AS k FROM part")
+    ends = F.array(*[F.lit(e) for e in (".TIF", ".json", ".cog", ".meta.json", ".catalog.json", ".las")])
+    files = p.withColumn("path", F.concat(F.lit("geo/sources/a."), c("k"), F.get(ends, (c("k") % 6).cast("int"))))
+    return cat.list_cached(files).select("k", "format")
+
+
+@query("w9_lerp_clouds", S, q="SELECT splat_id, round(x + 0.25e0 * (2 * x + 1 - x), 6) + 0e0 AS x, round(s0 + 0.25e0 * 0.5e0, 6) + 0e0 AS s0 FROM fx_splat WHERE mod(splat_id, 7) <> 0")
+def w9_clouds(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter of the way to a state that lacks every seventh splat."""
+    a = splats(spark, sf)
+    b = a.filter("mod(splat_id, 7) <> 0").withColumns({"x": 2 * c("x") + 1, "s0": c("s0") + 0.5})
+    return cl.lerp_clouds(a, b, ["splat_id"], 0.25).select("splat_id", r("x").alias("x"), r("s0").alias("s0"))
+
+
+@query("j13_nearest_refs", "fx_pixel", q="""WITH i AS (SELECT capture, image_id, row_number() OVER (PARTITION BY capture ORDER BY image_id) AS i FROM (SELECT DISTINCT image_id, mod(image_id, 5) AS capture FROM fx_pixel) d),
+n AS (SELECT a.capture, a.image_id, b.image_id AS ref, row_number() OVER (PARTITION BY a.capture, a.image_id ORDER BY abs(a.i - b.i), b.i) AS k FROM i a JOIN i b ON a.capture = b.capture AND a.image_id <> b.image_id WHERE mod(b.image_id, 3) = 1) SELECT * FROM n WHERE k <= 3""")
+def j13_refs(spark: SparkSession, sf: str) -> DataFrame:
+    i = view(spark, sf, "fx_pixel").select("image_id").distinct().withColumn("capture", c("image_id") % 5)
+    return sfm.nearest_refs(i, i.filter("mod(image_id, 3) = 1")).select("capture", "image_id", "ref", "k")
