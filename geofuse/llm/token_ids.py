@@ -169,8 +169,8 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, room: int = ROOM) -> Encoder:
+    return Encoder(path, room)
 
 
 def write_shard(uri: str, attempt: int, docs: Iterator[tuple[int | None, bytes]], dtype: str) -> tuple[int, int]:
@@ -235,18 +235,19 @@ class Shard:
                 yield doc_id, a, np.frombuffer(self._at(len(MAGIC) + a * self.wide, (b - a) * self.wide), self.foot["dtype"])
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, room: int = ROOM) -> DataFrame:
     """Encodes and writes the documents, by doc_id; a row per shard: shard, path, docs, tokens, start.
 
     A null or empty text has the end id alone. A null doc_id comes first. Rows that repeat an id follow
-    each other, by a hash of their text. No documents give no shards. Other columns are ignored.
+    each other, by a hash of their text. No documents give no shards. Other columns are ignored. room: bytes of each
+    worker's table of words; less costs time alone.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, room)
         end = np.array([end_id], encode.dtype).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
