@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pii", "decontaminate", "exact_dedup", "mixing", "token_counts", "warc", "html_text", "simhash", "token_ids", "quality", "periodic", "topk")
+MODULES = ("pii", "decontaminate", "exact_dedup", "mixing", "token_counts", "warc", "html_text", "simhash", "token_ids", "quality", "periodic", "alignment", "topk")
 _loaded = [importlib.import_module(f"geofuse.llm.{m}") for m in MODULES]
 
 QUERIES = {k: f for m in _loaded for k, f in m.QUERIES.items()}

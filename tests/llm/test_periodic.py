@@ -45,13 +45,13 @@ def together(texts, **kw):
     return out
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=60), max_size=6))
 def test_equals_definition_on_small_alphabets(texts):
     assert together(texts) == [plain_runs(t) for t in texts]
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=50, deadline=None)
 @given(st.data())
 def test_equals_definition_on_planted_periods(data):
     texts = []
