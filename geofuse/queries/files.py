@@ -14,11 +14,12 @@ from geofuse.operators import cloud as cl
 from geofuse.operators import sfm
 from geofuse.operators import surface as su
 from geofuse.plans.rank import stride_sample
-from geofuse.plans.shared import new_dir
+from geofuse.plans.shared import new_dir, stored
 from geofuse.queries.cloud import COV, DEC, ROT, splats
 from geofuse.queries.registry import query, r
 from geofuse.sources import binary as bi
 from geofuse.sources import model as md
+from geofuse.sources.files import save
 
 c = F.col
 S = "fx_splat"
@@ -26,10 +27,12 @@ S = "fx_splat"
 
 @query("s16_read_ply", S, q="SELECT mod(splat_id, 4) AS part, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z, round(qy, 3) + 0e0 AS qy, round(s1, 3) + 0e0 AS s1, round(dc2, 2) + 0e0 AS dc2, 9 AS higher FROM fx_splat")
 def s16(spark: SparkSession, sf: str) -> DataFrame:
-    """PLY files of a few hundred splats, cut into ranges of records and read."""
+    """PLY files of a few hundred splats, written to the shared folder and read in ranges of bytes."""
     rest = F.array(*[((c("splat_id") * (k + 3)) % 101 / 101 - 0.5) for k in range(9)])
     s = splats(spark, sf).withColumns({"part": c("splat_id") % 4, "sh_rest": rest})
-    p = bi.decode_ply(bi.ply_files(s, ["part"], ["splat_id"], 700), ["part", "block"], chunk=1 << 14)
+    folder = new_dir(spark, "ply")
+    stored(save(bi.ply_files(s, ["part"], ["splat_id"], 700).withColumn("name", F.format_string("part-%d-%d.ply", "part", "block")), folder), "ply-files")
+    p = bi.read_ply(spark, folder, chunk=1 << 14).withColumn("part", F.regexp_extract("file", r"part-(\d+)-\d+\.ply$", 1).cast("long"))
     return p.select("part", *[r(k, 3).alias(k) for k in ("x", "y", "z", "qy", "s1")], r("dc2", 2).alias("dc2"), F.size("sh_rest").alias("higher"))
 
 

@@ -1,7 +1,7 @@
 """Binary records and rasters: fixed strides and strips, decoded in batches by numpy inside tasks.
 
-A file is one row of a binary table (`spark.read.format("binaryFile")`), or a row of such a table that a query made.
-Large point files are cut into ranges of whole records first, so that no task holds more than CHUNK bytes of one.
+Point files are read in ranges of bytes by a data source of their own (PlySource), whatever their size. Other files are one
+row each of a binary table (`spark.read.format("binaryFile")`), or of such a table that a query made.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from geofuse.functions import splat as sp
+from geofuse.sources.files import listed, opened
 
 c = F.col
 # The types of the format and their sizes.
@@ -25,7 +29,7 @@ PLY_TYPES = {
     "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8",
 }
 SPLAT = ("f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
-HEAD, CHUNK = 1 << 16, 1 << 22
+HEAD, CHUNK, STEP = 1 << 16, 1 << 25, 1 << 21
 RECORD = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 4), ("q", "u1", 4)])
 #: Order of the properties in a written file, without the higher harmonics.
 WRITTEN = ("x", "y", "z", "nx", "ny", "nz", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
@@ -35,6 +39,13 @@ CLOUD = (
 )
 
 
+PLY_SCHEMA = pa.schema(
+    [("file", pa.string()), ("n", pa.int64())]
+    + [(k, pa.float64()) for k in ("x", "y", "z", "s0", "s1", "s2", "qw", "qx", "qy", "qz", "opacity_logit", "dc0", "dc1", "dc2")]
+    + [("sh_rest", pa.list_(pa.float32()))]
+)
+
+
 def ply_header(data: bytes) -> tuple[np.dtype, int, int]:
     """The record type of the vertices, their number, and where they begin; ValueError for anything else."""
     end = data.find(b"end_header")
@@ -85,49 +96,59 @@ def _cloud(rows: np.ndarray, first: int) -> pd.DataFrame:
     return frame
 
 
-def decode_ply(files: DataFrame, by: list[str], content: str = "content", chunk: int = CHUNK) -> DataFrame:
-    """Binary PLY files (a row each, named by the columns by) as splats, n counting the records of a file.
+class PlySource(DataSource):
+    """PLY files as a table of splats, read in ranges of bytes: spark.read.format("ply").option("chunk", n).load(path).
 
-    A file is cut into ranges of about chunk bytes that are dealt out; a file that ends before its last record
-    is an error.
+    The driver lists names and sizes only. A partition is a range of about chunk bytes of one file: its task reads the header
+    and then, STEP bytes at a time, the records that begin in its range. So a file may have any size, and no task
+    holds more than a step of it. A file that ends before its last record is an error.
     """
 
-    @F.pandas_udf("first long, n long, at long, stride long, bytes long")
-    def layout(heads: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-        out = []
-        for head, size in zip(heads, sizes):
-            kind, count, at = ply_header(head)
-            if at + count * kind.itemsize > size:
-                raise ValueError("a ply file ends before its last record")
-            out.append((0, count, at, kind.itemsize, size))
-        return pd.DataFrame(out, columns=["first", "n", "at", "stride", "bytes"])
-
-    whole = c(content)
-    laid = files.withColumn("_l", layout(F.substring(whole, 1, HEAD), F.octet_length(whole).cast("long")))
-    per = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(chunk) / c("_l.stride")))
-    laid = laid.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(c("_l.n") - 1, F.lit(0).cast("long")), per)))
-    laid = laid.filter(c("_first") < c("_l.n"))
-    n = F.least(per, c("_l.n") - c("_first"))
-    part = F.substring(whole, (c("_l.at") + c("_first") * c("_l.stride") + 1).cast("int"), (n * c("_l.stride")).cast("int"))
-    parts = laid.select(*by, c("_first").alias("ply_first"), F.substring(whole, 1, HEAD).alias("ply_head"), part.alias("ply_part"))
+    @classmethod
+    def name(cls) -> str:
+        return "ply"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                kind, _, _ = ply_header(row.ply_head)
-                cloud = _cloud(np.frombuffer(row.ply_part, kind), row.ply_first)
-                for k in reversed(by):
-                    cloud.insert(0, k, getattr(row, k))
-                yield cloud
+    def schema(self) -> str:
+        return f"file string, {CLOUD}"
 
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema if f.name in by)
-    return parts.repartition(*by, "ply_first").mapInPandas(read, f"{keys}, {CLOUD}" if keys else CLOUD)
+    def reader(self, schema: StructType) -> PlyReader:
+        return PlyReader(self.options)
+
+
+class PlyRange(InputPartition):
+    def __init__(self, uri: str, size: int, low: int, high: int):
+        self.uri, self.size, self.low, self.high = uri, size, low, high
+
+
+class PlyReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
+
+    def partitions(self) -> list[PlyRange]:
+        return [PlyRange(uri, size, at, min(at + self.chunk, size)) for uri, size in listed(self.path, ".ply") for at in range(0, max(size, 1), self.chunk)]
+
+    def read(self, part: PlyRange) -> Iterator[pa.RecordBatch]:
+        system, path = opened(part.uri)
+        with system.open_input_file(path) as f:
+            kind, count, at = ply_header(f.read_at(min(HEAD, part.size), 0))
+            stride = kind.itemsize
+            if at + count * stride > part.size:
+                raise ValueError(f"a ply file ends before its last record: {part.uri}")
+            first, last = (min(count, max(0, -(-(x - at) // stride))) for x in (part.low, part.high))
+            if not part.low:
+                _cloud(np.zeros(0, kind), 0)  # a header that can't be read is an error in a file without records, too
+            per = max(1, STEP // stride)
+            for i in range(first, last, per):
+                n = min(per, last - i)
+                cloud = _cloud(np.frombuffer(f.read_at(n * stride, at + i * stride), kind), i)
+                cloud.insert(0, "file", part.uri)
+                yield pa.RecordBatch.from_pandas(cloud, schema=PLY_SCHEMA, preserve_index=False)
 
 
 def read_ply(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """Splats (or points lifted to splats) of PLY files, with the file of each."""
-    files = spark.read.format("binaryFile").load(path).select(c("_metadata.file_path").alias("file"), "content")
-    return decode_ply(files, ["file"], chunk=chunk)
+    """Splats (or points lifted to splats) of a PLY file or of all in a folder, with the file of each; n counts its records."""
+    spark.dataSource.register(PlySource)
+    return spark.read.format("ply").option("chunk", chunk).load(path)
 
 
 def _blocks(rows: DataFrame, by: list[str], order: list[str], cols: list[str], per_file: int, encode) -> DataFrame:

@@ -102,6 +102,43 @@ def test_points_are_lifted_and_bad_files_refused(spark, tmp_path):
     assert bi.read_ply(spark, str(tmp_path / "none.ply")).count() == 0
 
 
+def test_every_record_is_read_once_whatever_the_ranges(spark, tmp_path):
+    """Ranges shorter than a record, than the header, and that end inside records; two files, a hidden one and another kind."""
+    fields = [("x", "float"), ("y", "double"), ("z", "float"), ("red", "uchar")]
+    for name, n in (("a.ply", 50), ("b.ply", 3), (".c.ply", 9), ("d.txt", 9)):
+        (tmp_path / name).write_bytes(ply(fields, [(i, i, i, i) for i in range(n)]))
+    for chunk in (7, 17, 100, 1 << 20):
+        got = sorted((r["file"][-5:], r["n"], r["x"]) for r in bi.read_ply(spark, str(tmp_path), chunk=chunk).collect())
+        assert got == sorted((f, i, i) for f, n in (("a.ply", 50), ("b.ply", 3)) for i in range(n)), chunk
+    with pytest.raises(Exception, match="missing.ply"):
+        bi.read_ply(spark, str(tmp_path / "missing.ply")).collect()
+
+
+def test_files_over_two_gib(tmp_path):
+    """The last record of a sparse file of 3 GB; its task reads its own range alone, a step at a time."""
+    fields = [("x", "float"), ("y", "float"), ("z", "float"), *[(k, "float") for k in bi.SPLAT], *[(f"f_rest_{i}", "float") for i in range(45)]]
+    head, n = ply(fields, [], 12_800_000), 12_800_000
+    last = np.zeros(1, np.dtype([(k, "<f4") for k, _ in fields]))
+    last["x"], last["f_rest_44"] = 7, 0.5
+    path = tmp_path / "big.ply"
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + n * last.itemsize)
+        f.seek(-last.itemsize, 2)
+        f.write(last.tobytes())
+    assert path.stat().st_size > 3_000_000_000
+    reader = bi.PlyReader({"path": str(path)})
+    parts = reader.partitions()
+    assert parts[-1].high == path.stat().st_size and all(a.high == b.low for a, b in zip(parts, parts[1:])) and max(p.high - p.low for p in parts) <= bi.CHUNK
+    batches = list(reader.read(parts[-1]))
+    row = batches[-1].slice(batches[-1].num_rows - 1).to_pylist()[0]
+    assert (row["n"], row["x"], row["sh_rest"][44], len(row["sh_rest"])) == (n - 1, 7, 0.5, 45)
+    assert sum(b.num_rows for b in batches) * last.itemsize <= bi.CHUNK and max(b.nbytes for b in batches) < 3 * bi.STEP
+    firsts = [next(reader.read(p))["n"][0].as_py() for p in (parts[0], parts[50])]
+    assert firsts == [0, -(-(parts[50].low - len(head)) // last.itemsize)]
+    path.unlink()
+
+
 def test_splat_round_trip_through_files(spark, sf, tmp_path):
     s = QUERIES["p16_rotate_sh"](spark, sf).select("splat_id", F.expr("transform(rest, x -> float(x))").alias("sh_rest"))
     s = s.withColumns({k: F.col("splat_id") / (i + 3) for i, k in enumerate(("x", "y", "z", "s0", "s1", "s2", "qw", "qx", "qy", "qz", "opacity_logit", "dc0", "dc1", "dc2"))}).withColumn("g", F.lit(1))
