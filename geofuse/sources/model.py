@@ -16,7 +16,7 @@ def _number(p: Column, i: int) -> Column:
 
 
 def _fields(column: str = "value") -> Column:
-    return F.filter(F.split(F.trim(column), r"\s+"), lambda s: s != "")
+    return F.filter(F.split(column, r"\s+"), lambda s: s != "")
 
 
 def camera_lines(cameras: DataFrame) -> DataFrame:
@@ -72,30 +72,60 @@ def focal_and_centre(cameras: DataFrame) -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Lines (value, _file, _at) with their number _k in the file, comments left out: counts per block of a file, then places in it."""
-    kept = lines.filter(~F.startswith(F.trim("value"), F.lit("#"))).withColumn("_n", F.monotonically_increasing_id())
-    blocks = kept.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of a file
-    blocks = blocks.select("_file", "_at", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_n")) - 1  # within a block of a file
-    return kept.withColumn("_i", place).join(blocks, ["_file", "_at"]).withColumn("_k", c("_b") + c("_i")).drop("_n", "_b", "_i", "_at")
+    """Lines (value, _file, _at), comments left out, with _k, their number in the file, and _since, the lines since the last blank one.
+
+    Counts per block of a file, carried over its blocks (a row each), then places within a block.
+    """
+    kept = lines.filter(~c("value").rlike(r"^\s*#")).withColumns({"_n": F.monotonically_increasing_id(), "_blank": c("value").rlike(r"^\s*$")})
+    own = Window.partitionBy("_file", "_at").orderBy("_n")  # within a block of a file
+    kept = kept.withColumn("_i", (F.row_number().over(own) - 1).cast("long"))
+    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("_last", F.max(F.when(c("_blank"), c("_i"))).over(so_far))
+    blocks = kept.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_c"), F.max(F.when(c("_blank"), c("_i"))).alias("_end"))
+    before = Window.partitionBy("_file").orderBy("_at")
+    blocks = blocks.withColumns({
+        "_b": F.coalesce(F.sum("_c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_stretch": F.count("_end").over(before),
+        "_tail": c("_c") - F.coalesce(c("_end") + 1, F.lit(0)),
+    })
+    blocks = blocks.withColumn("_run", F.sum("_tail").over(Window.partitionBy("_file", "_stretch").orderBy("_at")))
+    blocks = blocks.select("_file", "_at", "_b", F.coalesce(F.lag("_run").over(before), F.lit(0)).alias("_carry"))
+    since = F.when(c("_last").isNull(), c("_i") + c("_carry")).otherwise(c("_i") - c("_last") - 1)
+    out = kept.join(blocks, ["_file", "_at"]).withColumns({"_k": c("_b") + c("_i"), "_since": since})
+    return out.drop("_n", "_b", "_i", "_at", "_blank", "_last", "_carry")
+
+
+def _must(ok: Column, what: str, line: Column | str = "value") -> Column:
+    """A condition that holds, or stops the job with the line that breaks it."""
+    text = c(line) if isinstance(line, str) else line
+    return F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(what), F.coalesce(text, F.lit("")))))
 
 
 def parse_images(lines: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Images and observations of numbered lines: an even line is an image, the odd one after it has its observations.
+    """Images and observations of numbered lines.
 
-    Images: by, image_id, pose, camera_id, name. Observations: by, image_id, idx, x, y, point_id (null for -1).
+    Blank lines are skipped where an image is due; the line after an image's has its observations, and may be blank. So
+    a line's part follows from the lines since the last blank one: an even number means that an image is due.
+    An image's line with under ten fields, or with fields that aren't numbers, is an error, and so are observations
+    whose places aren't numbers. Two fields at most left over at the end of a line of observations are ignored.
+    Images: by, image_id, pose, camera_id, name. Observations: by, image_id, idx, x, y, point_id (null for -1 or no number).
     """
-    odd = c("_k") % 2 == 1
-    pair = lines.groupBy("_file", *by, F.floor(c("_k") / 2).alias("_pair")).agg(F.max(F.when(~odd, c("value"))).alias("head"), F.max(F.when(odd, c("value"))).alias("value"))
-    pair = pair.withColumns({"_h": _fields("head"), "_p": _fields()}).filter(F.size("_h") >= 10).withColumn("image_id", F.get("_h", F.lit(0)).try_cast("long"))
+    head = (c("_since") % 2 == 0) & ~c("value").rlike(r"^\s*$")
+    told = lines.filter(head | (c("_since") % 2 == 1)).withColumn("_head", head)
+    pair = told.groupBy("_file", *by, F.when(c("_head"), c("_k")).otherwise(c("_k") - 1).alias("_pair"))
+    pair = pair.agg(F.max(F.when(c("_head"), c("value"))).alias("head"), F.max(F.when(~c("_head"), c("value"))).alias("value"))
+    pair = pair.withColumns({"_h": _fields("head"), "_p": _fields()}).filter(_must(F.size("_h") >= 10, "malformed image line: ", "head"))
+    pose = [_number(c("_h"), i + 1).alias(k) for i, k in enumerate(POSE)]
     name = F.array_join(F.slice("_h", F.lit(10), F.size("_h")), " ")
-    images = pair.select(*by, "image_id", *[_number(c("_h"), i + 1).alias(k) for i, k in enumerate(POSE)], F.get("_h", F.lit(8)).try_cast("long").alias("camera_id"), name.alias("name"))
+    rows = pair.select("*", F.get("_h", F.lit(0)).try_cast("long").alias("image_id"), *pose, F.get("_h", F.lit(8)).try_cast("long").alias("camera_id"), name.alias("name"))
+    numbers = ["image_id", *POSE, "camera_id"]
+    rows = rows.filter(_must(F.forall(F.array(*[c(k).isNotNull() for k in numbers]), lambda x: x), "no number in image line: ", "head"))
     at = F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_p") / 3).cast("int") - 1, F.lit(0))), lambda i: i * 3 + 2 < F.size("_p")))
-    o = pair.select(*by, "image_id", "_p", at.alias("idx"))
+    o = rows.select(*by, "image_id", "_p", at.alias("idx"))
     part = lambda k: F.get("_p", c("idx") * 3 + k)
     point = part(2).try_cast("long")
-    return images, o.select(*by, "image_id", "idx", part(0).try_cast("double").alias("x"), part(1).try_cast("double").alias("y"), F.when(point >= 0, point).alias("point_id"))
+    seen = o.select(*by, "image_id", "idx", part(0).try_cast("double").alias("x"), part(1).try_cast("double").alias("y"), F.when(point >= 0, point).alias("point_id"))
+    seen = seen.filter(_must(c("x").isNotNull() & c("y").isNotNull(), "no number in the observations of image ", c("image_id").cast("string")))
+    return rows.select(*by, *numbers, "name"), seen
 
 
 def parse_points(lines: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -186,6 +186,66 @@ def test_sparse_models_as_text(spark, tmp_path):
     assert md.parse_cameras(spark.createDataFrame([("1 PINHOLE 6 4 1 2",), ("x",), ("# 1 PINHOLE",), ("2 FISHEYE 1 1 1",)], "value string")).count() == 0
 
 
+def model_lines(spark, path):
+    return spark.read.text(str(path)).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+
+
+def plain_images(text):
+    """Line by line: a blank line is skipped where an image is due, the line after an image has its observations."""
+    images, seen, due = {}, [], None
+    for line in text.split("\n"):
+        f = line.split()
+        if line.strip().startswith("#"):
+            continue
+        if due is None:
+            if f:
+                due = int(f[0])
+                images[due] = " ".join(f[9:])
+        else:
+            seen += [(due, i, float(f[3 * i]), float(f[3 * i + 1]), int(f[3 * i + 2]) if int(f[3 * i + 2]) >= 0 else None) for i in range(len(f) // 3)]
+            due = None
+    return images, sorted(seen, key=str)
+
+
+def test_blank_lines_between_images_change_nothing(spark, tmp_path):
+    """Blank lines and comments anywhere, an empty line of observations, tabs, left-over fields; files of many blocks."""
+    rng = np.random.default_rng(4)
+    for k in range(6):
+        out = []
+        for i in range(40):
+            out += [""] * int(rng.integers(0, 3)) * int(k > 0) + ["# note"] * int(rng.integers(0, 2))
+            out.append(f" {i}\t1 0 0 0 0.5 0 0 1 img  {i} .jpg")
+            out += ["# between"] * int(rng.integers(0, 2))
+            n = int(rng.integers(0, 4))
+            out.append(" \t" * int(rng.integers(0, 2)) if not n else " ".join(f"{j}.5 {i} {j - 1}" for j in range(n)) + " 7" * int(rng.integers(0, 3)))
+        text = "\n".join(out) + "\n" * int(k % 2)
+        path = tmp_path / f"images{k}.txt"
+        path.write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 300)  # blocks cut anywhere
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        try:
+            lines = model_lines(spark, path)
+            assert lines.select("_at").distinct().count() > 5
+            images, seen = md.parse_images(md.numbered(lines), [])
+            got = {r["image_id"]: r["name"] for r in images.collect()}, sorted((tuple(r[c] for c in ("image_id", "idx", "x", "y", "point_id")) for r in seen.collect()), key=str)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        want = plain_images(text)
+        assert got == want and len(want[0]) == 40, k
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [("1 1 0 0 0 0 0 0 1\n\n", "malformed image line"), ("x 1 0 0 0 0 0 0 1 a.png\n\n", "no number in image line"), ("1 1 0 0 0 0 no 0 1 a.png\n\n", "no number in image line"), ("1 1 0 0 0 0 0 0 1 a.png\n1 b 2\n", "observations of image 1")],
+)
+def test_malformed_images_are_an_error(spark, tmp_path, text, message):
+    (tmp_path / "images.txt").write_text("\n" + text)
+    images, seen = md.parse_images(md.numbered(model_lines(spark, tmp_path / "images.txt")), [])
+    with pytest.raises(Exception, match=message):
+        (seen if "observations" in message else images).collect()
+
+
 def test_alignment_is_gated(spark):
     rng = np.random.default_rng(3)
     rows = [(g, i, *map(float, p)) for g in range(4) for i, p in enumerate(rng.normal(0, 2, (64 if g < 3 else 5, 3)))]
