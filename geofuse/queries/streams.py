@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geofuse.queries.registry import query, r
 from geofuse.streaming import events as st
+from geofuse.streaming import stateful as sf_
 
 c = F.col
 US = "epoch_us(ts)"
@@ -28,14 +29,16 @@ RUNS = f"e AS (SELECT {US} AS us, event_id, user_id AS run, CASE WHEN mod(event_
 
 @query("t1_run_status", q=f"WITH {RUNS} SELECT run, us, event_id, kind, round(progress, 6) AS progress, detail, n AS events FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY us DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY run) AS n FROM e) x WHERE k = 1")
 def t1(spark: SparkSession, sf: str) -> DataFrame:
-    s = st.replayed(st.run_status(runs(spark, sf)), "complete")
-    return s.select("run", F.unix_micros("ts").alias("us"), "event_id", "kind", r("progress").alias("progress"), "detail", "events")
+    with sf_.state_store(spark):
+        s = st.replayed(sf_.run_status(runs(spark, sf)), "update", ("run",))
+    return s.withColumn("progress", r("progress"))
 
 
 @query("t2_queue_progress", q=f"""WITH {RUNS}, l AS (SELECT run, detail, CASE WHEN kind = 'done' THEN 1e0 ELSE greatest(0e0, least(1e0, progress)) END AS p, row_number() OVER (PARTITION BY run ORDER BY us DESC, event_id DESC) AS k FROM e),
 t AS (SELECT run, kind, row_number() OVER (PARTITION BY run ORDER BY us DESC, event_id DESC) AS k FROM e WHERE kind <> 'progress') SELECT l.run AS item, round(p, 6) + 0e0 AS progress, detail, coalesce(t.kind, 'running') AS state FROM l LEFT JOIN t ON t.run = l.run AND t.k = 1 WHERE l.k = 1""")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
-    q = st.replayed(st.queue_progress(runs(spark, sf)), "complete")
+    with sf_.state_store(spark):
+        q = st.replayed(sf_.queue_progress(runs(spark, sf)), "update", ("item",))
     return q.select("item", r("progress").alias("progress"), "detail", "state")
 
 
@@ -91,3 +94,17 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
     """File names as they land in seven folders."""
     name = F.when(c("event_id") % 3 == 0, F.format_string("/w%d/export_%d.ply", c("event_id") % 7, "event_id")).otherwise(F.format_string("/w%d/other_%d.ply", c("event_id") % 7, "event_id"))
     return st.replayed(st.newest_export(events(spark, sf).select(name.alias("path"))), "complete")
+
+
+@query("t4_stable_exports", q="""WITH p AS (SELECT '/w' || mod(event_id, 7) AS folder, event_id // 7 AS poll, event_id // 7 // 5 AS iteration, 100 * (1 + least((event_id // 7) % 5, (event_id // 7 // 5 * 7 + mod(event_id, 7)) % 6)) AS bytes FROM events),
+l AS (SELECT *, lag(iteration) OVER w AS i0, lag(bytes) OVER w AS b0 FROM p WINDOW w AS (PARTITION BY folder ORDER BY poll))
+SELECT folder, CAST(iteration AS INT) AS iteration, CAST(any_value(bytes) AS BIGINT) AS bytes, CAST(min(poll) AS BIGINT) AS poll FROM l WHERE iteration = i0 AND bytes = b0 GROUP BY folder, iteration""")
+def t4_stable(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven folders, a poll an event: a new export every fifth poll, which grows for up to five polls; some never come to rest."""
+    poll, folder = F.floor(c("event_id") / 7), c("event_id") % 7
+    iteration = F.floor(poll / 5)
+    grown = F.least(poll % 5, (iteration * 7 + folder) % 6)
+    name, path = F.format_string("/w%d", folder), F.format_string("/w%d/export_%d.ply", folder, iteration)
+    polls = events(spark, sf).select(poll.alias("poll"), name.alias("folder"), iteration.cast("int").alias("iteration"), path.alias("path"), (100 * (1 + grown)).cast("long").alias("bytes"))
+    with sf_.state_store(spark):
+        return st.replayed(sf_.stable_exports(polls), "append").select("folder", "iteration", "bytes", "poll")

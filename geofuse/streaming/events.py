@@ -1,4 +1,4 @@
-"""Event streams: run status, queue progress, gauges, and nearest matches between streams.
+"""Event streams: gauges, nearest matches between streams, newest exports; run status and queue progress are in stateful.
 
 Each function takes a streaming (or batch) DataFrame and gives one: the caller picks source and sink. Event time
 rules, which decide between late and repeated events, are stated in each.
@@ -6,7 +6,7 @@ rules, which decide between late and repeated events, are stated in each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofuse.plans.shared import new_dir
@@ -14,31 +14,6 @@ from geofuse.plans.shared import new_dir
 c = F.col
 
 
-def run_status(events: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """Per run its latest status by event time (ties by event_id): run, ts, event_id, kind, value, detail.
-
-    A running aggregate of one row a run; runs without an event for the watermark's time may be dropped from
-    state in update mode.
-    """
-    latest = F.max(F.struct("ts", "event_id", "kind", "progress", "detail"))
-    return events.withWatermark("ts", watermark).groupBy("run").agg(latest.alias("s"), F.count(F.lit(1)).alias("events")).select("run", "s.*", "events")
-
-
-def queue_progress(events: DataFrame) -> DataFrame:
-    """Per item its progress (0 to 1) and detail by the latest event, and its state by the latest terminal mark.
-
-    Progress that arrives after a terminal mark changes progress and detail, never the state.
-    """
-    order = F.struct("ts", "event_id")
-    terminal = c("kind").isin("done", "failed", "cancelled")
-    p = F.when(c("kind") == "done", 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("progress"))))
-    moves = terminal | (c("kind") == "progress")
-    return events.groupBy(c("run").alias("item")).agg(
-        F.max_by(p, F.when(moves, order)).alias("progress"), F.max_by("detail", F.when(moves, order)).alias("detail"),
-        F.coalesce(F.max_by("kind", F.when(terminal, order)), F.lit("running")).alias("state"),
-    )
-
-
 def gauge_windows(obs: DataFrame, size: str = "1 hour", slide: str | None = None, watermark: str = "30 minutes") -> DataFrame:
     """Per site and parameter count, mean and greatest value of tumbling or sliding windows; later rows than the watermark are dropped."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
@@ -74,14 +49,22 @@ def newest_export(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.select(folder.alias("folder"), n.alias("n")).filter("n <> ''").groupBy("folder").agg(F.max(c("n").cast("int")).alias("iteration"))
 
 
-def replayed(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and reads its result: complete and append tables."""
+def replayed(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what is there now and reads its result: complete and append tables, or the last row of each key of updates."""
     spark: SparkSession = stream.sparkSession
     path, state = new_dir(spark, "replay"), new_dir(spark, "replay-state")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def put(batch: DataFrame, nth: int) -> None:
+        batch.withColumn("_batch", F.lit(nth)).write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    out = spark.read.schema(f"{_ddl(stream)}, _batch int").parquet(path)
+    if mode == "update":
+        last = Window.partitionBy(*keys).orderBy(c("_batch").desc())
+        out = out.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth")
+    return out.drop("_batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
