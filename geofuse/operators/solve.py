@@ -161,11 +161,13 @@ def ground_plane(points: DataFrame, key: str, tries: int = 256, sample: int = 40
     return best.select((c("nx") * sign).alias("nx"), (c("ny") * sign).alias("ny"), (c("nz") * sign).alias("nz"), (c("hits") / c("n")).alias("share"))
 
 
-def tsdf_fuse(voxels: DataFrame, depth: DataFrame, views: DataFrame, trunc: float, least_cos: float = 0.2) -> DataFrame:
-    """Per voxel the cosine-weighted mean of the clamped distances that views measured: (vx, vy, vz) -> sdf, weight.
+def tsdf_fuse(voxels: DataFrame, depth: DataFrame, views: DataFrame, trunc: float, least_cos: float = 0.2, colours: tuple[str, ...] = ()) -> DataFrame:
+    """Per voxel the cosine-weighted mean of the clamped distances that views measured: (vx, vy, vz) -> sdf, weight, colours.
 
-    voxels has its indices and centre x y z; depth has image_id, py, px, depth and cos. views is broadcast
-    (cameras of one model, checked in in_views). Voxels that no view measured are absent.
+    voxels has its indices and centre x y z; depth has image_id, py, px, depth, cos and the columns colours. views is broadcast
+    (cameras of one model, whose number is checked). Voxels that no view measured are absent. A voxel's colours are the cosine-weighted
+    mean of the pixels that measured it nearer than trunc: farther ones show what stands before or behind it.
+    Without such a pixel they are 0.
     """
     from geofuse.functions.camera import project, world_to_cam
 
@@ -179,4 +181,6 @@ def tsdf_fuse(voxels: DataFrame, depth: DataFrame, views: DataFrame, trunc: floa
     hit = both.withColumns({"px": F.floor(u).cast("int"), "py": F.floor(w).cast("int")}).join(depth, ["image_id", "py", "px"])
     sdf = c("depth") - c("cz")
     seen = hit.filter((c("cos") >= least_cos) & (sdf >= -trunc) & (c("depth") > 0)).withColumn("sdf", F.least(sdf, F.lit(trunc)))
-    return seen.groupBy("vx", "vy", "vz").agg((F.sum(c("sdf") * c("cos")) / F.sum("cos")).alias("sdf"), F.sum("cos").alias("weight"))
+    close = F.when(F.abs("sdf") < trunc, c("cos"))
+    tint = [F.coalesce(F.sum(close * c(k)) / F.sum(F.when(c(k).isNotNull(), close)), F.lit(0.0)).alias(k) for k in colours]
+    return seen.groupBy("vx", "vy", "vz").agg((F.sum(c("sdf") * c("cos")) / F.sum("cos")).alias("sdf"), F.sum("cos").alias("weight"), *tint)

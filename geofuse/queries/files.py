@@ -129,6 +129,22 @@ def g5(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("site", "vx", "vy", "vz", "axis", *[r(k).alias(k) for k in "xyz"])
 
 
+#: A colour of a sample, by its place.
+R = "mod(mod({0}.vx * 3 + {0}.vy * 5 + {0}.vz * 7, 11) + 11, 11) / 10e0"
+
+
+@query("g5_surface_colours", q=f"""WITH {FIELD}, full_cube AS (SELECT site, vx - i AS cx, vy - j AS cy, vz - k AS cz FROM fx_field, range(0, 2) a(i), range(0, 2) b(j), range(0, 2) d(k) GROUP BY ALL HAVING count(*) = 8),
+e AS (SELECT p.site, p.vx, p.vy, p.vz, a.axis, -p.value / (q.value - p.value) AS t, {R.format("p")} AS r0, {R.format("q")} AS r1 FROM fx_field p CROSS JOIN range(0, 3) a(axis) JOIN fx_field q ON q.site = p.site AND q.vx = p.vx + CASE WHEN a.axis = 0 THEN 1 ELSE 0 END AND q.vy = p.vy + CASE WHEN a.axis = 1 THEN 1 ELSE 0 END AND q.vz = p.vz + CASE WHEN a.axis = 2 THEN 1 ELSE 0 END
+ WHERE (p.value < 0) <> (q.value < 0))
+SELECT DISTINCT e.site, e.vx, e.vy, e.vz, CAST(e.axis AS INT) AS axis, round(vx + CASE WHEN axis = 0 THEN t ELSE 0 END, 6) + 0e0 AS x, round(vy + CASE WHEN axis = 1 THEN t ELSE 0 END, 6) + 0e0 AS y, round(vz + CASE WHEN axis = 2 THEN t ELSE 0 END, 6) + 0e0 AS z, round(r0 + t * (r1 - r0), 9) + 0e0 AS r
+FROM e JOIN full_cube f ON f.site = e.site AND e.vx - f.cx BETWEEN 0 AND CASE WHEN axis = 0 THEN 0 ELSE 1 END AND e.vy - f.cy BETWEEN 0 AND CASE WHEN axis = 1 THEN 0 ELSE 1 END AND e.vz - f.cz BETWEEN 0 AND CASE WHEN axis = 2 THEN 0 ELSE 1 END""")
+def g5_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """The vertices with a colour, carried along the edges that are cut; bricks so small that most surfaces cross many."""
+    shade = F.pmod(c("vx") * 3 + c("vy") * 5 + c("vz") * 7, F.lit(11)) / 10
+    v, _ = su.iso_surface(field(spark, sf).withColumn("r", shade), ["site"], colours=("r",), brick=4)
+    return v.select("site", "vx", "vy", "vz", "axis", *[r(k).alias(k) for k in "xyz"], r("r", 9).alias("r"))
+
+
 @query("g5_surface_area")
 def g5_area(spark: SparkSession, sf: str) -> DataFrame:
     """Triangles and area of each surface."""

@@ -93,6 +93,23 @@ def a30(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vx", "vy", "vz", r("sdf", 10).alias("sdf"), r("weight").alias("weight"))
 
 
+@query("a30_tsdf_colours", "fx_splat", "fx_view", q="""WITH vox AS (SELECT DISTINCT CAST(floor(x * 4) AS BIGINT) AS vx, CAST(floor(y * 4) AS BIGINT) AS vy, CAST(floor(z * 4) AS BIGINT) AS vz FROM fx_splat),
+q AS (SELECT vx, vy, vz, image_id, (vx + 0.5e0) / 4 + tx AS cx, (vy + 0.5e0) / 4 + ty AS cy, (vz + 0.5e0) / 4 + tz AS cz, f, width, height FROM vox, fx_view),
+p AS (SELECT *, CAST(floor(f * cx / cz + width / 2) AS INT) AS px, CAST(floor(f * cy / cz + height / 2) AS INT) AS py FROM q WHERE cz > 1e-4),
+s AS (SELECT vx, vy, vz, 3e0 + mod(px * 7 + py * 3, 50) / 10e0 - cz AS sdf, 0.2e0 + mod(px + py, 8) / 10e0 AS cs, mod(px, 256) / 255e0 AS r, mod(py, 256) / 255e0 AS g FROM p WHERE px >= 0 AND py >= 0 AND px < 640 AND py < 480 AND mod(px + py, 3) <> 0)
+SELECT vx, vy, vz, round(sum(least(sdf, 0.75e0) * cs) / sum(cs), 10) + 0e0 AS sdf, round(sum(cs), 6) AS weight, round(coalesce(sum(CASE WHEN sdf > -0.75e0 AND sdf < 0.75e0 THEN cs * r END) / sum(CASE WHEN sdf > -0.75e0 AND sdf < 0.75e0 THEN cs END), 0e0), 9) + 0e0 AS r,
+ round(coalesce(sum(CASE WHEN sdf > -0.75e0 AND sdf < 0.75e0 THEN cs * g END) / sum(CASE WHEN sdf > -0.75e0 AND sdf < 0.75e0 THEN cs END), 0e0), 9) + 0e0 AS g FROM s WHERE cs >= 0.2e0 AND sdf >= -0.75e0 GROUP BY ALL""")
+def a30_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """Voxels that hold a splat, against depth images and colours in closed form (a third of the pixels empty)."""
+    s = view(spark, sf, "fx_splat").select(*[F.floor(c(k) * 4).alias(f"v{k}") for k in "xyz"]).distinct()
+    vox = s.withColumns({k: (c(f"v{k}") + 0.5) / 4 for k in "xyz"})
+    views = view(spark, sf, "fx_view")
+    d = views.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(479))).alias("py")).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(639))))
+    d = d.filter((c("px") + c("py")) % 3 != 0).select("image_id", "py", "px", (3 + (c("px") * 7 + c("py") * 3) % 50 / 10).alias("depth"), (0.2 + (c("px") + c("py")) % 8 / 10).alias("cos"), (c("px") % 256 / 255).alias("r"), (c("py") % 256 / 255).alias("g"))
+    out = so.tsdf_fuse(vox, d, views, 0.75, colours=("r", "g"))
+    return out.select("vx", "vy", "vz", r("sdf", 10).alias("sdf"), r("weight").alias("weight"), r("r", 9).alias("r"), r("g", 9).alias("g"))
+
+
 @query("p20_camera_frustum", "fx_obs", "fx_view", q="""SELECT o.solver, v.image_id, round(0.8e0 * v.image_id, 6) + 0e0 AS cx, round(-v.tz, 6) + 0e0 AS cz, round(0.8e0 * v.image_id + least(2e0, greatest(0.05e0, 0.12e0 * me)) * 320 / f, 6) + 0e0 AS corner_x
 FROM (SELECT solver, percentile_disc(0.5) WITHIN GROUP (ORDER BY err_px * 10 DESC) AS me FROM fx_obs GROUP BY solver) o, fx_view v""")
 def p20(spark: SparkSession, sf: str) -> DataFrame:

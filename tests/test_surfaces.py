@@ -64,6 +64,42 @@ def test_missing_samples_leave_holes(spark):
     assert mesh(spark, {(0, 0, 0): 1.0})[1] == []
 
 
+def test_bricks_of_any_size_make_one_surface(spark):
+    """The same vertices and triangles, whatever the bricks; about one row a sample is dealt out; repeated and null samples."""
+    rng = random.Random(8)
+    rows = [(m, x - 9, y, z, rng.uniform(-1, 1)) for m in range(2) for x in range(19) for y in range(9) for z in range(9) if rng.random() < 0.97]
+    rows += [(0, 0, 0, 0, None), (0, 1, 1, 1, float("nan")), (*rows[50][:4], rows[50][4] - 3)]
+    df = spark.createDataFrame(rows, "m int, vx long, vy long, vz long, value double")
+    seen = set()
+    for brick in (2, 5, 32):
+        v, t = su.iso_surface(df, ["m"], iso=0.1, brick=brick)
+        vs = sorted(tuple(r) for r in v.collect())
+        assert len({r[:2] for r in vs}) == len(vs)
+        seen.add((tuple(vs), tuple(sorted(tuple(r) for r in t.collect()))))
+    assert len(seen) == 1 and len(next(iter(seen))[1]) > 500
+
+
+def test_colours_are_carried_onto_the_surface(spark):
+    """One colour everywhere gives it to every vertex; colours that follow the place are blended where the edge is cut."""
+    rows = [(0, x, y, z, math.dist((x, y, z), (5.5, 5.5, 5.5)) - 3.2, 1.0, 0.0, x / 11) for x in range(12) for y in range(12) for z in range(12)]
+    v, _ = su.iso_surface(spark.createDataFrame(rows, "m int, vx long, vy long, vz long, value double, r double, g double, b double"), ["m"], colours=("r", "g", "b"))
+    out = v.collect()
+    assert len(out) > 50 and all((p["r"], p["g"]) == (1.0, 0.0) and p["b"] == pytest.approx(p["x"] / 11) for p in out)
+
+
+def test_fused_colours_come_from_the_band_alone(spark):
+    """One camera, three voxels on its axis: in the band before the wall, far before it, and behind it beyond the band."""
+    from geofuse.operators.solve import tsdf_fuse
+
+    views = spark.createDataFrame([(i, 100.0, 64.0, 48.0, 1.0, *[0.0] * 6) for i in (1, 2)], "image_id int, f double, width double, height double, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    depth = spark.createDataFrame([(1, 24, 32, 1.0, 1.0, 1.0, 0.0), (2, 24, 32, 1.6, 0.5, 0.0, 1.0)], "image_id int, py int, px int, depth double, cos double, r double, g double")
+    vox = spark.createDataFrame([(0, 0, k, 0.0, 0.0, z) for k, z in enumerate((0.9, 0.3, 1.5, 1.1))], "vx long, vy long, vz long, x double, y double, z double")
+    got = {r["vz"]: (r["sdf"], r["weight"], r["r"], r["g"]) for r in tsdf_fuse(vox, depth, views, 0.3, colours=("r", "g")).collect()}
+    assert got[0] == pytest.approx(((0.1 + 0.5 * 0.3) / 1.5, 1.5, 1.0, 0.0))  # the second image measures it too far off for its colour
+    assert got[1] == pytest.approx((0.3, 1.5, 0.0, 0.0))
+    assert got[2] == pytest.approx((0.1, 0.5, 0.0, 1.0)) and got[3] == pytest.approx(((-0.1 + 0.5 * 0.3) / 1.5, 1.5, 1.0, 0.0))
+
+
 def test_depth_of_one_wall(spark):
     """Opaque splats on a plane before the camera: its depth and a normal that faces the eye."""
     rows = [(i * 40 + j, (i - 20) / 10, (j - 20) / 10, 5.0) for i in range(40) for j in range(40)]
