@@ -28,12 +28,19 @@ def gauge_sessions(obs: DataFrame, gap: str = "30 minutes", watermark: str = "1
 
 
 def within(left: DataFrame, right: DataFrame, by: str, seconds: float, watermark: str = "10 minutes") -> DataFrame:
-    """Pairs of a left row (ts) and the right rows (rts) of its key that are near in time: an interval join with bounded state."""
-    left, right = left.withWatermark("ts", watermark).alias("l"), right.withWatermark("rts", watermark).alias("r")
+    """Pairs of a left row (ts) and the right rows (rts) of its key that are near in time: an interval join with bounded state.
+
+    Rows meet by key and by a stretch of time four times as long as seconds; right rows go to every stretch that they can reach, one or
+    two. So the rows of one key are spread over tasks by their times.
+    """
+    cell = int(seconds * 4e6)
+    left = left.withWatermark("ts", watermark).withColumn("_cell", F.floor(F.unix_micros("ts") / cell)).alias("l")
+    reach = [F.floor((F.unix_micros("rts") + F.lit(d * int(seconds * 1e6))) / cell) for d in (-1, 1)]
+    right = right.withWatermark("rts", watermark).withColumn("_cell", F.explode(F.array_distinct(F.array(*reach)))).alias("r")
     span = F.make_dt_interval(secs=F.lit(seconds))
-    near = (c(f"l.{by}") == c(f"r.{by}")) & (c("r.rts") >= c("l.ts") - span) & (c("r.rts") <= c("l.ts") + span)
-    keep = [c(f"r.{k}") for k in right.columns if k != by]
-    return left.join(right, near).select("l.*", *keep)
+    near = (c(f"l.{by}") == c(f"r.{by}")) & (c("l._cell") == c("r._cell")) & (c("r.rts") >= c("l.ts") - span) & (c("r.rts") <= c("l.ts") + span)
+    keep = [c(f"r.{k}") for k in right.columns if k not in (by, "_cell")]
+    return left.join(right, near).select(*[c(f"l.{k}") for k in left.columns if k != "_cell"], *keep)
 
 
 def nearest_of(pairs: DataFrame, key: str, order: str) -> DataFrame:
