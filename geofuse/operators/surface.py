@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geofuse.functions import camera as cam
@@ -30,9 +31,9 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     """Depth images: image_id, py, px, depth, cover, nx, ny, nz of the pixels that splats cover well enough.
 
     Each splat is an ellipse on each view (whose longer side is scaled to most_pixels or less); the pixels that it
-    may touch are those of the tiles its three-sigma square meets. Front to back, a pixel takes alpha of what
-    light is left, until it is full: a running sum of log(1 - alpha) in depth order. Views are broadcast: the
-    cameras of one model, whose number is checked.
+    may touch are those of the tiles its three-sigma square meets. A row a splat and tile is shuffled, and put in
+    order of depth in the tile (ties by splat_id). Front to back, a pixel takes alpha of what light is left, until it is full;
+    splats behind full tiles are passed over. Views are broadcast: the cameras of one model, whose number is checked.
     """
     if views.count() > 20000:
         raise ValueError("too many views to send to every task: split the model")
@@ -66,27 +67,73 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     b = b.withColumns({"det": det, "radius": radius, "u": c("vf") * c("ax") / c("depth") + c("vx"), "w": c("vf") * c("ay") / c("depth") + c("vy")})
     b = _settled(b).filter((c("det") > 1e-12) & (c("radius") <= MOST_RADIUS) & (c("u") + c("radius") >= 0) & (c("w") + c("radius") >= 0) & (c("u") - c("radius") < c("vw")) & (c("w") - c("radius") < c("vh")))
 
-    def span(at: str, var: str, size: str):
-        """The pixels of the tiles that the square meets, where the exponent is -12 or more."""
+    def tiles(at: str, var: str, size: str):
+        """The tiles that the square meets and that have pixels where the exponent is -12 or more."""
         reach = F.sqrt(24 * c(var))
         low = F.greatest(F.floor((c(at) - c("radius")) / TILE) * TILE, F.lit(0), F.ceil(c(at) - reach - 0.5))
         high = F.least(F.floor((c(at) + c("radius")) / TILE) * TILE + TILE - 1, c(size).cast("long") - 1, F.floor(c(at) + reach - 0.5))
-        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-
-    b = b.select("image_id", "splat_id", "depth", "opacity", "u", "w", "e0", "e1", "e2", "det", *[(c(f"n{k}") * c("flip")).alias(f"n{k}") for k in "xyz"], span("u", "e0", "vw").alias("xs"), span("w", "e2", "vh").alias("ys"))
-    b = b.withColumn("px", F.explode("xs")).withColumn("py", F.explode("ys"))
-    dx, dy = c("px") + 0.5 - c("u"), c("py") + 0.5 - c("w")
-    power = -0.5 * (c("e2") * dx * dx - 2 * c("e1") * dx * dy + c("e0") * dy * dy) / c("det")
-    b = b.withColumn("power", power).filter((c("power") <= 0) & (c("power") >= -12)).withColumn("alpha", F.least(c("opacity") * F.exp("power"), F.lit(0.99)))
-    b = b.filter(c("alpha") >= LEAST_ALPHA).select("image_id", "py", "px", "splat_id", "depth", "alpha", "nx", "ny", "nz")
-    front = Window.partitionBy("image_id", "py", "px").orderBy("depth", "splat_id").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("light", F.exp(F.coalesce(F.sum(F.log1p(-c("alpha"))).over(front), F.lit(0.0)))).filter(c("light") >= FULL)
-    share = c("light") * c("alpha")
-    out = b.groupBy("image_id", "py", "px").agg(
-        (F.sum(share * c("depth")) / F.sum(share)).alias("depth"), F.sum(share).alias("cover"), *[(F.sum(share * c(k)) / F.sum(share)).alias(k) for k in ("nx", "ny", "nz")]
-    )
-    length = F.sqrt(c("nx") * c("nx") + c("ny") * c("ny") + c("nz") * c("nz"))
-    return out.filter(c("cover") >= LEAST_COVER).withColumns({k: F.when(length > 1e-6, c(k) / length).otherwise(0.0) for k in ("nx", "ny", "nz")})
+        return F.when(low <= high, F.sequence(F.floor(low / TILE), F.floor(high / TILE))).otherwise(F.array().cast("array<bigint>"))
+
+    values = ["depth", "opacity", "u", "w", "e0", "e1", "e2", "det", "nx", "ny", "nz", "vw", "vh"]
+    b = b.withColumns({f"n{k}": c(f"n{k}") * c("flip") for k in "xyz"}).withColumns({"_xs": tiles("u", "e0", "vw"), "_ys": tiles("w", "e2", "vh")})
+    b = b.withColumn("_tx", F.explode("_xs")).withColumn("_ty", F.explode("_ys")).select("image_id", "_tx", "_ty", "splat_id", *values)
+    order = ["image_id", "_tx", "_ty", "depth", "splat_id"]
+    kind = views.schema["image_id"].dataType.simpleString()
+    shape = f"image_id {kind}, py int, px int, depth double, cover double, nx double, ny double, nz double"
+    return b.repartition("image_id", "_tx", "_ty").sortWithinPartitions(*order).select("image_id", "_tx", "_ty", *values).mapInArrow(_composited, shape)
+
+
+class _Tile:
+    """The pixels of a tile while splats come front to back: the light left, and sums of what was seen."""
+
+    def __init__(self, x: int, y: int):
+        self.py, self.px = (v.ravel() for v in np.mgrid[y * TILE : (y + 1) * TILE, x * TILE : (x + 1) * TILE])
+        self.light, self.sums = np.ones(TILE * TILE), np.zeros((5, TILE * TILE))
+        self.size = 0, 0
+
+    def add(self, s: dict[str, np.ndarray]) -> None:
+        """A piece of splats, in order; nothing is done once every pixel is full."""
+        open_ = np.flatnonzero(self.light >= FULL)
+        self.size = int(s["vw"][0]), int(s["vh"][0])
+        if not len(open_):
+            return
+        dx, dy = self.px[open_] + 0.5 - s["u"][:, None], self.py[open_] + 0.5 - s["w"][:, None]
+        power = -0.5 * (s["e2"][:, None] * dx * dx - 2 * s["e1"][:, None] * dx * dy + s["e0"][:, None] * dy * dy) / s["det"][:, None]
+        alpha = np.minimum(s["opacity"][:, None] * np.exp(np.minimum(power, 0)), 0.99)
+        alpha[(power > 0) | (power < -12) | (alpha < LEAST_ALPHA)] = 0
+        left = np.exp(np.cumsum(np.log1p(-alpha), axis=0))
+        light = self.light[open_] * np.vstack([np.ones(len(open_)), left[:-1]])
+        share = np.where(light >= FULL, light * alpha, 0)
+        self.sums[:, open_] += np.stack([share.sum(0), *[(share * s[k][:, None]).sum(0) for k in ("depth", "nx", "ny", "nz")]])
+        self.light[open_] *= left[-1]
+
+    def pixels(self, image) -> pa.RecordBatch:
+        fine = np.flatnonzero((self.sums[0] >= LEAST_COVER) & (self.px < self.size[0]) & (self.py < self.size[1]))
+        cover, depth, *n = self.sums[:, fine]
+        n = np.stack(n) / np.maximum(cover, 1e-300)
+        length = np.sqrt((n**2).sum(0))
+        n = np.where(length > 1e-6, n / np.maximum(length, 1e-300), 0.0)
+        out = {"image_id": [image] * len(fine), "py": self.py[fine].astype("int32"), "px": self.px[fine].astype("int32"), "depth": depth / np.maximum(cover, 1e-300), "cover": cover}
+        return pa.RecordBatch.from_pydict(out | dict(zip(("nx", "ny", "nz"), n)))
+
+
+def _composited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixels of tiles whose splats follow each other; one tile is held at a time, and a piece of its splats."""
+    at, tile = None, None
+    for batch in batches:
+        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        values = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names[3:]}
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(k[a] for k in keys) if b > a else at
+            if key != at:
+                if tile:
+                    yield tile.pixels(at[0])
+                at, tile = key, _Tile(int(key[1]), int(key[2]))
+            for i in range(a, b, TILE * TILE):
+                tile.add({k: v[i : min(i + TILE * TILE, b)] for k, v in values.items()})
+    if tile:
+        yield tile.pixels(at[0])
 
 
 # Surfaces -------------------------------------------------------------------------------------------------------

@@ -114,6 +114,29 @@ def test_depth_of_one_wall(spark):
     assert behind.count() == 0 and su.composite_depth(s.withColumn("opacity_logit", F.lit(-5.0)), v, 64).count() == 0
 
 
+def test_tiles_that_are_full_stop_and_rows_are_tiles(spark):
+    """Many layers of opaque splats: the depth is the first's; a row a splat and tile is dealt out, whatever the batches."""
+    rows = [(i, float(i % 7), float(i % 5), 4.0 + i // 35) for i in range(35 * 40)]
+    s = spark.createDataFrame([(i, (x - 3) / 2, (y - 2) / 2, z) for i, x, y, z in rows], "splat_id long, x double, y double, z double").withColumns(
+        {k: F.lit(math.log(0.5)) for k in ("s0", "s1", "s2")} | {"opacity_logit": F.lit(9.0), "qw": F.lit(1.0)} | {k: F.lit(0.0) for k in ("qx", "qy", "qz", "dc0", "dc1", "dc2")}
+    )
+    v = spark.createDataFrame([(k, 40.0, 40.0, 24.0, 1.0, *[0.0] * 6) for k in ("a", "b")], "image_id string, f double, width double, height double, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    whole = sorted(map(tuple, su.composite_depth(s, v, 64).collect()))
+    assert len(whole) > 500 and all(r[3] < 5.5 for r in whole)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        parts = sorted(map(tuple, su.composite_depth(s, v, 64).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    assert [r[:3] for r in parts] == [r[:3] for r in whole] and np.allclose([r[3:] for r in parts], [r[3:] for r in whole])
+    t = su._Tile(0, 0)
+    one = {k: np.full(3, x) for k, x in {"u": 8.0, "w": 8.0, "e0": 1e5, "e1": 0.0, "e2": 1e5, "det": 1e10, "opacity": 0.99, "depth": 2.0, "nx": 0.0, "ny": 0.0, "nz": 1.0, "vw": 16.0, "vh": 16.0}.items()}
+    t.add(one)
+    before = t.sums.copy()
+    t.add(one | {"depth": np.full(3, 9.0)})
+    assert (t.light < su.FULL).all() and (t.sums == before).all()
+
+
 def ply(fields, rows, count=None):
     head = f"ply\nformat binary_little_endian 1.0\ncomment x\nelement vertex {len(rows) if count is None else count}\n" + "".join(f"property {t} {n}\n" for n, t in fields) + "element face 0\nproperty list uchar int vertex_indices\nend_header\n"
     kind = np.dtype([(n, "<" + bi.PLY_TYPES[t]) for n, t in fields])
