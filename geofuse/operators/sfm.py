@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geofuse.plans.components import components
-from geofuse.plans.rank import nth_smallest
-from geofuse.plans.shared import stored
+from geofuse.plans.rank import nth_smallest, ranked
+from geofuse.plans.shared import attach, salt_bit, salt_of, stored
 from geofuse.plans.stencil import beside, stencil
 
 c = F.col
+#: Keypoints of a frame that are packed together and compared at once.
+BLOCK = 4096
 
 
 def pack_bits(bits: DataFrame) -> DataFrame:
@@ -20,24 +24,67 @@ def pack_bits(bits: DataFrame) -> DataFrame:
     return bits.groupBy("frame_id", "kp_id").agg(F.sum(F.call_function("shiftleft", c("v").cast("long"), c("bit").cast("int"))).alias("desc"))
 
 
-def match_descriptors(kps: DataFrame, pairs: DataFrame, ratio: float = 0.8, max_distance: int = 64, cross_check: bool = True) -> DataFrame:
+def match_descriptors(kps: DataFrame, pairs: DataFrame, ratio: float = 0.8, max_distance: int = 64, cross_check: bool = True, block: int = BLOCK) -> DataFrame:
     """Best matches (fa, fb, i, j, d) of the keypoints of frame pairs by Hamming distance.
 
     The best must be near enough, and clearly better than the second; with cross_check it must be best both
-    ways. Of equals the lowest id is best. Keypoints meet within a pair of frames alone, whose number of
-    keypoints the detector bounds; row_number() <= 2 is cut before the shuffle.
+    ways. Of equals the lowest id is best. Keypoints without a descriptor take no part.
+
+    Descriptors are packed, block keypoints of a frame to a row. Each pair of blocks of a pair of frames is compared in one kernel,
+    which gives two candidates a keypoint and way; what is shuffled are packed blocks and those, never a row for each pair of
+    keypoints. A frame may have any number of keypoints.
     """
-    a = kps.select(c("frame_id").alias("fa"), c("kp_id").alias("i"), c("desc").alias("da"))
-    b = kps.select(c("frame_id").alias("fb"), c("kp_id").alias("j"), c("desc").alias("db"))
-    met = pairs.join(a, "fa").join(b, "fb").withColumn("d", F.bit_count(c("da").bitwiseXOR(c("db"))))
-    ahead = Window.partitionBy("fa", "fb", "i").orderBy("d", "j")
-    two = met.select("fa", "fb", "i", "j", "d").withColumn("k", F.row_number().over(ahead)).filter("k <= 2")
-    best = two.groupBy("fa", "fb", "i").agg(F.min(F.struct("d", "j")).alias("m"), F.max(F.when(c("k") == 2, c("d"))).alias("d2"))
-    best = best.select("fa", "fb", "i", "m.j", "m.d", "d2").filter((c("d") <= max_distance) & (c("d2").isNull() | (c("d") <= ratio * c("d2"))))
-    if cross_check:
-        back = met.groupBy("fa", "fb", "j").agg(F.min(F.struct("d", "i")).alias("m")).select("fa", "fb", "j", c("m.i").alias("i"))
-        best = best.join(back, ["fa", "fb", "i", "j"], "left_semi")
-    return best.drop("d2")
+    rows = ranked(kps.filter("desc IS NOT NULL").select("frame_id", "kp_id", "desc"), ["frame_id"], ["kp_id"])
+    part = F.floor(c("rank") / block).cast("int")
+    packed = rows.groupBy("frame_id", part.alias("part"), F.ceil(c("__n") / block).cast("int").alias("parts")).agg(F.collect_list(F.struct("kp_id", "desc")).alias("k"))
+    packed = stored(packed.select("frame_id", "part", "parts", c("k.kp_id").alias("ids"), c("k.desc").alias("desc")), "packed-descriptors")
+    for frame, own in (("fa", "pa"), ("fb", "pb")):
+        parts = packed.filter("part = 0").select(c("frame_id").alias(frame), F.sequence(F.lit(0), c("parts") - 1).alias("_n"))
+        pairs = pairs.join(parts, frame).withColumn(own, F.explode("_n")).drop("_n")
+    pairs = pairs.select("fa", "fb", "pa", "pb")
+    key = F.struct("fa", "fb", "pa", "pb")
+    a = packed.select(c("frame_id").alias("fa"), c("part").alias("pa"), "ids", "desc").join(pairs, ["fa", "pa"]).select(key.alias("a"), "ids", "desc")
+    b = packed.select(c("frame_id").alias("fb"), c("part").alias("pb"), c("ids").alias("ids_b"), c("desc").alias("desc_b")).join(pairs, ["fb", "pb"]).select(key.alias("b"), "ids_b", "desc_b")
+    frame, kp = (kps.schema[k].dataType.simpleString() for k in ("frame_id", "kp_id"))
+    met = a.groupBy("a").cogroup(b.groupBy("b")).applyInArrow(_compared, f"fa {frame}, fb {frame}, own {kp}, other {kp}, d int, back boolean")
+    place = Window.partitionBy("fa", "fb", "back", "own").orderBy("d", "other")
+    two = met.withColumn("k", F.row_number().over(place)).filter("k <= 2")
+    best = two.groupBy("fa", "fb", "back", "own").agg(F.min(F.struct("d", "other")).alias("m"), F.max(F.when(c("k") == 2, c("d"))).alias("d2")).select("fa", "fb", "back", "own", "m.other", "m.d", "d2")
+    clear = (c("d") <= max_distance) & (c("d2").isNull() | (c("d") <= ratio * c("d2")))
+    if not cross_check:
+        return best.filter(~c("back") & clear).select("fa", "fb", c("own").alias("i"), c("other").alias("j"), "d")
+    # Both ways of a match come together: the way there has to be clear, the way back only best.
+    ends = F.when(c("back"), c("other")).otherwise(c("own")).alias("i"), F.when(c("back"), c("own")).otherwise(c("other")).alias("j")
+    both = best.filter(c("back") | clear).groupBy("fa", "fb", *ends).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"))
+    return both.filter("n = 2").select("fa", "fb", "i", "j", "d")
+
+
+def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The two nearest keypoints of the other block, for each of either block; of equals the lower id."""
+    if not (left.num_rows and right.num_rows):
+        out = [np.zeros(0, "int64")] * 4
+        key = {"fa": None, "fb": None}
+    else:
+        key = left["a"][0].as_py()
+        sides = []
+        for t, ids, desc in ((left, "ids", "desc"), (right, "ids_b", "desc_b")):
+            own = t[ids][0].values.to_numpy(zero_copy_only=False)
+            order = np.argsort(own, kind="stable")
+            sides.append((own[order], t[desc][0].values.to_numpy(zero_copy_only=False)[order].view("uint64")))
+        d = np.empty((len(sides[0][0]), len(sides[1][0])), "uint8")
+        for at in range(0, len(d), 256):
+            d[at : at + 256] = np.bitwise_count(sides[0][1][at : at + 256, None] ^ sides[1][1][None, :])
+        found = []
+        for (own, _), (other, _), m, back in ((*sides, d, False), (*sides[::-1], d.T, True)):
+            near = m.astype("int32") * len(other) + np.arange(len(other), dtype="int32") if m.size * 65 < 1 << 31 else m.astype("int64") * len(other) + np.arange(len(other))
+            k = min(2, len(other))
+            for n in range(k):
+                nearest = near.argmin(1)
+                found.append((own, other[nearest], m[np.arange(len(own)), nearest], np.full(len(own), back)))
+                near[np.arange(len(own)), nearest] = np.iinfo(near.dtype).max
+        out = [np.concatenate(x) for x in zip(*found)]
+    n = len(out[0])
+    return pa.table({"fa": [key["fa"]] * n, "fb": [key["fb"]] * n, "own": out[0], "other": out[1], "d": out[2].astype("int32"), "back": out[3].astype(bool)})
 
 
 def pair_displacement(matches: DataFrame, kps: DataFrame) -> DataFrame:
@@ -186,8 +233,10 @@ def mesh_components(triangles: DataFrame) -> DataFrame:
     links = triangles.select(c("v0").alias("a"), c("v1").alias("b")).unionByName(triangles.select(c("v0").alias("a"), c("v2").alias("b")))
     comp = components(links.filter("a <> b"))
     t = triangles.join(comp.select(c("node").alias("v0"), "root"), "v0", "left").withColumn("component", F.coalesce("root", "v0"))
-    size = t.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return t.join(size, "component").select("tri_id", "component", "size")
+    t = stored(t.select("tri_id", "component", salt_of("tri_id").alias("salt")), "mesh-triangles")
+    # A mesh is mostly one component: its triangles are spread over salts.
+    size = t.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bit_or(salt_bit(c("salt"))).alias("salts"))
+    return attach(t, size, ["component"]).select("tri_id", "component", "size")
 
 
 def keep_large(triangles: DataFrame, fraction: float) -> DataFrame:
