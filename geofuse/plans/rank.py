@@ -7,28 +7,62 @@ from pyspark.sql import functions as F
 
 from geofuse.plans.shared import stored
 
+#: The most rows of a group that one task puts in order.
+MOST = 1 << 17
 
-def nth_smallest(df: DataFrame, value: str, rank: Column, by: list[str], accuracy: int = 10000) -> DataFrame:
+
+def nth_smallest(df: DataFrame, value: str, rank: Column, by: list[str], accuracy: int = 10000, most: int = MOST) -> DataFrame:
     """Per group the value of a 0-based rank, where rank is an expression of the group's row count n.
 
-    An approximate percentile brackets the rank from both sides; values below the bracket are only counted,
-    and equal values are grouped before those inside are put in order.
+    Groups of at most `most` rows are put in order. A larger group is narrowed in rounds: an approximate percentile
+    gives two values around the rank, exact counts tell on which side of them, between them or on which of
+    them the rank lies, and the next round looks at that open interval alone, a hundredth of the rows or so. Both values
+    leave with each round, so ties end it, too. No task puts more than `most` rows in order. Nulls don't count.
     """
-    counts = df.groupBy(*by).agg(F.count(value).alias("n")) if by else df.agg(F.count(value).alias("n"))
-    marks = [i / 200 for i in range(201)]
-    sketch = df.groupBy(*by).agg(F.percentile_approx(value, marks, accuracy).alias("marks"))
-    wanted = (counts.join(sketch, by) if by else counts.crossJoin(sketch)).withColumn("k", rank)
-    at = F.col("k") / F.greatest(F.col("n") - 1, F.lit(1)) * 200
-    low = F.get("marks", F.greatest(F.floor(at).cast("int") - 1, F.lit(0)))
-    high = F.get("marks", F.least(F.ceil(at).cast("int") + 1, F.lit(200)))
-    wanted = wanted.select(*by, "n", "k", low.alias("low"), high.alias("high"))
-    rows = df.select(*by, F.col(value).alias("v")).filter("v IS NOT NULL")
-    tagged = rows.join(wanted, by) if by else rows.crossJoin(F.broadcast(wanted))  # without by one row
-    side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
-    groups = tagged.withColumn("side", side).groupBy(*by, "k", "side", F.when(side == 0, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = groups.withColumn("upto", F.sum("c").over(w))
-    hit = placed.filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))
+    keys = by or ["__all"]
+    rows = (df if by else df.withColumn("__all", F.lit(0))).select(*keys, F.col(value).alias("v")).filter("v IS NOT NULL")
+    kind = rows.schema["v"].dataType
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("k", rank.cast("long")).filter((F.col("k") >= 0) & (F.col("k") < F.col("n")))
+    none = F.lit(None).cast(kind)
+    groups = stored(counts.select(*keys, "k", F.col("n").alias("m"), none.alias("lo"), none.alias("hi"), none.alias("found")), "ranks")
+    small, done = groups.filter(F.col("m") <= most), []
+    large = groups.filter(F.col("m") > most)
+    beyond = large.select(*keys)
+
+    def inside(state: DataFrame) -> DataFrame:
+        # At most one group for every `most` rows is sent to every task.
+        met = rows.join(F.broadcast(state), keys)
+        return met.filter((F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi"))))
+
+    narrowed = not large.isEmpty()
+    state = large
+    while narrowed:
+        marks = inside(state).groupBy(*keys).agg(F.percentile_approx("v", [i / 200 for i in range(201)], accuracy).alias("marks"))
+        at = F.col("k") / F.greatest(F.col("m") - 1, F.lit(1)) * 200
+        low, high = F.get("marks", F.greatest(F.floor(at).cast("int") - 1, F.lit(0))), F.get("marks", F.least(F.ceil(at).cast("int") + 1, F.lit(200)))
+        state = stored(state.join(marks, keys).select(*keys, "k", "m", "lo", "hi", low.alias("a"), high.alias("b")), "rank-brackets")
+        v, a, b = F.col("v"), F.col("a"), F.col("b")
+        parts = {"under": v < a, "on_a": v == a, "between": (v > a) & (v < b), "on_b": (v == b) & (a < b), "over": v > b}
+        seen = inside(state).groupBy(*keys, "k", "lo", "hi", "a", "b").agg(*[F.count_if(x).alias(name) for name, x in parts.items()])
+        k, upto, way = F.col("k"), F.lit(0), None
+        for name, lo, hi, found in (("under", F.col("lo"), a, none), ("on_a", none, none, a), ("between", a, b, none), ("on_b", none, none, b), ("over", b, F.col("hi"), none)):
+            here = F.struct((k - upto).alias("k"), F.col(name).alias("m"), lo.alias("lo"), hi.alias("hi"), found.alias("found"))
+            upto = upto + F.col(name)
+            way = F.when(k < upto, here) if way is None else way.when(k < upto, here)
+        state = stored(seen.select(*keys, way.alias("w")).select(*keys, "w.*"), "rank-rounds")
+        done.append(state.filter(F.col("found").isNotNull() | (F.col("m") <= most)))
+        state = state.filter(F.col("found").isNull() & (F.col("m") > most))
+        narrowed = not state.isEmpty()
+    met = rows.join(F.broadcast(beyond), keys, "left_anti").join(small.select(*keys, "k"), keys).select(*keys, "k", "v")
+    out = []
+    for part in done:
+        met = met.unionByName(inside(part.filter("found IS NULL")).select(*keys, "k", "v"))
+        out.append(part.filter("found IS NOT NULL").select(*keys, F.col("found").alias("v")))
+    placed = met.groupBy(*keys, "k", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = placed.withColumn("upto", upto).filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k"))).select(*keys, "v")
+    for part in out:
+        hit = hit.unionByName(part)
     return hit.select(*by, F.col("v").alias(value))
 
 
