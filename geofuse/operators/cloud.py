@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from geofuse.functions import camera as cam
 from geofuse.functions import splat as sp
 from geofuse.plans.rank import nth_smallest, ranked
-from geofuse.plans.shared import stored
+from geofuse.plans.shared import attach, few, salt_bit, salt_of, stored
 
 c = F.col
+#: Cells along the longest side of a cloud, and how far beyond its image a view still sees, as a part of the image.
+CELLS, BORDER = 32, 0.1
 # Block names by colour, in the order that decides ties.
 PALETTE = (
     ("white", 207, 213, 214), ("orange", 224, 97, 0), ("magenta", 169, 48, 159), ("light_blue", 36, 137, 199), ("yellow", 241, 175, 21), ("lime", 94, 169, 24), ("pink", 214, 101, 143),
@@ -141,17 +143,42 @@ def voxelize(splats: DataFrame, extent: int = 64, quantile: float = 0.95, least_
     return v.filter("weight >= 1e-4").select("bx", "by", "bz", "weight", nearest_palette(c("red"), c("green"), c("blue")).alias("block"))
 
 
-def in_views(splats: DataFrame, views: DataFrame) -> DataFrame:
-    """Splats with the views that see them, ten percent of border included. views is broadcast: the cameras of one model, whose number is checked."""
-    if views.count() > 20000:
-        raise ValueError("too many views to send to every task: split the model")
+def view_candidates(splats: DataFrame, views: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Splats with the views that may see them: those whose frustum meets the ball around the splats of their cell.
+
+    A lattice of cells along the longest side of the cloud gives at most (cells + 1) ** 3 balls, each as small as its splats
+    allow; balls are set against frusta, and splats meet only the views that their ball is left with. The splats of a
+    crowded cell are spread over salts. views is broadcast: the cameras of one model, whose number is checked.
+    """
     v = views.select("image_id", "f", "width", "height", *[c(k).alias(f"v_{k}") for k in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
-    both = splats.join(F.broadcast(v))
+    s = splats.filter(" AND ".join(f"abs({k}) < double('inf')" for k in "xyz"))
+    box = s.agg(*[f(k).alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in "xyz"]).first()
+    low = {k: float(box[f"lo{k}"] or 0) for k in "xyz"}
+    edge = max((float(box[f"hi{k}"] or 0) - low[k] for k in "xyz"), default=0) / cells or 1.0
+    keys = [f"_cell_{k}" for k in "xyz"]
+    s = s.withColumns({n: F.floor((c(k) - low[k]) / edge).cast("int") for n, k in zip(keys, "xyz")} | {"_salt": salt_of(*"xyz")})
+    balls = s.groupBy(*keys).agg(*[f(k).cast("double").alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in "xyz"], F.bit_or(salt_bit(c("_salt"))).alias("salts"))
+    half = [(c(f"hi{k}") - c(f"lo{k}")) / 2 for k in "xyz"]
+    met = balls.withColumn("_r", F.sqrt(sum((h * h for h in half), F.lit(0.0))) * (1 + 1e-9) + 1e-9).join(few(v, what="views"))
+    p = cam.world_to_cam((c("v_qw"), c("v_qx"), c("v_qy"), c("v_qz")), (c("v_tx"), c("v_ty"), c("v_tz")), tuple(c(f"lo{k}") + h for k, h in zip("xyz", half)))
+    met = met.withColumns({f"_p{i}": p[i] for i in range(3)}).filter(c("_p2") + c("_r") > 0)
+    for i, side in enumerate(("width", "height")):
+        # Seen from where both planes of a side meet, the ball reaches over neither of them.
+        wide = (0.5 + BORDER) * c(side)
+        met = met.filter(c("f") * F.abs(f"_p{i}") - wide * c("_p2") <= c("_r") * F.sqrt(c("f") * c("f") + wide * wide) * (1 + 1e-9))
+    pairs = met.select(*keys, "salts", *v.columns)
+    return attach(s, pairs, keys, salt="_salt").drop(*keys, "_salt")
+
+
+def in_views(splats: DataFrame, views: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Splats with the views that see them, ten percent of border included; by cells of splats first (view_candidates)."""
+    both = view_candidates(splats, views, cells)
     p = cam.world_to_cam((c("v_qw"), c("v_qx"), c("v_qy"), c("v_qz")), (c("v_tx"), c("v_ty"), c("v_tz")), (c("x"), c("y"), c("z")))
     both = both.withColumns({"cx": p[0], "cy": p[1], "depth": p[2]}).filter("depth > 1e-4")
     u, w = cam.project([c("cx"), c("cy"), c("depth")], c("f"), c("width"), c("height"))
     seen = both.withColumns({"px": u, "py": w})
-    return seen.filter((c("px") >= -0.1 * c("width")) & (c("px") <= 1.1 * c("width")) & (c("py") >= -0.1 * c("height")) & (c("py") <= 1.1 * c("height")))
+    lo, hi = -BORDER, 1 + BORDER
+    return seen.filter((c("px") >= lo * c("width")) & (c("px") <= hi * c("width")) & (c("py") >= lo * c("height")) & (c("py") <= hi * c("height")))
 
 
 def mip_filter(splats: DataFrame, views: DataFrame, size: float = 0.2, focal_scale: float = 1.0) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geofuse.plans.shared import few
+
 c = F.col
 
 
@@ -172,9 +174,7 @@ def tsdf_fuse(voxels: DataFrame, depth: DataFrame, views: DataFrame, trunc: floa
     from geofuse.functions.camera import project, world_to_cam
 
     v = views.select("image_id", "f", "width", "height", *[c(k).alias(f"v_{k}") for k in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
-    if v.count() > 20000:
-        raise ValueError("too many views to send to every task: split the model")
-    both = voxels.join(F.broadcast(v))
+    both = voxels.join(few(v, what="views"))
     p = world_to_cam((c("v_qw"), c("v_qx"), c("v_qy"), c("v_qz")), (c("v_tx"), c("v_ty"), c("v_tz")), (c("x"), c("y"), c("z")))
     both = both.withColumns({"cx": p[0], "cy": p[1], "cz": p[2]}).filter("cz > 1e-4")
     u, w = project([c("cx"), c("cy"), c("cz")], c("f"), c("width"), c("height"))

@@ -16,6 +16,7 @@ from geofuse.functions import splat as sp
 from geofuse.operators.cloud import cloud_stats, decode
 from geofuse.operators.telemetry import fit_sim3
 from geofuse.plans.rank import ranked
+from geofuse.plans.shared import few
 
 c = F.col
 # Pixels of a tile, the widest splat, the low-pass, the least alpha, opacity and coverage, and when a pixel is full.
@@ -35,8 +36,6 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     order of depth in the tile (ties by splat_id). Front to back, a pixel takes alpha of what light is left, until it is full;
     splats behind full tiles are passed over. Views are broadcast: the cameras of one model, whose number is checked.
     """
-    if views.count() > 20000:
-        raise ValueError("too many views to send to every task: split the model")
     s = F.least(F.lit(1.0), most_pixels / F.greatest("width", "height"))
     v = views.select(
         "image_id", (c("f") * s).alias("vf"), F.greatest(F.round(c("width") * s), F.lit(1.0)).alias("vw"), F.greatest(F.round(c("height") * s), F.lit(1.0)).alias("vh"),
@@ -52,7 +51,7 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     p = cam.world_to_cam(q, t, (c("x"), c("y"), c("z")))
     eye, turn = cam.centre(q, t), sp.rotation(*q)
     toward = sum((c(f"n{k}") * (eye[i] - c(k)) for i, k in enumerate("xyz")), F.lit(0.0))
-    b = d.join(F.broadcast(v)).withColumns({"ax": p[0], "ay": p[1], "depth": p[2], "flip": F.when(toward < 0, -1.0).otherwise(1.0)})
+    b = d.join(few(v, what="views")).withColumns({"ax": p[0], "ay": p[1], "depth": p[2], "flip": F.when(toward < 0, -1.0).otherwise(1.0)})
     b = _settled(b).filter("depth >= 1e-3")
     sigma = [[c(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     # The rows of (Jacobian of the projection) x (rotation of the view), and the 2 x 2 covariance on the image.

@@ -64,6 +64,13 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df.stored_at)
 
 
+def few(df: DataFrame, most: int = 20000, what: str = "rows") -> DataFrame:
+    """A table to be sent to every task, counted first: more rows than most are an error."""
+    if df.count() > most:
+        raise ValueError(f"too many {what} to send to every task: split them, most {most}")
+    return F.broadcast(df)
+
+
 def salt_of(*cols: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 

@@ -11,6 +11,7 @@ from geofuse.fixtures import view
 from geofuse.functions import camera as cam
 from geofuse.functions import splat as sp
 from geofuse.operators import cloud as op
+from geofuse.plans.shared import few
 from geofuse.queries.registry import query, r
 
 c = F.col
@@ -156,7 +157,7 @@ def p29(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p19_project", E, "fx_view", q="""SELECT source, image_id, count(*) AS ahead, round(sum(f * cx / cz + 320e0), 1) AS su FROM (SELECT e.source, v.image_id, v.f, e.x + v.tx AS cx, e.z + v.tz AS cz FROM fx_evidence e, fx_view v) p WHERE cz > 1e-6 GROUP BY ALL""")
 def p19(spark: SparkSession, sf: str) -> DataFrame:
-    both = evidence(spark, sf).join(F.broadcast(views(spark, sf)))
+    both = evidence(spark, sf).join(few(views(spark, sf), what="views"))
     p = cam.world_to_cam((c("qw"), c("qx"), c("qy"), c("qz")), (c("tx"), c("ty"), c("tz")), (c("x"), c("y"), c("z")))
     both = both.withColumns({"cx": p[0], "cy": p[1], "cz": p[2]})
     u, _ = cam.project([c("cx"), c("cy"), c("cz")], c("f"), c("width"), c("height"))
@@ -169,7 +170,7 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
     """Every second pixel of a depth image back in the world: expressions alone."""
     px = view(spark, sf, "fx_pixel").filter("mod(x, 2) = 0 AND mod(y, 2) = 0").withColumn("z", 1 + c("g") / 50).filter("z > 1e-4")
     v = views(spark, sf).select(c("image_id").alias("v_id"), "qw", "qx", "qy", "qz", "tx", "ty", "tz")
-    px = px.join(F.broadcast(v), c("image_id") % 12 == c("v_id"))
+    px = px.join(few(v, what="views"), c("image_id") % 12 == c("v_id"))
     d = [(c("x") - 4) / 8 * c("z") - c("tx"), (c("y") - 4) / 8 * c("z") - c("ty"), c("z") - c("tz")]
     m = sp.rotation(c("qw"), c("qx"), c("qy"), c("qz"))
     w = [m[0][i] * d[0] + m[1][i] * d[1] + m[2][i] * d[2] for i in range(3)]

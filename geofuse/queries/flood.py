@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geofuse.fixtures import sql, view
 from geofuse.functions import flood as f
 from geofuse.operators import flood as op
+from geofuse.plans.shared import few
 from geofuse.queries.registry import query, r
 
 c = F.col
@@ -46,10 +47,11 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
     """Every run against every later one as its checkpoint, time by time."""
     t = ts(spark, sf)
     s = op.depth_stats(t)
-    runs = t.select("run_id").distinct()  # a few runs: pairs are of runs, not of cells
+    runs = t.select("run_id").distinct()  # pairs are of runs, not of cells, and counted
     pairs = runs.select(c("run_id").alias("ra")).join(runs.select(c("run_id").alias("rb")), c("ra") < c("rb"))
+    pairs = few(pairs, what="pairs of runs")
     left, right = (t.select(c("run_id").alias(k), "t_s", "row", "col", "h") for k in ("ra", "rb"))
-    cells = op.compare_cells(left.join(F.broadcast(pairs), "ra"), right.join(F.broadcast(pairs), "rb"), ["ra", "rb", "t_s"])
+    cells = op.compare_cells(left.join(pairs, "ra"), right.join(pairs, "rb"), ["ra", "rb", "t_s"])
     a = s.select(c("run_id").alias("ra"), "t_s", "mass", "max_depth", "wet_fraction")
     b = s.select(c("run_id").alias("rb"), "t_s", c("mass").alias("ck_mass"), c("max_depth").alias("ck_max_depth"), c("wet_fraction").alias("ck_wet_fraction"))
     out = op.compare_checkpoint(a.join(b, "t_s").filter("ra < rb").join(cells, ["ra", "rb", "t_s"]))

@@ -10,6 +10,7 @@ from geofuse.operators import flood as fl
 from geofuse.operators import solve as so
 from geofuse.plans.asof import asof_nearest
 from geofuse.queries.flood import STATS
+from geofuse.plans.shared import few
 from geofuse.queries.registry import query, r
 from geofuse.sources import readers as rd
 
@@ -119,7 +120,7 @@ def p20(spark: SparkSession, sf: str) -> DataFrame:
 
     o = view(spark, sf, "fx_obs").groupBy("solver").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY err_px * 10 DESC)").alias("me"))
     d = F.least(F.lit(2.0), F.greatest(F.lit(0.05), 0.12 * c("me")))
-    b = view(spark, sf, "fx_view").join(F.broadcast(o)).withColumn("d", d)
+    b = view(spark, sf, "fx_view").join(few(o, what="solvers")).withColumn("d", d)
     q, t = tuple(c(k) for k in ("qw", "qx", "qy", "qz")), tuple(c(k) for k in ("tx", "ty", "tz"))
     m, at = rotation(*q), centre(q, t)
     ray = (c("width") / 2 / c("f") * c("d"), c("height") / 2 / c("f") * c("d"), c("d"))
