@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofuse.plans.rangejoin import boxes_that_meet
@@ -69,6 +69,26 @@ def list_cached(files: DataFrame, path: str = "path") -> DataFrame:
     return kept.withColumn("format", geo_format(F.col("name")))
 
 
+ENTRY = "id string, title string, provider string, format string, license string, stale boolean, localPath string, notes string"
+
+
+def list_cached_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog of a folder's own files: id, title, provider, format, license, local_path, notes.
+
+    A .catalog.json file is the entry that it holds, if it can be read. Other rasters and features are local assets, named by their
+    file, with an id from the hash of their path; metadata beside them isn't listed, nor are folders below. Only names are read,
+    and the catalog files.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("path"))
+    local = list_cached(files).select(
+        F.concat(F.lit("local-"), F.substring(F.sha2("path", 256), 1, 12)).alias("id"), F.col("name").alias("title"), F.lit("local").alias("provider"), "format",
+        F.lit(None).cast("string").alias("license"), F.col("path").alias("local_path"), F.lit("Cached local asset").alias("notes"),
+    )
+    entries = spark.read.option("pathGlobFilter", "*.catalog.json").text(folder, wholetext=True).select(F.from_json("value", ENTRY).alias("e"))
+    entries = entries.filter("e.id IS NOT NULL AND e.title IS NOT NULL AND e.provider IS NOT NULL AND e.format IS NOT NULL")
+    return local.unionByName(entries.select("e.id", "e.title", "e.provider", "e.format", "e.license", F.col("e.localPath").alias("local_path"), "e.notes"))
+
+
 def dem_rank(name):
     lower = F.lower(name)
     return (

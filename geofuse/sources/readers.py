@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import csv
+import re
+import urllib.parse
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ TIME = ("time", "timestamp", "unix", "unix_s", "datetime", "utc")
 STD_H = ("std_h", "h_acc", "hacc", "horizontal_accuracy")
 STD_V = ("std_v", "v_acc", "vacc", "vertical_accuracy")
 YAW = ("yaw", "heading", "heading_deg")
+#: Folders that hold no telemetry.
+SKIPPED = ("tiles", "runs", "exports", "derived")
 
 
 def _number(df: DataFrame, aliases: tuple[str, ...]) -> Column:
@@ -25,18 +29,33 @@ def _number(df: DataFrame, aliases: tuple[str, ...]) -> Column:
     return F.expr(f"try_cast(trim(`{name}`) AS DOUBLE)") if name else F.lit(None).cast("double")
 
 
-def telemetry_csv(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Telemetry from a table of strings with any known header; rows without a position are dropped."""
-    std_h = F.greatest(F.abs(F.coalesce(_number(df, STD_H), F.lit(2.0))), F.lit(0.05))
-    time = first_column(df.columns, TIME)
+def _double(text: Column | None) -> Column:
+    return F.lit(None).cast("double") if text is None else F.trim(text).try_cast("double")
+
+
+def _telemetry(df: DataFrame, text: Callable[[tuple[str, ...]], Column | None], keep: tuple[str, ...]) -> DataFrame:
+    """Telemetry of rows whose fields text() gives, by the aliases of a header; rows without a position are dropped."""
+    number = lambda aliases: _double(text(aliases))
+    std_h = F.greatest(F.abs(F.coalesce(number(STD_H), F.lit(2.0))), F.lit(0.05))
+    time = text(TIME)
     out = df.select(
-        _number(df, LON).alias("lon_deg"), _number(df, LAT).alias("lat_deg"), F.coalesce(_number(df, ALT), F.lit(0.0)).alias("height_m"),
-        (parse_loose_time(c(time)) if time else F.lit(None).cast("double")).alias("unix_s"), std_h.alias("std_e"), std_h.alias("std_n"),
-        F.greatest(F.abs(F.coalesce(_number(df, STD_V), 2 * std_h)), F.lit(0.05)).alias("std_u"), _number(df, YAW).alias("heading_deg"), F.lit("csv").alias("source"), *keep,
+        number(LON).alias("lon_deg"), number(LAT).alias("lat_deg"), F.coalesce(number(ALT), F.lit(0.0)).alias("height_m"),
+        (parse_loose_time(time) if time is not None else F.lit(None).cast("double")).alias("unix_s"), std_h.alias("std_e"), std_h.alias("std_n"),
+        F.greatest(F.abs(F.coalesce(number(STD_V), 2 * std_h)), F.lit(0.05)).alias("std_u"), number(YAW).alias("heading_deg"), F.lit("csv").alias("source"), *keep,
     )
     return out.filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
 
 
+def telemetry_csv(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Telemetry from a table of strings with any known header; rows without a position are dropped."""
+
+    def text(aliases: tuple[str, ...]) -> Column | None:
+        name = first_column(df.columns, aliases)
+        return c(f"`{name}`") if name else None
+
+    return _telemetry(df, text, keep)
+
+
 def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
     return telemetry_csv(spark.read.csv(path, header=True, comment="#", mode="PERMISSIVE"))
 
@@ -193,32 +212,45 @@ def read_gpx(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
     return parts[0].unionByName(parts[1]).filter("lon_deg IS NOT NULL AND lat_deg IS NOT NULL")
 
 
-def _below(spark: SparkSession, folder: str, glob: str, whole: bool = False) -> DataFrame:
+def _own(folder: str, file: Column) -> Column:
+    """Whether a file below a folder counts: at most four folders deep, none of them of tiles or results."""
+    base = re.escape(urllib.parse.quote(re.sub("^[a-z0-9]+:/+", "/", folder).rstrip("/")))
+    parts = F.split(F.regexp_extract(file, f"{base}/(.*)$", 1), "/")
+    return (F.size(parts) <= 5) & ~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(k) for k in SKIPPED]))
+
+
+def _below(spark: SparkSession, folder: str, glob: str, whole: bool = False, name: str = "") -> DataFrame:
+    """Lines (or texts) of the files below a folder that count, whose names fit the glob and the pattern name."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=whole)
-    return files.select("value", c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_at"))
+    files = files.select("value", c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_at")).filter(_own(folder, c("_file")))
+    return files.filter(F.element_at(F.split("_file", "/"), -1).rlike(name)) if name else files
 
 
-def _csv_by_header(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """Telemetry of CSV files, a plan for each distinct header: its own names and order hold for each file."""
-    lines = _below(spark, folder, "*.[cC][sS][vV]").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
-    lines = lines.filter("NOT startswith(value, '#') AND trim(value) != ''").withColumn("_n", F.monotonically_increasing_id())
+def _csv_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Telemetry of CSV files in one plan, each by its own header: its names are set against the aliases, its rows read by place."""
+    lines = _below(spark, folder, "*.[cC][sS][vV]", name="(?i)^(?!.*gcp)").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    lines = lines.filter("NOT startswith(trim(value), '#') AND trim(value) != ''").withColumn("_n", F.monotonically_increasing_id())
     first = lines.groupBy("_file").agg(F.min_by("value", F.struct("_at", "_n")).alias("_header"))
-    lines, parts = lines.join(first, "_file"), []
-    for header in sorted(r["_header"] for r in first.select("_header").distinct().collect()):
-        names = [k.replace("`", "") for k in next(csv.reader([header]))]
-        lower = [k.lower() for k in names]
-        names = [f"{k or '_c'}{i}" if not k or lower.count(k.lower()) > 1 and lower.index(k.lower()) < i else k for i, k in enumerate(names)]
-        row = F.from_csv("value", ", ".join(f"`{k}` string" for k in names), {"mode": "PERMISSIVE"})
-        own = lines.filter(c("_header") == header).select(row.alias("_row"), c("_file").alias("_path"))
-        parts.append(telemetry_csv(own.select("_row.*", "_path"), ("_path",)).withColumnRenamed("_path", "_file"))
-    return parts
+    most = first.agg(F.max(F.size(F.split("_header", ",")))).first()[0] or 1
+    fields = lambda text: F.array(*[F.from_csv(text, ", ".join(f"c{i} string" for i in range(most)), {"mode": "PERMISSIVE"})[f"c{i}"] for i in range(most)])
+    names = F.transform(fields(c("_header")), lambda k: F.lower(F.trim(k)))
+    spots = {k: F.coalesce(*[F.nullif(F.array_position(c("_names"), F.lit(a)), F.lit(0)) for a in k]).cast("int") for k in (LON, LAT, ALT, TIME, STD_H, STD_V, YAW)}
+    first = first.withColumn("_names", names).select("_file", "_header", *[spot.alias(f"_{k[0]}") for k, spot in spots.items()])
+    rows = lines.join(first, "_file").filter(c("value") != c("_header")).withColumn("_row", fields(c("value")))
+    return _telemetry(rows, lambda aliases: F.get("_row", c(f"_{aliases[0]}") - 1), ("_file",))
 
 
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """All telemetry files below a folder, by extension, with the file of each row."""
+    """All telemetry files below a folder, by extension and name, with the file of each row.
+
+    Tables of control points (gcp in the name of a CSV file) aren't telemetry; a .txt file is one of positions if its name says so.
+    Folders more than four deep, and those of tiles, runs, exports and derived files, are left out.
+    """
     keep = ("_file",)
+    placed = _below(spark, folder, "*.{[pP][oO][sS],[pP][pP][kK],[tT][xX][tT]}", name=r"(?i)(\.pos$|\.ppk$|(pos|ppk).*\.txt$)")
+    gpx = read_gpx(spark, folder, "*.[gG][pP][xX]").filter(_own(folder, c("_file")))
     rows = [srt_cues(_below(spark, folder, "*.[sS][rR][tT]", True).drop("_at")).withColumn("source", F.lit("srt")), mrk(_below(spark, folder, "*.[mM][rR][kK]"), keep=keep),
-            pos(_below(spark, folder, "*.[pP][oO][sS]"), keep=keep), kml(_below(spark, folder, "*.[kK][mM][lL]", True), keep=keep), read_gpx(spark, folder, "*.[gG][pP][xX]"), *_csv_by_header(spark, folder)]
+            pos(placed, keep=keep), kml(_below(spark, folder, "*.[kK][mM][lL]", True), keep=keep), gpx, _csv_files(spark, folder)]
     out = rows[0]
     for other in rows[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
@@ -227,6 +259,8 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def source_warnings(spark: SparkSession, folder: str) -> DataFrame:
     """file, warning: a row for each telemetry file below a folder that gives no position."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[sS][rR][tT],[mM][rR][kK],[pP][oO][sS],[kK][mM][lL],[gG][pP][xX],[cC][sS][vV]}").load(folder)
+    kinds = ",".join("".join(f"[{k}{k.upper()}]" for k in kind) for kind in ("srt", "mrk", "pos", "ppk", "kml", "gpx", "csv"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{kinds}}}").load(folder)
+    files = files.filter(_own(folder, c("_metadata.file_path")) & ~c("_metadata.file_name").rlike("(?i)gcp.*\\.csv$"))
     empty = files.select(c("_metadata.file_path").alias("file")).join(read_sources(spark, folder).select("file"), "file", "left_anti")
     return empty.select("file", F.lit("no positions").alias("warning"))

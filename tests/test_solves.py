@@ -121,3 +121,27 @@ def test_sources_of_every_kind_and_header(spark, tmp_path):
     got = {(r["source"], r["lat_deg"], r["lon_deg"], r["file"].rsplit("/", 1)[1]) for r in rows}
     assert len(rows) == 5 and got == {("csv", -41.5, 174.7, "a.csv"), ("csv", -41.6, 174.9, "b.CSV"), ("gpx", -41.0, 174.0, "t.GPX"), ("gpx", -41.2, 174.5, "t.GPX"), ("mrk", -41.7, 174.3, "e.MRK")}
     assert [(r["file"].rsplit("/", 1)[1], r["warning"]) for r in readers.source_warnings(spark, str(tmp_path)).collect()] == [("bad.kml", "no positions")]
+    # Control points aren't telemetry; positions by name; folders of tiles, and those five deep, are left out.
+    (tmp_path / "my_GCP.csv").write_text("lat,lon\n1,2\n")
+    (tmp_path / "flight_ppk.txt").write_text("2024/01/02 03:04:05.0 -41.5 174.9 30.0 0.01\n")
+    (tmp_path / "notes.txt").write_text("2024/01/02 03:04:05.0 -41.5 174.9 30.0 0.01\n")
+    for folder in ("in side/tiles", "1/2/3/4", "1/2/3/4/5"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.csv").write_text("LATITUDE, lng \n-1,2\n")
+    more = [(r["source"], r["file"].rsplit("/", 2)[1:]) for r in readers.read_sources(spark, str(tmp_path)).collect()]
+    assert len(more) == 7 and ("pos", [tmp_path.name, "flight_ppk.txt"]) in more and ("csv", ["4", "x.csv"]) in more
+
+
+def test_many_headers_are_one_plan(spark, tmp_path):
+    """Forty headers, columns in any order, names twice: one scan of the files, each read by its own header."""
+    for i in range(40):
+        names = ["lat", "lon", *[f"c{k}" for k in range(i % 5)], "Lat"]
+        turn = i % len(names)
+        values = {"lat": str(i), "lon": str(i + 0.5), "Lat": "99"} | {f"c{k}": '"a, b"' for k in range(5)}
+        head = names[turn:] + names[:turn]
+        row = [values[k] if k != "Lat" else (str(i) if head.index("Lat") < head.index("lat") else "99") for k in head]
+        row = [("99" if k == "lat" and head.index("Lat") < head.index("lat") else v) for k, v in zip(head, row)]
+        (tmp_path / f"{i}.csv").write_text(",".join(head) + "\n" + ",".join(row) + "\n")
+    df = readers._csv_files(spark, str(tmp_path))
+    assert sorted((r["lat_deg"], r["lon_deg"]) for r in df.collect()) == [(float(i), i + 0.5) for i in range(40)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
