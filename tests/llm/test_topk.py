@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ def test_op13_equals_brute_force(spark, sf):
     df = topk.op13_topk(spark, sf)
     assert dict(df.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
     assert got(df) == brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    assert sorted(con.execute(topk.ORACLES["op13_topk"]).df()[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == got(df)
 
 
 @pytest.mark.parametrize("spread", [0.0, 1.0, 3.0])
