@@ -62,6 +62,7 @@ class Node:
     tag: str
     attributes: str = ""
     children: list[Node | str] = field(default_factory=list)
+    dark: bool = False
 
     def get(self, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -157,10 +158,12 @@ def parse(source: str) -> Node:
     return root
 
 
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse|initial)", re.I)
 
 
 def visible(node: Node) -> bool:
+    """Whether a node has a box; what has none shows nothing of what is inside."""
     if node.tag in UNSEEN:
         return False
     if not node.attributes:
@@ -168,11 +171,36 @@ def visible(node: Node) -> bool:
     lower = node.attributes.lower()
     if "hidden" in lower and node.get("hidden") is not None:
         return False
-    if "style" in lower and HIDDEN_STYLE.search(node.get("style") or ""):
-        return False
+    if "style" in lower:
+        style = node.get("style") or ""
+        if HIDDEN_STYLE.search(style) or node.tag in ("tr", "tbody", "thead", "tfoot") and _visibility(style) == "collapse":
+            return False
     return node.tag != "dialog" or node.get("open") is not None
 
 
+def _visibility(style: str) -> str | None:
+    """What a style says of visibility: its last word on it."""
+    found = VISIBILITY.findall(style)
+    return found[-1].lower() if found else None
+
+
+def shade(root: Node) -> None:
+    """Takes the text out of nodes that are invisible, by their own style or by that of what they are in; boxes stay.
+
+    Visibility is inherited, and a node inside an invisible one may be visible again.
+    """
+    todo = [(root, False)]
+    while todo:
+        node, dark = todo.pop()
+        if node.attributes and "visibility" in node.attributes.lower():
+            own = _visibility(node.get("style") or "")
+            dark = dark if own is None else own in ("hidden", "collapse")
+        node.dark = dark
+        if dark:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        todo += [(c, dark) for c in node.children if isinstance(c, Node)]
+
+
 class Page:
     """Lines in the making: pending inline text, and the blank line that is due before the next."""
 
@@ -322,8 +350,67 @@ def lay_table(node: Node, page: Page):
                 page.line(out.rstrip())
 
 
-def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None):
-    """Lays out a node's children; ordered is the number of the next item of an ordered list."""
+def _number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else None
+
+
+def _roman(n: int) -> str:
+    pairs = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+    out = ""
+    for value, sign in pairs:
+        out, n = out + sign * (n // value), n % value
+    return out
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n > 0:
+        n, k = divmod(n - 1, 26)
+        out = chr(97 + k) + out
+    return out
+
+
+class Numbers:
+    """The numbers of an ordered list: where it starts, which way it counts, and how numbers are written."""
+
+    def __init__(self, node: Node):
+        self.step = -1 if node.get("reversed") is not None else 1
+        items = sum(isinstance(c, Node) and c.tag == "li" and visible(c) for c in node.children)
+        first = _number(node.get("start"))
+        self.next = first if first is not None else 1 if self.step > 0 else items
+        self.kind = (node.get("type") or "").strip()
+
+    def take(self, item: Node) -> str:
+        own = _number(item.get("value")) if item.attributes else None
+        n = self.next if own is None else own
+        self.next = n + self.step
+        if self.kind in ("i", "I") and 0 < n < 4000:
+            text = _roman(n)
+        elif self.kind in ("a", "A") and n > 0:
+            text = _letters(n)
+        else:
+            return str(n)
+        return text.upper() if self.kind.isupper() else text
+
+
+#: Kinds of inputs that show no text of their own, and what buttons without a label say.
+SILENT, LABELS = set("hidden checkbox radio file range color password image date datetime-local month week time".split()), {"submit": "Submit", "reset": "Reset"}
+
+
+def _input(node: Node) -> str:
+    """What an input shows: a button's label, a field's value or else its placeholder."""
+    kind = (node.get("type") or "text").strip().lower()
+    if kind in SILENT or node.dark:
+        return ""
+    value = node.get("value")
+    if kind in ("submit", "reset", "button"):
+        return value if value is not None else LABELS.get(kind, "")
+    return value or node.get("placeholder") or ""
+
+
+def lay(node: Node, page: Page, inside: bool = False, ordered: Numbers | None = None):
+    """Lays out a node's children; ordered has the numbers of the items of an ordered list."""
     for child in node.children:
         if isinstance(child, str):
             page.inline.append(child)
@@ -343,12 +430,14 @@ def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None
                 page.inline.append(" ")
             continue
         if tag not in BLOCK:
-            if tag == "q":
+            if tag == "q" and not child.dark:
                 page.inline.append('"')
             if tag in ("textarea", "button", "xmp", "plaintext", "label", "input", "img"):
                 page.inline.append(" ")
+            if tag == "input" and (text := _input(child)):
+                page.inline.append(text + " ")
             yield lay(child, page)
-            if tag == "q":
+            if tag == "q" and not child.dark:
                 page.inline.append('"')
             if tag in ("textarea", "button", "xmp", "plaintext", "label"):
                 page.inline.append(" ")
@@ -363,11 +452,10 @@ def lay(node: Node, page: Page, inside: bool = False, ordered: int | None = None
         elif tag in ("ul", "menu"):
             yield lay(child, page)
         elif tag == "ol":
-            start = (child.get("start") or "1").strip()
-            yield lay(child, page, ordered=int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
+            yield lay(child, page, ordered=Numbers(child))
         elif tag == "li":
-            mark = "- " if ordered is None else f"{ordered}. "
-            ordered = None if ordered is None else ordered + 1
+            mark = "- " if ordered is None else f"{ordered.take(child)}. "
+            mark = " " * len(mark) if child.dark else mark
             before, outer = page.indent, page.mark
             page.indent, page.mark = before + " " * len(mark) * (len(before) < INDENT), mark
             yield lay(child, page)
@@ -403,8 +491,10 @@ def render(source: str | None) -> str:
     """The visible text of a page; empty for null."""
     if not source:
         return ""
-    page = Page()
-    _run(lay(parse(source), page))
+    page, root = Page(), parse(source)
+    if "visibility" in source.lower():
+        shade(root)
+    _run(lay(root, page))
     page.flush()
     return "\n".join(page.lines)
 

@@ -114,3 +114,130 @@ def test_depth_changes_nothing():
 )
 def test_drawn_and_chosen_text(source, text):
     assert render(source) == text
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>v</p>no<b>no<i style='VISIBILITY:visible'>w</i></b></div>x", "v\n\nw\nx"),
+        ("<p style='visibility:hidden;visibility:visible'>yes</p><p style='visibility:collapse'>no<b hidden style='visibility:visible'>no</b></p>", "yes"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>a<tr><td>no<td>no</table>", "a"),
+        ("<table><tr style='visibility:collapse'><td>no<td style='visibility:visible'>no<tr><td>a</table>", "a"),
+        ("<ul><li style='visibility:hidden'>no<span style='visibility:visible'>a</span><li>b</ul>", "  a\n- b"),
+        ("<ol><li>a<li value=9>b<li>c</ol>", "1. a\n9. b\n10. c"),
+        ("<ol reversed><li>a<li>b<li>c</ol><ol reversed start=9><li>d<li>e</ol>", "3. a\n2. b\n1. c\n\n9. d\n8. e"),
+        ("<ol type=a start=26><li>x<li>y</ol><ol type=I><li>x<li value=14>y</ol>", "z. x\naa. y\n\nI. x\nXIV. y"),
+        ("<ol type=i start=0><li>x<li>y</ol>", "0. x\ni. y"),
+        ("<input type=submit value=Go><input type=reset><input type=hidden value=no><input value=v placeholder=no><input placeholder=p><input type=checkbox value=no>", "Go Reset v p"),
+        ("<div style='visibility:hidden'><input value=no><q>no</q><select><option>no</select></div>x", "x"),
+    ],
+)
+def test_visibility_numbers_and_controls(source, text):
+    assert render(source) == text
+
+
+# A second renderer, over trees instead of sources: events of a walk, folded to lines.
+
+INLINE, PLAIN, SET_APART = ("b", "span", "i"), ("div", "section", "dd"), ("p", "h1", "blockquote")
+
+
+def source_of(tree):
+    if isinstance(tree, str):
+        return tree
+    tag, style, children = tree
+    head = f"<{tag} style='{style}'>" if style else f"<{tag}>"
+    return head if tag == "br" else head + "".join(map(source_of, children)) + f"</{tag}>"
+
+
+def walk(tree, dark, parent):
+    if isinstance(tree, str):
+        yield ("text", "" if dark else tree)
+        return
+    tag, style, children = tree
+    if style == "display:none":
+        return
+    dark = {"visibility:hidden": True, "visibility:visible": False}.get(style, dark)
+    inside = lambda: (e for k in children for e in walk(k, dark, tag))
+    if tag == "br":
+        yield ("br",)
+    elif tag in INLINE:
+        yield from inside()
+    elif tag in ("ul", "ol"):
+        edge = "flush" if parent == "li" else "gap"
+        yield (edge,)
+        nth = 0
+        for k in children:
+            item = not isinstance(k, str) and k[0] == "li" and k[1] != "display:none"
+            nth += item
+            if item:
+                hidden = {"visibility:hidden": True, "visibility:visible": False}.get(k[1], dark)
+                mark = "- " if tag == "ul" else f"{nth}. "
+                yield ("flush",)
+                yield ("in", len(mark), " " * len(mark) if hidden else mark)
+                for e in k[2]:
+                    yield from walk(e, hidden, "li")
+                yield ("flush",)
+                yield ("out",)
+                yield ("flush",)
+            else:
+                yield from walk(k, dark, tag)
+        yield (edge,)
+    else:
+        edge = "gap" if tag in SET_APART else "flush"
+        yield (edge,)
+        if tag in ("blockquote", "dd"):
+            yield ("in", 2, None)
+        yield from inside()
+        if tag in ("blockquote", "dd"):
+            yield ("flush",)
+            yield ("out",)
+        yield (edge,)
+
+
+def folded(events):
+    """A mark stands right before the first line inside its item; an item without lines hands it back to the one around it."""
+    lines, text, levels, mark, apart = [], "", [], "", False
+    for kind, *rest in [*events, ("flush",)]:
+        if kind == "text":
+            text += rest[0]
+        elif kind == "in":
+            levels.append((rest[0], rest[1], mark))
+            mark = mark if rest[1] is None else rest[1]
+        elif kind == "out":
+            _, own, outer = levels.pop()
+            if own is not None:
+                mark = outer if mark == own else ""
+        else:
+            words = text.split()
+            text = ""
+            if words:
+                if apart and lines:
+                    lines.append("")
+                apart = False
+                lead = " " * sum(n for n, _, _ in levels)
+                lines.append(lead[: len(lead) - len(mark)] + mark + " ".join(words))
+                mark = ""
+                if kind == "gap":
+                    apart = True
+            elif kind in ("br", "gap"):
+                apart = apart or bool(lines)
+    return "\n".join(lines)
+
+
+TEXTS = st.sampled_from(["a", " b ", "c d", "\n", " ", "e"])
+STYLES = st.sampled_from(["", "", "", "display:none", "visibility:hidden", "visibility:visible"])
+FLOW = st.recursive(
+    st.one_of(TEXTS, st.just(("br", "", []))),
+    lambda kids: st.one_of(
+        st.tuples(st.sampled_from(["div", "section", "blockquote", "b", "span"]), STYLES, st.lists(kids, max_size=4)),
+        st.tuples(st.sampled_from(["ul", "ol"]), STYLES, st.lists(st.tuples(st.just("li"), STYLES, st.lists(kids, max_size=3)), max_size=4)),
+        st.tuples(st.sampled_from(["p", "h1"]), STYLES, st.lists(TEXTS, max_size=3)),
+    ),
+    max_leaves=14,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(FLOW, max_size=5))
+def test_equals_a_second_renderer_over_trees(trees):
+    assert render("".join(map(source_of, trees))) == folded(e for t in trees for e in walk(t, False, "body"))
