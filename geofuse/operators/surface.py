@@ -235,26 +235,28 @@ def iso_surface(voxels: DataFrame, by: list[str], iso: float = 0.0, colours: tup
     rows = rows.filter(c("_value").isNotNull() & ~F.isnan("_value"))
     for a in "xyz":
         rows = rows.withColumn(f"_b{a}", bricks(f"v{a}"))
-    n = brick + 1
     names = [*[f"v{i}" for i in range(3)], "vx", "vy", "vz", "axis", "t", *[f"_c_{k}" for k in colours]]
 
     def cut(key: tuple, table: pa.Table) -> pa.Table:
         origin = np.array([k.as_py() for k in key[len(by) :]]) * brick
         value = table["_value"].to_numpy()
         order = np.argsort(value, kind="stable")
-        at = tuple((table[f"v{a}"].to_numpy() - o)[order] for a, o in zip("xyz", origin))
-        grid, tint = np.full((n, n, n), np.nan), np.zeros((n, n, n, len(colours)))
+        at = np.stack([table[f"v{a}"].to_numpy() - o for a, o in zip("xyz", origin)], 1)[order]
+        # Only the box of the brick that has samples is laid out.
+        low, size = at.min(0), at.max(0) - at.min(0) + 1
+        at, cubes = tuple((at - low).T), tuple(size - 1)
+        grid, tint = np.full(size, np.nan), np.zeros((*size, len(colours)))
         grid[at] = value[order]
         for i, k in enumerate(colours):
             tint[(*at, i)] = np.nan_to_num(table[f"_c_{k}"].to_numpy().astype("float64"))[order]
-        part = [tuple(slice(k >> i & 1, brick + (k >> i & 1)) for i in range(3)) for k in range(8)]
+        part = [tuple(slice(k >> i & 1, n + (k >> i & 1)) for i, n in enumerate(cubes)) for k in range(8)]
         corners = np.stack([grid[p].ravel() for p in part], 1)
         met = np.flatnonzero((corners.min(1) < 0) & (corners.max(1) >= 0))  # False where a corner is missing
         out = {k: np.zeros(0) for k in names}
         if len(met):
-            base = np.stack(np.unravel_index(met, (brick,) * 3), 1)
+            base = np.stack(np.unravel_index(met, cubes), 1)
             near = np.stack([tint[tuple(base[:, i] + (k >> i & 1) for i in range(3))] for k in range(8)], 1)
-            number, sample, axis, t, shade, triangles = _cut(corners[met], near, base + origin)
+            number, sample, axis, t, shade, triangles = _cut(corners[met], near, base + low + origin)
             none = np.full(len(number), -1)
             kinds = [[number, none, none, *sample.T, axis, t, *shade.T], [*triangles.T, *[np.zeros(len(triangles), "int64")] * 3, np.full(len(triangles), -1), *[np.zeros(len(triangles))] * (1 + len(colours))]]
             out = {k: np.concatenate([a[i] for a in kinds]) for i, k in enumerate(names)}
