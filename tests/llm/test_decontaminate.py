@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from geofuse.llm import decontaminate as dc
@@ -84,3 +85,37 @@ def test_odd_rows(spark):
     assert by[10] in ([], [3]) and by[3] == by[5] == [4] and 4 in by[6] and by[1] == by[2] == []
     assert not any(r["contaminated"] for r in dc.decontaminate(docs, bench.limit(0)).collect())
     assert dc.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_places_left_out_cannot_suffice():
+    rng = random.Random(12)
+    for _ in range(400):
+        n = rng.choice((5, 7, 12, 20, 33))
+        item = [b"i%d" % k for k in range(n)]
+        changed = [w if rng.random() < 0.75 else b"x" for w in item]
+        doc = [b"y"] * 3 + [w for w in changed if rng.random() < 0.95] + [b"z"] * 3
+        own = [set(a.tolist()) for a in dc.seeds(dc.hashed(doc))]
+        hit = np.any([[x in found for x in b.tolist()] for found, b in zip(own, dc.seeds(dc.hashed(item)))], axis=0)
+        if plain(b" ".join(doc).decode(), item) >= 0.8:
+            assert dc.may_suffice(hit, 0.8)
+            texts = np.array([rng.randrange(1, 4) for _ in range(n - 4)])
+            assert hit[dc.rarest(n, np.arange(n - 4), texts, 0.8)].any()
+    for n in range(5, 14):  # against all choices of words out of place
+        hit = np.array([rng.random() < 0.5 for _ in range(n - 4)])
+        least = min(bin(m).count("1") for m in range(1 << n) if all(h or bin(m >> p & 31).count("1") >= 2 for p, h in enumerate(hit)))
+        assert dc.out_of_place(hit) == least
+
+
+def test_a_shared_sentence_makes_no_pairs(spark):
+    rng = random.Random(9)
+    sentence = "which of the following answers is the best one for the question below here"
+    word = lambda: f"w{rng.randrange(10**9)}"
+    text = lambda n: " ".join([*(word() for _ in range(n)), sentence, *(word() for _ in range(n))])
+    items = [(i, text(15)) for i in range(2000)]
+    rows = [(d, text(40)) for d in range(2000)] + [(5000 + i, f"{text(20)} {items[i][1]} {word()}") for i in range(0, 2000, 400)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    began = time.monotonic()
+    out = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in dc.decontaminate(docs, bench).filter("contaminated").collect()}
+    assert out == {5000 + i: [i] for i in range(0, 2000, 400)}
+    assert dc.candidates(docs, dc.item_seeds(bench), 0.8).count() == len(out)
+    assert time.monotonic() - began < 60
