@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,56 +40,101 @@ _TRIPLE = np.random.default_rng(19).integers(0, TRIPLES, size=(3, 256), dtype="i
 _TRIPLE[:, 65:91] = _TRIPLE[:, 97:123]
 
 
-def encode(data: bytes) -> np.ndarray:
-    """(passages, FEATURES) of a text in UTF-8; one passage of zeros where it has no words."""
-    b = np.frombuffer(data, "uint8")
-    white = _WHITE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype("int8")))
-    start, stop = edge[::2], edge[1::2]
-    n = len(start)
-    out = np.zeros((max(1, -(-n // PASSAGE)), FEATURES), "float32")
-    if not n:
-        return out
-    at = np.arange(0, n, PASSAGE)
-    words = np.diff(np.append(at, n)).astype("float32")
-    length = stop - start
-    place = np.arange(len(b))
-    place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(b))))
-    mixed = np.where(white, np.uint64(0), _MIX[place & 63, b])
-    word = np.add.reduceat(mixed, start)
-    kinds = _CLASS[b]
-    first = start[at]
-    size = np.maximum(1, np.add.reduceat(length, at)).astype("float32")
-    for k in range(1, 9):
-        out[:, k - 1] = np.add.reduceat((kinds == k).astype("int32"), first) / size
-    same = np.zeros(n, "int32")
-    same[1:] = word[1:] == word[:-1]
-    out[:, 8] = np.add.reduceat(same, at) / words
+#: Bytes that are looked at at once, and words that are encoded at once: whole passages.
+STEP, RUN = 1 << 18, PASSAGE * 512
+#: Kinds of bytes, and one more for line ends.
+_KIND = _CLASS.astype("int64")
+_KIND[10] = 9
+
+
+def _words(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of words, block by block: a word's end may come blocks after its start."""
+    before = True
+    for lo in range(0, len(b), STEP):
+        white = _WHITE[b[lo : lo + STEP]]
+        turn = np.flatnonzero(white != np.concatenate([[before], white[:-1]])) + lo
+        first = 0 if before else 1
+        yield turn[first::2], turn[1 - first :: 2]
+        before = bool(white[-1])
+    yield np.zeros(0, "int64"), np.full(0 if before else 1, len(b))
+
+
+def _stretches(first: np.ndarray, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks (from, to) of the bytes from the first of first to end, the stretches in each (those begin at first), and where they begin in it."""
+    for lo in range(int(first[0]), end, STEP):
+        hi = min(lo + STEP, end)
+        own = np.arange(np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left"))
+        yield lo, hi, own, np.maximum(first[own], lo) - lo
+
+
+def _encode(b: np.ndarray, start: np.ndarray, stop: np.ndarray, end: int, known: int) -> np.ndarray:
+    """The passages of the words from the one of number known on; those before it are context. The last word's white space ends at end.
+
+    Work takes some 60 bytes a byte of a block and a word, whatever the length of words.
+    """
+    word = np.zeros(len(start), "uint64")
+    for lo, hi, own, at in _stretches(start, end):
+        x, length = b[lo:hi], np.diff(np.append(at, hi - lo))
+        place = np.arange(lo, hi) - np.repeat(start[own], length)
+        word[own] += np.add.reduceat(np.where(_WHITE[x], np.uint64(0), _MIX[place & 63, x]), at)
     order = np.argsort(word, kind="stable")
-    again = np.zeros(n, "int32")
+    same, again = np.zeros(len(word), "int32"), np.zeros(len(word), "int32")
+    same[1:] = word[1:] == word[:-1]
     repeat = word[order[1:]] == word[order[:-1]]
-    again[order[1:][repeat]] = np.minimum(order[1:] - order[:-1], 1 << 20)[repeat] <= 2 * PASSAGE
+    again[order[1:][repeat]] = (order[1:] - order[:-1])[repeat] <= 2 * PASSAGE
+    start, stop, word, same, again = (x[known:] for x in (start, stop, word, same, again))
+    n, at = len(start), np.arange(0, len(start), PASSAGE)
+    out = np.zeros((len(at), FEATURES), "float32")
+    words = np.diff(np.append(at, n)).astype("float32")
+    first, length = start[at], stop - start
+    kinds, triples = np.zeros((len(at), 10), "int64"), np.zeros((len(at), TRIPLES), "int64")
+    for lo, hi, own, begin in _stretches(first, end):
+        of = np.repeat(own - own[0], np.diff(np.append(begin, hi - lo)))
+        kinds[own] += np.bincount(of * 10 + _KIND[b[lo:hi]], minlength=10 * len(own)).reshape(-1, 10)
+        x = b[lo : min(hi + 2, len(b))]
+        triple = (_TRIPLE[0, x[:-2]] + _TRIPLE[1, x[1:-1]] + _TRIPLE[2, x[2:]]) % TRIPLES
+        triples[own] += np.bincount(of[: len(triple)] * TRIPLES + triple, minlength=TRIPLES * len(own)).reshape(-1, TRIPLES)
+    out[:, :8] = kinds[:, 1:9] / np.maximum(1, np.add.reduceat(length, at)).astype("float32")[:, None]
+    out[:, 8] = np.add.reduceat(same, at) / words
     out[:, 9] = np.add.reduceat(again, at) / words
     out[:, 10] = np.add.reduceat(length, at) / words / 8
     out[:, 11] = np.add.reduceat((length > 12).astype("int32"), at) / words
-    capital = ((kinds[start] == 1) & (kinds[stop - 1] != 1)).astype("int32")
-    out[:, 12] = np.add.reduceat(capital, at) / words
-    out[:, 13] = np.add.reduceat(np.isin(kinds[stop - 1], (4, 5, 6)).astype("int32"), at) / words
-    lines = np.add.reduceat((b == 10).astype("int32"), first)
-    out[:, 14] = np.minimum(1, lines / words)
+    begins, ends = _CLASS[b[start]], _CLASS[b[stop - 1]]
+    out[:, 12] = np.add.reduceat(((begins == 1) & (ends != 1)).astype("int32"), at) / words
+    out[:, 13] = np.add.reduceat(np.isin(ends, (4, 5, 6)).astype("int32"), at) / words
+    out[:, 14] = np.minimum(1, kinds[:, 9] / words)
     out[:, 15] = np.minimum(words / PASSAGE, 1)
-    passage = np.arange(n) // PASSAGE
     bucket = (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype("int64") % WORDS
-    counts = np.bincount(passage * WORDS + bucket, minlength=len(out) * WORDS).reshape(-1, WORDS)
+    counts = np.bincount(np.arange(n) // PASSAGE * WORDS + bucket, minlength=len(at) * WORDS).reshape(-1, WORDS)
     out[:, STYLE : STYLE + WORDS] = counts / words[:, None]
-    if len(b) > first[0] + 2:
-        triple = (_TRIPLE[0, b[:-2]] + _TRIPLE[1, b[1:-1]] + _TRIPLE[2, b[2:]]) % TRIPLES
-        of = np.searchsorted(first, np.arange(first[0], len(b) - 2), "right") - 1 if len(first) > 1 else np.zeros(len(b) - 2 - first[0], "int64")
-        counts = np.bincount(of * TRIPLES + triple[first[0] :], minlength=len(out) * TRIPLES).reshape(-1, TRIPLES)
-        out[:, STYLE + WORDS :] = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    out[:, STYLE + WORDS :] = triples / np.maximum(1, triples.sum(axis=1, keepdims=True))
     return out
 
 
+def runs(data: bytes) -> Iterator[np.ndarray]:
+    """(passages, FEATURES) of runs of a text's passages in order; one passage of zeros where it has no words.
+
+    Memory is that of the text and one run, for any length of the text and of its words.
+    """
+    b = np.frombuffer(data, "uint8")
+    start, stop, known = np.zeros(0, "int64"), np.zeros(0, "int64"), 0
+    for more, ends in _words(b):
+        start, stop = np.concatenate([start, more]), np.concatenate([stop, ends])
+        while len(stop) > known + RUN:
+            last = known + RUN
+            yield _encode(b, start[:last], stop[:last], int(start[last]), known)
+            start, stop, known = start[last - 2 * PASSAGE :], stop[last - 2 * PASSAGE :], 2 * PASSAGE
+    if len(start) > known:
+        yield _encode(b, start, stop, len(b), known)
+    elif not known:
+        yield np.zeros((1, FEATURES), "float32")
+
+
+def encode(data: bytes) -> np.ndarray:
+    """(passages, FEATURES) of a text in UTF-8; one passage of zeros where it has no words."""
+    return np.concatenate(list(runs(data)))
+
+
 @dataclass
 class Attention:
     """The network's weights; passages are standardised by mean and scale first."""
@@ -106,14 +152,27 @@ class Attention:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.concatenate([z[:, :STYLE], np.tanh(z @ self.e)], axis=1)
 
+    def raw(self, h: np.ndarray) -> np.ndarray:
+        return (np.tanh(h @ self.v) / (1 + np.exp(-np.clip(h @ self.u, -30, 30)))) @ self.w
+
     def weights(self, h: np.ndarray) -> np.ndarray:
-        raw = (np.tanh(h @ self.v) / (1 + np.exp(-np.clip(h @ self.u, -30, 30)))) @ self.w
+        raw = self.raw(h)
         a = np.exp(raw - raw.max())
         return a / a.sum()
 
     def score(self, x: np.ndarray) -> float:
-        h = self.hidden(x)
-        z = float((self.weights(h) @ h) @ self.beta + self.bias)
+        return self.score_runs([x])
+
+    def score_runs(self, parts: Iterable[np.ndarray]) -> float:
+        """The score of a document from runs of its passages: weights are relative to the highest so far."""
+        top, total, sums = -math.inf, 0.0, 0.0
+        for x in parts:
+            h = self.hidden(x)
+            raw = self.raw(h)
+            high = max(top, float(raw.max()))
+            a, old = np.exp(raw - high), math.exp(top - high)
+            total, sums, top = total * old + a.sum(), sums * old + a @ h, high
+        z = float((sums / total) @ self.beta + self.bias)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -203,7 +262,7 @@ def _score(model: Attention | None) -> Column:
     def score(texts: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series([0.5] * len(texts), dtype="float64")
-        return pd.Series([model.score(encode((t or "").encode("utf-8", "replace"))) for t in texts], dtype="float64")
+        return pd.Series([model.score_runs(runs((t or "").encode("utf-8", "replace"))) for t in texts], dtype="float64")
 
     return score(F.col("text").cast("string"))
 

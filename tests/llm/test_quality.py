@@ -1,4 +1,6 @@
 import math
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -111,3 +113,33 @@ def test_odd_rows(spark):
     clash = docs.selectExpr("*", "'x' AS q", "'y' AS q_", "1 AS score", "2 AS doc")
     assert quality.classify(clash, model).columns == [*clash.columns, "q__"] and quality.kept(clash, model).columns == clash.columns
     assert quality.kept(clash, None).count() == docs.count()
+
+
+MEMORY = """
+import resource, sys
+import numpy as np
+from geofuse.llm import quality
+p = quality.first_weights(quality.FEATURES, 12)
+model = quality.Attention(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), p["e"], p["v"], p["u"], p["w"], p["beta"] + 1, 0.0)
+data = {"words": b"some words\\n" * 9_500_000, "letters": b"a " * 50_000_000, "one": b"x" * 100_000_000, "blank": b" " * 100_000_000}[sys.argv[1]]
+print(model.score_runs(quality.runs(data)), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+
+
+@pytest.mark.parametrize("kind", ["words", "letters", "one", "blank"])
+def test_memory_of_a_hundred_megabytes(kind):
+    out = subprocess.run([sys.executable, "-c", MEMORY, kind], capture_output=True, text=True, check=True, timeout=600).stdout.split()
+    assert 0 <= float(out[0]) <= 1 and int(out[1]) < 1_000_000
+
+
+def test_runs_are_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["", " \n ", "x" * 5000, "é " * 700, " ".join(rng.choice(["a", "Bb", "c\n", "12!", "word"], 3000)), "\n" * 900 + "a b" + " " * 900 + "c"]
+    whole = [quality.encode(t.encode()) for t in texts]
+    p = quality.first_weights(quality.FEATURES, 5)
+    model = quality.Attention(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), p["e"], p["v"], p["u"], p["w"] * 9, p["beta"] + 1, 0.0)
+    monkeypatch.setattr(quality, "STEP", 64)
+    monkeypatch.setattr(quality, "RUN", 2 * quality.PASSAGE)
+    for t, x in zip(texts, whole):
+        assert np.array_equal(np.concatenate(list(quality.runs(t.encode()))), x)
+        assert model.score_runs(quality.runs(t.encode())) == pytest.approx(model.score(x), abs=1e-9)
