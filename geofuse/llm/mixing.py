@@ -9,7 +9,8 @@ standardised logarithm of the size, and lambda and mu minimise the convex dual
   sum over documents of size * phi(lambda_s + mu f) - sum_s lambda_s target_s + ridge / 2 * total * mu^2,  phi' = min(cap, exp).
 
 A Newton step takes gradient and Hessian as sums over the documents, per source; the Hessian is an arrow, one row
-per source and one for mu, so only the sums of one Schur complement, a row, reach the driver.
+per source and one for mu, so only the sums of one Schur complement, a row, reach the driver. The same sums tell the
+dual's value: a step that doesn't lower it enough is halved. The dual is convex, so this ends at its minimum.
 Rates become whole copies by carrying the rounding error from long documents to short ones.
 """
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from geofuse.llm.shared import salt_of, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Steps at most, the relative error of a constraint that ends them, and how dear the tilt by size is.
-NEWTON_STEPS, CLOSE, RIDGE = 20, 1e-7, 0.25
+#: Passes over the sums at most (more are an error), the relative error of a constraint that ends them, and how dear the tilt by size is.
+PASSES, CLOSE, RIDGE = 100, 1e-7, 0.25
 
 
 def word_count(text: Column) -> Column:
@@ -58,11 +59,12 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     )
 
 
-def balanced(sizes: DataFrame, sources: DataFrame, cap: float, ridge: float = RIDGE, steps: int = NEWTON_STEPS) -> tuple[DataFrame, float]:
+def balanced(sizes: DataFrame, sources: DataFrame, cap: float, ridge: float = RIDGE, passes: int = PASSES) -> tuple[DataFrame, float]:
     """sizes (key, size, n) with the source's columns (key, source_size, target) and the dual's solution as rate; and mu.
 
     A source without words or target has rate 0; one whose target is all that its cap allows has the cap.
-    A document without words counts as one of mean size. The source's share that steps left open is met in allot.
+    A document without words counts as one of mean size. Raises ArithmeticError where passes don't reach the minimum; what
+    CLOSE leaves open of a source's target is met in allot.
     """
     c, words = F.col, F.col("size") * F.col("n")
     log = F.log(F.greatest("size", F.lit(1)))
@@ -72,31 +74,43 @@ def balanced(sizes: DataFrame, sources: DataFrame, cap: float, ridge: float = RI
     f = F.when(c("size") > 0, (log - mean) / spread).otherwise(0.0) if spread > 1e-9 else F.lit(0.0)
     kind = F.when((c("source_size") <= 0) | (c("target") <= 0), "none").when(c("target") >= cap * c("source_size") * (1 - 1e-12), "all").otherwise("free")
     state = sources.withColumn("kind", kind).withColumn("lam", F.when(c("kind") == "free", F.log(c("target") / c("source_size"))).otherwise(0.0))
-    mu = 0.0
+    state, free = state.withColumn("move", F.lit(0.0)), c("kind") == "free"
+    mu, turn, length, value, slope = 0.0, 0.0, 0.0, math.inf, 0.0
 
     def rate(tilt: float):
         return F.when(c("kind") == "none", 0.0).when(c("kind") == "all", cap).otherwise(F.least(F.lit(cap), F.exp(c("lam") + tilt * f)))
 
-    for _ in range(steps if total else 0):
-        r = rate(mu)
-        # A document at its cap doesn't answer to the tilt; a little is left so that the Hessian stays regular.
-        w = F.when(c("kind") == "free", r * F.when(r >= cap, 0.01).otherwise(1.0)).otherwise(0.0)
-        sums = sizes.join(state, "key").groupBy("key", "source_size", "target", "kind", "lam").agg(
-            F.sum(words * r).alias("m"), F.sum(words * r * f).alias("mf"), F.sum(words * w).alias("h"), F.sum(words * w * f).alias("hf"), F.sum(words * w * f * f).alias("hff")
+    for _ in range(passes if total else 0):
+        tilt, lam = mu + length * turn, (c("lam") + length * c("move")).alias("lam")
+        at = sizes.join(state.select("key", "source_size", "target", "kind", lam), "key")
+        r, u = rate(tilt), c("lam") + tilt * f
+        phi = F.when(c("kind") == "none", 0.0).when(c("kind") == "all", cap * u).when(u < math.log(cap), F.exp(u)).otherwise(cap * (1 + u - math.log(cap)))
+        # A document at its cap doesn't answer to the tilt; a little is left so that the Hessian stays regular, which changes steps only.
+        w = F.when(free, r * F.when(r >= cap, 1e-3).otherwise(1.0)).otherwise(0.0)
+        sums = at.groupBy("key", "source_size", "target", "kind", "lam").agg(
+            F.sum(words * phi).alias("phi"), F.sum(words * r).alias("m"), F.sum(words * r * f).alias("mf"), F.sum(words * w).alias("h"), F.sum(words * w * f).alias("hf"), F.sum(words * w * f * f).alias("hff")
         )
-        free = c("kind") == "free"
         sums = stored(sums.withColumn("g", F.when(free, c("target") - c("m")).otherwise(0.0)), "mix-sums")
         one = sums.agg(
             F.sum("mf").alias("mf"), F.sum("hff").alias("hff"), F.sum(F.when(free, c("hf") * c("hf") / c("h"))).alias("cross"), F.sum(F.when(free, c("hf") * c("g") / c("h"))).alias("known"),
+            F.sum(F.when(free, c("g") * c("g") / c("h"))).alias("gg"), F.sum(c("phi") - F.when(free, c("lam") * c("target")).otherwise(0.0)).alias("value"),
             F.max(F.when(free, F.abs(c("g")) / c("target"))).alias("off"),
         ).first()
+        now = (one["value"] or 0.0) + ridge / 2 * total * tilt**2
+        if not now <= value + 1e-4 * length * slope + 1e-12 * total:
+            length /= 2
+            continue
+        state, mu, value = sums, tilt, now
         gradient = -(one["mf"] or 0.0) - ridge * total * mu
         if (one["off"] or 0.0) <= CLOSE and abs(gradient) <= CLOSE * total:
             break
-        bend = (one["hff"] or 0.0) - (one["cross"] or 0.0) + ridge * total
-        move = max(-0.5, min(0.5, (gradient - (one["known"] or 0.0)) / bend))
-        lam = F.when(free, c("lam") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (c("g") - c("hf") * move) / c("h")))).otherwise(c("lam"))
-        state, mu = sums.select("key", "source_size", "target", "kind", lam.alias("lam")), mu + move
+        known = one["known"] or 0.0
+        turn = (gradient - known) / ((one["hff"] or 0.0) - (one["cross"] or 0.0) + ridge * total)
+        slope, length = -(one["gg"] or 0.0) + turn * known - gradient * turn, 1.0
+        state = sums.withColumn("move", F.when(free, (c("g") - c("hf") * turn) / c("h")).otherwise(0.0))
+    else:
+        if total:
+            raise ArithmeticError(f"the mix isn't balanced after {passes} passes")
     return sizes.join(state, "key").select("key", "size", "n", "source_size", "target", rate(mu).alias("rate")), mu
 
 
@@ -114,8 +128,10 @@ def _scaled(rate: np.ndarray, words: np.ndarray, target: float, cap: float) -> n
 def allot(sizes: pd.DataFrame) -> pd.DataFrame:
     """The copies of the documents of each size, for one source: all get base, extra of them one more.
 
-    What rounding adds or takes is carried on to the next shorter size, within 0 and cap copies; what is left
-    at the end is met by moving one copy of one or two of the 400 shortest sizes.
+    What rounding adds or takes is carried on to the next shorter size, within 0 and cap copies. What is left at the end
+    is taken up by whole copies from the longest size to the shortest, so it is less than the shortest size of which a copy
+    can still be added (taken, where too much is taken); as long as moving one copy of one or two of the 400 shortest
+    sizes brings it nearer, that is done, and what is left is taken up again.
     One row per distinct size: bounded by the longest document, not by the number of documents.
     """
     sizes = sizes.sort_values("size", ascending=False)
@@ -127,16 +143,21 @@ def allot(sizes: pd.DataFrame) -> pd.DataFrame:
         want = rate[i] * n[i] * size[i] + carry
         copies[i] = min(max(round(want / size[i]), 0), most * n[i]) if size[i] else int(rate[i]) * n[i]
         carry = want - copies[i] * size[i]
-    last = np.flatnonzero(size > 0)[-400:]
-    up, down = last[copies[last] < most * n[last]], last[copies[last] > 0]
-    moves = np.concatenate([[0], size[up], -size[down]])
-    at = np.concatenate([[-1], up, down])
-    off = np.abs(carry - moves[:, None] - moves[None, :])
-    off[at[:, None] == at[None, :]] = np.inf
-    off[0, 0] = abs(carry)
-    for k in np.unravel_index(off.argmin(), off.shape):
-        if k:
+    last, moved = np.flatnonzero(size > 0)[-400:], True
+    while moved:
+        carry = target - float((copies * size).sum())
+        for i in np.flatnonzero(size > 0):
+            more = min(max(math.trunc(carry / size[i]), -copies[i]), most * n[i] - copies[i])
+            copies[i], carry = copies[i] + more, carry - more * size[i]
+        up, down = last[copies[last] < most * n[last]], last[copies[last] > 0]
+        moves, at = np.concatenate([[0], size[up], -size[down]]), np.concatenate([[-1], up, down])
+        off = np.abs(carry - moves[:, None] - moves[None, :])
+        off[at[:, None] == at[None, :]] = np.inf
+        off[0, 0] = abs(carry)
+        pair = [k for k in np.unravel_index(off.argmin(), off.shape) if k]
+        for k in pair:
             copies[at[k]] += 1 if k <= len(up) else -1
+        moved = bool(pair)
     return sizes.assign(base=copies // n, extra=copies % n)[["key", "size", "source_size", "target", "rate", "base", "extra"]]
 
 
@@ -166,9 +187,9 @@ def plan(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     )
 
 
-def _copied(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """Rows with doc_id, key, size and salt, and their copies."""
-    place = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
+def _copied(rows: DataFrame, planned: DataFrame, *ties: str) -> DataFrame:
+    """Rows with doc_id, key, size and salt, and their copies; ties order rows of one doc_id."""
+    place = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", *ties))
     out = rows.withColumn("place", place).join(planned, ["key", "size", "salt"])
     return out.withColumn("copies", (F.col("base") + (F.col("place") <= F.col("extra")).cast("int")).cast("long"))
 
@@ -188,8 +209,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The mix itself: docs' own columns, each row as often as mix() says. Blank texts take no words and stay out."""
     planned = plan(docs.select("source", *_keys(docs)), weights, cap)
-    rows = docs.select("doc_id", *_keys(docs), F.struct(*docs.columns).alias("doc"))
-    out = _copied(rows, planned).filter("copies > 0 AND size > 0")
+    rows = docs.select("doc_id", *_keys(docs), F.struct(*docs.columns).alias("doc"), F.sha1("text").alias("h"))
+    out = _copied(rows, planned, "h").filter("copies > 0 AND size > 0")
     return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")
 
 

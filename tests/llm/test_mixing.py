@@ -119,3 +119,32 @@ def test_dual_equals_a_dense_solver(spark, share):
         assert got[(s, z)] == pytest.approx(r, rel=1e-3)
     took = [sum(got[(s, z)] * z * n for s, z, n in groups if s == k) for k in range(3)]
     assert took == pytest.approx(target, rel=1e-4)
+
+
+def test_closing_is_within_a_short_document():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        size = np.unique(rng.integers(1, rng.choice([30, 3000]), rng.integers(1, 30)))
+        n = rng.integers(1, 6, len(size))
+        total = int((size * n).sum())
+        target = float(rng.uniform(0, 3 * total))
+        sizes = pd.DataFrame({"key": "k", "size": size, "n": n, "rate": rng.uniform(0, 3, len(size)), "cap": 3.0, "source_size": total, "target": target})
+        out = mixing.allot(sizes).sort_values("size")
+        copies = out["base"].to_numpy() * n + out["extra"].to_numpy()
+        assert (copies >= 0).all() and (copies <= 3 * n).all()
+        off = target - (copies * size).sum()
+        movable = size[copies < 3 * n] if off > 0 else size[copies > 0]
+        assert abs(off) < 1 or abs(off) < movable.min()
+
+
+def test_extreme_targets_converge_or_fail_aloud(spark):
+    groups = [("a", z, n) for z, n in ((1, 50), (7, 9), (300, 40), (900, 10))] + [("b", z, n) for z, n in ((2, 30), (40, 9), (80, 261), (90, 1))]
+    words = sum(z * n for s, z, n in groups if s == "a")
+    other = sum(z * n for s, z, n in groups if s == "b")
+    sizes = spark.createDataFrame(groups, "key string, size long, n long")
+    sources = spark.createDataFrame([("a", words, 2.9 * words), ("b", other, 1e-6 * other)], "key string, source_size long, target double")
+    out, _ = mixing.balanced(sizes, sources, 3.0)
+    took = {k: sum(r["rate"] * r["size"] * r["n"] for r in out.collect() if r["key"] == k) for k in "ab"}
+    assert took["a"] == pytest.approx(2.9 * words, rel=1e-6) and took["b"] == pytest.approx(1e-6 * other, rel=1e-6)
+    with pytest.raises(ArithmeticError):
+        mixing.balanced(sizes, sources, 3.0, passes=2)
