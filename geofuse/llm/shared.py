@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from geofuse.plans.shared import SALTS, attach, discard, new_dir, per_salt, salt_bit, salt_of, scratch, stored, work_dir
 
-__all__ = ["SALTS", "attach", "discard", "new_dir", "per_salt", "salt_bit", "salt_of", "scratch", "small_batches", "stored", "table", "work_dir"]
+__all__ = ["SALTS", "attach", "batches", "discard", "new_dir", "per_salt", "salt_bit", "salt_of", "scratch", "small_batches", "stored", "table", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +20,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows to an Arrow batch, which bounds a Python worker's memory where texts are long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside the block; the session has its own setting back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
