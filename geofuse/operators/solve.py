@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geofuse.plans.shared import few
+from geofuse.plans.shared import few, stored
 
 c = F.col
 
@@ -52,12 +52,26 @@ def triangulate(matches: DataFrame, poses: DataFrame) -> DataFrame:
 def two_view_verify(matches: DataFrame, focal: float, iterations: int = 400, least: int = 12) -> DataFrame:
     """Per frame pair an essential matrix by 8-point RANSAC: pair of frames, matches, inliers, e00..e22; a pair without a model has none.
 
-    A group is the matches of one pair of frames, bounded by the keypoints of a frame. Draws are seeded by the pair.
+    Draws come from the POOL different matches of a pair whose hash is least, so that reruns agree; every match is scored. A pair
+    of any number of matches is scored in pieces of about PIECE different ones, each with the number of its repeats, and its
+    inliers are fitted by the triangular factors of the pieces. Matches without finite coordinates count, and are never inliers.
     """
-    limit = (2.5 / focal) ** 2
-
-    def eight(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        a = np.stack([q[..., 0] * p[..., 0], q[..., 0] * p[..., 1], q[..., 0], q[..., 1] * p[..., 0], q[..., 1] * p[..., 1], q[..., 1], p[..., 0], p[..., 1], np.ones(p.shape[:-1])], -1)
+    limit, at, pair = (2.5 / focal) ** 2, ["x1", "y1", "x2", "y2"], ["fa", "fb"]
+    nine = "array<double>"
+    rows = matches.select("fa", "fb", *[c(k).cast("double").alias(k) for k in at])
+    usable = F.forall(F.array(*at), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    apart = stored(rows.groupBy(*pair, *at).agg(F.count(F.lit(1)).alias("w")).withColumn("h", F.xxhash64(*at)), "matches")
+    sizes = apart.groupBy(*pair).agg(F.sum("w").alias("matches"), F.count_if(usable).alias("different"))
+    sizes = sizes.withColumn("pieces", F.ceil(c("different") / PIECE).cast("long"))
+    fit = sizes.filter((c("matches") >= max(8, least)) & (c("different") >= 8))
+    pieces = apart.filter(usable).join(fit.select(*pair, "pieces"), pair).withColumn("piece", F.pmod("h", "pieces")).drop("pieces")
+    first = F.row_number().over(Window.partitionBy(*pair).orderBy("h", *at))
+    pool = apart.filter(usable).withColumn("k", first).filter(c("k") <= POOL).join(fit.select(*pair), pair, "left_semi")
+
+    def rows_of(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.stack([q[..., 0] * p[..., 0], q[..., 0] * p[..., 1], q[..., 0], q[..., 1] * p[..., 0], q[..., 1] * p[..., 1], q[..., 1], p[..., 0], p[..., 1], np.ones(p.shape[:-1])], -1)
+
+    def eight(a: np.ndarray) -> np.ndarray:
         e = np.linalg.svd(a, full_matrices=True)[2][..., -1, :].reshape(*a.shape[:-2], 3, 3)
         u, s, vt = np.linalg.svd(e)
         mean = (s[..., 0] + s[..., 1]) / 2
@@ -65,31 +79,74 @@ def two_view_verify(matches: DataFrame, focal: float, iterations: int = 400, lea
         d[..., 0, 0] = d[..., 1, 1] = mean
         return u @ d @ vt
 
-    def sampson(e: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        hp, hq = (np.concatenate([v, np.ones((len(v), 1))], 1) for v in (p, q))
-        ep, eq = hp @ np.swapaxes(e, -1, -2), hq @ e
-        top = np.einsum("...ni,ni->...n", ep, hq) ** 2
-        return top / np.maximum(ep[..., 0] ** 2 + ep[..., 1] ** 2 + eq[..., 0] ** 2 + eq[..., 1] ** 2, 1e-18)
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()
-        n, best, model = len(p), 0, None
-        if n >= max(8, least):
-            rng = np.random.default_rng([int(key[0]), int(key[1])])
-            picks = np.argsort(rng.random((iterations, n)), axis=1)[:, :8]
-            e = eight(p[picks], q[picks])
-            inside = sampson(e, p, q) < limit
-            k = int(inside.sum(1).argmax())
-            if inside[k].sum() >= least:
-                model = eight(p[inside[k]], q[inside[k]])
-                again = sampson(model, p, q) < limit
-                if again.sum() < inside[k].sum():
-                    model, again = e[k], inside[k]
-                best = int(again.sum())
-        flat = [None] * 9 if model is None else (model / np.linalg.norm(model)).ravel().tolist()
-        return pd.DataFrame([[key[0], key[1], n, best, *flat]], columns=["fa", "fb", "matches", "inliers", *NAMES])
-
-    return matches.groupBy("fa", "fb").applyInPandas(solve, "fa long, fb long, matches long, inliers long, " + ", ".join(f"{k} double" for k in NAMES))
+    def inside(e: np.ndarray, pdf: pd.DataFrame):
+        """Which of some matches at once are within the limit of each model."""
+        step = max(256, (1 << 20) // len(e))
+        for i in range(0, len(pdf), step):
+            part = pdf.iloc[i : i + step]
+            hp, hq = (np.column_stack([part[list(k)].to_numpy(), np.ones(len(part))]) for k in (("x1", "y1"), ("x2", "y2")))
+            ep, eq = (hp @ e[:, j, :].T for j in range(3)), (hq @ e[:, :, j].T for j in range(2))
+            e0, e1, e2 = ep
+            f0, f1 = eq
+            top = (e0 * hq[:, :1] + e1 * hq[:, 1:2] + e2) ** 2
+            yield part, top / np.maximum(e0**2 + e1**2 + f0**2 + f1**2, 1e-18) < limit
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        rng = np.random.default_rng([int(key[0]), int(key[1])])
+        picks = np.argsort(rng.random((iterations, len(pdf))), axis=1)[:, :8]
+        e = eight(rows_of(pdf[["x1", "y1"]].to_numpy()[picks], pdf[["x2", "y2"]].to_numpy()[picks]))
+        return pd.DataFrame([[key[0], key[1], e.ravel()]], columns=["fa", "fb", "e"])
+
+    def score(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        e, hits = np.array(model["e"].iloc[0]).reshape(-1, 3, 3), 0
+        for part, ok in inside(e, pdf):
+            hits = hits + part["w"].to_numpy() @ ok
+        return pd.DataFrame({"fa": key[0], "fb": key[1], "k": np.arange(len(e)), "hits": hits})
+
+    def factor(key: tuple, pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        e, r = np.array(model["e"].iloc[0]).reshape(1, 3, 3), np.zeros((0, 9))
+        for part, ok in inside(e, pdf):
+            own = part[ok[:, 0]]
+            a = rows_of(own[["x1", "y1"]].to_numpy(), own[["x2", "y2"]].to_numpy()) * np.sqrt(own["w"].to_numpy())[:, None]
+            r = np.linalg.qr(np.concatenate([r, a]), mode="r")
+        return pd.DataFrame([[key[0], key[1], key[2], r.ravel()]], columns=["fa", "fb", "piece", "r"])
+
+    def refit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.concatenate([np.array(v).reshape(-1, 9) for v in pdf.sort_values("piece")["r"]])
+        return pd.DataFrame([[key[0], key[1], eight(np.linalg.qr(a, mode="r")).ravel()]], columns=["fa", "fb", "e"])
+
+    def over_pieces(models: DataFrame, how, schema: str) -> DataFrame:
+        sent = models.join(fit.select(*pair, "pieces"), pair).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), c("pieces") - 1))).drop("pieces")
+        return pieces.groupBy(*pair, "piece").cogroup(sent.groupBy(*pair, "piece")).applyInPandas(_both(how), schema)
+
+    drawn = stored(pool.groupBy(*pair).applyInPandas(draw, f"fa long, fb long, e {nine}"), "drawn")
+    hits = over_pieces(drawn, score, "fa long, fb long, k long, hits long").groupBy(*pair, "k").agg(F.sum("hits").alias("hits"))
+    best = hits.groupBy(*pair).agg(F.max(F.struct("hits", (-c("k")).alias("k"))).alias("b")).select(*pair, c("b.hits").alias("hits"), (-c("b.k")).alias("k"))
+    best = best.filter(c("hits") >= least).join(drawn, pair)
+    best = stored(best.select(*pair, "hits", F.slice("e", (c("k") * 9 + 1).cast("int"), F.lit(9)).alias("e")), "best")
+    again = over_pieces(best.select(*pair, "e"), factor, f"fa long, fb long, piece long, r {nine}")
+    again = stored(again.groupBy(*pair).applyInPandas(refit, f"fa long, fb long, e {nine}"), "again")
+    kept = over_pieces(again, score, "fa long, fb long, k long, hits long").groupBy(*pair).agg(F.sum("hits").alias("hits2"))
+    better = c("hits2") >= c("hits")
+    known = best.join(again.withColumnRenamed("e", "e2"), pair).join(kept, pair)
+    known = known.select(*pair, F.when(better, c("hits2")).otherwise(c("hits")).alias("inliers"), F.when(better, c("e2")).otherwise(c("e")).alias("e"))
+    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda t, v: t + v * v))
+    out = sizes.join(known, pair, "left")
+    return out.select(*[c(k).cast("long").alias(k) for k in pair], "matches", F.coalesce("inliers", F.lit(0).cast("long")).alias("inliers"), *[(c("e")[i] / size).alias(k) for i, k in enumerate(NAMES)])
+
+
+#: Different matches that draws are made from, eight for each of 400; different matches that are scored at once.
+POOL, PIECE = 3200, 1 << 16
+
+
+def _both(how):
+    """A function of a piece and its model that is left out where either is missing: hashes needn't fill every piece."""
+
+    def call(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame | None:
+        return how(key, left, right) if len(left) and len(right) else pd.DataFrame()
+
+    return call
 
 
 NAMES = [f"e{i}{j}" for i in range(3) for j in range(3)]

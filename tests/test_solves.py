@@ -42,6 +42,28 @@ def test_two_view_verify_drops_moved_matches(spark, sf):
         assert r["inliers"] <= r["matches"] * 6 / 7 + 4
 
 
+def test_two_view_verify_by_pieces(spark, monkeypatch):
+    """One pair with repeats, moved matches and one without coordinates: pieces change nothing, and every match counts."""
+    rng = np.random.default_rng(3)
+    p = rng.uniform([-2, -2, 4], [2, 2, 9], (600, 3))
+    a, b = p[:, :2] / p[:, 2:], (p[:, :2] - [0.8, 0]) / (p[:, 2:] + 1)
+    b[:100] += [0.3, -0.3]
+    rows = [(0, 1, *map(float, (*x, *y))) for x, y in zip(a, b)]
+    rows += rows[-50:] + [(0, 1, None, 0.0, 0.0, 0.0), (0, 1, float("nan"), 0.0, 0.0, 0.0)]
+    m = spark.createDataFrame(rows, "fa long, fb long, x1 double, y1 double, x2 double, y2 double")
+    found = []
+    for piece in (1 << 16, 50):
+        monkeypatch.setattr(solve, "PIECE", piece)
+        found += solve.two_view_verify(m, 800.0).collect()
+    for r in found:
+        assert r["matches"] == 652 and 550 <= r["inliers"] <= 560
+        e = np.array([r[k] for k in solve.NAMES]).reshape(3, 3)
+        want = np.array([[0, -1, 0], [1, 0, 0.8], [0, -0.8, 0]])
+        want = want / np.linalg.norm(want)
+        assert min(np.abs(e - want).max(), np.abs(e + want).max()) < 2e-2
+    assert len(found) == 2 and found[0]["inliers"] == found[1]["inliers"]
+
+
 def test_ground_plane_is_the_floor(spark, sf):
     r = QUERIES["a28_ground_plane"](spark, sf).first()
     want = np.array([-0.1, 0.05, 1]) / np.linalg.norm([-0.1, 0.05, 1])
