@@ -119,11 +119,12 @@ def parse_images(lines: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]
     rows = pair.select("*", F.get("_h", F.lit(0)).try_cast("long").alias("image_id"), *pose, F.get("_h", F.lit(8)).try_cast("long").alias("camera_id"), name.alias("name"))
     numbers = ["image_id", *POSE, "camera_id"]
     rows = rows.filter(_must(F.forall(F.array(*[c(k).isNotNull() for k in numbers]), lambda x: x), "no number in image line: ", "head"))
-    at = F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_p") / 3).cast("int") - 1, F.lit(0))), lambda i: i * 3 + 2 < F.size("_p")))
-    o = rows.select(*by, "image_id", "_p", at.alias("idx"))
-    part = lambda k: F.get("_p", c("idx") * 3 + k)
-    point = part(2).try_cast("long")
-    seen = o.select(*by, "image_id", "idx", part(0).try_cast("double").alias("x"), part(1).try_cast("double").alias("y"), F.when(point >= 0, point).alias("point_id"))
+    # The places become structs before they are exploded: a row an observation must not carry the whole line.
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_p") / 3).cast("int") - 1, F.lit(0))), lambda i: i * 3 + 2 < F.size("_p"))
+    part = lambda i, k: F.get("_p", i * 3 + k)
+    o = rows.select(*by, "image_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("idx"), *[part(i, k).alias(f"_{k}") for k in range(3)]))).alias("o"))
+    point = c("o._2").try_cast("long")
+    seen = o.select(*by, "image_id", "o.idx", c("o._0").try_cast("double").alias("x"), c("o._1").try_cast("double").alias("y"), F.when(point >= 0, point).alias("point_id"))
     seen = seen.filter(_must(c("x").isNotNull() & c("y").isNotNull(), "no number in the observations of image ", c("image_id").cast("string")))
     return rows.select(*by, *numbers, "name"), seen
 
@@ -133,9 +134,9 @@ def parse_points(lines: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]
     p = lines.filter(~F.startswith(F.trim("value"), F.lit("#"))).withColumn("_p", _fields()).filter(F.size("_p") >= 8)
     p = p.withColumn("point_id", F.get("_p", F.lit(0)).try_cast("long"))
     points = p.select(*by, "point_id", *[_number(c("_p"), i + 1).alias(k) for i, k in enumerate("xyz")], *[F.get("_p", F.lit(i + 4)).try_cast("int").alias(k) for i, k in enumerate("rgb")], _number(c("_p"), 7).alias("error"))
-    at = F.explode(F.filter(F.sequence(F.lit(4), F.greatest(F.floor(F.size("_p") / 2).cast("int") - 1, F.lit(4))), lambda i: i * 2 + 1 < F.size("_p")))
-    t = p.select(*by, "point_id", "_p", at.alias("_i"))
-    return points, t.select(*by, "point_id", F.get("_p", c("_i") * 2).try_cast("long").alias("image_id"), F.get("_p", c("_i") * 2 + 1).try_cast("int").alias("idx"))
+    at = F.filter(F.sequence(F.lit(4), F.greatest(F.floor(F.size("_p") / 2).cast("int") - 1, F.lit(4))), lambda i: i * 2 + 1 < F.size("_p"))
+    t = p.select(*by, "point_id", F.explode(F.transform(at, lambda i: F.struct(F.get("_p", i * 2).alias("_0"), F.get("_p", i * 2 + 1).alias("_1")))).alias("t"))
+    return points, t.select(*by, "point_id", c("t._0").try_cast("long").alias("image_id"), c("t._1").try_cast("int").alias("idx"))
 
 
 def write_sfm_text(folder: str, by: list[str], cameras: DataFrame, images: DataFrame, obs: DataFrame, points: DataFrame, track: DataFrame) -> None:
