@@ -31,7 +31,7 @@ from geofuse.llm.shared import discard, per_salt, salt_of, small_batches, stored
 SPAN = 5
 MASKS = ((0, 1, 2, 3), (1, 2, 3, 4), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
 SPACED = bytes.maketrans((string.punctuation + "".join(map(chr, range(32)))).encode(), b" " * (len(string.punctuation) + 32))
-#: The bit map has 16 bits a seed or more, and 2 to the power of so many bits at most: 64 MB, the bound of what is broadcast.
+#: The bit map has 64 bits a seed or more (of seeds that the benchmark lacks, one in 64 passes), and 2 to the power of so many bits at most: 64 MB, the bound of what is broadcast.
 MAP_BITS = (20, 29)
 #: Items that a text is compared with at once, on average at most.
 ITEMS = 64
@@ -197,7 +197,7 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 def map_bits(items: DataFrame) -> int:
     """The size of the bit map, by the benchmark's."""
     n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    return min(MAP_BITS[1], max(MAP_BITS[0], int(16 * n).bit_length()))
+    return min(MAP_BITS[1], max(MAP_BITS[0], int(64 * n).bit_length()))
 
 
 def bit_map(items: DataFrame, bits: int) -> np.ndarray:
@@ -252,10 +252,19 @@ def index(items: DataFrame, hits: DataFrame, least: float) -> DataFrame:
     return by_item.select("i", F.explode(kept("n", "places")).alias("h"))
 
 
+def text_seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """k (digest of a text) and h: its seeds that may be in the benchmark.
+
+    The digest comes before the explode: beside it, a text would be digested anew for each of its seeds. An outer explode, since
+    of another Spark infers a filter of the texts without seeds, for which all would be made twice.
+    """
+    own = docs.select(_digest(c("text")).alias("k"), _candidates(docs.sparkSession, items).alias("own"))
+    return own.select("k", F.explode_outer("own").alias("h")).filter("h IS NOT NULL").distinct()
+
+
 def candidates(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """k (digest of a text) and i of the pairs to be measured: all with the least overlap are among them."""
-    own = docs.select(_digest(c("text")).alias("k"), F.explode(_candidates(docs.sparkSession, items)).alias("h")).distinct()
-    hits = stored(own.join(items.select(F.explode("seeds.h").alias("h")).distinct(), "h", "left_semi"), "decontam-hits")
+    hits = stored(text_seeds(docs, items).join(items.select(F.explode("seeds.h").alias("h")).distinct(), "h", "left_semi"), "decontam-hits")
     pairs = stored(hits.join(index(items, hits, least), "h").select("k", "i").distinct(), "decontam-pairs")
     discard(hits)
     return pairs

@@ -119,3 +119,13 @@ def test_a_shared_sentence_makes_no_pairs(spark):
     assert out == {5000 + i: [i] for i in range(0, 2000, 400)}
     assert dc.candidates(docs, dc.item_seeds(bench), 0.8).count() == len(out)
     assert time.monotonic() - began < 60
+
+
+def test_a_text_is_digested_and_seeded_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, None)], "doc_id long, text string")
+    items = dc.item_seeds(spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string"))
+    found = dc.text_seeds(docs, items)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and plan.count("md5(") == 1
+    assert plan.index("Generate") < plan.index("md5(")
+    assert found.count() >= 20
