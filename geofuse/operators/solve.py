@@ -15,7 +15,8 @@ c = F.col
 def triangulate(matches: DataFrame, poses: DataFrame) -> DataFrame:
     """Points of calibrated matches (pair_id, fa, fb, x1, y1, x2, y2) between posed frames, by the linear null vector.
 
-    poses has frame_id, qw..qz, tx..tz. Directions at infinity give no row. Adds wx wy wz and the depths d1 d2.
+    poses has frame_id, qw..qz, tx..tz. Directions at infinity give no row, nor do points on the line through both cameras: their
+    rays coincide, so that a whole line fits them. Adds wx wy wz and the depths d1 d2.
     """
     cols = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
     a = poses.select(c("frame_id").alias("fa"), *[c(k).cast("double").alias(f"a_{k}") for k in cols])
@@ -37,8 +38,9 @@ def triangulate(matches: DataFrame, poses: DataFrame) -> DataFrame:
             pa, pb = matrices(pdf, "a"), matrices(pdf, "b")
             x1, y1, x2, y2 = (pdf[k].to_numpy()[:, None] for k in ("x1", "y1", "x2", "y2"))
             rows = np.stack([x1 * pa[:, 2] - pa[:, 0], y1 * pa[:, 2] - pa[:, 1], x2 * pb[:, 2] - pb[:, 0], y2 * pb[:, 2] - pb[:, 1]], 1)
-            v = np.linalg.svd(rows)[2][:, 3]
-            ok = np.abs(v[:, 3]) > 1e-12
+            _, size, v = np.linalg.svd(rows)
+            v = v[:, 3]
+            ok = (np.abs(v[:, 3]) > 1e-12) & (size[:, 2] > 1e-12 * size[:, 0])
             p = v[ok, :3] / v[ok, 3:]
             h = np.concatenate([p, np.ones((len(p), 1))], 1)
             out = pdf.loc[ok, ["pair_id", "fa", "fb", "x1", "y1", "x2", "y2"]].copy()

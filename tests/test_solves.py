@@ -8,6 +8,7 @@ from geofuse.operators import cloud, solve
 from geofuse.operators import telemetry as tm
 from geofuse.plans.rank import nth_smallest
 from geofuse.queries import QUERIES
+from geofuse.queries.more import _pairs
 from geofuse.sources import readers
 
 
@@ -64,6 +65,20 @@ def test_two_view_verify_by_pieces(spark, monkeypatch):
     assert len(found) == 2 and found[0]["inliers"] == found[1]["inliers"]
 
 
+def test_points_on_the_line_of_their_cameras_come_back(spark, tmp_path):
+    """Splats that both cameras of a pair see in one direction, among others, and what lies on such a line has no point of its own."""
+    k = np.arange(1, 1_200_000)
+    x, z, fa = k * 31 % 997, k * 7 % 211, k % 11
+    on = (x - 80 * fa) * (fa % 3 - (fa + 1) % 3) * 100 == 80 * (z + 400 + 100 * (fa % 3))
+    keys = np.concatenate([k[on][:200], k[:200]])
+    rows = [(int(i), next(j for j in range(1, 500) if j * 17 % 499 == 250)) for i in dict.fromkeys(keys.tolist())]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["pair_id"]: (r["wx"], r["wy"], r["wz"]) for r in QUERIES["m2_triangulate"](spark, str(tmp_path)).collect()}
+    assert on.sum() >= 100 and got == {i: (i * 31 % 997 / 100, 2.5, i * 7 % 211 / 100) for i, _ in rows}
+    m, poses = _pairs(spark, str(tmp_path))
+    assert solve.triangulate(m.filter(F.col("pair_id").isin(k[on][:200].tolist())), poses).count() == 0
+
+
 def test_ground_plane_is_the_floor(spark, sf):
     r = QUERIES["a28_ground_plane"](spark, sf).first()
     want = np.array([-0.1, 0.05, 1]) / np.linalg.norm([-0.1, 0.05, 1])
