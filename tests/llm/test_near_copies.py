@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as cp
-from geofuse.llm import near_copies
+from geofuse.llm import near_copies, simhash
 
 
 def plain_kept(rows):
@@ -58,3 +58,23 @@ def test_no_order_of_shingles_loses_links(spark, monkeypatch):
         rows.append((d, " ".join(u)))
     out = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in out.collect()) == plain_kept(rows)
+
+
+def test_fingerprints_propose_and_are_verified(spark, monkeypatch):
+    """The stage's pairs are first those that fingerprints link; what isn't alike by its shingles stays."""
+    phrase = "one two three four five six seven " * 60
+    base = [f"w{i}" for i in range(300)]
+    texts = [phrase + "alpha beta gamma", phrase + "delta eps zeta eta theta", " ".join(base), " ".join([*base[:-1], "x"]), "something else entirely is written here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp = [simhash.fingerprint(t) for t in texts]
+    assert (fp[0] ^ fp[1]).bit_count() <= 2
+    seen, plain = [], near_copies._verified
+
+    def verified(pairs, texts):
+        out = plain(pairs, texts)
+        seen.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_verified", verified)
+    assert {r["doc_id"] for r in cp.drop_near_copies(spark, docs, "").collect()} == {0, 1, 2, 4}
+    assert seen[0] == (1, 0) and sum(n for _, n in seen) >= 1
