@@ -202,14 +202,13 @@ def _nodes(node) -> tuple:
     return (FEATURES[split.featureIndex()], float(split.threshold()), _nodes(node.leftChild()), _nodes(node.rightChild()))
 
 
-def fit(docs: DataFrame, sample_docs: int = 2000, precision: float = 0.98, trees: int = 8, depth: int = 3) -> Boosted:
-    """Fits on the sample_docs documents of least hash (the bound), a third of them kept to calibrate.
+def fit(docs: DataFrame, precision: float = 0.98, trees: int = 8, depth: int = 3) -> Boosted:
+    """Fits on the candidates of all documents that have an id, a third of these kept to calibrate.
 
-    The threshold is the least score at which held-out candidates reach the precision. Without candidates
-    of both labels nothing is added: the threshold is infinite.
+    Candidates of one description and label are one row with their number. The threshold is the least score at which
+    held-out candidates reach the precision. Without candidates of both labels nothing is added: the threshold is infinite.
     """
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    found = _find(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    found = _find(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"))
     spans = found.select("doc_id", F.concat(*KINDS).alias("base"), "wide")
     rows = spans.select(
         "doc_id",
@@ -224,15 +223,16 @@ def fit(docs: DataFrame, sample_docs: int = 2000, precision: float = 0.98, trees
         ).alias("c"),
     ).select("doc_id", "c.label", "c.f.*")
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0
-    rows = stored(rows.withColumn("held", held).coalesce(4), "pii-candidates")
+    rows = rows.withColumn("held", held).groupBy("held", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = stored(rows, "pii-candidates")
     labels = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
     if len(labels) < 4:
         return Boosted([], math.inf)
     train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.filter(~F.col("held")))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.3).fit(train.select("label", "features").coalesce(2))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.3, weightCol="n").fit(train.select("label", "features", "n"))
     boosted = Boosted([(float(w), _nodes(t._call_java("rootNode"))) for t, w in zip(model.trees, model.treeWeights)], math.inf)
-    scored = rows.filter("held").select("label", boosted.score(F.struct(*FEATURES)).alias("score"))
-    by_score = scored.groupBy("score").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+    scored = rows.filter("held").select("label", "n", boosted.score(F.struct(*FEATURES)).alias("score"))
+    by_score = scored.groupBy("score").agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n"))
     down = Window.orderBy(F.col("score").desc())
     ok = by_score.select("score", F.sum("hits").over(down).alias("hits"), F.sum("n").over(down).alias("n")).filter(F.col("hits") >= precision * F.col("n"))
     least = ok.agg(F.min("score")).first()[0]

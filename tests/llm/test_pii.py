@@ -102,3 +102,15 @@ def test_trees_score_and_redact(spark):
     found = pii.find_pii(docs, model)
     assert {r["doc_id"]: r["text"] for r in pii.redact(docs, found).collect()} == {1: "call [phone] or [email]", 2: None, 3: "clean"}
     assert found.filter(F.size("spans") > 0).count() == 1
+
+
+def test_every_document_is_learned_from(spark, monkeypatch):
+    """One document of 3000 has candidates of its own: a sample of 2000 by the hash of ids leaves it out."""
+    ids = spark.range(3000).orderBy(F.xxhash64("id"), "id").collect()
+    last = ids[-1]["id"]
+    text = F.when(F.col("id") == last, "call 021 555 0199 22 or +64 21 555 0199 now").otherwise("nothing here")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    kept = []
+    monkeypatch.setattr(pii, "stored", lambda df, label: kept.append(df) or df)
+    pii.fit(docs)
+    assert kept[0].agg(F.sum("n")).first()[0] == 2
