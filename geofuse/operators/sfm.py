@@ -162,11 +162,14 @@ def grid_spread(kps: DataFrame, width: int, height: int, target: int) -> DataFra
     rows = max(1, math.ceil(math.sqrt(target / (width / height))))
     cols = max(1, math.ceil(target / rows))
     col, row = F.least(F.floor(c("x") / max(width / cols, 1.0)), F.lit(cols - 1)), F.least(F.floor(c("y") / max(height / rows, 1.0)), F.lit(rows - 1))
-    frame = Window.partitionBy("frame_id")
-    k = kps.withColumns({"__n": F.count(F.lit(1)).over(frame), "__cell": row * cols + col})
-    k = k.withColumn("__best", F.row_number().over(Window.partitionBy("frame_id", "__cell").orderBy(c("score").desc(), "kp_id")))
-    k = k.withColumn("__k", F.row_number().over(frame.orderBy(F.when(c("__best") == 1, 0).otherwise(1), c("score").desc(), "kp_id")))
-    return k.filter((c("__n") <= target) | (c("__best") == 1) | (c("__k") <= target)).drop("__n", "__cell", "__best", "__k")
+    order = [c("score").desc(), c("kp_id")]
+    place = lambda *by: F.row_number().over(Window.partitionBy("frame_id", *by).orderBy(*order))
+    k = kps.withColumns({"__cell": row * cols + col, "__salt": salt_of("kp_id")})
+    # What a salt of a frame can't tell from the frame's own: the best of each cell, and as many of the strongest as cells and target.
+    k = k.withColumns({"__best": place("__salt", "__cell"), "__k": place("__salt")}).filter((c("__best") == 1) | (c("__k") <= target + rows * cols))
+    k = k.withColumn("__best", place("__cell"))
+    k = k.withColumn("__k", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.when(c("__best") == 1, 0).otherwise(1), *order)))
+    return k.filter((c("__best") == 1) | (c("__k") <= target)).drop("__salt", "__cell", "__best", "__k")
 
 
 def nms(pixels: DataFrame) -> DataFrame:

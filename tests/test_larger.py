@@ -1,10 +1,15 @@
 """What must not grow in one task: rounds of components, windows and joins over few groups, and tasks of small files."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from geofuse.operators import sfm
 from geofuse.plans import components as cp
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
 def test_links_of_one_task_need_no_round(spark, monkeypatch):
     rounds = []
@@ -19,3 +24,23 @@ def test_repeated_links_of_several_tasks(spark):
     rows = [(3, 4)] * 5 + [(4, 9), (7, 7), (None, 3), (-5, 4), (20, 21)]
     got = cp.components(spark.createDataFrame(rows, "a long, b long").repartition(5)).collect()
     assert sorted((r["node"], r["root"]) for r in got) == [(-5, -5), (3, -5), (4, -5), (9, -5), (20, 20), (21, 20)]
+
+
+def test_grid_spread_orders_no_frame_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f, i, float(rng.integers(0, 64)), float(rng.integers(0, 48)), float(rng.integers(0, 50)) if i % 9 else None) for f, n in ((0, 3000), (1, 40), (2, 101)) for i in range(n)]
+    kps = spark.createDataFrame(rows, "frame_id int, kp_id int, x double, y double, score double")
+    out = sfm.grid_spread(kps, 64, 48, 100)
+    got = {(r["frame_id"], r["kp_id"]) for r in out.collect()}
+    want = set()
+    for frame in range(3):
+        own = sorted((r for r in rows if r[0] == frame), key=lambda r: (r[4] is None, -(r[4] or 0), r[1]))
+        cells = {}
+        for r in own:
+            cells.setdefault((min(r[2] // (64 / 12), 11), min(r[3] // (48 / 9), 8)), r)
+        best = set(cells.values())
+        order = [r for r in own if r in best] + [r for r in own if r not in best]
+        want |= {(r[0], r[1]) for k, r in enumerate(order) if r in best or k < 100}
+    assert got == want
+    seen = [line for line in plan_of(out).splitlines() if "hashpartitioning(frame_id" in line]
+    assert any("__salt" in line for line in seen)
