@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -60,11 +61,16 @@ def quantize(splats: DataFrame) -> DataFrame:
 
 
 def cloud_stats(df: DataFrame, by: list[str]) -> DataFrame:
-    """Per group centroid, rms radius, bounds and count: two map-side combined aggregates."""
-    mean = df.groupBy(*by).agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"])
-    d2 = sum(((c(k) - c(f"m{k}")) * (c(k) - c(f"m{k}")) for k in "xyz"), F.lit(0.0))
-    return df.join(mean, by).groupBy(*by, "mx", "my", "mz").agg(
-        F.sqrt(F.avg(d2)).alias("rms"), *[f(k).alias(f"{n}_{k}") for n, f in (("min", F.min), ("max", F.max)) for k in "xyz"], F.count(F.lit(1)).alias("n")
+    """Per group centroid, rms radius, bounds and count: one map-side combined aggregate. Rows without a group take no part.
+
+    The mean square around the centroid is the variance, and the square of how far the mean of the rows that have all three
+    coordinates, which alone count for it, lies from the centroid.
+    """
+    whole = {k: F.when(F.coalesce(*[F.when(c(j).isNull(), 1) for j in "xyz"]).isNull(), c(k)) for k in "xyz"}
+    d2 = sum((F.var_pop(w) + F.pow(F.avg(w) - F.avg(k), 2) for k, w in whole.items()), F.lit(0.0))
+    known = functools.reduce(lambda a, b: a & b, [c(k).isNotNull() for k in by], F.lit(True))
+    return df.filter(known).groupBy(*by).agg(
+        *[F.avg(k).alias(f"m{k}") for k in "xyz"], F.sqrt(d2).alias("rms"), *[f(k).alias(f"{n}_{k}") for n, f in (("min", F.min), ("max", F.max)) for k in "xyz"], F.count(F.lit(1)).alias("n")
     )
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from geofuse.operators import sfm
+from geofuse.operators import cloud, sfm
 from geofuse.plans import components as cp
 
 
@@ -44,3 +44,15 @@ def test_grid_spread_orders_no_frame_whole(spark):
     assert got == want
     seen = [line for line in plan_of(out).splitlines() if "hashpartitioning(frame_id" in line]
     assert any("__salt" in line for line in seen)
+
+
+def test_cloud_stats_without_a_join(spark):
+    rows = [("a", 1.0, 2.0, 3.0), ("a", 4.0, None, 1.0), ("a", -2.0, 5.0, 0.5), ("b", 1.0, 1.0, 1.0), (None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    out = cloud.cloud_stats(df, ["g"])
+    assert "Join" not in plan_of(out)
+    got = {r["g"]: r for r in out.collect()}
+    assert set(got) == {"a", "b"} and got["b"]["rms"] == 0 and got["a"]["n"] == 3
+    mean = np.array([1.0, 3.5, 1.5])
+    whole = np.array([[1.0, 2.0, 3.0], [-2.0, 5.0, 0.5]])
+    assert np.isclose(got["a"]["rms"], np.sqrt(((whole - mean) ** 2).sum(1).mean())) and np.isclose(got["a"]["my"], 3.5)
