@@ -76,9 +76,11 @@ def cloud_stats(df: DataFrame, by: list[str]) -> DataFrame:
 
 def robust_radius(df: DataFrame, by: list[str], quantile: float = 0.9, floor: float = 1e-4) -> DataFrame:
     """Per group the centroid and the distance from it at a rank of floor((n - 1) * quantile)."""
-    mean = df.groupBy(*by).agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"])
+    salted = df.select(*by, *"xyz", salt_of(*"xyz").alias("salt"))
+    mean = salted.groupBy(*by).agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"], F.bit_or(salt_bit(c("salt"))).alias("salts"))
     away = F.sqrt(sum(((c(k) - c(f"m{k}")) * (c(k) - c(f"m{k}")) for k in "xyz"), F.lit(0.0)))
-    d = df.join(mean, by).select(*by, away.alias("radius"))
+    d = attach(salted, mean, by).select(*by, away.alias("radius"))
+    mean = mean.drop("salts")
     r = nth_smallest(d, "radius", F.floor((c("n") - 1) * quantile), by)
     return mean.join(r, by).withColumn("radius", F.greatest(c("radius"), F.lit(floor)))
 
