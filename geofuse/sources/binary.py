@@ -6,6 +6,7 @@ row each of a binary table (`spark.read.format("binaryFile")`), or of such a tab
 
 from __future__ import annotations
 
+import itertools
 import math
 import struct
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ PLY_TYPES = {
 }
 SPLAT = ("f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
 HEAD, CHUNK, STEP = 1 << 16, 1 << 25, 1 << 21
+#: Bytes of a partition, and what opening a file counts for.
+PACK, PLY_OPEN = 1 << 22, 1 << 16
 RECORD = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 4), ("q", "u1", 4)])
 #: Order of the properties in a written file, without the higher harmonics.
 WRITTEN = ("x", "y", "z", "nx", "ny", "nz", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
@@ -99,9 +102,9 @@ def _cloud(rows: np.ndarray, first: int) -> pd.DataFrame:
 class PlySource(DataSource):
     """PLY files as a table of splats, read in ranges of bytes: spark.read.format("ply").option("chunk", n).load(path).
 
-    The driver lists names and sizes only. A partition is a range of about chunk bytes of one file: its task reads the header
-    and then, STEP bytes at a time, the records that begin in its range. So a file may have any size, and no task
-    holds more than a step of it. A file that ends before its last record is an error.
+    The driver lists names and sizes only. A partition is some ranges of at most chunk bytes of a file, of about PACK bytes together:
+    its task reads a file's header and then, STEP bytes at a time, the records that begin in its range. So a file may have any
+    size, small files don't take a task each, and no task holds more than a step. A file that ends before its last record is an error.
     """
 
     @classmethod
@@ -120,29 +123,60 @@ class PlyRange(InputPartition):
         self.uri, self.size, self.low, self.high = uri, size, low, high
 
 
+class PlyRanges(InputPartition):
+    def __init__(self, ranges: list[PlyRange]):
+        self.ranges = ranges
+
+    @property
+    def low(self) -> int:
+        """Where the first range begins in its file."""
+        return self.ranges[0].low
+
+    @property
+    def high(self) -> int:
+        """Where the last range ends in its file."""
+        return self.ranges[-1].high
+
+
 class PlyReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
 
-    def partitions(self) -> list[PlyRange]:
-        return [PlyRange(uri, size, at, min(at + self.chunk, size)) for uri, size in listed(self.path, ".ply") for at in range(0, max(size, 1), self.chunk)]
-
-    def read(self, part: PlyRange) -> Iterator[pa.RecordBatch]:
-        system, path = opened(part.uri)
-        with system.open_input_file(path) as f:
-            kind, count, at = ply_header(f.read_at(min(HEAD, part.size), 0))
-            stride = kind.itemsize
-            if at + count * stride > part.size:
-                raise ValueError(f"a ply file ends before its last record: {part.uri}")
-            first, last = (min(count, max(0, -(-(x - at) // stride))) for x in (part.low, part.high))
-            if not part.low:
-                _cloud(np.zeros(0, kind), 0)  # a header that can't be read is an error in a file without records, too
-            per = max(1, STEP // stride)
-            for i in range(first, last, per):
-                n = min(per, last - i)
-                cloud = _cloud(np.frombuffer(f.read_at(n * stride, at + i * stride), kind), i)
-                cloud.insert(0, "file", part.uri)
-                yield pa.RecordBatch.from_pandas(cloud, schema=PLY_SCHEMA, preserve_index=False)
+    def partitions(self) -> list[PlyRanges]:
+        out, room, last = [], 0, None
+        for uri, size in listed(self.path, ".ply"):
+            for at in range(0, max(size, 1), self.chunk):
+                part = PlyRange(uri, size, at, min(at + self.chunk, size))
+                cost = part.high - at + PLY_OPEN * (uri != last)
+                if not out or room < cost:
+                    out.append(PlyRanges([]))
+                    room, cost = PACK, part.high - at + PLY_OPEN
+                out[-1].ranges.append(part)
+                room, last = room - cost, uri
+        return out
+
+    def read(self, parts: PlyRanges) -> Iterator[pa.RecordBatch]:
+        for uri, own in itertools.groupby(parts.ranges, lambda part: part.uri):
+            system, path = opened(uri)
+            with system.open_input_file(path) as f:
+                own = list(own)
+                kind, count, at = ply_header(f.read_at(min(HEAD, own[0].size), 0))
+                if at + count * kind.itemsize > own[0].size:
+                    raise ValueError(f"a ply file ends before its last record: {uri}")
+                for part in own:
+                    yield from self._records(f, part, kind, count, at)
+
+    def _records(self, f: pa.NativeFile, part: PlyRange, kind: np.dtype, count: int, at: int) -> Iterator[pa.RecordBatch]:
+        stride = kind.itemsize
+        first, last = (min(count, max(0, -(-(x - at) // stride))) for x in (part.low, part.high))
+        if not part.low:
+            _cloud(np.zeros(0, kind), 0)  # a header that can't be read is an error in a file without records, too
+        per = max(1, STEP // stride)
+        for i in range(first, last, per):
+            n = min(per, last - i)
+            cloud = _cloud(np.frombuffer(f.read_at(n * stride, at + i * stride), kind), i)
+            cloud.insert(0, "file", part.uri)
+            yield pa.RecordBatch.from_pandas(cloud, schema=PLY_SCHEMA, preserve_index=False)
 
 
 def read_ply(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:

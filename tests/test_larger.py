@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geofuse.operators import cloud, sfm
+from geofuse.operators import surface as su
 from geofuse.plans import components as cp
+from geofuse.sources import binary as bi
 
 
 def plan_of(df):
@@ -56,3 +58,32 @@ def test_cloud_stats_without_a_join(spark):
     mean = np.array([1.0, 3.5, 1.5])
     whole = np.array([[1.0, 2.0, 3.0], [-2.0, 5.0, 0.5]])
     assert np.isclose(got["a"]["rms"], np.sqrt(((whole - mean) ** 2).sum(1).mean())) and np.isclose(got["a"]["my"], 3.5)
+
+
+def test_robust_radius_joins_by_salts(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", *[(F.col("id") * k % 101).cast("double").alias(a) for k, a in ((7, "x"), (11, "y"), (13, "z"))])
+    got = {r["g"]: r["radius"] for r in cloud.robust_radius(df, ["g"]).collect()}
+    for g in (0, 1):
+        p = np.array([[i * 7 % 101, i * 11 % 101, i * 13 % 101] for i in range(3000) if i % 2 == g], "float64")
+        away = np.sort(np.sqrt(((p - p.mean(0)) ** 2).sum(1)))
+        assert np.isclose(got[g], away[int((len(p) - 1) * 0.9)])
+    assert "salt" in plan_of(cloud.robust_radius(df, ["g"]))
+
+
+def test_small_files_share_a_partition(spark, tmp_path):
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex {}\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    for i in range(300):
+        (tmp_path / f"f{i:03}.ply").write_bytes(head.format(5).encode() + np.full(15, i, "<f4").tobytes())
+    df = bi.read_ply(spark, str(tmp_path), chunk=64)
+    assert df.rdd.getNumPartitions() < 20
+    assert sorted(r["x"] for r in df.collect()) == [float(i) for i in range(300) for _ in range(5)]
+
+
+def test_small_bricks_share_a_call(spark):
+    axis = F.sequence(F.lit(0), F.lit(4))
+    field = spark.range(3).select(F.col("id").alias("m"), F.explode(axis).alias("vx")).withColumn("vy", F.explode(axis)).withColumn("vz", F.explode(axis))
+    field = field.withColumn("value", F.col("vx") - 1.5 - F.col("m") / 4)
+    v, t = su.iso_surface(field, ["m"], brick=2, places=True)
+    assert "FlatMapGroups" not in plan_of(v)
+    assert {(r["m"], r["x"]) for r in v.collect()} == {(m, 1.5 + m / 4) for m in range(3)} and v.count() == 75
+    assert t.count() == 3 * 32 and all(r[f"x{k}"] == 1.5 + r["m"] / 4 for r in t.collect() for k in range(3))
