@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geofuse.functions import camera as cam
 from geofuse.functions import splat as sp
@@ -136,6 +137,8 @@ def _composited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # Surfaces -------------------------------------------------------------------------------------------------------
+#: Samples that a task cuts at once.
+ROWS = 1 << 16
 # A corner is a number of three bits, its steps along x, y and z; an edge is its lower corner and its axis.
 EDGES = [(low, axis) for axis in range(3) for low in range(8) if not low >> axis & 1]
 NUMBER = {e: i for i, e in enumerate(EDGES)}
@@ -185,10 +188,10 @@ def vertex_id(at: np.ndarray, axis: np.ndarray) -> np.ndarray:
     return (((x << 20) + y << 20) + z) * 4 + axis
 
 
-def _cut(corners: np.ndarray, colours: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The surface in some cubes: corners (cube, 8), colours (cube, 8, channels), base (cube, 3), the lowest corner's place.
+def _cut(corners: np.ndarray, colours: np.ndarray, base: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The surface in some cubes: corners (cube, 8), colours (cube, 8, channels), base (cube, 3), the lowest corner's place, group (cube).
 
-    Vertices, each once: number, sample and axis of its edge, place on it (t), colours; and triangles of their numbers.
+    Vertices, each once in its group: group, number, sample and axis of its edge, place on it (t), colours; and triangles: group, three vertices.
     """
     inside = ((corners < 0) * (1 << np.arange(8))).sum(1)
     joined = np.zeros(len(corners), "int64")
@@ -207,24 +210,30 @@ def _cut(corners: np.ndarray, colours: np.ndarray, base: np.ndarray) -> tuple[np
     low, axis = np.array(EDGES)[edge].T
     at = base[cube] + (low[:, None] >> np.arange(3) & 1)
     number = vertex_id(at, axis)
-    _, first = np.unique(number, return_index=True)
+    order = np.lexsort((number, group[cube]))
+    new = np.append(True, (np.diff(number[order]) != 0) | (np.diff(group[cube][order]) != 0))
+    first, vertex = order[new], np.empty(len(order), "int64")
+    vertex[order] = np.cumsum(new) - 1
+    triangles = group[cube[::3]], vertex.reshape(-1, 3)
     cube, low, axis_ = cube[first], low[first], axis[first]
     a, b = corners[cube, low], corners[cube, low | 1 << axis_]
     t = np.clip(np.where(np.abs(b - a) < 1e-20, 0.5, -a / np.where(b == a, 1.0, b - a)), 0, 1)
     ends = colours[cube, low], colours[cube, low | 1 << axis_]
-    return number[first], at[first], axis_, t, ends[0] + t[:, None] * (ends[1] - ends[0]), number.reshape(-1, 3)
+    return group[cube], number[first], at[first], axis_, t, ends[0] + t[:, None] * (ends[1] - ends[0]), *triangles
 
 
-def iso_surface(voxels: DataFrame, by: list[str], iso: float = 0.0, colours: tuple[str, ...] = (), brick: int = 32) -> tuple[DataFrame, DataFrame]:
+def iso_surface(voxels: DataFrame, by: list[str], iso: float = 0.0, colours: tuple[str, ...] = (), brick: int = 32, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Where the sampled field crosses iso: vertices (by, v, vx, vy, vz, axis, x, y, z, colours) and triangles (by, v0, v1, v2).
 
+    With places, triangles have their corners' coordinates as well: x0, y0, z0 to x2, y2, z2.
+
     voxels has by, vx, vy, vz, value and the columns colours; a sample that is absent or null was not observed, and only cubes with
     all eight corners make a surface; of repeated samples the greatest counts. Triangles turn toward growing values. Coordinates are
     in steps of the lattice. A vertex's colours are those of its edge's ends, in proportion.
 
     Samples are dealt out by bricks of the lattice, those on a brick's lower sides to the bricks below as well: about
-    (1 + 1 / brick) ** 3 rows a sample, and a task holds one brick at a time. A face's four values alone decide
-    how it is cut where that is open, so bricks agree.
+    (1 + 1 / brick) ** 3 rows a sample, and a task cuts small bricks many at once: ROWS samples, or one brick. A face's four
+    values alone decide how it is cut where that is open, so bricks agree.
     """
 
     def bricks(k: str):
@@ -235,45 +244,79 @@ def iso_surface(voxels: DataFrame, by: list[str], iso: float = 0.0, colours: tup
     rows = rows.filter(c("_value").isNotNull() & ~F.isnan("_value"))
     for a in "xyz":
         rows = rows.withColumn(f"_b{a}", bricks(f"v{a}"))
-    names = [*[f"v{i}" for i in range(3)], "vx", "vy", "vz", "axis", "t", *[f"_c_{k}" for k in colours]]
-
-    def cut(key: tuple, table: pa.Table) -> pa.Table:
-        origin = np.array([k.as_py() for k in key[len(by) :]]) * brick
-        value = table["_value"].to_numpy()
-        order = np.argsort(value, kind="stable")
-        at = np.stack([table[f"v{a}"].to_numpy() - o for a, o in zip("xyz", origin)], 1)[order]
-        # Only the box of the brick that has samples is laid out.
-        low, size = at.min(0), at.max(0) - at.min(0) + 1
-        at, cubes = tuple((at - low).T), tuple(size - 1)
-        grid, tint = np.full(size, np.nan), np.zeros((*size, len(colours)))
-        grid[at] = value[order]
-        for i, k in enumerate(colours):
-            tint[(*at, i)] = np.nan_to_num(table[f"_c_{k}"].to_numpy().astype("float64"))[order]
-        part = [tuple(slice(k >> i & 1, n + (k >> i & 1)) for i, n in enumerate(cubes)) for k in range(8)]
-        corners = np.stack([grid[p].ravel() for p in part], 1)
-        met = np.flatnonzero((corners.min(1) < 0) & (corners.max(1) >= 0))  # False where a corner is missing
-        out = {k: np.zeros(0) for k in names}
-        if len(met):
-            base = np.stack(np.unravel_index(met, cubes), 1)
-            near = np.stack([tint[tuple(base[:, i] + (k >> i & 1) for i in range(3))] for k in range(8)], 1)
-            number, sample, axis, t, shade, triangles = _cut(corners[met], near, base + low + origin)
-            none = np.full(len(number), -1)
-            kinds = [[number, none, none, *sample.T, axis, t, *shade.T], [*triangles.T, *[np.zeros(len(triangles), "int64")] * 3, np.full(len(triangles), -1), *[np.zeros(len(triangles))] * (1 + len(colours))]]
-            out = {k: np.concatenate([a[i] for a in kinds]) for i, k in enumerate(names)}
-        size = len(out["t"])
-        keys = {k: pa.repeat(v, size) for k, v in zip(by, key)}
-        kind = lambda k: pa.float64() if k == "t" or k.startswith("_c_") else pa.int32() if k == "axis" else pa.int64()
-        return pa.table(keys | {k: pa.array(out[k]).cast(kind(k)) for k in names})
-
-    types = [f"{f.name} {f.dataType.simpleString()}" for f in voxels.schema if f.name in by]
-    types += [f"{k} {'double' if k == 't' or k.startswith('_c_') else 'int' if k == 'axis' else 'long'}" for k in names]
     by = [f.name for f in voxels.schema if f.name in by]
-    cutting = rows.groupBy(*by, "_bx", "_by", "_bz").applyInArrow(cut, ", ".join(types))
+    spots = [f"{a}{k}" for k in range(3) for a in "xyz"] * places
+    names = [*[f"v{i}" for i in range(3)], "vx", "vy", "vz", "axis", "t", *[f"_c_{k}" for k in colours], *spots]
+    keys, sample = [*by, "_bx", "_by", "_bz"], ["vx", "vy", "vz"]
+    steps = np.array([(k & 1) * (brick + 1) ** 2 + (k >> 1 & 1) * (brick + 1) + (k >> 2) for k in range(8)])
+
+    def starts(table: pa.Table) -> np.ndarray:
+        """Where bricks begin in rows that are in order."""
+        new = np.arange(table.num_rows) == 0
+        for k in keys:
+            own = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= own[1:] != own[:-1]
+        return np.flatnonzero(new)
+
+    def cut(table: pa.Table) -> pa.Table:
+        first = starts(table)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+        at = np.stack([table[a].to_numpy() for a in sample], 1)
+        own = at - np.stack([table[f"_b{a}"].to_numpy() for a in "xyz"], 1) * brick
+        code = ((group * (brick + 1) + own[:, 0]) * (brick + 1) + own[:, 1]) * (brick + 1) + own[:, 2]
+        last = np.flatnonzero(np.append(code[1:] != code[:-1], True))  # of repeated samples the greatest
+        code, value = code[last], table["_value"].to_numpy()[last]
+        low = np.flatnonzero((own[last] < brick).all(1))
+        met = np.zeros((len(low), 8), "int64")
+        met[:, 0] = low
+        for k in range(1, 8):
+            place = np.minimum(np.searchsorted(code, code[met[:, 0]] + steps[k]), len(code) - 1)
+            met[:, k] = place
+            met = met[code[place] == code[met[:, 0]] + steps[k]]  # only cubes with all their corners
+        corners = value[met]
+        met = met[(corners.min(1) < 0) & (corners.max(1) >= 0)] if len(met) else met
+        if not len(met):
+            return out_schema.empty_table()
+        tint = np.stack([np.nan_to_num(table[f"_c_{k}"].to_numpy().astype("float64"))[last] for k in colours], 1) if colours else np.zeros((len(last), 0))
+        base = last[met[:, 0]]
+        of, number, edge, axis, t, shade, of_triangle, triangles = _cut(value[met], tint[met], at[base], group[base])
+        none, n = np.full(len(number), -1), len(triangles)
+        spot = edge + t[:, None] * (axis[:, None] == np.arange(3))
+        kinds = [
+            [number, none, none, *edge.T, axis, t, *shade.T, *[np.zeros(len(number))] * len(spots)],
+            [*number[triangles].T, *[np.zeros(n, "int64")] * 3, np.full(n, -1), *[np.zeros(n)] * (1 + len(colours)), *(spot[triangles].reshape(n, 9).T if places else ())],
+        ]
+        picked = pa.array(first[np.concatenate([of, of_triangle])])
+        columns = [table[k].combine_chunks().take(picked) for k in by] + [pa.array(np.concatenate(x)) for x in zip(*kinds)]
+        return pa.table(columns, names=out_schema.names).cast(out_schema)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                table = pa.Table.from_batches(held)
+                whole = int(starts(table)[-1])
+                if whole:
+                    yield from cut(table.slice(0, whole)).to_batches()
+                held, size = table.slice(whole).to_batches(), table.num_rows - whole
+                most = max(ROWS, 2 * size)
+        if size:
+            yield from cut(pa.Table.from_batches(held)).to_batches()
+
+    double = lambda k: k == "t" or k.startswith("_c_") or k in spots
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in voxels.schema if f.name in by]
+    types += [f"{k} {'double' if double(k) else 'int' if k == 'axis' else 'long'}" for k in names]
+    kinds_of = to_arrow_schema(voxels.select(*by).schema)
+    out_schema = pa.schema([*kinds_of, *[pa.field(k, pa.float64() if double(k) else pa.int32() if k == "axis" else pa.int64()) for k in names]])
+    rows = rows.select(*keys, *sample, "_value", *[f"_c_{k}" for k in colours])
+    cutting = rows.repartition(*keys).sortWithinPartitions(*keys, *sample, "_value").mapInArrow(pieces, ", ".join(types))
     # Only vertices between bricks come more than once.
     vertices = cutting.filter("axis >= 0").withColumnRenamed("v0", "v").dropDuplicates([*by, "v"])
     along = [(c(f"v{a}") + F.when(c("axis") == i, c("t")).otherwise(0.0)).alias(a) for i, a in enumerate("xyz")]
     vertices = vertices.select(*by, "v", "vx", "vy", "vz", "axis", *along, *[c(f"_c_{k}").alias(k) for k in colours])
-    return vertices, cutting.filter("axis < 0").select(*by, "v0", "v1", "v2")
+    return vertices, cutting.filter("axis < 0").select(*by, "v0", "v1", "v2", *spots)
 
 
 # Alignment ------------------------------------------------------------------------------------------------------
