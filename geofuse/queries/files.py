@@ -148,9 +148,7 @@ def g5_colours(spark: SparkSession, sf: str) -> DataFrame:
 @query("g5_surface_area")
 def g5_area(spark: SparkSession, sf: str) -> DataFrame:
     """Triangles and area of each surface."""
-    v, t = su.iso_surface(field(spark, sf), ["site"])
-    for k in range(3):
-        t = t.join(v.select("site", c("v").alias(f"v{k}"), *[c(a).alias(f"{a}{k}") for a in "xyz"]), ["site", f"v{k}"])
+    _, t = su.iso_surface(field(spark, sf), ["site"], places=True)
     a, b = [[c(f"{n}{k}") - c(f"{n}0") for n in "xyz"] for k in (1, 2)]
     n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
     area = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2
