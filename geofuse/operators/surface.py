@@ -17,18 +17,13 @@ from geofuse.functions import splat as sp
 from geofuse.operators.cloud import cloud_stats, decode
 from geofuse.operators.telemetry import fit_sim3
 from geofuse.plans.rank import ranked
-from geofuse.plans.shared import few
+from geofuse.plans.shared import few, settled
 
 c = F.col
 # Pixels of a tile, the widest splat, the low-pass, the least alpha, opacity and coverage, and when a pixel is full.
 TILE, MOST_RADIUS, DILATION, LEAST_ALPHA, LEAST_OPACITY, LEAST_COVER, FULL = 16, 96.0, 0.3, 1 / 255, 0.02, 0.62, 1e-3
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The same rows; what was computed so far is computed once, not written out again in all that uses it."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> DataFrame:
     """Depth images: image_id, py, px, depth, cover, nx, ny, nz of the pixels that splats cover well enough.
 
@@ -42,30 +37,30 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
         "image_id", (c("f") * s).alias("vf"), F.greatest(F.round(c("width") * s), F.lit(1.0)).alias("vw"), F.greatest(F.round(c("height") * s), F.lit(1.0)).alias("vh"),
         (c("width") / 2 * s).alias("vx"), (c("height") / 2 * s).alias("vy"), *[c(k).alias(f"v_{k}") for k in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")],
     )
-    d = _settled(decode(splats).filter(c("opacity") >= LEAST_OPACITY).select("splat_id", *"xyz", "opacity", "sx", "sy", "sz", "uw", "ux", "uy", "uz"))
+    d = settled(decode(splats).filter(c("opacity") >= LEAST_OPACITY).select("splat_id", *"xyz", "opacity", "sx", "sy", "sz", "uw", "ux", "uy", "uz"))
     own = sp.rotation(c("uw"), c("ux"), c("uy"), c("uz"))
     cov = sp.covariance(own, [c("sx"), c("sy"), c("sz")])
     thin = F.when((c("sx") <= c("sy")) & (c("sx") <= c("sz")), 0).when(c("sy") <= c("sz"), 1).otherwise(2)
     normal = {f"n{k}": F.when(thin == 0, own[i][0]).when(thin == 1, own[i][1]).otherwise(own[i][2]) for i, k in enumerate("xyz")}
-    d = _settled(d.withColumns(cov | normal).select("splat_id", *"xyz", "opacity", *cov, *normal))
+    d = settled(d.withColumns(cov | normal).select("splat_id", *"xyz", "opacity", *cov, *normal))
     q, t = tuple(c(f"v_{k}") for k in ("qw", "qx", "qy", "qz")), tuple(c(f"v_{k}") for k in ("tx", "ty", "tz"))
     p = cam.world_to_cam(q, t, (c("x"), c("y"), c("z")))
     eye, turn = cam.centre(q, t), sp.rotation(*q)
     toward = sum((c(f"n{k}") * (eye[i] - c(k)) for i, k in enumerate("xyz")), F.lit(0.0))
     b = d.join(few(v, what="views")).withColumns({"ax": p[0], "ay": p[1], "depth": p[2], "flip": F.when(toward < 0, -1.0).otherwise(1.0)})
-    b = _settled(b).filter("depth >= 1e-3")
+    b = settled(b).filter("depth >= 1e-3")
     sigma = [[c(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     # The rows of (Jacobian of the projection) x (rotation of the view), and the 2 x 2 covariance on the image.
     j = [(c("vf") / c("depth"), None, -c("vf") * c("ax") / (c("depth") * c("depth"))), (None, c("vf") / c("depth"), -c("vf") * c("ay") / (c("depth") * c("depth")))]
     b = b.withColumns({f"m{r}{k}": sum((j[r][i] * turn[i][k] for i in range(3) if j[r][i] is not None), F.lit(0.0)) for r in range(2) for k in range(3)})
-    b = _settled(b)
+    b = settled(b)
     flat = lambda a, e: sum((c(f"m{a}{i}") * sigma[i][k] * c(f"m{e}{k}") for i in range(3) for k in range(3)), F.lit(0.0))
-    b = _settled(b.withColumns({"e0": flat(0, 0) + DILATION, "e1": flat(0, 1), "e2": flat(1, 1) + DILATION}))
+    b = settled(b.withColumns({"e0": flat(0, 0) + DILATION, "e1": flat(0, 1), "e2": flat(1, 1) + DILATION}))
     det = c("e0") * c("e2") - c("e1") * c("e1")
     half = (c("e0") + c("e2")) / 2
     radius = 3 * F.sqrt(half + F.sqrt(F.greatest(half * half - det, F.lit(0.0))))
     b = b.withColumns({"det": det, "radius": radius, "u": c("vf") * c("ax") / c("depth") + c("vx"), "w": c("vf") * c("ay") / c("depth") + c("vy")})
-    b = _settled(b).filter((c("det") > 1e-12) & (c("radius") <= MOST_RADIUS) & (c("u") + c("radius") >= 0) & (c("w") + c("radius") >= 0) & (c("u") - c("radius") < c("vw")) & (c("w") - c("radius") < c("vh")))
+    b = settled(b).filter((c("det") > 1e-12) & (c("radius") <= MOST_RADIUS) & (c("u") + c("radius") >= 0) & (c("w") + c("radius") >= 0) & (c("u") - c("radius") < c("vw")) & (c("w") - c("radius") < c("vh")))
 
     def tiles(at: str, var: str, size: str):
         """The tiles that the square meets and that have pixels where the exponent is -12 or more."""

@@ -64,6 +64,11 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df.stored_at)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows; what was computed so far is computed once, not written out again in all that uses it."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def few(df: DataFrame, most: int = 20000, what: str = "rows") -> DataFrame:
     """A table to be sent to every task, counted first: more rows than most are an error."""
     if df.count() > most:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geofuse.functions.text import first_column, number_after, parse_loose_time
+from geofuse.plans.shared import settled
 
 c = F.col
 # Header aliases, in the order in which they count.
@@ -156,7 +157,11 @@ def grid_json(docs: DataFrame, by: list[str], column: str = "value") -> DataFram
 
 
 def _field(parts: Column, i: Column | int) -> Column:
-    t = F.trim(F.get(parts, i if isinstance(i, Column) else F.lit(i)))
+    return _as_number(F.get(parts, i if isinstance(i, Column) else F.lit(i)))
+
+
+def _as_number(text: Column) -> Column:
+    t = F.trim(text)
     return F.when(t.rlike(r"^[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?$"), t.cast("double"))
 
 
@@ -173,20 +178,23 @@ def mrk(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) ->
 
 def pos(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Post-processed positions: the first of five places where two fields can be a position, in either order."""
-    lines = lines.select(F.filter(F.split(F.trim(column), r"[\s,]+"), lambda s: s != "").alias("p"), *keep).filter("size(p) >= 4 AND NOT (startswith(p[0], '%') OR startswith(p[0], '#'))")
+    # A line is cut, and its fields are read as numbers, once; no field after the tenth is asked for.
+    lines = settled(lines.select(F.filter(F.split(F.trim(column), r"[\s,]+"), lambda s: s != "").alias("p"), *keep)).filter("size(p) >= 4 AND NOT (startswith(p[0], '%') OR startswith(p[0], '#'))")
+    lines = settled(lines.withColumn("v", F.transform(F.slice("p", 1, 10), _as_number)))
     p = c("p")
+    field = lambda i: F.get("v", i if isinstance(i, Column) else F.lit(i))
 
     def fits(i: Column) -> Column:
-        a, b = F.abs(_field(p, i)), F.abs(_field(p, i + 1))
+        a, b = F.abs(field(i)), F.abs(field(i + 1))
         return F.coalesce(((a <= 90) & (b <= 180)) | ((b <= 90) & (a <= 180)), F.lit(False)) & (i + 2 < F.size(p))
 
-    at = lines.withColumn("at", F.get(F.filter(F.sequence(F.lit(0), F.lit(4)), fits), F.lit(0))).filter("at IS NOT NULL")
-    a, b = _field(p, c("at")), _field(p, c("at") + 1)
+    at = settled(lines.withColumn("at", F.get(F.filter(F.sequence(F.lit(0), F.lit(4)), fits), F.lit(0)))).filter("at IS NOT NULL")
+    a, b = field(c("at")), field(c("at") + 1)
     straight = (F.abs(a) <= 90) & (F.abs(b) <= 180)
-    std = lambda i, d: F.greatest(F.abs(F.coalesce(_field(p, c("at") + i), d)), F.lit(0.02))
+    std = lambda i, d: F.greatest(F.abs(F.coalesce(field(c("at") + i), d)), F.lit(0.02))
     e = std(3, F.lit(0.1))
     time = F.coalesce(parse_loose_time(F.get(p, F.lit(0))), parse_loose_time(F.concat_ws(" ", F.replace(F.get(p, F.lit(0)), F.lit("/"), F.lit("-")), F.get(p, F.lit(1)))))
-    out = at.select(F.when(straight, a).otherwise(b).alias("lat_deg"), F.when(straight, b).otherwise(a).alias("lon_deg"), _field(p, c("at") + 2).alias("height_m"), e.alias("std_e"), std(4, e).alias("std_n"), std(5, e * 2).alias("std_u"), time.alias("unix_s"), F.lit("pos").alias("source"), *keep)
+    out = at.select(F.when(straight, a).otherwise(b).alias("lat_deg"), F.when(straight, b).otherwise(a).alias("lon_deg"), field(c("at") + 2).alias("height_m"), e.alias("std_e"), std(4, e).alias("std_n"), std(5, e * 2).alias("std_u"), time.alias("unix_s"), F.lit("pos").alias("source"), *keep)
     return out.filter("height_m IS NOT NULL")
 
 

@@ -7,6 +7,7 @@ from geofuse.operators import cloud, sfm
 from geofuse.operators import surface as su
 from geofuse.plans import components as cp
 from geofuse.sources import binary as bi
+from geofuse.sources import readers as rd
 
 
 def plan_of(df):
@@ -87,3 +88,11 @@ def test_small_bricks_share_a_call(spark):
     assert "FlatMapGroups" not in plan_of(v)
     assert {(r["m"], r["x"]) for r in v.collect()} == {(m, 1.5 + m / 4) for m in range(3)} and v.count() == 75
     assert t.count() == 3 * 32 and all(r[f"x{k}"] == 1.5 + r["m"] / 4 for r in t.collect() for k in range(3))
+
+
+def test_a_line_of_positions_is_cut_once(spark):
+    lines = ["% no position", "2024/05/06 07:08:09  -41.25 174.5 12.5 0.01 0.3 0.4", "1700000000,174.5,-41.25,7", "a b c 1", "9 999 -41.25 174.5 x 1 2"]
+    out = rd.pos(spark.createDataFrame([(v,) for v in lines], "value string"))
+    got = sorted((r["lat_deg"], r["lon_deg"], r["height_m"], r["std_e"], r["std_n"], r["std_u"]) for r in out.collect())
+    assert got == [(-41.25, 174.5, 7.0, 0.1, 0.1, 0.2), (-41.25, 174.5, 12.5, 0.02, 0.3, 0.4)]
+    assert plan_of(out).count("split(") == 1
