@@ -17,11 +17,13 @@ from geofuse.functions import splat as sp
 from geofuse.operators.cloud import cloud_stats, decode
 from geofuse.operators.telemetry import fit_sim3
 from geofuse.plans.rank import ranked
-from geofuse.plans.shared import few, settled
+from geofuse.plans.shared import few, settled, stored
 
 c = F.col
 # Pixels of a tile, the widest splat, the low-pass, the least alpha, opacity and coverage, and when a pixel is full.
 TILE, MOST_RADIUS, DILATION, LEAST_ALPHA, LEAST_OPACITY, LEAST_COVER, FULL = 16, 96.0, 0.3, 1 / 255, 0.02, 0.62, 1e-3
+#: The side of a cell, in pixels and in cells of a tile; every so many-th splat shows first how deep a cell can be seen.
+CELL, CELLS, SPARSE = 4, TILE // 4, 64
 
 
 def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> DataFrame:
@@ -30,8 +32,28 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     Each splat is an ellipse on each view (whose longer side is scaled to most_pixels or less); the pixels that it
     may touch are those of the tiles its three-sigma square meets. A row a splat and tile is shuffled, and put in
     order of depth in the tile (ties by splat_id). Front to back, a pixel takes alpha of what light is left, until it is full;
-    splats behind full tiles are passed over. Views are broadcast: the cameras of one model, whose number is checked.
+    splats behind full pixels are passed over. Views are broadcast: the cameras of one model, whose number is checked.
+
+    Before the rows of all splats are dealt out, those of every SPARSE-th are composited, which tells where these few alone let through
+    half of what a full pixel may. With all splats less light comes so far, so a splat behind that in all cells of pixels that it can
+    touch changes nothing, and its row isn't dealt out. How many rows of a tile are left doesn't grow with the splats where it fills up.
     """
+    s = stored(_on_tiles(splats.filter(F.pmod(F.xxhash64("splat_id"), F.lit(SPARSE)) == 0), views, most_pixels), "sparse-splats")
+    tile, order = ["image_id", "_tx", "_ty"], ["depth", "splat_id"]
+    kind = views.schema["image_id"].dataType.simpleString()
+
+    def dealt(rows: DataFrame, kernel, shape: str) -> DataFrame:
+        rows = rows.repartition(*tile).sortWithinPartitions(*tile, *order)
+        return rows.select(*tile, *[k for k in s.columns if k not in (*tile, "splat_id", "_cell")]).mapInArrow(kernel, shape)
+
+    behind = stored(dealt(s, _hidden, f"image_id {kind}, _tx long, _ty long, _behind array<double>"), "hidden")
+    rows = _on_tiles(splats, views, most_pixels).join(behind, tile, "left")
+    rows = rows.filter(c("_behind").isNull() | (c("depth") <= F.get("_behind", c("_cell"))))
+    return dealt(rows, _composited, f"image_id {kind}, py int, px int, depth double, cover double, nx double, ny double, nz double")
+
+
+def _on_tiles(splats: DataFrame, views: DataFrame, most_pixels: int) -> DataFrame:
+    """A row for each tile of a view that a splat touches; _cell is the number of the rectangle of cells that holds what it touches there."""
     s = F.least(F.lit(1.0), most_pixels / F.greatest("width", "height"))
     v = views.select(
         "image_id", (c("f") * s).alias("vf"), F.greatest(F.round(c("width") * s), F.lit(1.0)).alias("vw"), F.greatest(F.round(c("height") * s), F.lit(1.0)).alias("vh"),
@@ -42,13 +64,19 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     cov = sp.covariance(own, [c("sx"), c("sy"), c("sz")])
     thin = F.when((c("sx") <= c("sy")) & (c("sx") <= c("sz")), 0).when(c("sy") <= c("sz"), 1).otherwise(2)
     normal = {f"n{k}": F.when(thin == 0, own[i][0]).when(thin == 1, own[i][1]).otherwise(own[i][2]) for i, k in enumerate("xyz")}
-    d = settled(d.withColumns(cov | normal).select("splat_id", *"xyz", "opacity", *cov, *normal))
+    d = settled(d.withColumns(cov | normal).select("splat_id", *"xyz", "opacity", F.greatest("sx", "sy", "sz").alias("widest"), *cov, *normal))
     q, t = tuple(c(f"v_{k}") for k in ("qw", "qx", "qy", "qz")), tuple(c(f"v_{k}") for k in ("tx", "ty", "tz"))
     p = cam.world_to_cam(q, t, (c("x"), c("y"), c("z")))
     eye, turn = cam.centre(q, t), sp.rotation(*q)
     toward = sum((c(f"n{k}") * (eye[i] - c(k)) for i, k in enumerate("xyz")), F.lit(0.0))
     b = d.join(few(v, what="views")).withColumns({"ax": p[0], "ay": p[1], "depth": p[2], "flip": F.when(toward < 0, -1.0).otherwise(1.0)})
-    b = settled(b).filter("depth >= 1e-3")
+    b = settled(b.withColumns({"u": c("vf") * c("ax") / c("depth") + c("vx"), "w": c("vf") * c("ay") / c("depth") + c("vy")})).filter("depth >= 1e-3")
+    # Were it as wide all round as at its widest, it would reach so far at most: most splats beside the image end here.
+    for at, axis, size in (("u", "ax", "vw"), ("w", "ay", "vh")):
+        slope, scale = c(axis) / c("depth"), c("vf") / c("depth") * c("widest")
+        far = F.sqrt(24 * (scale * scale * (1 + slope * slope) + DILATION)) + 1e-6
+        b = b.filter((c(at) + far >= 0) & (c(at) - far <= c(size)))
+    b = b.drop("widest")
     sigma = [[c(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     # The rows of (Jacobian of the projection) x (rotation of the view), and the 2 x 2 covariance on the image.
     j = [(c("vf") / c("depth"), None, -c("vf") * c("ax") / (c("depth") * c("depth"))), (None, c("vf") / c("depth"), -c("vf") * c("ay") / (c("depth") * c("depth")))]
@@ -59,39 +87,67 @@ def composite_depth(splats: DataFrame, views: DataFrame, most_pixels: int) -> Da
     det = c("e0") * c("e2") - c("e1") * c("e1")
     half = (c("e0") + c("e2")) / 2
     radius = 3 * F.sqrt(half + F.sqrt(F.greatest(half * half - det, F.lit(0.0))))
-    b = b.withColumns({"det": det, "radius": radius, "u": c("vf") * c("ax") / c("depth") + c("vx"), "w": c("vf") * c("ay") / c("depth") + c("vy")})
+    b = b.withColumns({"det": det, "radius": radius})
     b = settled(b).filter((c("det") > 1e-12) & (c("radius") <= MOST_RADIUS) & (c("u") + c("radius") >= 0) & (c("w") + c("radius") >= 0) & (c("u") - c("radius") < c("vw")) & (c("w") - c("radius") < c("vh")))
 
-    def tiles(at: str, var: str, size: str):
-        """The tiles that the square meets and that have pixels where the exponent is -12 or more."""
-        reach = F.sqrt(24 * c(var))
-        low = F.greatest(F.floor((c(at) - c("radius")) / TILE) * TILE, F.lit(0), F.ceil(c(at) - reach - 0.5))
-        high = F.least(F.floor((c(at) + c("radius")) / TILE) * TILE + TILE - 1, c(size).cast("long") - 1, F.floor(c(at) + reach - 0.5))
-        return F.when(low <= high, F.sequence(F.floor(low / TILE), F.floor(high / TILE))).otherwise(F.array().cast("array<bigint>"))
+    # No alpha counts where the exponent is less than -12, or so low that the opacity comes under the least alpha.
+    reach = 2 * F.least(F.lit(12.0), F.log(c("opacity") / LEAST_ALPHA)) + 1e-9
+
+    def span(at: str, var: str, size: str):
+        """The first and last pixel that it may touch in the tiles which its square meets."""
+        far = F.sqrt(reach * c(var))
+        low = F.greatest(F.floor((c(at) - c("radius")) / TILE) * TILE, F.lit(0), F.ceil(c(at) - far - 0.5))
+        high = F.least(F.floor((c(at) + c("radius")) / TILE) * TILE + TILE - 1, c(size).cast("long") - 1, F.floor(c(at) + far - 0.5))
+        return low, high
+
+    def cells(k: str):
+        first = F.greatest(F.floor(c(f"_{k}0") / CELL) - c(f"_t{k}") * CELLS, F.lit(0))
+        last = F.least(F.floor(c(f"_{k}1") / CELL) - c(f"_t{k}") * CELLS, F.lit(CELLS - 1))
+        return first * CELLS + last
 
     values = ["depth", "opacity", "u", "w", "e0", "e1", "e2", "det", "nx", "ny", "nz", "vw", "vh"]
-    b = b.withColumns({f"n{k}": c(f"n{k}") * c("flip") for k in "xyz"}).withColumns({"_xs": tiles("u", "e0", "vw"), "_ys": tiles("w", "e2", "vh")})
-    b = b.withColumn("_tx", F.explode("_xs")).withColumn("_ty", F.explode("_ys")).select("image_id", "_tx", "_ty", "splat_id", *values)
-    order = ["image_id", "_tx", "_ty", "depth", "splat_id"]
-    kind = views.schema["image_id"].dataType.simpleString()
-    shape = f"image_id {kind}, py int, px int, depth double, cover double, nx double, ny double, nz double"
-    return b.repartition("image_id", "_tx", "_ty").sortWithinPartitions(*order).select("image_id", "_tx", "_ty", *values).mapInArrow(_composited, shape)
+    ends = dict(zip(("_x0", "_x1", "_y0", "_y1"), (*span("u", "e0", "vw"), *span("w", "e2", "vh"))))
+    b = settled(b.withColumns({f"n{k}": c(f"n{k}") * c("flip") for k in "xyz"} | ends)).filter("_x0 <= _x1 AND _y0 <= _y1")
+    for k in "xy":
+        b = b.withColumn(f"_t{k}", F.explode(F.sequence(F.floor(c(f"_{k}0") / TILE), F.floor(c(f"_{k}1") / TILE))))
+    return b.select("image_id", "_tx", "_ty", "splat_id", (cells("x") * CELLS * CELLS + cells("y")).cast("int").alias("_cell"), *values)
 
 
 class _Tile:
-    """The pixels of a tile while splats come front to back: the light left, and sums of what was seen."""
+    """The pixels of a tile while splats come front to back: the light left, sums of what was seen, and how deep it was full."""
 
-    def __init__(self, x: int, y: int):
+    def __init__(self, x: int, y: int, full: float = FULL):
         self.py, self.px = (v.ravel() for v in np.mgrid[y * TILE : (y + 1) * TILE, x * TILE : (x + 1) * TILE])
         self.light, self.sums = np.ones(TILE * TILE), np.zeros((5, TILE * TILE))
-        self.size = 0, 0
+        self.size, self.full, self.deep = (0, 0), full, np.full(TILE * TILE, np.inf)
+
+    def _open(self) -> np.ndarray:
+        """Pixels of the image that aren't full."""
+        return (self.light >= self.full) & (self.px < self.size[0]) & (self.py < self.size[1])
 
     def add(self, s: dict[str, np.ndarray]) -> None:
-        """A piece of splats, in order; nothing is done once every pixel is full."""
-        open_ = np.flatnonzero(self.light >= FULL)
+        """Splats, in order; those that reach no open pixel are passed over."""
         self.size = int(s["vw"][0]), int(s["vh"][0])
-        if not len(open_):
-            return
+        reach = 2 * np.clip(np.log(s["opacity"] / LEAST_ALPHA), 0, 12) + 1e-6
+        ends = []
+        for at, var, first in (("u", "e0", self.px[0]), ("w", "e2", self.py[0])):
+            far = np.sqrt(reach * s[var])
+            ends += [np.clip(np.ceil(s[at] - far - 0.5) - first, 0, TILE).astype("int64"), np.clip(np.floor(s[at] + far + 0.5) - first, 0, TILE).astype("int64")]
+
+        def touching(rows: np.ndarray) -> np.ndarray:
+            seen = np.zeros((TILE + 1, TILE + 1), "int64")
+            seen[1:, 1:] = self._open().reshape(TILE, TILE).cumsum(0).cumsum(1)
+            x0, x1, y0, y1 = (e[rows] for e in ends)
+            return rows[(x0 < x1) & (y0 < y1) & (seen[y1, x1] - seen[y0, x1] - seen[y1, x0] + seen[y0, x0] > 0)]
+
+        rows = touching(np.arange(len(s["u"])))
+        for i in range(0, len(rows), TILE * TILE):
+            part = touching(rows[i : i + TILE * TILE])
+            if len(part):
+                self._piece({k: v[part] for k, v in s.items()})
+
+    def _piece(self, s: dict[str, np.ndarray]) -> None:
+        open_ = np.flatnonzero(self._open())
         dx, dy = self.px[open_] + 0.5 - s["u"][:, None], self.py[open_] + 0.5 - s["w"][:, None]
         power = -0.5 * (s["e2"][:, None] * dx * dx - 2 * s["e1"][:, None] * dx * dy + s["e0"][:, None] * dy * dy) / s["det"][:, None]
         alpha = np.minimum(s["opacity"][:, None] * np.exp(np.minimum(power, 0)), 0.99)
@@ -100,7 +156,18 @@ class _Tile:
         light = self.light[open_] * np.vstack([np.ones(len(open_)), left[:-1]])
         share = np.where(light >= FULL, light * alpha, 0)
         self.sums[:, open_] += np.stack([share.sum(0), *[(share * s[k][:, None]).sum(0) for k in ("depth", "nx", "ny", "nz")]])
-        self.light[open_] *= left[-1]
+        after = self.light[open_] * left
+        over = np.flatnonzero(after[-1] < self.full)
+        self.deep[open_[over]] = s["depth"][(after[:, over] < self.full).argmax(0)]
+        self.light[open_] = after[-1]
+
+    def behind(self, key: tuple) -> pa.RecordBatch:
+        """For each rectangle of cells, by its first and last column and row, the depth behind which all its pixels are full."""
+        deep = np.where((self.px < self.size[0]) & (self.py < self.size[1]), self.deep, -np.inf)
+        deep = deep.reshape(CELLS, CELL, CELLS, CELL).max((1, 3))
+        n, none = range(CELLS), np.inf
+        out = [deep[c : d + 1, a : b + 1].max() if a <= b and c <= d else none for a in n for b in n for c in n for d in n]
+        return pa.RecordBatch.from_pydict({**{k: [v] for k, v in zip(("image_id", "_tx", "_ty"), key)}, "_behind": [out]})
 
     def pixels(self, image) -> pa.RecordBatch:
         fine = np.flatnonzero((self.sums[0] >= LEAST_COVER) & (self.px < self.size[0]) & (self.py < self.size[1]))
@@ -112,25 +179,38 @@ class _Tile:
         return pa.RecordBatch.from_pydict(out | dict(zip(("nx", "ny", "nz"), n)))
 
 
-def _composited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pixels of tiles whose splats follow each other; one tile is held at a time, and a piece of its splats."""
+def _tiles(batches: Iterator[pa.RecordBatch], full: float) -> Iterator[tuple[tuple, _Tile]]:
+    """Tiles whose splats follow each other, done; one is held at a time, and a piece of its splats."""
     at, tile = None, None
     for batch in batches:
         keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         values = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names[3:]}
         cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            key = tuple(k[a] for k in keys) if b > a else at
+            if b == a:
+                continue
+            key = tuple(k[a] for k in keys)
             if key != at:
                 if tile:
-                    yield tile.pixels(at[0])
-                at, tile = key, _Tile(int(key[1]), int(key[2]))
-            for i in range(a, b, TILE * TILE):
-                tile.add({k: v[i : min(i + TILE * TILE, b)] for k, v in values.items()})
+                    yield at, tile
+                at, tile = key, _Tile(int(key[1]), int(key[2]), full)
+            tile.add({k: v[a:b] for k, v in values.items()})
     if tile:
+        yield at, tile
+
+
+def _composited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for at, tile in _tiles(batches, FULL):
         yield tile.pixels(at[0])
 
 
+def _hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Half of what a full pixel may let through leaves room for sums in another order."""
+    for at, tile in _tiles(batches, FULL / 2):
+        if np.isfinite(tile.deep).any():
+            yield tile.behind(at)
+
+
 # Surfaces -------------------------------------------------------------------------------------------------------
 #: Samples that a task cuts at once.
 ROWS = 1 << 16

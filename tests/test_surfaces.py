@@ -332,3 +332,22 @@ def test_ranks_and_strides(spark):
 def test_surface_area_of_the_query(spark, sf):
     r = max(QUERIES["g5_surface_area"](spark, sf).collect(), key=lambda r: r["volume"])
     assert r["volume"] > 10 and r["area"] > 20 and r["triangles"] > 100
+
+
+def test_splats_behind_full_pixels_are_not_dealt_out(spark, monkeypatch):
+    """Many layers before a view, and a row of pixels that no tile fills: the same image, from far fewer rows."""
+    rows = [(i, (i * 37 % 101 - 50) / 20, (i * 53 % 89 - 44) / 30, 4.0 + i / 8000) for i in range(16000)]
+    s = spark.createDataFrame(rows, "splat_id long, x double, y double, z double").withColumns(
+        {k: F.lit(math.log(0.1)) for k in ("s0", "s1", "s2")} | {"opacity_logit": (F.col("splat_id") % 5).cast("double"), "qw": F.lit(1.0)} | {k: F.lit(0.0) for k in ("qx", "qy", "qz", "dc0", "dc1", "dc2")}
+    )
+    v = spark.createDataFrame([(1, 40.0, 40.0, 24.0, 1.0, *[0.0] * 6)], "image_id long, f double, width double, height double, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(su, "_composited", lambda batches, real=su._composited: real((seen.add(b.num_rows), b)[1] for b in batches))
+    got = {}
+    for sparse in (1 << 40, 4):
+        monkeypatch.setattr(su, "SPARSE", sparse)
+        before = seen.value
+        got[sparse] = sorted(map(tuple, su.composite_depth(s, v, 40).collect())), seen.value - before
+    (plain, every), (image, some) = got.values()
+    assert len(plain) > 300 and [r[:3] for r in image] == [r[:3] for r in plain] and np.allclose([r[3:] for r in image], [r[3:] for r in plain], rtol=0, atol=1e-12)
+    assert some < every / 2
