@@ -17,6 +17,8 @@ from geofuse.plans.stencil import beside, stencil
 c = F.col
 #: Keypoints of a frame that are packed together and compared at once.
 BLOCK = 4096
+#: Keypoints of a block that are set against the other block at a time.
+STRIP = 64
 
 
 def pack_bits(bits: DataFrame) -> DataFrame:
@@ -59,6 +61,16 @@ def match_descriptors(kps: DataFrame, pairs: DataFrame, ratio: float = 0.8, max_
     return both.filter("n = 2").select("fa", "fb", "i", "j", "d")
 
 
+def _least_two(near: np.ndarray, axis: int) -> np.ndarray:
+    """The two least of each row (axis 1) or column (axis 0); the greatest number stands for none."""
+    out = []
+    for _ in range(2):
+        at = np.expand_dims(near.argmin(axis), axis)
+        out.append(np.take_along_axis(near, at, axis).squeeze(axis))
+        np.put_along_axis(near, at, np.iinfo(near.dtype).max, axis)
+    return np.stack(out)
+
+
 def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
     """The two nearest keypoints of the other block, for each of either block; of equals the lower id."""
     if not (left.num_rows and right.num_rows):
@@ -71,17 +83,21 @@ def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
             own = t[ids][0].values.to_numpy(zero_copy_only=False)
             order = np.argsort(own, kind="stable")
             sides.append((own[order], t[desc][0].values.to_numpy(zero_copy_only=False)[order].view("uint64")))
-        d = np.empty((len(sides[0][0]), len(sides[1][0])), "uint8")
-        for at in range(0, len(d), 256):
-            d[at : at + 256] = np.bitwise_count(sides[0][1][at : at + 256, None] ^ sides[1][1][None, :])
+        (own, left_bits), (other, right_bits) = sides
+        # A distance and a place in one number, the lower the better; strip by strip, so that no table of all distances is held.
+        n, m = len(own), len(other)
+        kind = np.int32 if 65 * max(n, m) < 1 << 31 else np.int64
+        none = np.iinfo(kind).max
+        there, back = np.full((2, n), none, kind), np.full((2, m), none, kind)
+        for at in range(0, n, STRIP):
+            d = np.bitwise_count(left_bits[at : at + STRIP, None] ^ right_bits[None, :]).astype(kind)
+            there[:, at : at + STRIP] = _least_two(d * m + np.arange(m, dtype=kind), 1)
+            up = _least_two(d * n + np.arange(at, at + len(d), dtype=kind)[:, None], 0)
+            back = np.sort(np.concatenate([back, up]), axis=0)[:2]
         found = []
-        for (own, _), (other, _), m, back in ((*sides, d, False), (*sides[::-1], d.T, True)):
-            near = m.astype("int32") * len(other) + np.arange(len(other), dtype="int32") if m.size * 65 < 1 << 31 else m.astype("int64") * len(other) + np.arange(len(other))
-            k = min(2, len(other))
-            for n in range(k):
-                nearest = near.argmin(1)
-                found.append((own, other[nearest], m[np.arange(len(own)), nearest], np.full(len(own), back)))
-                near[np.arange(len(own)), nearest] = np.iinfo(near.dtype).max
+        for ids, others, near, way in ((own, other, there, False), (other, own, back, True)):
+            for key_ in near[: min(2, len(others))]:
+                found.append((ids, others[key_ % len(others)], key_ // len(others), np.full(len(ids), way)))
         out = [np.concatenate(x) for x in zip(*found)]
     n = len(out[0])
     return pa.table({"fa": [key["fa"]] * n, "fb": [key["fb"]] * n, "own": out[0], "other": out[1], "d": out[2].astype("int32"), "back": out[3].astype(bool)})

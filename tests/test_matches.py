@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,29 @@ def test_one_large_component(spark):
     lone = spark.createDataFrame([(9000, 5000, 5001, 5002), (9001, 6000, 6000, 6000)], "tri_id long, v0 long, v1 long, v2 long")
     rows = sfm.mesh_components(strip.unionByName(lone)).groupBy("component", "size").count().collect()
     assert sorted(map(tuple, rows)) == [(0, 3000, 3000), (5000, 1, 1), (6000, 1, 1)]
+
+
+def test_blocks_are_compared_in_strips():
+    """Two whole blocks: the memory of a strip, not of a table of distances; both ways equal brute force."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, m = 2500, 2000
+    sides = [(rng.permutation(10 * k)[:k], rng.integers(0, 1 << 20, k).astype("int64") * 4099) for k in (n, m)]
+    key = pa.array([{"fa": 0, "fb": 1, "pa": 0, "pb": 0}])
+    left, right = (pa.table({k: key, ids: pa.array([own]), desc: pa.array([bits])}) for k, ids, desc, (own, bits) in (("a", "ids", "desc", sides[0]), ("b", "ids_b", "desc_b", sides[1])))
+    tracemalloc.start()
+    got = sfm._compared(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * n * m / 2
+    rows = set(zip(*(got[k].to_pylist() for k in ("own", "other", "d", "back"))))
+    want = set()
+    for way, (a, x), (b, y) in ((False, *sides), (True, *sides[::-1])):
+        d = np.bitwise_count(x.view("uint64")[:, None] ^ y.view("uint64")[None, :])
+        for i in range(len(a)):
+            for j in np.lexsort((b, d[i]))[:2]:
+                want.add((int(a[i]), int(b[j]), int(d[i, j]), way))
+    assert rows == want and got.num_rows == len(want)
