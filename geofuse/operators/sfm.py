@@ -221,8 +221,10 @@ def nearest_refs(images: DataFrame, registered: DataFrame, k: int = 3, by: str =
 
 def hypothesis_scores(obs: DataFrame, expected: int) -> DataFrame:
     """Per solver the quality of its model: obs has solver, image_id, point_id, err_px. Gates and composite included."""
+    # What observations come from runs once, and points are made once, however many rounds the median takes.
+    obs = stored(obs.select("solver", "image_id", "point_id", "err_px"), "observations")
     # Rounded, so that a mean on the gate doesn't hang on the order of the sum.
-    points = obs.groupBy("solver", "point_id").agg(F.round(F.avg("err_px"), 9).alias("err"), F.count(F.lit(1)).alias("track"))
+    points = stored(obs.groupBy("solver", "point_id").agg(F.round(F.avg("err_px"), 9).alias("err"), F.count(F.lit(1)).alias("track")), "scored-points")
     p = points.groupBy("solver").agg(F.avg("track").alias("mean_track"), (F.count_if((c("track") >= 2) & (c("err") <= 4)) / F.count(F.lit(1))).alias("good"))
     # The upper median is found by counting: no task holds the errors of a whole model.
     median = nth_smallest(points, "err", F.floor(c("n") / 2), ["solver"]).withColumnRenamed("err", "median_err")

@@ -96,3 +96,13 @@ def test_a_line_of_positions_is_cut_once(spark):
     got = sorted((r["lat_deg"], r["lon_deg"], r["height_m"], r["std_e"], r["std_n"], r["std_u"]) for r in out.collect())
     assert got == [(-41.25, 174.5, 7.0, 0.1, 0.1, 0.2), (-41.25, 174.5, 12.5, 0.02, 0.3, 0.4)]
     assert plan_of(out).count("split(") == 1
+
+
+def test_scores_read_the_observations_once(spark):
+    rows = [(s, i, p, float((i * 7 + p) % 5)) for s in ("a", "b") for i in range(40) for p in range(30) if (i + p) % 3]
+    seen = spark.sparkContext.accumulator(0)
+    obs = spark.createDataFrame(rows, "solver string, image_id long, point_id long, err_px double")
+    obs = obs.mapInArrow(lambda batches: ((seen.add(b.num_rows), b)[1] for b in batches), obs.schema)
+    got = {r["solver"]: r for r in sfm.hypothesis_scores(obs, 80).collect()}
+    assert seen.value == len(rows)
+    assert {s: (r["images"], r["mean_track"]) for s, r in got.items()} == {s: (40, len(rows) / 2 / 30) for s in "ab"}
