@@ -11,6 +11,7 @@ import contextlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +65,18 @@ class _Fold(StatefulProcessor):
         self.row = handle.getValueState("row", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = dict(zip(self.fields(), self.row.get())) if self.row.exists() else self.empty()
+        # Each call of the store is a round trip: it is asked once, and only a key that was seen has a timer.
+        held = self.row.get()
+        state = self.empty() if held is None else dict(zip(self.fields(), held))
         for pdf in rows:
-            state["seen"] = max(state["seen"], int(pdf["us"].max()))
-            self.fold(state, pdf)
+            events = {k: pdf[k].to_numpy() for k in ("us", "event_id", "kind", "progress", "detail")}
+            state["seen"] = max(state["seen"], int(events["us"].max()))
+            self.fold(state, events)
         self.row.update(tuple(state.values()))
-        for at in list(self.handle.listTimers()):
+        for at in list(self.handle.listTimers()) if held is not None else ():
             self.handle.deleteTimer(at)
         self.handle.registerTimer(state["seen"] // 1000 + (self.keep if self.ended(state) else self.quiet))
-        yield pd.DataFrame([self.out(key[0], state)])
+        yield pd.DataFrame({k: [v] for k, v in self.out(key[0], state).items()})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.row.clear()
@@ -88,9 +92,12 @@ class _Fold(StatefulProcessor):
         return dict.fromkeys(self.fields())
 
 
-def _last(pdf: pd.DataFrame) -> pd.Series | None:
-    """The row of the greatest (us, event_id)."""
-    return pdf.sort_values(["us", "event_id"]).iloc[-1] if len(pdf) else None
+def _last(events: dict[str, np.ndarray], rows: np.ndarray) -> dict | None:
+    """Of these rows that of the greatest (us, event_id)."""
+    if not len(rows):
+        return None
+    at = rows[np.lexsort((events["event_id"][rows], events["us"][rows]))[-1]]
+    return {k: v[at] for k, v in events.items()}
 
 
 def _plain(v):
@@ -103,9 +110,9 @@ class _Status(_Fold):
     def empty(self) -> dict:
         return super().empty() | {"us": LOW, "event_id": LOW, "events": 0, "seen": LOW}
 
-    def fold(self, state: dict, pdf: pd.DataFrame) -> None:
-        state["events"] += len(pdf)
-        new = _last(pdf)
+    def fold(self, state: dict, events: dict[str, np.ndarray]) -> None:
+        state["events"] += len(events["us"])
+        new = _last(events, np.arange(len(events["us"])))
         if new is not None and (new["us"], new["event_id"]) > (state["us"], state["event_id"]):
             state |= {k: _plain(new[k]) for k in ("us", "event_id", "kind", "progress", "detail")}
 
@@ -124,12 +131,13 @@ class _Progress(_Fold):
     def empty(self) -> dict:
         return super().empty() | {"us": LOW, "event_id": LOW, "end_us": LOW, "end_id": LOW, "state": "running", "seen": LOW}
 
-    def fold(self, state: dict, pdf: pd.DataFrame) -> None:
-        new = _last(pdf[pdf["kind"].isin((*TERMINAL, "progress"))])
+    def fold(self, state: dict, events: dict[str, np.ndarray]) -> None:
+        kinds = events["kind"].tolist()
+        new = _last(events, np.flatnonzero([k == "progress" or k in TERMINAL for k in kinds]))
         if new is not None and (new["us"], new["event_id"]) > (state["us"], state["event_id"]):
             p = 1.0 if new["kind"] == "done" else _plain(new["progress"])
             state |= {"us": int(new["us"]), "event_id": int(new["event_id"]), "progress": None if p is None else min(1.0, max(0.0, p)), "detail": _plain(new["detail"])}
-        end = _last(pdf[pdf["kind"].isin(TERMINAL)])
+        end = _last(events, np.flatnonzero([k in TERMINAL for k in kinds]))
         if end is not None and (end["us"], end["event_id"]) > (state["end_us"], state["end_id"]):
             state |= {"end_us": int(end["us"]), "end_id": int(end["event_id"]), "state": end["kind"]}
 

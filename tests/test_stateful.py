@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,40 @@ def test_polls_of_one_batch_are_taken_in_order(spark, order):
     df = spark.createDataFrame(rows[::order], "poll long, folder string, iteration int, path string, bytes long")
     assert [tuple(r) for r in st.stable_exports(df).select("iteration", "poll").collect()] == [(2, 6)]
     assert st.stable_exports(df.filter(F.lit(False))).count() == 0
+
+
+def test_a_key_asks_the_store_once():
+    """A new key: its row is got and put, and a timer set; timers are listed for keys that were seen only."""
+    calls, held, timers = [], {}, []
+
+    class Row:
+        def get(self):
+            calls.append("get")
+            return held.get("row")
+
+        def update(self, row):
+            calls.append("update")
+            held["row"] = row
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Row()
+
+        def listTimers(self):
+            calls.append("list")
+            return iter(timers)
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    p = st._Progress("1 hour", "1 day")
+    p.init(Handle())
+    rows = pd.DataFrame({"us": [5_000_000, 7_000_000, 7_000_000], "event_id": [1, 3, 2], "kind": ["done", "progress", "other"], "progress": [None, 0.5, 0.7], "detail": ["x", None, "z"]})
+    (out,) = p.handleInputRows((4,), iter([rows]), None)
+    assert out.to_dict("records") == [{"item": 4, "us": 7_000_000, "progress": 0.5, "detail": None, "state": "done"}]
+    assert calls == ["get", "update"] and timers == [7_000 + 3_600_000]
+    (out,) = p.handleInputRows((4,), iter([rows.assign(us=rows["us"] + 1_000_000, kind="failed")]), None)
+    assert out["state"].tolist() == ["failed"] and timers == [8_000 + 3_600_000]
