@@ -241,22 +241,26 @@ def splat_records(splats: DataFrame, by: list[str], order: list[str], per_file:
 
 
 def read_splat_records(blocks: DataFrame, by: list[str], content: str = "content") -> DataFrame:
-    """The records of such files, with their place n in the file."""
+    """The records of such files, with their place n in the file; by names a file.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                r = np.frombuffer(row.content, RECORD)
-                out = {"n": np.arange(len(r)), **{k: r["p"][:, i].astype("float64") for i, k in enumerate("xyz")}}
-                out |= {f"s{k}": r["s"][:, i].astype("float64") for i, k in enumerate("xyz")}
-                out |= {k: r["c"][:, i].astype("int32") for i, k in enumerate(("red", "green", "blue", "alpha"))}
-                out |= {f"q{k}": r["q"][:, i].astype("int32") for i, k in enumerate("wxyz")}
-                yield pd.DataFrame({**{k: [getattr(row, k)] * len(r) for k in by}, **out})
-
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema if f.name in by)
-    return blocks.select(*by, c(content).alias("content")).mapInPandas(
-        read,
-        f"{keys}, n long, x double, y double, z double, sx double, sy double, sz double, red int, green int, blue int, alpha int, qw int, qx int, qy int, qz int",
+    A file is a call of its own: a batch of a map would be some thousand files, however large each is.
+    """
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*by).schema)
+
+    def read(files: pa.Table) -> pa.Table:
+        out = []
+        for i in range(files.num_rows):
+            r = np.frombuffer(memoryview(files[content][i].as_buffer()), RECORD)
+            keys = {k: pa.repeat(files[k][i], len(r)) for k in by}
+            cols = {"n": np.arange(len(r)), **{k: r["p"][:, j].astype("float64") for j, k in enumerate("xyz")}}
+            cols |= {f"s{k}": r["s"][:, j].astype("float64") for j, k in enumerate("xyz")}
+            cols |= {k: r["c"][:, j].astype("int32") for j, k in enumerate(("red", "green", "blue", "alpha"))}
+            cols |= {f"q{k}": r["q"][:, j].astype("int32") for j, k in enumerate("wxyz")}
+            out.append(pa.table(keys | cols))
+        return pa.concat_tables(out)
+
+    return blocks.select(*by, content).groupBy(*by).applyInArrow(
+        read, f"{types}, n long, x double, y double, z double, sx double, sy double, sz double, red int, green int, blue int, alpha int, qw int, qx int, qy int, qz int"
     )
 
 

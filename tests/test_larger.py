@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from geofuse.operators import cloud, sfm
 from geofuse.operators import surface as su
 from geofuse.plans import components as cp
+from geofuse.plans import shared
 from geofuse.sources import binary as bi
 from geofuse.sources import readers as rd
 
@@ -106,3 +107,28 @@ def test_scores_read_the_observations_once(spark):
     got = {r["solver"]: r for r in sfm.hypothesis_scores(obs, 80).collect()}
     assert seen.value == len(rows)
     assert {s: (r["images"], r["mean_track"]) for s, r in got.items()} == {s: (40, len(rows) / 2 / 30) for s in "ab"}
+
+
+def test_files_of_records_are_read_one_at_a_time(spark):
+    rows = spark.range(50).select((F.col("id") % 3).alias("part"), *[(F.col("id") + i).cast("float").alias(k) for i, k in enumerate(("x", "y", "z", "sx", "sy", "sz"))])
+    one = np.zeros(1, bi.RECORD)
+
+    def packed(pdf):
+        r = np.repeat(one, len(pdf))
+        r["p"], r["s"], r["c"], r["q"] = pdf[["x", "y", "z"]], pdf[["sx", "sy", "sz"]], 7, 9
+        return pdf.head(1)[["part"]].assign(content=r.tobytes())
+
+    files = rows.groupBy("part").applyInPandas(packed, "part long, content binary")
+    out = bi.read_splat_records(files, ["part"])
+    assert "FlatMapGroupsInArrow" in plan_of(out) and "MapInPandas" not in plan_of(out)
+    got = sorted((r["part"], r["n"], r["x"], r["sz"], r["alpha"], r["qz"]) for r in out.collect())
+    assert got == [(p, n, float(3 * n + p), float(3 * n + p + 5), 7, 9) for p in range(3) for n in range(17 - (p == 2))]
+
+
+def test_points_meet_the_size_of_their_group_without_one_task(spark):
+    groups = shared.stored(spark.createDataFrame([(0, 5), (1, 6)], "g int, n int"), "sizes")
+    rows = spark.range(300).select(F.when(F.col("id") < 290, 0).otherwise(1).alias("g"), shared.salt_of("id").alias("salt"), "id")
+    few, salted = (shared.with_groups(rows, groups, ["g"], most) for most in (10, 1))
+    assert "BroadcastHashJoin" in plan_of(few) and "hashpartitioning(g" not in plan_of(few)
+    want = [(i, 5 if i < 290 else 6) for i in range(300)]
+    assert sorted((r["id"], r["n"]) for r in few.collect()) == sorted((r["id"], r["n"]) for r in salted.collect()) == want
