@@ -17,7 +17,7 @@ from geofuse.functions import splat as sp
 from geofuse.operators.cloud import cloud_stats, decode
 from geofuse.operators.telemetry import fit_sim3
 from geofuse.plans.rank import ranked
-from geofuse.plans.shared import few, settled, stored
+from geofuse.plans.shared import few, salt_of, settled, stored, with_groups
 
 c = F.col
 # Pixels of a tile, the widest splat, the low-pass, the least alpha, opacity and coverage, and when a pixel is full.
@@ -406,17 +406,16 @@ def align_cloud(source: DataFrame, reference: DataFrame, by: list[str], order: l
     with fewer than eight points on a side, with a turn of over 90 degrees and a change of scale, or if the moved
     cloud then lies far off or has another spread.
     """
-    sides = {}
-    for side, cloud in (("l", source), ("q", reference)):
-        sides[side] = ranked(cloud.select(*by, *order, *"xyz"), by, order, "__i").select(*by, "__i", c("__n").alias(f"n_{side}"), *[c(k).cast("double").alias(f"{side}{k}") for k in "xyz"])
-    sizes = sides["l"].select(*by, "n_l").distinct().join(sides["q"].select(*by, "n_q").distinct(), by)
-    sizes = sizes.withColumn("pairs", F.least("n_l", "n_q", F.lit(most)))
+    clouds = {"l": source, "q": reference}
+    counts = [cloud.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n_{side}")) for side, cloud in clouds.items()]
+    sizes = stored(counts[0].join(counts[1], by).withColumn("pairs", F.least("n_l", "n_q", F.lit(most))), "cloud-sizes")
     picked = {}
-    for side, cloud in sides.items():
+    for side, cloud in clouds.items():
+        places = ranked(cloud.select(*by, *order, *"xyz"), by, order, "__i").select(*by, "__i", salt_of(*order).alias("salt"), *[c(k).cast("double").alias(f"{side}{k}") for k in "xyz"])
         step = c(f"n_{side}") / c("pairs")
         k = F.ceil(c("__i") / step)
-        own = cloud.drop(f"n_{side}").join(sizes, by).withColumn("k", F.when(F.floor(k * step) == c("__i"), k)).filter("k IS NOT NULL AND k < pairs")
-        picked[side] = own.select(*by, "k", f"{side}x", f"{side}y", f"{side}z")
+        own = with_groups(places, sizes, by).withColumn("k", F.when(F.floor(k * step) == c("__i"), k)).filter("k IS NOT NULL AND k < pairs")
+        picked[side] = stored(own.select(*by, "k", f"{side}x", f"{side}y", f"{side}z"), "picked-points")
     fit = fit_sim3(picked["l"].join(picked["q"], [*by, "k"]), by).join(sizes, by)
     means = picked["l"].groupBy(*by).agg(*[F.avg(f"l{k}").alias(f"ml{k}") for k in "xyz"])
     held = F.greatest(F.lit(math.exp(-LOG_SCALE)), F.least(F.lit(math.exp(LOG_SCALE)), c("scale")))

@@ -94,3 +94,10 @@ def per_salt(groups: DataFrame, bits: str = "salts", salt: str = "salt", salts:
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str = "salt", how: str = "inner") -> DataFrame:
     """Joins rows (with a salt) to groups (with the bits of their salts), a hot key spread over its salts."""
     return rows.join(per_salt(groups, salt=salt), [*keys, salt], how)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 20000, salt: str = "salt") -> DataFrame:
+    """Joins rows (with a salt) to a stored row a group: sent to every task where groups are few, counted; else by all salts of a key."""
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), keys)
+    return rows.join(per_salt(groups.withColumn("salts", F.lit(-1).cast("long")), salt=salt), [*keys, salt])
