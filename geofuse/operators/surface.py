@@ -395,29 +395,28 @@ def iso_surface(voxels: DataFrame, by: list[str], iso: float = 0.0, colours: tup
 
 
 # Alignment ------------------------------------------------------------------------------------------------------
-# Pairs, the widest log-scale, the largest turn in degrees with a change of scale, and the gates of the result.
-PAIRS, LOG_SCALE, TURN, CHANGE, FAR, SPREAD = 2048, 1.2, 90.0, 0.15, 4.0, 0.3
+# The widest log-scale, the largest turn in degrees with a change of scale, and the gates of the result.
+LOG_SCALE, TURN, CHANGE, FAR, SPREAD = 1.2, 90.0, 0.15, 4.0, 0.3
 
 
-def align_cloud(source: DataFrame, reference: DataFrame, by: list[str], order: list[str], most: int = PAIRS) -> DataFrame:
+def align_cloud(source: DataFrame, reference: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Per group the similarity that lays source over reference, by pairs of equal place in their orders: by, n, scale, r00..r22, tx, ty, tz, degrees, accepted.
 
-    At most so many pairs, evenly spread. The scale is held within e to the plus or minus 1.2. It is not accepted
-    with fewer than eight points on a side, with a turn of over 90 degrees and a change of scale, or if the moved
-    cloud then lies far off or has another spread.
+    All points take part: each of the larger cloud once, paired with the point of the other whose place is the same share of its
+    size. The scale is held within e to the plus or minus 1.2. It is not accepted with fewer than eight points on a side, with
+    a turn of over 90 degrees and a change of scale, or if the moved cloud then lies far off or has another spread.
     """
     clouds = {"l": source, "q": reference}
     counts = [cloud.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n_{side}")) for side, cloud in clouds.items()]
-    sizes = stored(counts[0].join(counts[1], by).withColumn("pairs", F.least("n_l", "n_q", F.lit(most))), "cloud-sizes")
-    picked = {}
-    for side, cloud in clouds.items():
-        places = ranked(cloud.select(*by, *order, *"xyz"), by, order, "__i").select(*by, "__i", salt_of(*order).alias("salt"), *[c(k).cast("double").alias(f"{side}{k}") for k in "xyz"])
-        step = c(f"n_{side}") / c("pairs")
-        k = F.ceil(c("__i") / step)
-        own = with_groups(places, sizes, by).withColumn("k", F.when(F.floor(k * step) == c("__i"), k)).filter("k IS NOT NULL AND k < pairs")
-        picked[side] = stored(own.select(*by, "k", f"{side}x", f"{side}y", f"{side}z"), "picked-points")
-    fit = fit_sim3(picked["l"].join(picked["q"], [*by, "k"]), by).join(sizes, by)
-    means = picked["l"].groupBy(*by).agg(*[F.avg(f"l{k}").alias(f"ml{k}") for k in "xyz"])
+    sizes = stored(counts[0].join(counts[1], by), "cloud-sizes")
+    placed = []
+    for (side, cloud), other in zip(clouds.items(), "ql"):
+        places = ranked(cloud.select(*by, *order, *"xyz"), by, order, "__i").select(*by, c("__i").cast("long").alias("__i"), salt_of(*order).alias("salt"), *[c(k).cast("double").alias(f"{side}{k}") for k in "xyz"])
+        k = F.when(c(f"n_{side}") > c(f"n_{other}"), F.expr(f"__i * n_{other} div n_{side}")).otherwise(c("__i"))
+        placed.append(with_groups(places, sizes, by).withColumn("k", k).select(*by, "k", *[f"{side}{a}" for a in "xyz"]))
+    pairs = stored(placed[0].join(placed[1], [*by, "k"]), "paired-points")
+    fit = fit_sim3(pairs, by).join(sizes, by)
+    means = pairs.groupBy(*by).agg(*[F.avg(f"l{k}").alias(f"ml{k}") for k in "xyz"])
     held = F.greatest(F.lit(math.exp(-LOG_SCALE)), F.least(F.lit(math.exp(LOG_SCALE)), c("scale")))
     fit = fit.join(means, by).withColumn("held", held)
     # The translation belongs to the scale: what was held back moves the centre of the source.
@@ -435,4 +434,4 @@ def align_cloud(source: DataFrame, reference: DataFrame, by: list[str], order: l
     near = (radius >= 1e-5) & (c("g_rms") >= 1e-5) & (off < FAR * c("g_rms")) & (F.abs(F.log(radius / c("g_rms"))) < LOG_SCALE + SPREAD)
     wild = (c("degrees") > TURN) & (F.abs(F.log("scale")) > CHANGE)
     ok = (c("n_l") >= 8) & (c("n_q") >= 8) & ~wild & near
-    return fit.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("n_l", "n_q", "pairs", *[f"{p}{k}" for p in "sg" for k in "xyz"], "s_rms", "g_rms")
+    return fit.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("n_l", "n_q", *[f"{p}{k}" for p in "sg" for k in "xyz"], "s_rms", "g_rms")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geofuse.functions import geodesy as g
 from geofuse.plans.asof import asof_nearest
+from geofuse.plans.shared import salt_of, stored, with_groups
 
 
 def track_origin(telemetry: DataFrame) -> DataFrame:
@@ -47,10 +48,13 @@ def fallback_poses(matched: DataFrame, telemetry: DataFrame) -> DataFrame:
 
 
 def sim3_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Per group the sums that a similarity between (lx, ly, lz) and (qx, qy, qz) needs: two aggregates."""
+    """Per group the sums that a similarity between (lx, ly, lz) and (qx, qy, qz) needs: two aggregates.
+
+    A group's means go to its pairs without a shuffle where groups are few, else by salts: no task gets a large group whole.
+    """
     a, b = ("lx", "ly", "lz"), ("qx", "qy", "qz")
     means = pairs.groupBy(*by).agg(*[F.avg(c).alias(f"m_{c}") for c in (*a, *b)])
-    d = pairs.join(means, by).withColumns({f"d_{c}": F.col(c) - F.col(f"m_{c}") for c in (*a, *b)})
+    d = with_groups(pairs.withColumn("salt", salt_of(*a, *b)), stored(means, "pair-means"), by).withColumns({f"d_{c}": F.col(c) - F.col(f"m_{c}") for c in (*a, *b)})
     square = lambda cs: sum((F.col(f"d_{c}") * F.col(f"d_{c}") for c in cs), F.lit(0.0))
     cross = [F.sum(F.col(f"d_{p}") * F.col(f"d_{q}")).alias(f"h_{p}_{q}") for p in a for q in b]
     return d.groupBy(*by, *[f"m_{c}" for c in (*a, *b)]).agg(

@@ -318,6 +318,32 @@ def test_alignment_is_gated(spark):
     assert out[1]["tx"] == pytest.approx(1000)
 
 
+def test_alignment_is_of_all_points(spark):
+    """Every other point of a reference is moved aside, and the reference of another group has points between: each counts."""
+    rng = np.random.default_rng(4)
+    at = rng.normal(0, 2, (4096, 3))
+    a = spark.createDataFrame([(g, i, *map(float, at[i])) for g, n in ((0, 4096), (1, 100)) for i in range(n)], "g int, i int, x double, y double, z double")
+    b = a.withColumn("x", F.col("x") + F.when(F.col("g") == 0, F.col("i") % 2).otherwise(0.0))
+    between = a.filter("g = 1").withColumns({"i": F.col("i") + 0.5, "y": F.col("y") + 3.0})
+    b = b.select("g", F.col("i").cast("double").alias("i"), *"xyz").unionByName(between)
+    for source, reference, way in ((a, b, 1), (b, a, -1)):
+        out = {r["g"]: r for r in su.align_cloud(source, reference, ["g"], ["i"]).collect()}
+        assert out[0]["n"] == 4096 and out[1]["n"] == 200 and out[0]["accepted"] and out[1]["accepted"]
+        lies = {}
+        for g, n in ((0, 4096), (1, 100)):
+            l, q = at[:n], at[:n] + np.outer(np.arange(n) % 2, [1, 0, 0]) if g == 0 else at[:n]
+            if g == 1:
+                l, q = np.repeat(l, 2, 0), np.stack([l, l + [0, 3, 0]], 1).reshape(-1, 3)
+            l, q = (l, q)[::way]
+            dl, dq = l - l.mean(0), q - q.mean(0)
+            u, _, vt = np.linalg.svd(dl.T @ dq)
+            lies[g] = (vt.T @ u.T, np.sqrt((dq**2).sum() / (dl**2).sum()), l.mean(0), q.mean(0))
+        for g, (rot, scale, ml, mq) in lies.items():
+            r = out[g]
+            assert r["scale"] == pytest.approx(scale) and [r[f"r{i}{j}"] for i in range(3) for j in range(3)] == pytest.approx(list(rot.ravel()), abs=1e-9)
+            assert [r["tx"], r["ty"], r["tz"]] == pytest.approx(list(mq - scale * rot @ ml), abs=1e-9)
+
+
 def test_ranks_and_strides(spark):
     rows = [(g, (i * 37) % 101) for g in range(2) for i in range(101 if g else 7)]
     df = spark.createDataFrame(rows, "g int, v int").repartition(5)
