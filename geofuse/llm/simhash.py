@@ -10,42 +10,39 @@ Work goes by distinct fingerprint; copies of one text never meet. AQE splits a k
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geofuse.llm.shared import attach, salt_bit, salt_of, small_batches, stored, table
+from geofuse.llm.word_hashes import hashed
 from geofuse.plans.components import components
 
-SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
-#: Hashes are counted so many at a time, which bounds memory for any length of text.
+#: Bits of so many hashes are counted at a time, which bounds memory for any length of text.
 STEP = 1 << 16
 
 
+def _bits(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero without hashes."""
+    ones = np.zeros(64, "int64")
+    for at in range(0, len(h), STEP):
+        ones += np.unpackbits(h[at : at + STEP].view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The unsigned 64-bit SimHash of a text's shingles; zero without words."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    shingles = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)))))
-    ones = np.zeros(64, "int64")
-    for at in range(0, len(shingles), STEP):
-        h = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=SEED), shingles[at : at + STEP]), "uint64")
-        ones += np.unpackbits(h.view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    bits = ones * 2 > len(shingles)
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return next(_bits(h) for _, h in hashed([text], words))
 
 
 def fingerprints(words: int):
     @F.pandas_udf("long")
     def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype="uint64").view("int64"), dtype="int64")
+        return pd.Series(np.array([_bits(h) for _, h in hashed(texts, words)], dtype="uint64").view("int64"), dtype="int64")
 
     return signed
 

@@ -1,7 +1,9 @@
 import random
 
+import xxhash
+
 import corpus_pipeline as cp
-from geofuse.llm import near_copies, simhash
+from geofuse.llm import near_copies, simhash, word_hashes
 
 
 def plain_kept(rows):
@@ -78,3 +80,51 @@ def test_fingerprints_propose_and_are_verified(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_verified", verified)
     assert {r["doc_id"] for r in cp.drop_near_copies(spark, docs, "").collect()} == {0, 1, 2, 4}
     assert seen[0] == (1, 0) and sum(n for _, n in seen) >= 1
+
+
+def test_long_texts_around_the_threshold(spark):
+    """Sizes that differ, up to the bounds of what can be near: none of the bounds on what two prefixes share loses a link."""
+    rng = random.Random(6)
+    texts = []
+    for size in (40, 300, 1300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for gone in range(14):
+            u = list(base[: size - rng.randrange(1 + size // 5)]) if gone % 2 else list(base)
+            for _ in range(rng.randrange(1 + size // 36)):
+                u[rng.randrange(len(u))] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(u + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1 + size // 25))]))
+    rows = list(enumerate(texts))
+    out = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = plain_kept(rows)
+    assert sorted(r["doc_id"] for r in out.collect()) == want and 6 < len(want) < len(rows) - 6
+
+
+def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Long texts meet in a passage of theirs, too few words of it to be near copies: none is verified."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([f"w{rng.randrange(10**6)}" for _ in range(1500)] + passage)) for d in range(12)]
+    compared, plain = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, texts: compared.append(pairs.count()) or plain(pairs, texts))
+    out = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.count() == 12 and sum(compared) == 0
+
+
+def test_hashes_of_stretches_equal_the_library():
+    rng = random.Random(7)
+    odd = ["", None, "a", "a b", " A\tb \x0bC  d\n", "x" * 20000, "\u00e9 \u00e8 " * 50, "\ud800 z y", "  ", "\x1c A\x85b c", "0123456789 " * 9]
+    texts = odd + [" ".join("".join(rng.choices("abcXYZ", k=rng.randrange(1, 14))) for _ in range(rng.randrange(1, 400))) for _ in range(50)]
+    texts.insert(9, " ".join(f"w{i}" for i in range(200_000)))  # longer than a run
+    for words in (1, 3):
+        for text, (plain, h) in zip(texts, word_hashes.hashed(texts, words), strict=True):
+            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            assert plain == b" ".join(w)
+            assert h.tolist() == [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(len(w) - words + 1, min(len(w), 1)))]
+
+
+def test_pairs_are_told_apart_by_all_bits_of_their_keys(spark):
+    """Keys that are equal as doubles follow each other."""
+    k = 1 << 60
+    rows = [(k, "a b c d e", "a b c d e"), (k + 1, "a b c d e", "f g h i j"), (k + 2, "f g h i j", "f g h i j")]
+    pairs = spark.createDataFrame(rows, "b long, x string, y string").coalesce(1)
+    assert [r[0] for r in pairs.select(near_copies._near("b", "x", "y")).collect()] == [True, False, True]
