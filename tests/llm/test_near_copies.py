@@ -110,6 +110,19 @@ def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
     assert out.count() == 12 and sum(compared) == 0
 
 
+def test_rounds_end_where_they_spare_nothing(spark, monkeypatch):
+    """Long texts with much in common, none near another: a round for the nearest of each, then all the others at once."""
+    rng = random.Random(8)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(3000)], []
+    for d in range(14):
+        own = [f"v{d}-{i}" for i in range(300)]
+        rows.append((d, " ".join([*base[: 200 * d], *own, *base[200 * d + 300 :]])))
+    compared, plain = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, texts: compared.append(pairs.count()) or plain(pairs, texts))
+    out = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.count() == 14 and len(compared) <= 3 and sum(compared) >= 91
+
+
 def test_hashes_of_stretches_equal_the_library():
     rng = random.Random(7)
     odd = ["", None, "a", "a b", " A\tb \x0bC  d\n", "x" * 20000, "\u00e9 \u00e8 " * 50, "\ud800 z y", "  ", "\x1c A\x85b c", "0123456789 " * 9]
